@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tarnwork.llm import bpe, exact, packing, sharding, toxicity
+from tarnwork.llm import bpe, exact, minhash, packing, sharding, toxicity
 
 QUERIES = {
+    "op3_circulant_minhash": minhash.op3_circulant_minhash,
     "op4_minimax_shards": sharding.op4_minimax_shards,
     "op5_polynomial_exact_dedup": exact.op5_polynomial_exact_dedup,
     "op6_toxicity": toxicity.op6_toxicity,
