@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from tarnwork.llm import bpe, exact, minhash, packing, sharding, toxicity
+from tarnwork.llm import bpe, exact, minhash, packing, secrets, sharding, sketches, toxicity
 
 QUERIES = {
+    "op1_bottom_k_sketches": sketches.op1_bottom_k_sketches,
     "op3_circulant_minhash": minhash.op3_circulant_minhash,
     "op4_minimax_shards": sharding.op4_minimax_shards,
     "op5_polynomial_exact_dedup": exact.op5_polynomial_exact_dedup,
     "op6_toxicity": toxicity.op6_toxicity,
     "op8_byte_bpe": bpe.op8_byte_bpe,
+    "op9_secret_scans": secrets.op9_secret_scans,
     "op10_cost_balanced_packing": packing.op10_cost_balanced_packing,
 }
 
 SQL = {
     "op5_polynomial_exact_dedup": exact.OP5_SQL,
+    "op9_secret_scans": secrets.OP9_SQL,
 }
