@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from tarnwork.llm import bpe, exact, minhash, packing, secrets, sharding, sketches, toxicity
+from tarnwork.llm import bpe, exact, lines, minhash, packing, secrets, sharding, sketches, toxicity, urls
 
 QUERIES = {
     "op1_bottom_k_sketches": sketches.op1_bottom_k_sketches,
+    "op2_link_trust": urls.op2_link_trust,
     "op3_circulant_minhash": minhash.op3_circulant_minhash,
     "op4_minimax_shards": sharding.op4_minimax_shards,
     "op5_polynomial_exact_dedup": exact.op5_polynomial_exact_dedup,
     "op6_toxicity": toxicity.op6_toxicity,
+    "op7_line_dedup": lines.op7_line_dedup,
     "op8_byte_bpe": bpe.op8_byte_bpe,
     "op9_secret_scans": secrets.op9_secret_scans,
     "op10_cost_balanced_packing": packing.op10_cost_balanced_packing,

@@ -123,7 +123,9 @@ def redact_secrets(docs: DataFrame, mark: str = "[secret]", rules: tuple[Rule, .
 
     clean = F.aggregate(F.col("_spans"), state, step, lambda s: F.concat(F.array_join(s["parts"], ""), F.substring(text, s["at"] + 1, F.length(text))))
     joined = docs.join(small(materialize(marked.select(F.col("doc_id").alias("_id"), F.col("blob").alias("_blob"), spans.alias("_spans")), "secret-marked"), 50_000), (docs["doc_id"] == F.col("_id")) & (_blob() == F.col("_blob")), "left")
-    return joined.select(*[F.when(F.col("_spans").isNotNull(), clean).otherwise(text).alias("text") if c == "text" else docs[c] for c in docs.columns])
+    new_text = F.when(F.col("_spans").isNull(), text).otherwise(clean)
+    new = {"text": new_text.alias("text"), "n_chars": F.length(new_text).cast("long").alias("n_chars")}
+    return joined.select(*[new.get(c, docs[c]) for c in docs.columns])
 
 
 def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
