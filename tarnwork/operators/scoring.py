@@ -1,0 +1,110 @@
+"""Quality of extraction: expected rows against parsed ones."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from difflib import SequenceMatcher
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tarnwork.functions.status import score_class
+from tarnwork.functions.text import normalize_identifier
+
+
+def name_score(a: str, b: str) -> float:
+    """Likeness of two normalised names, from 0 to 1; one inside the other counts for at least 0.85."""
+    if a == b:
+        return 1.0
+    score = SequenceMatcher(None, a, b).ratio()
+    return max(score, 0.85) if a and b and (a in b or b in a) else score
+
+
+def assign_rows(expected: DataFrame, parsed: DataFrame, *, report: str, least: float = 0.55) -> DataFrame:
+    """``report, expected_no, parsed_no, score``: a greedy assignment, best scores first, each row once.
+
+    Both tables have ``report, no, name, value, unit``; a report's rows are assigned together, by Spark's grouping.
+    """
+
+    def assign(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        pairs = []
+        for e in left.itertuples():
+            for p in right.itertuples():
+                score = name_score(e.name, p.name) + (0.15 if e.unit and e.unit == p.unit else 0.0)
+                if score >= least:
+                    pairs.append((-score, e.no, p.no))
+        used_e, used_p, out = set(), set(), []
+        for score, e, p in sorted(pairs):
+            if e not in used_e and p not in used_p:
+                used_e.add(e)
+                used_p.add(p)
+                out.append((left[report].iloc[0], e, p, -score))
+        return pd.DataFrame(out, columns=[report, "expected_no", "parsed_no", "score"])
+
+    tidy = lambda rows: rows.select(report, "no", normalize_identifier(F.coalesce("name", F.lit(""))).alias("name"), F.lower(F.coalesce("unit", F.lit(""))).alias("unit"))
+    kind = dict(expected.dtypes)
+    schema = f"{report} {kind[report]}, expected_no {kind['no']}, parsed_no {kind['no']}, score double"
+    left, right = tidy(expected).alias("e"), tidy(parsed).alias("p")
+    return left.groupBy(f"e.{report}").cogroup(right.groupBy(f"p.{report}")).applyInPandas(assign, schema)
+
+
+def report_scores(counts: DataFrame) -> DataFrame:
+    """``counts(report, expected, parsed, matched, value_ok)`` with each report's class."""
+    return counts.withColumn("flag", score_class("expected", "parsed", "matched"))
+
+
+def corpus_scores(counts: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Micro-averaged recall, precision and value accuracy in percent; without rows precision and accuracy are 100."""
+    sums = counts.groupBy(*(by or [])).agg(*[F.sum(c).alias(c) for c in ("expected", "parsed", "matched", "value_ok")])
+    recall = F.col("matched") / F.greatest("expected", F.lit(1)) * 100
+    precision = F.when(F.col("parsed") == 0, 100.0).otherwise(F.col("matched") / F.greatest("parsed", F.lit(1)) * 100)
+    accuracy = F.when(F.col("matched") == 0, 100.0).otherwise(F.col("value_ok") / F.greatest("matched", F.lit(1)) * 100)
+    return sums.select(*(by or []), "expected", "parsed", "matched", "value_ok", recall.alias("recall"), precision.alias("precision"), accuracy.alias("value_accuracy"))
+
+
+def floor_violations(scores: DataFrame, floors: dict[str, float], keys: list[str] | None = None) -> DataFrame:
+    """A row for each metric below its floor."""
+    long = scores.unpivot(keys or [], list(floors), "metric", "value")
+    limits = F.create_map(*[F.lit(x) for pair in floors.items() for x in pair])
+    return long.withColumn("floor", limits[F.col("metric")]).where(F.col("value") + 1e-9 < F.col("floor"))
+
+
+def plan_parts(lines: DataFrame, *, doc: str, order: str, size: str, budget: int) -> DataFrame:
+    """``lines`` with ``part``: consecutive lines fill a part until the next one would exceed its budget.
+
+    A document's lines stream through one group in order; only running sums are held.
+    """
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in lines.schema) + ", part int"
+
+    def plan(rows: pd.DataFrame) -> pd.DataFrame:
+        rows, part, used, parts = rows.sort_values(order), 0, 0, []
+        for n in rows[size]:
+            if used and used + n > budget:
+                part, used = part + 1, 0
+            used += n
+            parts.append(part)
+        return rows.assign(part=pd.Series(parts, index=rows.index, dtype="int32"))
+
+    return lines.groupBy(doc).applyInPandas(plan, schema)
+
+
+def plugin_rows(docs: DataFrame, formats: list, *, id: str, text: str) -> DataFrame:  # noqa: A002
+    """Rows ``id, format, priority, mode, no, name, value`` of user-defined readers.
+
+    A format has ``name, priority, mode, matches(text), parse(text)``; one that fails gives no rows for that text.
+    """
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for key, content in zip(batch[id], batch[text], strict=True):
+                for f in formats:
+                    try:
+                        rows = list(f.parse(content)) if f.matches(content) else []
+                    except Exception:  # noqa: BLE001  a reader of users' own
+                        rows = []
+                    out += [(key, f.name, f.priority, f.mode, i, name, value) for i, (name, value) in enumerate(rows)]
+            yield pd.DataFrame(out, columns=[id, "format", "priority", "mode", "no", "name", "value"])
+
+    return docs.select(id, text).mapInPandas(read, f"{id} {dict(docs.dtypes)[id]}, format string, priority int, mode string, no int, name string, value string")

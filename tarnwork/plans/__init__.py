@@ -1,5 +1,6 @@
 """Named queries over the demonstration tables, with the SQL that gives the same rows."""
 
+from tarnwork.plans import curation  # noqa: F401  registers its queries
 from tarnwork.plans.analytics import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
