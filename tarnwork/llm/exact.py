@@ -99,7 +99,8 @@ def fingerprints(docs: DataFrame, huge: int = 1 << 23) -> DataFrame:
     starts = F.sequence(F.lit(0), F.octet_length("text") - 1, F.lit(CHUNK))
     cut = (
         rows.where(is_huge)
-        .select(F.monotonically_increasing_id().alias("row"), "doc_id", sha.alias("text_sha256"), data.alias("data"), F.explode(starts).alias("at"))
+        .select(F.monotonically_increasing_id().alias("row"), "doc_id", sha.alias("text_sha256"), data.alias("data"), starts.alias("starts"))
+        .select("row", "doc_id", "text_sha256", "data", F.explode("starts").alias("at"))
         .select("row", "doc_id", "text_sha256", "at", F.substring("data", F.col("at") + 1, F.lit(CHUNK)).alias("chunk"), F.when(F.col("at") > 0, F.substring("data", F.col("at"), F.lit(1))).otherwise(F.lit(b"")).alias("before"))
     )
     hashed = cut.repartition("row", "at").mapInArrow(chunk, "row long, doc_id long, text_sha256 string, at int, n long, h string")
