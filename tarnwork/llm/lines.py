@@ -6,9 +6,11 @@ has a Jaccard similarity of at least ``percent``. Lines of equal sets form a cla
 Words are ordered by rarity: their occurrences in all texts are counted in ``SLOTS`` slots by hash, so the table of
 counts has a fixed size, and ties are broken by hash. Two similar lines share a word among the first few of both in
 that order (prefix filter), at places that leave enough words after them (positional filter), and have about as many
-words (length filter). Lines meet in buckets by word and length class; each is first compared with the earliest
-line of its buckets, and only those for which this finds no match are compared with all earlier ones, so groups of
-similar lines don't multiply. Each match is verified on the words themselves.
+words (length filter). Each line also carries 64 parities of its words' hashes: a word that only one of two lines has
+changes at most one of them, so lines with more differing parities than differing words allowed are ruled out without
+loss. Lines meet in buckets by word; each is first compared with the earliest line of its buckets, and only those for
+which this finds no match are compared with all earlier ones, so groups of similar lines don't multiply. Each match is
+verified on the words themselves.
 
 Lines with fewer than ``least_words`` distinct words are left alone.
 
@@ -28,12 +30,10 @@ from tarnwork.llm._common import SPACE_CLASS, ascii_lower, documents, materializ
 SLOTS = 1 << 18
 PERCENT = 80
 LEAST_WORDS = 5
-#: Length classes are powers of this: similar lines lie in the same class or in neighbouring ones.
-STEP = 1.25
 
 
 def _words(line: Column) -> Column:
-    return F.split(ascii_lower(line), f"{SPACE_CLASS}+")
+    return F.split(F.btrim(ascii_lower(line), F.lit(" \t\n\x0b\x0c\r")), f"{SPACE_CLASS}+")
 
 
 def rarity_table(docs: DataFrame) -> bytes:
@@ -49,12 +49,16 @@ def rarity_table(docs: DataFrame) -> bytes:
 def _ranked(line: Column, table: bytes) -> Column:
     """The distinct words' hashes, the rarest first."""
 
-    def rank(h: Column) -> Column:
+    def rank(word: Column) -> Column:
+        h = F.xxhash64(word)
         rarity = F.ascii(F.substring(F.lit(table), F.pmod(h, F.lit(SLOTS)).cast("int") + 1, F.lit(1)).cast("string"))
         return F.shiftleft(rarity.cast("long"), 56).bitwiseOR(h.bitwiseAND(F.lit((1 << 56) - 1)))
 
-    hashes = F.transform(F.filter(_words(line), lambda w: w != ""), lambda w: F.xxhash64(w))
-    return F.sort_array(F.array_distinct(F.transform(hashes, rank)))
+    return F.sort_array(F.array_distinct(F.transform(_words(line), rank)))
+
+
+def _parities(ranked: Column) -> Column:
+    return F.aggregate(ranked, F.lit(0).cast("long"), lambda acc, h: acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))))
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -66,10 +70,10 @@ def _verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     pairs = materialize(pairs, "line-pairs")
     ends = materialize(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "line-needed")
     needed_docs = small(materialize(ends.select("id.doc_id").distinct(), "line-docs"), 300_000)
-    lines = _lines(docs.join(needed_docs, "doc_id", "left_semi"))
-    sets = lines.select(F.struct("doc_id", "line_no").alias("id"), F.array_distinct(F.filter(_words(F.col("line")), lambda w: w != "")).alias("words"))
-    sets = materialize(sets.join(small(ends, 300_000), "id", "left_semi").dropDuplicates(["id"]), "line-sets")
-    both = pairs.join(sets.toDF("a", "words_a"), "a").join(sets.toDF("b", "words_b"), "b")
+    lines = _lines(docs.join(needed_docs, "doc_id", "left_semi")).select(F.struct("doc_id", "line_no").alias("id"), "line")
+    lines = materialize(lines.join(small(ends, 300_000), "id", "left_semi").dropDuplicates(["id"]), "line-texts")
+    both = pairs.join(lines.toDF("a", "line_a"), "a").join(lines.toDF("b", "line_b"), "b")
+    both = both.select("a", "b", *[F.array_distinct(_words(F.col(f"line_{x}"))).alias(f"words_{x}") for x in "ab"])
     shared = F.size(F.array_intersect("words_a", "words_b"))
     return both.where(100 * shared >= percent * (F.size("words_a") + F.size("words_b") - shared)).select("a", "b")
 
@@ -81,29 +85,35 @@ def repeated_lines(docs: DataFrame, *, percent: int = PERCENT, least_words: int
     ranked = _lines(docs).select("doc_id", "line_no", _ranked(F.col("line"), rarity_table(docs)).alias("ranked")).where(F.size("ranked") >= least_words)
     n = F.size("ranked")
     prefix = F.slice("ranked", F.lit(1), (n - F.ceil(n * share - 1e-9) + 1).cast("int"))
-    lines = materialize(ranked.select(F.struct("doc_id", "line_no").alias("id"), n.alias("n"), F.xxhash64("ranked").alias("key"), prefix.alias("prefix")), "line-prefixes")
-    first = lines.groupBy("key", "n").agg(F.min(F.struct("id", "prefix")).alias("first"), F.count("*").alias("copies"))
+    lines = materialize(ranked.select(F.struct("doc_id", "line_no").alias("id"), n.alias("n"), F.xxhash64("ranked").alias("key"), _parities(F.col("ranked")).alias("parities"), prefix.alias("prefix")), "line-prefixes")
+    first = lines.groupBy("key", "n").agg(F.min(F.struct("id", "parities", "prefix")).alias("first"), F.count("*").alias("copies"))
     first = materialize(first.select("key", "n", "first.*", "copies"), "line-classes")
 
-    # The shorter line of a pair is in its own length class, the longer one in that and the one below.
-    length_class = F.floor(F.log2("n") / log2(STEP) + 1e-9).cast("int")
-    places = first.select("id", "n", F.posexplode("prefix").alias("at", "word"), F.explode(F.array(length_class, length_class - 1)).alias("size"))
-    places = places.select(F.xxhash64("word", "size").alias("bucket"), F.struct("id", "n", "at").alias("line"))
-    earlier = Window.partitionBy("bucket").orderBy("line")
-    shared = places.select("bucket", "line", F.first("line").over(earlier).alias("pivot"), F.lead("bucket").over(earlier).isNotNull().alias("more"))
-    shared = materialize(shared.where((F.col("line.id") != F.col("pivot.id")) | F.col("more")), "line-buckets")
+    # Flat rows, as there is one for each word of a prefix.
+    places = first.select("id.doc_id", "id.line_no", "n", "parities", F.posexplode("prefix").alias("at", "bucket"))
 
-    def may_match(x: Column, y: Column) -> Column:
+    def may_match(x: dict[str, Column], y: dict[str, Column]) -> Column:
         needed = F.ceil((x["n"] + y["n"]) * (share / (1 + share)) - 1e-9)
         rest = F.least(x["n"] - x["at"], y["n"] - y["at"])
-        return (F.least(x["n"], y["n"]) * 100 >= F.greatest(x["n"], y["n"]) * percent) & (rest >= needed)
-
-    pair = lambda x, y: (F.col(f"{x}.id").alias("a"), F.col(f"{y}.id").alias("b"))
-    stars = shared.where((F.col("line.id") != F.col("pivot.id")) & may_match(F.col("pivot"), F.col("line"))).select(*pair("pivot", "line")).distinct()
+        apart = F.bit_count(x["parities"].bitwiseXOR(y["parities"]))
+        return (F.least(x["n"], y["n"]) * 100 >= F.greatest(x["n"], y["n"]) * percent) & (rest >= needed) & (apart <= x["n"] + y["n"] - 2 * needed)
+
+    fields = ("doc_id", "line_no", "n", "at", "parities")
+    named = lambda prefix: {f: F.col(f"{prefix}{f}") for f in fields}
+    id_of = lambda prefix: F.struct(F.col(f"{prefix}doc_id").alias("doc_id"), F.col(f"{prefix}line_no").alias("line_no"))
+    earlier = Window.partitionBy("bucket").orderBy("doc_id", "line_no")
+    shared = places.select("bucket", *fields, *[F.first(f).over(earlier).alias(f"p_{f}") for f in fields], F.lead("bucket").over(earlier).isNotNull().alias("more"))
+    is_pivot = (F.col("doc_id") == F.col("p_doc_id")) & (F.col("line_no") == F.col("p_line_no"))
+    star = F.when(~is_pivot & may_match(named("p_"), named("")), id_of("p_"))
+    shared = materialize(shared.where(~is_pivot | F.col("more")).select("bucket", *fields, star.alias("pivot")), "line-buckets")
+
+    stars = shared.where("pivot IS NOT NULL").select(F.col("pivot").alias("a"), id_of("").alias("b")).distinct()
     matched = materialize(_verified(stars, docs, percent).select(F.col("b").alias("id")).distinct(), "line-matched")
-    open_ = shared.select("bucket", F.col("line").alias("y")).join(small(matched, 300_000), F.col("y.id") == F.col("id"), "left_anti")
-    rest = open_.join(shared.select("bucket", F.col("line").alias("x")), "bucket").where((F.col("x.id") < F.col("y.id")) & may_match(F.col("x"), F.col("y")))
-    more = _verified(rest.select(*pair("x", "y")).distinct(), docs, percent).select(F.col("b").alias("id")).distinct()
+    y = shared.select("bucket", *[F.col(f).alias(f"y_{f}") for f in fields])
+    open_ = y.join(small(matched.select("id.*"), 2_000_000), (F.col("y_doc_id") == F.col("doc_id")) & (F.col("y_line_no") == F.col("line_no")), "left_anti")
+    x = shared.select("bucket", *[F.col(f).alias(f"x_{f}") for f in fields])
+    rest = open_.join(x, "bucket").where((id_of("x_") < id_of("y_")) & may_match(named("x_"), named("y_")))
+    more = _verified(rest.select(id_of("x_").alias("a"), id_of("y_").alias("b")).distinct(), docs, percent).select(F.col("b").alias("id")).distinct()
 
     several = first.where("copies > 1").select("key", "n", F.col("id").alias("first_id"))
     copies = lines.join(several, ["key", "n"]).where("id <> first_id").select("id")
