@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarnwork.functions.status import qualitative_status, range_status
-from tarnwork.functions.text import BOILERPLATE_HEADING, is_boilerplate, one_spaced, redact_contacts, tidy_name
+from tarnwork.functions.text import BOILERPLATE_HEADING, is_boilerplate, once, one_spaced, redact_contacts, tidy_name
 
 
 def explode_lines(docs: DataFrame, *, id: str, text: str) -> DataFrame:  # noqa: A002
@@ -100,17 +100,15 @@ def parse_rows(lines: DataFrame, *, line: str, section: str | None = None, patte
 
     The first grammar that fits decides. ``patterns`` are further ones, of the same form, of lower precedence.
     """
-    text = one_spaced(line)
-    empty = F.lit("")
+    text, empty = F.col("_text"), F.lit("")
 
     def row(grammar) -> Column:
         kind, pattern, name, value, unit, reference = grammar
         part = lambda g: F.trim(F.regexp_extract(text, pattern, g)) if g else empty
-        label = tidy_name(part(name))
-        fields = F.struct(F.lit(kind).alias("grammar"), label.alias("raw_name"), part(value).alias("value"), part(unit).alias("unit"), part(reference).alias("reference_range"))
-        return F.when(text.rlike(pattern) & plausible_label(label), fields)
+        fields = lambda label: F.struct(F.lit(kind).alias("grammar"), label.alias("raw_name"), part(value).alias("value"), part(unit).alias("unit"), part(reference).alias("reference_range"))
+        return F.when(text.rlike(pattern), once(tidy_name(part(name)), lambda label: F.when(plausible_label(label), fields(label))))
 
-    found = lines.where(~text.rlike(NOISE)).withColumn("_row", F.coalesce(*[row(g) for g in (*GRAMMARS, *patterns)])).where("_row IS NOT NULL")
+    found = lines.withColumn("_text", one_spaced(line)).where(~text.rlike(NOISE)).withColumn("_row", F.coalesce(*[row(g) for g in (*GRAMMARS, *patterns)])).where("_row IS NOT NULL")
     worded = F.col("_row.grammar").isin("qualitative", "descriptive", "categorical")
     status = F.when(worded, qualitative_status("_row.value", "_row.reference_range")).otherwise(range_status("_row.value", "_row.reference_range"))
     confidence = F.when(F.col("_row.grammar").isin("value_range_unit", "tabular", "right_anchored"), 0.9).otherwise(0.85)
