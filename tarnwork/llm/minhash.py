@@ -6,10 +6,12 @@ is, under the second permutation shifted circularly by k. Bands of the signature
 meet; each link is confirmed by the exact Jaccard similarity of the two whole sets of shingles (as 64-bit hashes).
 
 Texts with equal sets form a class, of which one member is compared. Within a bucket not all pairs are formed: first
-each class is compared with the bucket's smallest member, and components are made of the links. Then only classes that
-are in another component than that member are compared with those of other components in the bucket, so no link
-between components is lost, however large a bucket is. 40 bands of 5 rows miss a pair of similarity 0.8 with a
-probability of 1e-7.
+each class is compared with the bucket's most central member, the one that meets most others in all buckets, and
+components are made of the links; then, in further rounds, with a member picked by a hash, if that is in another
+component. At last only classes that are still apart from the most central member are compared with those of other
+components in the bucket, so no link between components is lost, however large a bucket is. Pairs whose sizes rule out a link aren't formed, nor those
+whose signatures differ in so many lowest bits that a link has a probability of less than 1e-9. 73 bands of 7 rows
+miss a pair of similarity 0.8 with a probability of 4e-8.
 
 Words are what lies between white space (space, tab to carriage return), A to Z in lower case. A text with fewer words
 than a shingle has is one shingle; without words it has none and is linked with nothing. Null texts count as empty.
@@ -20,18 +22,21 @@ further columns are not carried.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnwork.llm._common import documents, materialize, slices, small
 from tarnwork.llm.components import connected_components
 
 CIRCLE = 1 << 18
-BANDS, ROWS = 40, 5
+BANDS, ROWS = 73, 7
+#: Coordinates of a signature: those of the bands, and one to fill the last word of lowest bits.
+SIZE = 512
 SEED = 20_260_101
 
 
@@ -68,32 +73,34 @@ def shingle_hashes(texts: pa.StringArray, words: int) -> list[np.ndarray]:
 
 
 class Circulant:
-    def __init__(self, bands: int = BANDS, rows: int = ROWS):
+    def __init__(self, bands: int = BANDS, rows: int = ROWS, size: int = SIZE):
         rng = np.random.default_rng(SEED)
         self.bands, self.rows = bands, rows
         self.scatter = rng.permutation(CIRCLE).astype(np.int32)
         values = rng.permutation(CIRCLE).astype(np.int32)
         # Row i: the values of the places i, i + 1, ...: what the shifts of the second permutation make of place i.
-        self.shifted = np.lib.stride_tricks.sliding_window_view(np.concatenate([values, values[: bands * rows]]), bands * rows)
+        self.shifted = np.lib.stride_tricks.sliding_window_view(np.concatenate([values, values[:size]]), size)
         self.factors = rng.integers(1, 1 << 62, rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         self.salts = rng.integers(1, 1 << 62, bands, dtype=np.uint64)
 
     def signature(self, shingles: np.ndarray) -> np.ndarray:
         places = self.scatter[(shingles >> np.uint64(46)).astype(np.int64)]
-        least = self.shifted[places[:2048]].min(axis=0)
-        for i in range(2048, len(places), 2048):
-            np.minimum(least, self.shifted[places[i : i + 2048]].min(axis=0), out=least)
+        least = self.shifted[places[:1024]].min(axis=0)
+        for i in range(1024, len(places), 1024):
+            np.minimum(least, self.shifted[places[i : i + 1024]].min(axis=0), out=least)
         return least
 
-    def keys(self, shingles: np.ndarray) -> np.ndarray:
-        """A 64-bit key for each band."""
-        mixed = (self.signature(shingles).astype(np.uint64).reshape(self.bands, self.rows) * self.factors).sum(axis=1, dtype=np.uint64) ^ self.salts
+    def keys(self, shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """A 64-bit key for each band, and the lowest bits of all coordinates."""
+        signature = self.signature(shingles)
+        banded = signature[: self.bands * self.rows].astype(np.uint64).reshape(self.bands, self.rows)
+        mixed = (banded * self.factors).sum(axis=1, dtype=np.uint64) ^ self.salts
         mixed = (mixed ^ (mixed >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-        return (mixed ^ (mixed >> np.uint64(29))).view(np.int64)
+        return (mixed ^ (mixed >> np.uint64(29))).view(np.int64), np.packbits(signature & 1).view(np.int64)
 
 
 def signatures(docs: DataFrame, words: int) -> DataFrame:
-    """``doc_id, n_shingles, set_key, bands``: ``set_key`` tells sets apart, ``bands`` has a key for each band."""
+    """``doc_id, n_shingles, set_key, bands, bits``: ``set_key`` tells sets apart, ``bands`` has a key for each band."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -102,10 +109,11 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
         for part in slices(batches):
             sets = shingle_hashes(part["text"], words)
             keys = pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary())
-            bands = pa.array([circulant.keys(s) if len(s) else None for s in sets], pa.list_(pa.int64()))
-            yield pa.record_batch([part["doc_id"], pa.array([len(s) for s in sets], pa.int64()), keys, bands], ["doc_id", "n_shingles", "set_key", "bands"])
+            signed = [circulant.keys(s) if len(s) else (None, None) for s in sets]
+            bands, bits = (pa.array([x[i] for x in signed], pa.list_(pa.int64())) for i in (0, 1))
+            yield pa.record_batch([part["doc_id"], pa.array([len(s) for s in sets], pa.int64()), keys, bands, bits], ["doc_id", "n_shingles", "set_key", "bands", "bits"])
 
-    return docs.select("doc_id", "text").mapInArrow(sign, "doc_id long, n_shingles long, set_key binary, bands array<long>")
+    return docs.select("doc_id", "text").mapInArrow(sign, "doc_id long, n_shingles long, set_key binary, bands array<long>, bits array<long>")
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
@@ -132,35 +140,64 @@ def confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Da
     return joined.mapInArrow(confirm, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, rounds: int = 3) -> DataFrame:
     """One row for each row of ``docs(doc_id, text)``: ``doc_id, n_shingles, component_id, kept``.
 
     Args:
         words: words of a shingle.
         percent: the similarity of linked texts, at least, in percent.
+        rounds: how often members are compared with one picked by hash, before the exact rest.
     """
     rows = materialize(signatures(docs, words), "minhash-rows")
-    classes = rows.where("n_shingles > 0").groupBy("set_key").agg(F.min(F.struct("doc_id", "n_shingles", "bands")).alias("first"), F.count("*").alias("copies"))
+    classes = rows.where("n_shingles > 0").groupBy("set_key").agg(F.min(F.struct("doc_id", "n_shingles", "bands", "bits")).alias("first"), F.count("*").alias("copies"))
     classes = materialize(classes.select("set_key", "copies", "first.*"), "minhash-classes")
-    places = classes.select("doc_id", "n_shingles", F.explode("bands").alias("band"))
-    shared = places.groupBy("band").agg(F.min("doc_id").alias("pivot"), F.count("*").alias("n")).where("n > 1").select("band", "pivot")
-    places = materialize(places.join(shared, "band"), "minhash-buckets")
-    sized = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
-    sizes = places.where("doc_id = pivot").select("band", F.col("n_shingles").alias("n_b"))
-    stars = places.where("doc_id <> pivot").join(sizes, "band").withColumn("n_a", F.col("n_shingles")).where(sized).select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")).distinct()
-    links = materialize(confirmed(stars, docs, words, percent), "minhash-links")
-    found = connected_components(links, "minhash")
-
-    component = lambda frame, on: frame.join(found.select(F.col("node").alias(on), "component"), on, "left").withColumn("component", F.coalesce("component", on))
-    placed = component(places, "doc_id")
-    pivots = placed.where("doc_id = pivot").select("band", F.col("component").alias("of_pivot"))
-    placed = materialize(placed.join(pivots, "band"), "minhash-placed")
-    apart = placed.where("component <> of_pivot").select("band", F.col("doc_id").alias("x"), F.col("n_shingles").alias("n_a"), F.col("component").alias("c"))
-    others = placed.where("doc_id <> pivot").select("band", F.col("doc_id").alias("y"), F.col("n_shingles").alias("n_b"), "component")
-    rest = apart.join(others, (apart["band"] == others["band"]) & (F.col("c") != F.col("component")) & sized).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    more = materialize(confirmed(rest, docs, words, percent), "minhash-links")
-    # The first components stand as links to their smallest members.
-    found = connected_components(more.union(found.select("node", "component")), "minhash")
+    places = classes.select("doc_id", F.explode("bands").alias("band"))
+    shared = places.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
+    places = materialize(places.join(shared, "band"), "minhash-shared")
+    weights = places.groupBy("doc_id").agg(F.sum("n").alias("weight"))
+    member = F.struct("doc_id", "n_shingles", "bits", "weight").alias("x")
+    places = materialize(places.select("band", "doc_id").join(weights.join(classes.select("doc_id", "n_shingles", "bits"), "doc_id"), "doc_id").select("band", member), "minhash-buckets")
+
+    alike = percent / 100
+    # Lowest bits differ with a probability of (1 - similarity) / 2: allow six standard deviations more.
+    bits = int(SIZE * (1 - alike) / 2 + 6 * (SIZE * (1 - alike**2) / 4) ** 0.5)
+
+    def may_link(x: Column, y: Column) -> Column:
+        differing = reduce(lambda a, b: a + b, (F.bit_count(x["bits"][i].bitwiseXOR(y["bits"][i])) for i in range(SIZE // 64)))
+        return (F.least(x["n_shingles"], y["n_shingles"]) * 100 >= F.greatest(x["n_shingles"], y["n_shingles"]) * percent) & (differing <= bits)
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        ordered = pairs.select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b"))
+        return confirmed(ordered.distinct(), docs, words, percent)
+
+    def placed(found: DataFrame) -> DataFrame:
+        """The places with their components, and the component of the bucket's most central member."""
+        of = places.join(found.withColumnRenamed("node", "doc_id"), F.col("x.doc_id") == F.col("doc_id"), "left").select("band", "x", F.coalesce("component", "x.doc_id").alias("component"))
+        lead = of.groupBy("band").agg(F.max_by("component", central).alias("lead"))
+        return materialize(of.join(lead, "band"), "minhash-placed")
+
+    central = F.struct(F.col("x.weight"), -F.col("x.doc_id"))
+
+    def stars(members: DataFrame, choice: Column) -> DataFrame:
+        """Each member of a bucket with the one of highest ``choice``, where their components differ."""
+        pivots = members.groupBy("band").agg(F.max_by(F.struct("x", "component"), choice).alias("p")).select("band", F.col("p.x").alias("y"), F.col("p.component").alias("c"))
+        return members.join(pivots, "band").where((F.col("component") != F.col("c")) & may_link(F.col("x"), F.col("y")))
+
+    def joined(links: DataFrame, found: DataFrame | None) -> DataFrame:
+        """Components of further links; those so far stand as links to their smallest members."""
+        links = materialize(links, "minhash-links")
+        return connected_components(links if found is None else links.union(found.select("node", "component")), "minhash")
+
+    found = joined(linked(stars(places.withColumn("component", F.col("x.doc_id")), central)), None)
+    for k in range(rounds):
+        found = joined(linked(stars(placed(found), F.xxhash64("band", "x.doc_id", F.lit(k)))), found)
+    known = placed(found).withColumn("apart", F.col("component") != F.col("lead"))
+    apart = known.where("apart").select("band", "x", F.col("component").alias("c"))
+    others = known.select("band", F.col("x").alias("y"), "component", F.col("apart").alias("too"))
+    # Of two classes that are both apart, each pair once.
+    once = ~F.col("too") | (F.col("x.doc_id") < F.col("y.doc_id"))
+    rest = apart.join(others, (apart["band"] == others["band"]) & (F.col("c") != F.col("component")) & once & may_link(F.col("x"), F.col("y")))
+    found = joined(linked(rest), found)
 
     same = classes.join(found.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left")
     same = same.where("copies > 1 OR component <> doc_id").select("set_key", F.coalesce("component", "doc_id").alias("component"))
