@@ -4,15 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from difflib import SequenceMatcher
+from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarnwork.functions.status import score_class
 from tarnwork.functions.text import normalize_identifier
 
+#: What equal units add to the score of two rows.
+UNIT_BONUS = 0.15
 
+
+@lru_cache(1 << 16)
 def name_score(a: str, b: str) -> float:
     """Likeness of two normalised names, from 0 to 1; one inside the other counts for at least 0.85."""
     if a == b:
@@ -24,29 +29,42 @@ def name_score(a: str, b: str) -> float:
 def assign_rows(expected: DataFrame, parsed: DataFrame, *, report: str, least: float = 0.55) -> DataFrame:
     """``report, expected_no, parsed_no, score``: a greedy assignment, best scores first, each row once.
 
-    Both tables have ``report, no, name, value, unit``; a report's rows are assigned together, by Spark's grouping.
+    Both tables have ``report, no, name, unit``; of equal scores the smallest numbers come first. Rows of one number
+    are different rows. Rows of equal name and unit have the highest score there is, so Spark pairs those, in order of
+    their numbers; only the rest of a report is scored pairwise, in one group. Equal names without a unit, or with
+    different ones, belong to the rest, as another pair may have the same score or a better one.
     """
+    kind = dict(expected.dtypes)
+    schema = f"`{report}` {kind[report]}, expected_no {kind['no']}, parsed_no {kind['no']}, score double"
+    best = 1.0 + UNIT_BONUS
 
-    def assign(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    def assign(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["no", "name", "unit"])
+        left, right = (list(rows[rows["parsed"] == side][["no", "name", "unit"]].itertuples(index=False)) for side in (False, True))
         pairs = []
-        for e in left.itertuples():
-            for p in right.itertuples():
-                score = name_score(e.name, p.name) + (0.15 if e.unit and e.unit == p.unit else 0.0)
+        for i, e in enumerate(left):
+            for j, p in enumerate(right):
+                score = name_score(e.name, p.name) + (UNIT_BONUS if e.unit and e.unit == p.unit else 0.0)
                 if score >= least:
-                    pairs.append((-score, e.no, p.no))
+                    pairs.append((-score, i, j))
         used_e, used_p, out = set(), set(), []
-        for score, e, p in sorted(pairs):
-            if e not in used_e and p not in used_p:
-                used_e.add(e)
-                used_p.add(p)
-                out.append((left[report].iloc[0], e, p, -score))
+        for score, i, j in sorted(pairs):
+            if i not in used_e and j not in used_p:
+                used_e.add(i)
+                used_p.add(j)
+                out.append((rows[report].iloc[0], left[i].no, right[j].no, -score))
         return pd.DataFrame(out, columns=[report, "expected_no", "parsed_no", "score"])
 
-    tidy = lambda rows: rows.select(report, "no", normalize_identifier(F.coalesce("name", F.lit(""))).alias("name"), F.lower(F.coalesce("unit", F.lit(""))).alias("unit"))
-    kind = dict(expected.dtypes)
-    schema = f"{report} {kind[report]}, expected_no {kind['no']}, parsed_no {kind['no']}, score double"
-    left, right = tidy(expected).alias("e"), tidy(parsed).alias("p")
-    return left.groupBy(f"e.{report}").cogroup(right.groupBy(f"p.{report}")).applyInPandas(assign, schema)
+    tidy = lambda rows, side: rows.select(report, F.col("no").cast(kind["no"]).alias("no"), normalize_identifier(F.coalesce("name", F.lit(""))).alias("name"), F.lower(F.coalesce("unit", F.lit(""))).alias("unit"), F.lit(side).alias("parsed"))
+    alike = [report, "name", "unit"]
+    of_side = lambda side: F.count_if(F.col("parsed") == side).over(Window.partitionBy(*alike))
+    both = tidy(expected, False).union(tidy(parsed, True))
+    both = both.withColumn("_pairs", F.least(of_side(False), of_side(True))).withColumn("_at", F.row_number().over(Window.partitionBy(*alike, "parsed").orderBy("no")))
+    equal = (F.col("unit") != "") & (F.col("_at") <= F.col("_pairs")) & F.lit(least <= best)
+    number = lambda side: F.max(F.when(F.col("parsed") == side, F.col("no")))
+    paired = both.where(equal).groupBy(*alike, "_at").agg(number(False).alias("expected_no"), number(True).alias("parsed_no")).select(report, "expected_no", "parsed_no", F.lit(best).alias("score"))
+    rest = both.where(~equal).drop("_pairs", "_at")
+    return paired.union(rest.groupBy(report).applyInPandas(assign, schema))
 
 
 def report_scores(counts: DataFrame) -> DataFrame:

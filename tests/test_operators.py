@@ -1,11 +1,14 @@
 """Operators on small tables."""
 
+import random
+from difflib import SequenceMatcher
 from types import SimpleNamespace
 
 import pandas as pd
 from pyspark.sql import functions as F
 
 from tarnwork.operators import merging, report_text, resolve, scoring, series, suggestions, tables, timeline
+from tarnwork.plans import curation
 
 CATALOG = [
     ("alt", "ALT", ["SGPT", "Alanine aminotransferase"]), ("crp", "C-Reactive Protein", ["CRP"]), ("hs_crp", "hs-CRP", ["High sensitivity CRP"]),
@@ -107,6 +110,40 @@ def test_assignment_takes_each_row_once(spark):
     assert [r.metric for r in scoring.floor_violations(scores, {"recall": 94.0, "precision": 74.0}).collect()] == ["precision"]
 
 
+def _assigned(expected, parsed, least=0.55):
+    """By brute force: all pairs of a report, the best first."""
+    found = []
+    for report in {r[0] for r in expected}:
+        left, right = (sorted(r[1:] for r in rows if r[0] == report) for rows in (expected, parsed))
+        pairs = []
+        for i, (_, a, u) in enumerate(left):
+            for j, (_, b, v) in enumerate(right):
+                ratio = 1.0 if a == b else SequenceMatcher(None, a, b).ratio()
+                score = (max(ratio, 0.85) if a and b and (a in b or b in a) else ratio) + (0.15 if u and u == v else 0)
+                pairs += [(-score, i, j)] if score >= least else []
+        used = set()
+        for score, i, j in sorted(pairs):
+            if ("e", i) not in used and ("p", j) not in used:
+                used |= {("e", i), ("p", j)}
+                found.append((report, left[i][0], right[j][0], round(-score, 9)))
+    return sorted(found)
+
+
+def test_assignment_equals_brute_force_also_with_repeated_numbers(spark):
+    rng, kind = random.Random(5), "report int, no int, name string, unit string"
+    rows = lambda: [(r, rng.randint(1, 5), rng.choice(["ring", "ring bolt", "large ring", "nut", "nuts", ""]), rng.choice(["a", "b", ""])) for r in range(25) for _ in range(rng.randint(1, 9))]
+    expected, parsed = rows(), rows()
+    for least in (0.55, 1.1, 1.2):
+        found = scoring.assign_rows(spark.createDataFrame(expected, kind), spark.createDataFrame(parsed, kind), report="report", least=least)
+        assert sorted((a, b, c, round(d, 9)) for a, b, c, d in found.collect()) == _assigned(expected, parsed, least)
+
+
+def test_every_line_item_is_assigned(spark):
+    sf_dir = "/root/testdata/sf0.001"
+    assert curation.assigned_rows(spark, sf_dir).count() == spark.read.parquet(f"{sf_dir}/lineitem.parquet").count()
+    assert curation.queued_orders(spark, sf_dir).count() == spark.read.parquet(f"{sf_dir}/orders.parquet").count()
+
+
 def test_parts_stay_in_budget(spark):
     lines = spark.createDataFrame([(1, i, n) for i, n in enumerate([5, 5, 20, 1, 9, 1])], "doc int, no int, size int")
     found = scoring.plan_parts(lines, doc="doc", order="no", size="size", budget=10).orderBy("no").collect()
