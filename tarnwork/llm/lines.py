@@ -12,7 +12,9 @@ loss. Lines meet in buckets by word; each is first compared with the earliest li
 which this finds no match are compared with all earlier ones, so groups of similar lines don't multiply. Each match is
 verified on the words themselves.
 
-Lines with fewer than ``least_words`` distinct words are left alone.
+Lines with fewer than ``least_words`` distinct words, and blank ones, are left alone. The operator and the pipeline take
+every line that has a word. Sets too small to be similar to any other set (at 80 percent, those of up to three words;
+four words match five) go through the class step alone.
 
 Defined results: null texts stay null and empty ones empty; rows that repeat a doc_id count as one; a text all of whose
 lines go becomes empty and its row stays; an empty table gives no rows.
@@ -30,6 +32,8 @@ from tarnwork.llm._common import SPACE_CLASS, ascii_lower, documents, materializ
 SLOTS = 1 << 18
 PERCENT = 80
 LEAST_WORDS = 5
+#: The bound of the operator and the pipeline: every line with a word.
+ANY_WORDS = 1
 
 
 def _words(line: Column) -> Column:
@@ -82,15 +86,16 @@ def repeated_lines(docs: DataFrame, *, percent: int = PERCENT, least_words: int
     """``doc_id, line_no`` of each line of ``docs(doc_id, text)`` that an earlier one matches."""
     docs = docs.select("doc_id", "text")
     share = percent / 100
-    ranked = _lines(docs).select("doc_id", "line_no", _ranked(F.col("line"), rarity_table(docs)).alias("ranked")).where(F.size("ranked") >= least_words)
+    worded = _lines(docs).where(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
+    ranked = worded.select("doc_id", "line_no", _ranked(F.col("line"), rarity_table(docs)).alias("ranked")).where(F.size("ranked") >= least_words)
     n = F.size("ranked")
     prefix = F.slice("ranked", F.lit(1), (n - F.ceil(n * share - 1e-9) + 1).cast("int"))
     lines = materialize(ranked.select(F.struct("doc_id", "line_no").alias("id"), n.alias("n"), F.xxhash64("ranked").alias("key"), _parities(F.col("ranked")).alias("parities"), prefix.alias("prefix")), "line-prefixes")
     first = lines.groupBy("key", "n").agg(F.min(F.struct("id", "parities", "prefix")).alias("first"), F.count("*").alias("copies"))
     first = materialize(first.select("key", "n", "first.*", "copies"), "line-classes")
 
-    # Flat rows, as there is one for each word of a prefix.
-    places = first.select("id.doc_id", "id.line_no", "n", "parities", F.posexplode("prefix").alias("at", "bucket"))
+    # Flat rows, as there is one for each word of a prefix. The nearest other set of n words has one word more.
+    places = first.where(100 * F.col("n") >= percent * (F.col("n") + 1)).select("id.doc_id", "id.line_no", "n", "parities", F.posexplode("prefix").alias("at", "bucket"))
 
     def may_match(x: dict[str, Column], y: dict[str, Column]) -> Column:
         needed = F.ceil((x["n"] + y["n"]) * (share / (1 + share)) - 1e-9)
@@ -131,15 +136,15 @@ def remove_lines(docs: DataFrame, removed: DataFrame) -> DataFrame:
 
 
 def dedup_lines(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` without repeated lines."""
-    return remove_lines(docs, repeated_lines(docs, **options))
+    """``docs`` without repeated lines, short ones too."""
+    return remove_lines(docs, repeated_lines(docs, **{"least_words": ANY_WORDS} | options))
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What line dedup leaves of each document."""
     docs = documents(spark, sf_dir).select("doc_id", "text")
     count = lambda c: F.coalesce(F.size(F.split(c, "\n")), F.lit(0)).cast("long")
-    removed = materialize(repeated_lines(docs), "line-result")
+    removed = materialize(repeated_lines(docs, least_words=ANY_WORDS), "line-result")
     left = remove_lines(docs.withColumn("n_lines", F.when(F.col("text").isNull(), F.lit(0)).otherwise(count("text")).cast("long")), removed)
     gone = removed.groupBy("doc_id").agg(F.count("*").alias("n_removed"))
     told = left.join(small(materialize(gone, "line-gone"), 300_000), "doc_id", "left")

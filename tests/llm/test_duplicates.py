@@ -105,6 +105,31 @@ def test_lines_that_an_earlier_one_matches(docs, texts, none):
     assert lines.dedup_lines(none).count() == 0
 
 
+def test_short_lines_that_an_earlier_one_matches(spark, docs, texts):
+    added = [(950_001, "Les.\na b\n\n \na b c d"), (950_002, "les.\nb a\n\n \na b c\nd c b a e"), (950_003, "Les. Les.\na b c x\na b")]
+    rows, seen, expected = [], [], set()
+    for i, text in sorted((dict(texts) | dict(added)).items()):
+        rows += [(i, k, frozenset(line.encode().lower().split())) for k, line in enumerate(text.split("\n"))]
+    known, by_word = set(), defaultdict(list)
+    for i, k, words in rows:
+        if not words:
+            continue
+        if words in known or any(100 * len(words & seen[o]) >= 80 * len(words | seen[o]) for o in {o for w in words for o in by_word[w]} if len(words) < 12 and len(seen[o]) < 15):
+            expected.add((i, k))
+        known.add(words)
+        for w in words:
+            by_word[w].append(len(seen))
+        seen.append(words)
+    few = docs.select("doc_id", "text").union(spark.createDataFrame(added, "doc_id long, text string"))
+    removed = {tuple(r) for r in lines.repeated_lines(few, least_words=1).collect()}
+    sizes = {(i, k): len(w) for i, k, w in rows}
+    short = lambda found: {x for x in found if sizes[x] < 12}
+    assert short(removed) == short(expected)
+    assert {(950_002, 0), (950_002, 1), (950_002, 5), (950_003, 0), (950_003, 2)} <= removed
+    left = {r.doc_id: r.text for r in lines.dedup_lines(spark.createDataFrame(added, "doc_id long, text string")).collect()}
+    assert left == {950_001: added[0][1], 950_002: "\n \na b c", 950_003: "a b c x"}
+
+
 def test_sketches_and_edits(docs, texts, none):
     signed = lambda x: x - (1 << 64) if x >> 63 else x
 
