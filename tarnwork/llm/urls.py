@@ -7,8 +7,9 @@ links, and distrust from the blocked seeds against them: who links to blocked ho
 to an even share; a host is blocked if its distrust reaches ``threshold`` and exceeds its trust.
 
 Edges come from the absolute links in the pages, one for each pair of hosts with the number of links as its weight,
-and from each host to the parent it is a subdomain of, and back, where pages of both exist. All tables are host-level
-and stay in Spark; each round writes its scores.
+and from each host to the parent it is a subdomain of, and back, up to the registered domain; their weight is one by
+the number of the parent's children. A parent needs no pages of its own: scores reach siblings through it. All tables
+are host-level and stay in Spark; each round writes its scores.
 
 Defined results: a url that is null or has no ``://`` has an empty host and path, fits no rule and is allowed; null
 html has no links; repeated rows count as further pages; an empty table gives no rows; further columns are not carried.
@@ -41,6 +42,8 @@ RULES = (
     UrlRule("block", "example.net", "/de/8"),
     UrlRule("block", "org", "/es/"),
 )
+#: Hosts whose registered domain has three labels, as that of a.b.co.uk; a fixed stand-in for the list of public suffixes.
+SECOND_LEVEL = r"\.(?:co|com|net|org|gov|edu|ac)\.[a-z]{2}$"
 LINK = r"""(?i)href\s*=\s*["']?(?:https?:)?//([^/?#"'\s<>]+)"""
 
 
@@ -59,15 +62,25 @@ def rule_of(host: Column, path: Column, rules: tuple[UrlRule, ...] = RULES) -> C
     return F.coalesce(*found) if found else F.lit(None).cast("struct<rule: string, verdict: string>")
 
 
+def host_parents(hosts: DataFrame) -> DataFrame:
+    """``host, parent`` for each of ``hosts(host)`` and its parents below their registered domain."""
+    named = hosts.where(~F.col("host").rlike(r"(^|\.)\d+(:\d+)?$|\]")).select("host", F.split(F.regexp_replace("host", r":\d+$", ""), r"\.").alias("labels"))
+    own = F.when(F.array_join("labels", ".").rlike(SECOND_LEVEL), 3).otherwise(2)
+    above = named.where(F.size("labels") > own).select("host", "labels", F.explode(F.sequence(F.lit(1), F.size("labels") - own)).alias("at"))
+    part = lambda at: F.array_join(F.slice("labels", at, F.size("labels")), ".")
+    return above.select(F.when(F.col("at") == 1, F.col("host")).otherwise(part(F.col("at"))).alias("host"), part(F.col("at") + 1).alias("parent")).distinct()
+
+
 def host_edges(pages: DataFrame) -> DataFrame:
     """``src, dst, weight`` of the graph, from ``pages(host, html)``."""
     links = pages.select(F.col("host").alias("src"), F.explode(F.regexp_extract_all("html", F.lit(LINK), F.lit(1))).alias("dst")).select("src", ascii_lower(F.regexp_replace("dst", r":\d+$", "")).alias("dst"))
     links = links.where("src <> '' AND dst <> '' AND src <> dst").groupBy("src", "dst").agg(F.count("*").cast("double").alias("weight"))
-    hosts = pages.where("host <> ''").select("host").distinct()
-    parents = hosts.select("host", F.regexp_replace("host", r"^[^.]*\.", "").alias("parent")).where("host <> parent")
-    parents = parents.join(hosts.withColumnRenamed("host", "parent"), "parent", "left_semi")
-    both = parents.select(F.col("host").alias("src"), F.col("parent").alias("dst")).union(parents.select("parent", "host"))
-    return links.union(both.withColumn("weight", F.lit(1.0))).groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
+    hosts = pages.where("host <> ''").select("host").union(links.select("dst")).distinct()
+    parents = host_parents(hosts)
+    degrees = parents.groupBy("parent").agg((1.0 / F.count("*")).alias("weight"))
+    family = parents.join(degrees, "parent")
+    both = family.select(F.col("host").alias("src"), F.col("parent").alias("dst"), "weight").union(family.select("parent", "host", "weight"))
+    return links.union(both).groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
 
 
 def personalised_pagerank(edges: DataFrame, seeds: DataFrame, *, damping: float = 0.85, rounds: int = 20, tolerance: float = 1e-6) -> DataFrame:

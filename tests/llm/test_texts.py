@@ -175,6 +175,19 @@ def test_distrust_runs_against_links_and_trust_along_them(spark):
     assert found[4].trust > 0 and found[5].trust == found[5].distrust == 0
 
 
+def test_distrust_reaches_siblings_through_a_parent_without_pages(spark):
+    names = ["http://a.bad.com/en/1", "http://b.bad.com/", "http://x.y.bad.com/", "http://c.other.co.uk/", "http://d.third.co.uk/", "http://1.2.3.4/", "http://www.good.net/de/1", "http://m.good.net/"]
+    pages = spark.createDataFrame([(i, u, "") for i, u in enumerate(names)], "page_id long, url string, html string")
+    hosts = spark.createDataFrame([(n.split("/")[2],) for n in names], "host string")
+    assert {tuple(r) for r in urls.host_parents(hosts).collect()} == {
+        ("a.bad.com", "bad.com"), ("b.bad.com", "bad.com"), ("x.y.bad.com", "y.bad.com"), ("y.bad.com", "bad.com"), ("c.other.co.uk", "other.co.uk"),
+        ("d.third.co.uk", "third.co.uk"), ("www.good.net", "good.net"), ("m.good.net", "good.net"),
+    }
+    found = {r.page_id: r for r in urls.judge_urls(pages, threshold=0.1).collect()}
+    assert [found[i].verdict for i in range(8)] == ["block"] * 3 + ["allow"] * 5
+    assert found[7].trust > 0 and found[7].distrust == 0 and found[3].trust == found[3].distrust == found[5].distrust == 0
+
+
 def test_pagerank_equals_power_iteration(spark):
     edges = [("a", "b", 1.0), ("b", "c", 1.0), ("c", "a", 1.0), ("c", "d", 2.0)]
     table = spark.createDataFrame(edges, "src string, dst string, weight double")
