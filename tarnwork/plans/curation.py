@@ -126,6 +126,15 @@ def redacted_mail(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", redact_contacts(F.regexp_extract("text", r"[^ \n]*@[^ \n]*", 0)).alias("mail"))
 
 
+@query()
+def redacted_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's whole text redacted line by line, as a digest, and the number of redactions; SQL engines lack the look-around."""
+    marks = lambda text: F.regexp_count(text, F.lit(r"\[REDACTED\]"))
+    docs = read(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    found = docs.select("doc_id", marks(F.col("text")).alias("before"), F.array_join(F.transform(F.split("text", "\n"), redact_contacts), "\n").alias("text"))
+    return found.select("doc_id", F.sha2(F.encode("text", "UTF-8"), 256).alias("text_sha256"), (marks(F.col("text")) - F.col("before")).alias("n_redacted"))
+
+
 @query("""
     SELECT l_orderkey, l_linenumber, 'tabular' AS grammar, 'Part ' || chr(CAST(65 + l_partkey % 26 AS INT)) || ' level' AS raw_name, CAST(CAST(l_quantity AS INT) AS VARCHAR) || '.5' AS value, 'mg/dL' AS unit, '10 - 40' AS reference_range,
            CASE WHEN l_quantity + 0.5 < 10 THEN 'LOW' WHEN l_quantity + 0.5 > 40 THEN 'HIGH' ELSE 'NORMAL' END AS status, 0.9 AS confidence

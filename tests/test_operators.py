@@ -1,6 +1,8 @@
 """Operators on small tables."""
 
+import hashlib
 import random
+import re
 from difflib import SequenceMatcher
 from types import SimpleNamespace
 
@@ -144,6 +146,30 @@ def test_every_line_item_is_assigned(spark):
     assert curation.queued_orders(spark, sf_dir).count() == spark.read.parquet(f"{sf_dir}/orders.parquet").count()
 
 
+def test_whole_texts_are_redacted(spark, tmp_path):
+    """Every line's addresses and numbers, also of texts without an '@', against plain regular expressions."""
+    texts = [(1, "a@b.org, c@d.org\nx e.f@g.net"), (2, "no mail\nTel: 020 1234 5678\nID 12345678901 and +44 20 7946 0958"), (3, "[REDACTED] h@i.org\n\n"), (4, None), (5, "Tel: 020 1234 5678\n99")]
+    real = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").where("doc_id > 5").collect()]
+    spark.createDataFrame(texts + real, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    cue = re.compile(r"(\b(?:tel|telephone|phone|mob|mobile|cell|contact|call|helpline|whatsapp|toll\s*free|fax)\b\.?(?:\s*(?:no|number)\b\.?)?\s*[:\-]?\s*)(\+?\d[\d\s()./-]{6,}\d)", re.I | re.A)
+
+    def line(text):
+        count = 0
+        for pattern, mark in ((r"[\w.+-]+@[\w-]+(?:\.[\w-]+)+", None), (cue, 2), (r"(?<![\w+])\+\d{1,3}[\s-]?\d[\d\s-]{6,}\d", None), (r"(?<![\d.,/])\d{10,}(?![\d.,/])", None)):
+            keep = lambda m, mark=mark: m[0] if mark and sum(map(str.isdigit, m[2])) < 8 else (m[1] if mark else "") + "[REDACTED]"
+            found = re.compile(pattern, 0 if mark else re.A)
+            count += sum(keep(m) != m[0] for m in found.finditer(text))
+            text = found.sub(keep, text)
+        return text, count
+
+    expected = {}
+    for i, text in texts + real:
+        told = [line(x) for x in (text or "").split("\n")]
+        expected[i] = (hashlib.sha256("\n".join(t for t, _ in told).encode()).hexdigest(), sum(n for _, n in told))
+    found = {r.doc_id: (r.text_sha256, r.n_redacted) for r in curation.redacted_texts(spark, str(tmp_path)).collect()}
+    assert found == expected and [found[i][1] for i in (1, 2, 3, 4, 5)] == [3, 3, 1, 0, 1]
+
+
 def test_parts_stay_in_budget(spark):
     lines = spark.createDataFrame([(1, i, n) for i, n in enumerate([5, 5, 20, 1, 9, 1])], "doc int, no int, size int")
     found = scoring.plan_parts(lines, doc="doc", order="no", size="size", budget=10).orderBy("no").collect()
