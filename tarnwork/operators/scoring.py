@@ -7,6 +7,7 @@ from difflib import SequenceMatcher
 from functools import lru_cache
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,22 +39,30 @@ def assign_rows(expected: DataFrame, parsed: DataFrame, *, report: str, least: f
     schema = f"`{report}` {kind[report]}, expected_no {kind['no']}, parsed_no {kind['no']}, score double"
     best = 1.0 + UNIT_BONUS
 
-    def assign(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["no", "name", "unit"])
-        left, right = (list(rows[rows["parsed"] == side][["no", "name", "unit"]].itertuples(index=False)) for side in (False, True))
+    def pick(left: list[dict], right: list[dict]) -> Iterator[tuple]:
         pairs = []
         for i, e in enumerate(left):
             for j, p in enumerate(right):
-                score = name_score(e.name, p.name) + (UNIT_BONUS if e.unit and e.unit == p.unit else 0.0)
+                score = name_score(e["name"], p["name"]) + (UNIT_BONUS if e["unit"] and e["unit"] == p["unit"] else 0.0)
                 if score >= least:
                     pairs.append((-score, i, j))
-        used_e, used_p, out = set(), set(), []
+        used_e, used_p = set(), set()
         for score, i, j in sorted(pairs):
             if i not in used_e and j not in used_p:
                 used_e.add(i)
                 used_p.add(j)
-                out.append((rows[report].iloc[0], left[i].no, right[j].no, -score))
-        return pd.DataFrame(out, columns=[report, "expected_no", "parsed_no", "score"])
+                yield left[i]["no"], right[j]["no"], -score
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            numbers = batch["expected"].type.value_type.field("no").type
+            at, found = [], []
+            for k in range(len(batch)):
+                rows = list(pick(batch["expected"][k].as_py(), batch["found"][k].as_py()))
+                at += [k] * len(rows)
+                found += rows
+            columns = [pa.array([r[c] for r in found], t) for c, t in enumerate((numbers, numbers, pa.float64()))]
+            yield pa.record_batch([batch[report].take(pa.array(at, pa.int64())), *columns], [report, "expected_no", "parsed_no", "score"])
 
     tidy = lambda rows, side: rows.select(report, F.col("no").cast(kind["no"]).alias("no"), normalize_identifier(F.coalesce("name", F.lit(""))).alias("name"), F.lower(F.coalesce("unit", F.lit(""))).alias("unit"), F.lit(side).alias("parsed"))
     alike = [report, "name", "unit"]
@@ -63,8 +72,9 @@ def assign_rows(expected: DataFrame, parsed: DataFrame, *, report: str, least: f
     equal = (F.col("unit") != "") & (F.col("_at") <= F.col("_pairs")) & F.lit(least <= best)
     number = lambda side: F.max(F.when(F.col("parsed") == side, F.col("no")))
     paired = both.where(equal).groupBy(*alike, "_at").agg(number(False).alias("expected_no"), number(True).alias("parsed_no")).select(report, "expected_no", "parsed_no", F.lit(best).alias("score"))
-    rest = both.where(~equal).drop("_pairs", "_at")
-    return paired.union(rest.groupBy(report).applyInPandas(assign, schema))
+    listed = lambda side: F.array_sort(F.collect_list(F.when(F.col("parsed") == side, F.struct("no", "name", "unit"))))
+    rest = both.where(~equal).groupBy(report).agg(listed(False).alias("expected"), listed(True).alias("found"))
+    return paired.union(rest.mapInArrow(assign, schema))
 
 
 def report_scores(counts: DataFrame) -> DataFrame:
