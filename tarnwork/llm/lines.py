@@ -1,7 +1,8 @@
 """Line dedup by an exact set-similarity join.
 
-A line is the set of its words (A to Z in lower case). A line is removed if an earlier one, by doc_id and line number,
-has a Jaccard similarity of at least ``percent``. Lines of equal sets form a class, whose first line stands for it.
+A line is the set of its words, in lower case. A line is removed if an earlier one, by doc_id and line number, has a
+Jaccard similarity of at least ``percent``. Lines of equal sets form a class, whose first line stands for it; classes
+are numbered in the order of these lines.
 
 Words are ordered by rarity: their occurrences in all texts are counted in ``SLOTS`` slots by hash, so the table of
 counts has a fixed size, and ties are broken by hash. Two similar lines share a word among the first few of both in
@@ -9,56 +10,66 @@ that order (prefix filter), at places that leave enough words after them (positi
 words (length filter). Each line also carries 64 parities of its words' hashes: a word that only one of two lines has
 changes at most one of them, so lines with more differing parities than differing words allowed are ruled out without
 loss. Lines meet in buckets by word; each is first compared with the earliest line of its buckets, and only those for
-which this finds no match are compared with all earlier ones, so groups of similar lines don't multiply. Each match is
-verified on the words themselves.
+which this finds no match are compared with all earlier ones, so groups of similar lines don't multiply. A bucket's
+earliest line comes from an aggregation and goes to the others by a join that Spark can split, so no bucket has to fit
+into one task. Each match is verified on the words themselves.
 
-Lines with fewer than ``least_words`` distinct words, and blank ones, are left alone. The operator and the pipeline take
-every line that has a word. Sets too small to be similar to any other set (at 80 percent, those of up to three words;
-four words match five) go through the class step alone.
+Sets too small to be similar to any other set (at 80 percent, those of up to three words; four words match five) go
+through the class step alone.
 
-Defined results: null texts stay null and empty ones empty; rows that repeat a doc_id count as one; a text all of whose
-lines go becomes empty and its row stays; an empty table gives no rows.
+Defined results: blank lines stay; null texts stay null and empty ones empty; a null doc_id comes before all others;
+rows of one doc_id and one text count as one and keep the same lines, those of one doc_id and different texts are
+ordered by a hash of the text; a text all of whose lines go becomes empty and its row stays; an empty table gives no
+rows; further columns, of any name, are carried.
 """
 
 from __future__ import annotations
 
+import json
 from math import log2
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnwork.llm._common import SPACE_CLASS, ascii_lower, documents, materialize, small
+from tarnwork.llm._common import SPACE_CLASS, discard, documents, materialize, small
 
-SLOTS = 1 << 18
+SLOTS = 1 << 16
 PERCENT = 80
-LEAST_WORDS = 5
-#: The bound of the operator and the pipeline: every line with a word.
-ANY_WORDS = 1
+#: Broadcast at most so many rows of a few numbers.
+FEW = 300_000
 
 
-def _words(line: Column) -> Column:
-    return F.split(F.btrim(ascii_lower(line), F.lit(" \t\n\x0b\x0c\r")), f"{SPACE_CLASS}+")
+def _words(text: Column) -> Column:
+    return F.split(text, f"{SPACE_CLASS}+")
 
 
-def rarity_table(docs: DataFrame) -> bytes:
-    """A byte for each slot that grows with the logarithm of its count; this is all that the driver holds."""
+def _trimmed(line: Column) -> Column:
+    return F.btrim(line, F.lit(" \t\n\x0b\x0c\r"))
+
+
+def _hash(word: Column) -> Column:
+    return F.xxhash64(F.lower(word))
+
+
+def rarity_table(docs: DataFrame) -> Column:
+    """A number for each slot that grows with the logarithm of its count; this is all that the driver holds."""
     words = docs.select(F.explode(_words(F.col("text"))).alias("w"))
-    counts = words.groupBy(F.pmod(F.xxhash64("w"), F.lit(SLOTS)).cast("int").alias("slot")).count()
-    table = bytearray([1]) * SLOTS
+    counts = words.groupBy(_hash(F.col("w")).bitwiseAND(F.lit(SLOTS - 1)).cast("int").alias("slot")).count()
+    table = [1] * SLOTS
     for slot, n in counts.collect():  # at most SLOTS rows
-        table[slot] = min(127, 1 + int(2 * log2(n)))
-    return bytes(table)
+        table[slot] = min(127, 1 + int(4 * log2(n)))
+    return F.from_json(F.lit(json.dumps(table)), "array<tinyint>")
 
 
-def _ranked(line: Column, table: bytes) -> Column:
+def _ranked(line: Column, table: Column) -> Column:
     """The distinct words' hashes, the rarest first."""
 
     def rank(word: Column) -> Column:
-        h = F.xxhash64(word)
-        rarity = F.ascii(F.substring(F.lit(table), F.pmod(h, F.lit(SLOTS)).cast("int") + 1, F.lit(1)).cast("string"))
+        h = _hash(word)
+        rarity = F.get(table, h.bitwiseAND(F.lit(SLOTS - 1)).cast("int"))
         return F.shiftleft(rarity.cast("long"), 56).bitwiseOR(h.bitwiseAND(F.lit((1 << 56) - 1)))
 
-    return F.sort_array(F.array_distinct(F.transform(_words(line), rank)))
+    return F.sort_array(F.array_distinct(F.transform(_words(_trimmed(line)), rank)))
 
 
 def _parities(ranked: Column) -> Column:
@@ -66,86 +77,146 @@ def _parities(ranked: Column) -> Column:
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    """``doc_id, text_key, line_no, line``; a row of ``docs`` is told by its doc_id and its text's hash."""
+    return docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """The pairs of lines ``(a, b)`` whose sets of words have 100 * intersection >= percent * union."""
+def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """Those of the pairs of classes ``(a, b)`` whose sets of words have 100 * intersection >= percent * union."""
     pairs = materialize(pairs, "line-pairs")
-    ends = materialize(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "line-needed")
-    needed_docs = small(materialize(ends.select("id.doc_id").distinct(), "line-docs"), 300_000)
-    lines = _lines(docs.join(needed_docs, "doc_id", "left_semi")).select(F.struct("doc_id", "line_no").alias("id"), "line")
-    lines = materialize(lines.join(small(ends, 300_000), "id", "left_semi").dropDuplicates(["id"]), "line-texts")
-    both = pairs.join(lines.toDF("a", "line_a"), "a").join(lines.toDF("b", "line_b"), "b")
-    both = both.select("a", "b", *[F.array_distinct(_words(F.col(f"line_{x}"))).alias(f"words_{x}") for x in "ab"])
+    ends = materialize(pairs.select(F.col("a").alias("no")).union(pairs.select("b")).distinct(), "line-ends")
+    needed = materialize(classes.select("no", "doc_id", "text_key", "line_no").join(small(ends, FEW), "no", "left_semi"), "line-needed")
+    texts = materialize(needed.select("doc_id", "text_key").distinct(), "line-docs")
+    found = small(texts, FEW)
+    there = docs.join(found, docs["doc_id"].eqNullSafe(found["doc_id"]) & (F.xxhash64(docs["text"]) == found["text_key"]), "left_semi")
+    lines, wanted = _lines(there), small(needed, FEW)
+    same = lines["doc_id"].eqNullSafe(wanted["doc_id"]) & (lines["text_key"] == wanted["text_key"]) & (lines["line_no"] == wanted["line_no"])
+    words = F.array_distinct(_words(_trimmed(F.lower("line"))))
+    sets = materialize(lines.join(wanted, same).select("no", words.alias("words")).dropDuplicates(["no"]), "line-sets")
+    both = pairs.join(sets.toDF("a", "words_a"), "a").join(sets.toDF("b", "words_b"), "b")
     shared = F.size(F.array_intersect("words_a", "words_b"))
-    return both.where(100 * shared >= percent * (F.size("words_a") + F.size("words_b") - shared)).select("a", "b")
+    matches = both.select("a", "b", F.size("words_a").alias("n"), F.size("words_b").alias("m"), shared.alias("shared"))
+    matches = materialize(matches.where(100 * F.col("shared") >= percent * (F.col("n") + F.col("m") - F.col("shared"))).select("a", "b"), "line-matches")
+    discard(pairs, ends, needed, texts, sets)
+    return matches
+
 
+def repeated_lines(docs: DataFrame, *, percent: int = PERCENT, least_words: int = 1) -> DataFrame:
+    """``doc_id, text_key, line_no`` of each line of ``docs(doc_id, text)`` that an earlier one matches.
 
-def repeated_lines(docs: DataFrame, *, percent: int = PERCENT, least_words: int = LEAST_WORDS) -> DataFrame:
-    """``doc_id, line_no`` of each line of ``docs(doc_id, text)`` that an earlier one matches."""
+    Args:
+        percent: the similarity of matches, at least, in percent.
+        least_words: lines with fewer distinct words are left alone; 1 takes every line that has a word.
+    """
     docs = docs.select("doc_id", "text")
     share = percent / 100
     worded = _lines(docs).where(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
-    ranked = worded.select("doc_id", "line_no", _ranked(F.col("line"), rarity_table(docs)).alias("ranked")).where(F.size("ranked") >= least_words)
+    ranked = worded.select("doc_id", "text_key", "line_no", _ranked(F.col("line"), rarity_table(docs)).alias("ranked"))
     n = F.size("ranked")
     prefix = F.slice("ranked", F.lit(1), (n - F.ceil(n * share - 1e-9) + 1).cast("int"))
-    lines = materialize(ranked.select(F.struct("doc_id", "line_no").alias("id"), n.alias("n"), F.xxhash64("ranked").alias("key"), _parities(F.col("ranked")).alias("parities"), prefix.alias("prefix")), "line-prefixes")
-    first = lines.groupBy("key", "n").agg(F.min(F.struct("id", "parities", "prefix")).alias("first"), F.count("*").alias("copies"))
-    first = materialize(first.select("key", "n", "first.*", "copies"), "line-classes")
+    key = F.struct(F.xxhash64("ranked").alias("a"), F.xxhash64(F.lit(1), "ranked").alias("b"))
+    lines = materialize(ranked.select("doc_id", "text_key", "line_no", n.alias("n"), key.alias("key"), _parities(F.col("ranked")).alias("parities"), prefix.alias("prefix")), "line-prefixes")
+    lines_ = lines.where(F.col("n") >= least_words)
+    first = lines_.groupBy("key").agg(F.min(F.struct("doc_id", "text_key", "line_no", "n", "parities", "prefix")).alias("first"), F.count("*").alias("copies"))
+    first = first.select("key", "copies", "first.*").orderBy("doc_id", "text_key", "line_no")
+    classes = materialize(first.select(F.monotonically_increasing_id().alias("no"), "*"), "line-classes")
+    several = materialize(classes.where("copies > 1").select("key", *[F.col(c).alias(f"first_{c}") for c in ("doc_id", "text_key", "line_no")]), "line-several")
+    is_first = F.col("doc_id").eqNullSafe(F.col("first_doc_id")) & (F.col("text_key") == F.col("first_text_key")) & (F.col("line_no") == F.col("first_line_no"))
+    copies = materialize(lines_.join(small(several, FEW), "key").where(~is_first).select("doc_id", "text_key", "line_no"), "line-copies")
+    discard(lines)
 
     # Flat rows, as there is one for each word of a prefix. The nearest other set of n words has one word more.
-    places = first.where(100 * F.col("n") >= percent * (F.col("n") + 1)).select("id.doc_id", "id.line_no", "n", "parities", F.posexplode("prefix").alias("at", "bucket"))
-
-    def may_match(x: dict[str, Column], y: dict[str, Column]) -> Column:
-        needed = F.ceil((x["n"] + y["n"]) * (share / (1 + share)) - 1e-9)
-        rest = F.least(x["n"] - x["at"], y["n"] - y["at"])
-        apart = F.bit_count(x["parities"].bitwiseXOR(y["parities"]))
-        return (F.least(x["n"], y["n"]) * 100 >= F.greatest(x["n"], y["n"]) * percent) & (rest >= needed) & (apart <= x["n"] + y["n"] - 2 * needed)
-
-    fields = ("doc_id", "line_no", "n", "at", "parities")
-    named = lambda prefix: {f: F.col(f"{prefix}{f}") for f in fields}
-    id_of = lambda prefix: F.struct(F.col(f"{prefix}doc_id").alias("doc_id"), F.col(f"{prefix}line_no").alias("line_no"))
-    earlier = Window.partitionBy("bucket").orderBy("doc_id", "line_no")
-    shared = places.select("bucket", *fields, *[F.first(f).over(earlier).alias(f"p_{f}") for f in fields], F.lead("bucket").over(earlier).isNotNull().alias("more"))
-    is_pivot = (F.col("doc_id") == F.col("p_doc_id")) & (F.col("line_no") == F.col("p_line_no"))
-    star = F.when(~is_pivot & may_match(named("p_"), named("")), id_of("p_"))
-    shared = materialize(shared.where(~is_pivot | F.col("more")).select("bucket", *fields, star.alias("pivot")), "line-buckets")
-
-    stars = shared.where("pivot IS NOT NULL").select(F.col("pivot").alias("a"), id_of("").alias("b")).distinct()
-    matched = materialize(_verified(stars, docs, percent).select(F.col("b").alias("id")).distinct(), "line-matched")
-    y = shared.select("bucket", *[F.col(f).alias(f"y_{f}") for f in fields])
-    open_ = y.join(small(matched.select("id.*"), 2_000_000), (F.col("y_doc_id") == F.col("doc_id")) & (F.col("y_line_no") == F.col("line_no")), "left_anti")
+    fields = ("no", "n", "at", "parities")
+    places = classes.where(100 * F.col("n") >= percent * (F.col("n") + 1)).select("no", "n", "parities", F.posexplode("prefix").alias("at", "bucket"))
+    pivots = places.groupBy("bucket").agg(F.min(F.struct(*fields)).alias("p"), F.count("*").alias("members")).where("members > 1")
+    pivots = materialize(pivots.select("bucket", *[F.col(f"p.{f}").alias(f"p_{f}") for f in fields]), "line-pivots")
+
+    def may_match(x: str, y: str) -> Column:
+        x_n, x_at, x_parities, y_n, y_at, y_parities = (F.col(f"{p}{f}") for p in (x, y) for f in fields[1:])
+        needed = F.ceil((x_n + y_n) * (share / (1 + share)) - 1e-9)
+        rest = F.least(x_n - x_at, y_n - y_at)
+        apart = F.bit_count(x_parities.bitwiseXOR(y_parities))
+        return (F.least(x_n, y_n) * 100 >= F.greatest(x_n, y_n) * percent) & (rest >= needed) & (apart <= x_n + y_n - 2 * needed)
+
+    star = F.when((F.col("no") != F.col("p_no")) & may_match("p_", ""), F.col("p_no"))
+    shared = materialize(places.join(pivots, "bucket").select("bucket", *fields, star.alias("pivot")), "line-buckets")
+    discard(pivots)
+    stars = shared.where("pivot IS NOT NULL").select(F.col("pivot").alias("a"), F.col("no").alias("b")).distinct()
+    matched = _verified(stars, classes, docs, percent)
+    closed = materialize(matched.select(F.col("b").alias("no")).distinct(), "line-closed")
+
+    y = shared.join(small(closed, 2_000_000), "no", "left_anti").select("bucket", *[F.col(f).alias(f"y_{f}") for f in fields], F.col("pivot").alias("y_pivot"))
     x = shared.select("bucket", *[F.col(f).alias(f"x_{f}") for f in fields])
-    rest = open_.join(x, "bucket").where((id_of("x_") < id_of("y_")) & may_match(named("x_"), named("y_")))
-    more = _verified(rest.select(id_of("x_").alias("a"), id_of("y_").alias("b")).distinct(), docs, percent).select(F.col("b").alias("id")).distinct()
+    # What has been compared as a star is not compared again.
+    new = F.col("y_pivot").isNull() | (F.col("x_no") != F.col("y_pivot"))
+    rest = y.join(x, "bucket").where((F.col("x_no") < F.col("y_no")) & new & may_match("x_", "y_")).select(F.col("x_no").alias("a"), F.col("y_no").alias("b")).distinct()
+    more = _verified(rest, classes, docs, percent)
+    discard(shared)
 
-    several = first.where("copies > 1").select("key", "n", F.col("id").alias("first_id"))
-    copies = lines.join(several, ["key", "n"]).where("id <> first_id").select("id")
-    return matched.union(more).union(copies).distinct().select("id.*")
+    gone = materialize(closed.union(more.select("b")).distinct(), "line-gone")
+    removed = classes.join(small(gone, 2_000_000), "no", "left_semi").select("doc_id", "text_key", "line_no").union(copies)
+    removed = materialize(removed.distinct(), "line-removed")
+    discard(classes, copies, several, matched, closed, more, gone)
+    return removed
+
+
+def _thinned(docs: DataFrame, removed: DataFrame) -> tuple[DataFrame, Column, Column]:
+    """``docs`` with its removed lines next to it; the text that is left, and the number of lines that went."""
+    by_text = small(materialize(removed.groupBy("doc_id", "text_key").agg(F.collect_set("line_no").alias("gone")), "line-by-text"), FEW)
+    joined = docs.join(by_text, docs["doc_id"].eqNullSafe(by_text["doc_id"]) & (F.xxhash64(docs["text"]) == by_text["text_key"]), "left")
+    gone = by_text["gone"]
+    left = F.array_join(F.filter(F.split(docs["text"], "\n"), lambda line, i: ~F.array_contains(gone, i)), "\n")
+    return joined, F.when(gone.isNull(), docs["text"]).otherwise(left), F.when(gone.isNull(), F.lit(0)).otherwise(F.size(gone)).cast("long")
 
 
 def remove_lines(docs: DataFrame, removed: DataFrame) -> DataFrame:
-    """``docs`` without the lines ``removed(doc_id, line_no)``; other columns stay, but ``n_chars`` follows the text."""
-    by_doc = removed.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set("line_no").alias("_gone"))
-    joined = docs.join(small(materialize(by_doc, "line-removed"), 200_000), docs["doc_id"] == F.col("_id"), "left")
-    left = F.array_join(F.filter(F.split(docs["text"], "\n"), lambda line, i: ~F.array_contains("_gone", i)), "\n")
-    text = F.when(F.col("_gone").isNull(), docs["text"]).otherwise(left)
+    """``docs`` without the lines ``removed(doc_id, text_key, line_no)``; other columns stay, but ``n_chars`` follows the text."""
+    joined, text, _ = _thinned(docs, removed)
     new = {"text": text.alias("text"), "n_chars": F.length(text).cast("long").alias("n_chars")}
-    return joined.select(*[new.get(c, docs[c]) for c in docs.columns])
+    return joined.select(*[new[c] if c in new else docs[f"`{c}`"] for c in docs.columns])
 
 
 def dedup_lines(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` without repeated lines, short ones too."""
-    return remove_lines(docs, repeated_lines(docs, **{"least_words": ANY_WORDS} | options))
+    """``docs`` without repeated lines; ``options`` are those of ``repeated_lines``."""
+    return remove_lines(docs, repeated_lines(docs, **options))
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What line dedup leaves of each document."""
+    """What line dedup leaves of each document: ``doc_id, n_lines, n_removed, text_sha256``.
+
+    One row for each row of ``documents``. A null text has no line and counts as empty in the digest; other cases are
+    those of the module.
+    """
     docs = documents(spark, sf_dir).select("doc_id", "text")
-    count = lambda c: F.coalesce(F.size(F.split(c, "\n")), F.lit(0)).cast("long")
-    removed = materialize(repeated_lines(docs, least_words=ANY_WORDS), "line-result")
-    left = remove_lines(docs.withColumn("n_lines", F.when(F.col("text").isNull(), F.lit(0)).otherwise(count("text")).cast("long")), removed)
-    gone = removed.groupBy("doc_id").agg(F.count("*").alias("n_removed"))
-    told = left.join(small(materialize(gone, "line-gone"), 300_000), "doc_id", "left")
-    return told.select("doc_id", "n_lines", F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256).alias("text_sha256"))
+    joined, text, n_removed = _thinned(docs, repeated_lines(docs))
+    n_lines = F.when(docs["text"].isNull(), F.lit(0)).otherwise(F.size(F.split(docs["text"], "\n"))).cast("long")
+    return joined.select(docs["doc_id"], n_lines.alias("n_lines"), n_removed.alias("n_removed"), F.sha2(F.encode(F.coalesce(text, F.lit("")), "UTF-8"), 256).alias("text_sha256"))
+
+
+#: The rarity order here is by exact counts and then by word, and lines are compared on words: an independent version.
+OP7_SQL = r"""
+WITH texts AS (SELECT doc_id, text, string_split(text, chr(10)) AS parts FROM documents),
+lines AS (SELECT doc_id, unnest(range(len(parts))) AS line_no, unnest(parts) AS line FROM texts WHERE text IS NOT NULL),
+split AS (
+  SELECT doc_id, line_no, list_sort(list_distinct(list_filter(regexp_split_to_array(lower(line), '[\x20\x09-\x0D]+'), lambda x: x <> ''))) AS words
+  FROM lines),
+worded AS (SELECT doc_id, line_no, words, len(words) AS n FROM split WHERE len(words) > 0),
+sets AS (SELECT row_number() OVER (ORDER BY min((doc_id, line_no))) AS no, words, any_value(n) AS n, min((doc_id, line_no)) AS first FROM worded GROUP BY words),
+each AS (SELECT no, n, unnest(words) AS w FROM sets),
+counts AS (SELECT w, count(*) AS df FROM each GROUP BY w),
+ranked AS (SELECT no, n, w, row_number() OVER (PARTITION BY no ORDER BY df, w) AS pos FROM each JOIN counts USING (w)),
+prefixes AS (SELECT no, n, w FROM ranked WHERE pos <= n - (n * 80 + 99) // 100 + 1),
+pairs AS (
+  SELECT DISTINCT x.no AS a, y.no AS b FROM prefixes x JOIN prefixes y ON x.w = y.w AND x.no < y.no
+  WHERE 100 * least(x.n, y.n) >= 80 * greatest(x.n, y.n)),
+shared AS (SELECT a, b, len(list_intersect(x.words, y.words)) AS both_, x.n + y.n AS total FROM pairs JOIN sets x ON x.no = a JOIN sets y ON y.no = b),
+matched AS (SELECT DISTINCT b AS no FROM shared WHERE 100 * both_ >= 80 * (total - both_)),
+removed AS (
+  SELECT w.doc_id, w.line_no FROM worded w JOIN sets s ON w.words = s.words
+  WHERE (w.doc_id, w.line_no) <> s.first OR s.no IN (SELECT no FROM matched)),
+left_ AS (
+  SELECT l.doc_id, string_agg(line, chr(10) ORDER BY l.line_no) FILTER (r.doc_id IS NULL) AS text, count(*) AS n_lines, count(r.doc_id) AS n_removed
+  FROM lines l LEFT JOIN removed r ON l.doc_id = r.doc_id AND l.line_no = r.line_no GROUP BY l.doc_id)
+SELECT t.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(l.text, '')) AS text_sha256
+FROM texts t LEFT JOIN left_ l USING (doc_id)
+"""
