@@ -33,7 +33,7 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 class WordTokens:
     """Ids of whole texts: white space separates what the tokenizer sees, so the ids of a word are looked up once."""
 
-    def __init__(self, path: str, kept: int = 300_000):
+    def __init__(self, path: str, kept: int = 100_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.known = Tokenizer.from_file(path), Lately(kept)
@@ -41,7 +41,6 @@ class WordTokens:
         # Bytes as the byte-level vocabularies write them: printable ones as themselves, the others from U+0100 on.
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         self.shown = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in printable)}
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
 
     def _alone(self, word: str) -> tuple[int, ...]:
         """Of letters that the normalizer and the pattern leave as they are: merged at once; else by the whole tokenizer."""
@@ -150,6 +149,10 @@ def pack_documents(docs: DataFrame, tokenizer: str, *, capacity: int = CAPACITY,
 
 
 def op10_cost_balanced_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of all ``documents``: the columns of ``PIECES``, in sequences of 2,048 tokens.
+
+    A null text is packed like an empty one, repeated rows each; an empty table gives no rows.
+    """
     import public_tokenizers
 
     return pack_documents(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))

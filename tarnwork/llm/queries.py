@@ -18,6 +18,8 @@ QUERIES = {
 }
 
 SQL = {
+    "op3_circulant_minhash": minhash.OP3_SQL,
     "op5_polynomial_exact_dedup": exact.OP5_SQL,
+    "op7_line_dedup": lines.OP7_SQL,
     "op9_secret_scans": secrets.OP9_SQL,
 }

@@ -107,28 +107,31 @@ def scan_ledger(docs: DataFrame, ledger: DataFrame | None = None, *, rules: tupl
 
 
 def redact_secrets(docs: DataFrame, mark: str = "[secret]", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """``docs`` with a mark in place of each span that a scan finds; all rows and columns stay.
+    """``docs`` with a mark in place of each span that a scan finds; all rows and columns stay, whatever their names.
 
-    Overlapping spans of several rules become one mark.
+    Overlapping spans of several rules become one mark. Null texts stay null; rows of equal texts change alike, with or
+    without a doc_id; an empty table gives no rows.
     """
     found, _ = scan_ledger(docs, rules=rules)
-    marked = found.where("spans <> ''").select("doc_id", "blob", "spans").distinct()
-    spans = F.transform(F.split("spans", ","), lambda s: F.struct(F.split(s, ":")[1].cast("int").alias("a"), F.split(s, ":")[2].cast("int").alias("b")))
+    marked = found.where("spans <> ''").select("blob", "spans").distinct()
+    places = F.transform(F.split("spans", ","), lambda s: F.struct(F.split(s, ":")[1].cast("int").alias("a"), F.split(s, ":")[2].cast("int").alias("b")))
+    marked = small(materialize(marked.select("blob", places.alias("places")), "secret-marked"), 50_000)
     state = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
-    text = docs["text"]
+    text, places = docs["text"], marked["places"]
 
     def step(s, x):
         apart = F.concat(s["parts"], F.array(F.substring(text, s["at"] + 1, x["a"] - s["at"]), F.lit(mark)))
         return F.struct(F.greatest(s["at"], x["b"]).alias("at"), F.when(x["a"] >= s["at"], apart).otherwise(s["parts"]).alias("parts"))
 
-    clean = F.aggregate(F.col("_spans"), state, step, lambda s: F.concat(F.array_join(s["parts"], ""), F.substring(text, s["at"] + 1, F.length(text))))
-    joined = docs.join(small(materialize(marked.select(F.col("doc_id").alias("_id"), F.col("blob").alias("_blob"), spans.alias("_spans")), "secret-marked"), 50_000), (docs["doc_id"] == F.col("_id")) & (_blob() == F.col("_blob")), "left")
-    new_text = F.when(F.col("_spans").isNull(), text).otherwise(clean)
+    clean = F.aggregate(places, state, step, lambda s: F.concat(F.array_join(s["parts"], ""), F.substring(text, s["at"] + 1, F.length(text))))
+    joined = docs.join(marked, sha256_hex(F.coalesce(text, F.lit(""))) == marked["blob"], "left")
+    new_text = F.when(places.isNull(), text).otherwise(clean)
     new = {"text": new_text.alias("text"), "n_chars": F.length(new_text).cast("long").alias("n_chars")}
-    return joined.select(*[new.get(c, docs[c]) for c in docs.columns])
+    return joined.select(*[new[c] if c in new else docs[f"`{c}`"] for c in docs.columns])
 
 
 def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in all ``documents``: ``doc_id, n_assign, n_access, n_hex, base_sha256, spans``; cases are those of the module."""
     found, _ = scan_ledger(documents(spark, sf_dir))
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), "spans")
 

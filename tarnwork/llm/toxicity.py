@@ -21,10 +21,10 @@ from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tarnwork.llm._common import documents, materialize, table
+from tarnwork.llm._common import discard, documents, materialize, table
 
 THRESHOLD = 0.7
 SENTENCE = re.compile(r"[^.!?\n]+")
@@ -113,15 +113,23 @@ def fit(bags: list[tuple[int, list[list[int]]]], words: list[str], *, rounds: in
     return SentenceModel({w: float(t) for w, t in zip(words, theta, strict=False) if abs(t) > 1e-6}, float(theta[-1]))
 
 
-def train(docs: DataFrame, labels: DataFrame, *, sample: int = 12_000, vocabulary: int = 1000, least: int = 5) -> SentenceModel | None:
+def train(docs: DataFrame, labels: DataFrame, *, sample: int = 12_000, sample_chars: int = 200_000_000, vocabulary: int = 1000, least: int = 5) -> SentenceModel | None:
     """Fit on at most ``sample`` labelled documents that aren't held out, those of smallest hash.
 
     Args:
         sample: labelled documents for fitting; this bounds what the driver and the broadcast hold.
+        sample_chars: characters that these have together, at most; documents beyond them, in the order of the hash,
+            aren't used for fitting.
         vocabulary: words that are told apart; ``least``: sampled documents that must hold each.
     """
     picked = labels.where(~held_out() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    bags = materialize(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(picked), "doc_id"), "toxicity-sample")
+    labelled = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    # At most ``sample`` doc_ids; with each its place in the order of the hash.
+    so_far = F.sum("chars").over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))
+    sizes = labelled.join(F.broadcast(picked), "doc_id").groupBy("doc_id", "toxic").agg(F.sum(F.length("text").cast("long")).alias("chars"))
+    chosen_docs = sizes.withColumn("so_far", so_far).where(F.col("so_far") <= sample_chars).select("doc_id", "toxic")
+    chosen_docs = materialize(chosen_docs, "toxicity-chosen")
+    bags = materialize(labelled.join(F.broadcast(chosen_docs), "doc_id"), "toxicity-sample")
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -131,6 +139,7 @@ def train(docs: DataFrame, labels: DataFrame, *, sample: int = 12_000, vocabular
 
     totals = bags.agg(F.count("*").alias("n"), F.sum("toxic").alias("bad")).first()
     if not totals["n"]:
+        discard(chosen_docs, bags)
         return None
     share = (totals["bad"] or 0) / totals["n"]
     counts = bags.select("toxic", "text").mapInArrow(words, "word string, toxic int").groupBy("word").agg(F.count("*").alias("n"), F.sum("toxic").alias("bad")).where(F.col("n") >= least)
@@ -144,8 +153,15 @@ def train(docs: DataFrame, labels: DataFrame, *, sample: int = 12_000, vocabular
             yield pa.record_batch([batch["toxic"], pa.array([len(s) for s in ids], pa.int32()), pa.array([[x for x in s if x] for s in ids], pa.list_(pa.list_(pa.int32())))], ["toxic", "n", "ids"])
 
     found = bags.select(F.col("toxic").cast("int").alias("toxic"), "text").mapInArrow(sentences, "toxic int, n int, ids array<array<int>>")
-    # At most ``sample`` rows.
-    return fit([(r["toxic"], [*r["ids"], *[[]] * (r["n"] - len(r["ids"]))]) for r in found.collect()], chosen)
+    # At most ``sample`` rows, of ``sample_chars`` characters.
+    sampled = found.collect()
+    discard(chosen_docs, bags)
+    return fit([(r["toxic"], [*r["ids"], *[[]] * (r["n"] - len(r["ids"]))]) for r in sampled], chosen)
+
+
+def _scored(texts: pa.Array, model: SentenceModel | None) -> Iterator[tuple[float, list[tuple[int, int]]]]:
+    """Text by text, so that only one is a Python string at a time."""
+    return (model.score(t.as_py() or "") if model else (0.0, []) for t in texts)
 
 
 def score_documents(docs: DataFrame, model: SentenceModel | None) -> DataFrame:
@@ -153,7 +169,7 @@ def score_documents(docs: DataFrame, model: SentenceModel | None) -> DataFrame:
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            scored = [model.score(t.as_py() or "") if model else (0.0, []) for t in batch["text"]]
+            scored = list(_scored(batch["text"], model))
             where = pa.array([[{"start": a, "length": b - a} for a, b in w] for _, w in scored], pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32())])))
             yield pa.record_batch([batch["doc_id"], pa.array([s for s, _ in scored], pa.float64()), where], ["doc_id", "score", "offending"])
 
@@ -161,16 +177,23 @@ def score_documents(docs: DataFrame, model: SentenceModel | None) -> DataFrame:
 
 
 def reject_toxic(docs: DataFrame, model: SentenceModel | None, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` without the rows whose text scores ``threshold`` or more; all columns stay."""
+    """``docs`` without the rows whose text scores ``threshold`` or more; all columns stay.
 
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pa.array([not model or model.score(t.as_py() or "")[0] < threshold for t in batch["text"]], pa.bool_()))
+    Texts go to Python and scores come back; the other columns stay where they are. Null texts score like empty ones,
+    rows of equal texts go or stay together, and an empty table gives no rows.
+    """
 
-    return docs.mapInArrow(keep, docs.schema)
+    def score(texts: pa.Array) -> pa.Array:
+        return pa.array((s for s, _ in _scored(texts, model)), pa.float64())
+
+    return docs.where(F.arrow_udf(score, "double")(docs["text"]) < threshold)
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all ``documents``: ``doc_id, held_out, score, predicted``, and the ``offending`` sentences.
+
+    One row for each row of ``documents``; cases are those of the module. Fitted on ``labels`` that aren't held out.
+    """
     docs = documents(spark, sf_dir)
     scored = score_documents(docs, train(docs, table(spark, sf_dir, "labels")))
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "offending")

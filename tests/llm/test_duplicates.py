@@ -1,6 +1,7 @@
 """Exact, near and line duplicates, sketches and shards against brute force."""
 
 import hashlib
+import random
 import re
 import struct
 import zlib
@@ -78,56 +79,78 @@ def test_equal_fingerprints_of_different_texts_are_told_apart(docs, texts, monke
     assert (900_005, 900_005, 2) not in found and (900_003, 900_003, 1) in found and (900_001, 900_001, 2) in found
 
 
-def test_lines_that_an_earlier_one_matches(docs, texts, none):
-    counts, rows, expected, seen = Counter(), [], set(), []
-    for i, text in dict(texts).items():
+def _matched_lines(texts, least_words=1):
+    """Every line against every earlier one, whatever words they share."""
+    expected, seen, known = set(), [], set()
+    for i, text in sorted(dict(texts).items()):
         for k, line in enumerate(text.split("\n")):
             words = frozenset(line.encode().lower().split())
-            counts.update(words)
-            rows.append((i, k, words))
-    index = defaultdict(list)
-    for i, k, words in sorted(rows, key=lambda r: r[:2]):
-        if len(words) < 5:
-            continue
-        prefix = sorted(words, key=lambda w: (counts[w], w))[: len(words) + (-8 * len(words) // 10) + 1]
-        for other in {o for w in prefix for o in index[w]}:
-            if 100 * len(words & seen[other]) >= 80 * len(words | seen[other]):
+            if len(words) < max(1, least_words):
+                continue
+            n = len(words)
+            if words in known or any(4 * n <= 5 * len(o) <= 6.25 * n + 5 and 100 * len(words & o) >= 80 * len(words | o) for o in seen):
                 expected.add((i, k))
-        for w in prefix:
-            index[w].append(len(seen))
-        seen.append(words)
-    removed = lines.repeated_lines(docs)
-    assert {tuple(r) for r in removed.collect()} == expected
-    left = lines.remove_lines(docs, removed)
-    assert left.columns == docs.columns and left.count() == docs.count()
-    told = {r.doc_id: r.text for r in left.collect()}
-    assert all((told[i] or "") == "\n".join(line for k, line in enumerate(t.split("\n")) if (i, k) not in expected) for i, t in texts)
-    assert lines.dedup_lines(none).count() == 0
+            if words not in known:
+                known.add(words)
+                seen.append(words)
+    return expected
 
 
-def test_short_lines_that_an_earlier_one_matches(spark, docs, texts):
+def test_lines_that_an_earlier_one_matches(spark, docs, texts, none):
     added = [(950_001, "Les.\na b\n\n \na b c d"), (950_002, "les.\nb a\n\n \na b c\nd c b a e"), (950_003, "Les. Les.\na b c x\na b")]
-    rows, seen, expected = [], [], set()
-    for i, text in sorted((dict(texts) | dict(added)).items()):
-        rows += [(i, k, frozenset(line.encode().lower().split())) for k, line in enumerate(text.split("\n"))]
-    known, by_word = set(), defaultdict(list)
-    for i, k, words in rows:
-        if not words:
-            continue
-        if words in known or any(100 * len(words & seen[o]) >= 80 * len(words | seen[o]) for o in {o for w in words for o in by_word[w]} if len(words) < 12 and len(seen[o]) < 15):
-            expected.add((i, k))
-        known.add(words)
-        for w in words:
-            by_word[w].append(len(seen))
-        seen.append(words)
-    few = docs.select("doc_id", "text").union(spark.createDataFrame(added, "doc_id long, text string"))
-    removed = {tuple(r) for r in lines.repeated_lines(few, least_words=1).collect()}
-    sizes = {(i, k): len(w) for i, k, w in rows}
-    short = lambda found: {x for x in found if sizes[x] < 12}
-    assert short(removed) == short(expected)
-    assert {(950_002, 0), (950_002, 1), (950_002, 5), (950_003, 0), (950_003, 2)} <= removed
-    left = {r.doc_id: r.text for r in lines.dedup_lines(spark.createDataFrame(added, "doc_id long, text string")).collect()}
-    assert left == {950_001: added[0][1], 950_002: "\n \na b c", 950_003: "a b c x"}
+    few = docs.select("doc_id", "text").where("length(text) < 3000 OR text IS NULL").union(spark.createDataFrame(added, "doc_id long, text string"))
+    given = {r.doc_id: r.text or "" for r in few.collect()}
+    for least in (1, 5):
+        expected = _matched_lines(given, least)
+        removed = lines.repeated_lines(few, least_words=least)
+        assert {(r.doc_id, r.line_no) for r in removed.collect()} == expected and removed.count() == len(expected)
+        left = lines.remove_lines(few, removed)
+        assert left.columns == few.columns and left.count() == few.count()
+        told = {r.doc_id: r.text for r in left.collect()}
+        assert all((told[i] or "") == "\n".join(line for k, line in enumerate(t.split("\n")) if (i, k) not in expected) for i, t in given.items())
+    assert lines.dedup_lines(none).count() == 0
+    assert {(950_002, 0), (950_002, 1), (950_002, 5), (950_003, 0), (950_003, 2)} <= _matched_lines(given)
+
+
+def test_lines_of_rows_without_or_with_one_doc_id(spark):
+    rows = [(None, "same short line\nq w e r t y", "n"), (7, "same short line\na b c d e f", "x"), (7, "m n o p q r s\na b c d e f", "y"), (7, "m n o p q r s\na b c d e f", "y")]
+    columns = "doc_id long, text string, _id string"
+    docs = spark.createDataFrame(rows, columns).withColumns({c: F.lit(c) for c in ("gone", "text_key", "_gone", "no", "key", "a.b")})
+    left = lines.dedup_lines(docs)
+    assert left.columns == docs.columns
+    told = sorted((r["_id"], r["text"]) for r in left.collect())
+    assert told[0] == ("n", "same short line\nq w e r t y") and len(told) == 4
+    assert "m n o p q r s" in told[2][1] and told[2] == told[3]  # never lost with the other text of its doc_id
+    assert (told[1][1], told[2][1]) in {("", "m n o p q r s\na b c d e f"), ("a b c d e f", "m n o p q r s")}
+
+
+def test_large_groups_of_near_copies_in_full(spark):
+    """A third of the rows are near copies of one text, with similarities around the bound; also rows without ids."""
+    rng = random.Random(3)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(150):
+        words = list(base)
+        for _ in range(rng.randrange(0, 14)):
+            words[rng.randrange(len(words))] = f"x{rng.randrange(10**6)}"
+        rows.append((i if i % 50 else None, " ".join(words)))
+    rows += [(1000 + i, " ".join(f"r{rng.randrange(5000)}" for _ in range(60))) for i in range(150)] + [(5000, None), (5001, ""), (1000, None)]
+    sets = [set(zip(t.split(), t.split()[1:], strict=False)) if t else set() for _, t in rows]
+    links = [(a, b) for a in range(len(rows)) for b in range(a) if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    classes = _classes(links, range(len(rows)))
+    members = defaultdict(list)
+    for k, c in classes.items():
+        members[c].append(rows[k][0])
+    name = {c: min((i for i in ids if i is not None), default=None) for c, ids in members.items()}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = minhash.near_duplicates(docs, words=2).collect()
+    expected = sorted(((rows[k][0], len(sets[k]), name[c]) for k, c in classes.items()), key=str)
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in found), key=str) == expected
+    assert all(r.kept == (r.doc_id == r.component_id) for r in found)
+    clashing = docs.withColumns({c: F.lit(1) for c in ("node", "text_key", "component_id", "kept", "a.b")})
+    left = minhash.drop_near_duplicates(clashing, words=2)
+    assert left.columns == clashing.columns
+    assert sorted((r.doc_id for r in left.collect()), key=str) == sorted((rows[k][0] for k, c in classes.items() if rows[k][0] == name[c]), key=str)
 
 
 def test_sketches_and_edits(docs, texts, none):
