@@ -1,5 +1,7 @@
 """Each query against its SQL on the smallest tables."""
 
+from numbers import Number
+
 import duckdb
 import pandas as pd
 import pytest
@@ -20,7 +22,7 @@ def duck():
 
 def _rows(frame):
     frame = frame[sorted(frame.columns)]
-    plain = lambda x: None if x is None or x is pd.NA or x != x else round(float(x), 6) if isinstance(x, float | int) and not isinstance(x, bool) else x
+    plain = lambda x: None if x is None or x is pd.NA or x != x else round(float(x), 6) if isinstance(x, Number) and not isinstance(x, bool) else x
     return list(frame.columns), sorted((tuple(map(plain, r)) for r in frame.itertuples(index=False)), key=str)
 
 
