@@ -104,7 +104,7 @@ class Lately(dict):
         self[key] = value
 
 
-def slices(batches, size: int = 12_000_000):
+def slices(batches, size: int = 4_000_000):
     """Arrow batches cut into runs of rows with about ``size`` bytes of column ``text`` at most, but for single rows; null texts are empty there."""
     for batch in batches:
         text = pc.fill_null(batch["text"], "")
