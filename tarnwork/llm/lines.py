@@ -12,7 +12,7 @@ changes at most one of them, so lines with more differing parities than differin
 loss. Lines meet in buckets by word; each is first compared with the earliest line of its buckets, and only those for
 which this finds no match are compared with all earlier ones, so groups of similar lines don't multiply. A bucket's
 earliest line comes from an aggregation and goes to the others by a join that Spark can split, so no bucket has to fit
-into one task. Each match is verified on the words themselves.
+into one task. Each match is verified on the whole sets of words, as 64-bit hashes.
 
 Sets too small to be similar to any other set (at 80 percent, those of up to three words; four words match five) go
 through the class step alone.
@@ -82,8 +82,7 @@ def _lines(docs: DataFrame) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """Those of the pairs of classes ``(a, b)`` whose sets of words have 100 * intersection >= percent * union."""
-    pairs = materialize(pairs, "line-pairs")
+    """Those of the written ``pairs`` of classes ``(a, b)`` whose sets of words have 100 * intersection >= percent * union."""
     ends = materialize(pairs.select(F.col("a").alias("no")).union(pairs.select("b")).distinct(), "line-ends")
     needed = materialize(classes.select("no", "doc_id", "text_key", "line_no").join(small(ends, FEW), "no", "left_semi"), "line-needed")
     texts = materialize(needed.select("doc_id", "text_key").distinct(), "line-docs")
@@ -91,13 +90,13 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: in
     there = docs.join(found, docs["doc_id"].eqNullSafe(found["doc_id"]) & (F.xxhash64(docs["text"]) == found["text_key"]), "left_semi")
     lines, wanted = _lines(there), small(needed, FEW)
     same = lines["doc_id"].eqNullSafe(wanted["doc_id"]) & (lines["text_key"] == wanted["text_key"]) & (lines["line_no"] == wanted["line_no"])
-    words = F.array_distinct(_words(_trimmed(F.lower("line"))))
+    words = F.array_distinct(F.transform(_words(_trimmed(F.col("line"))), _hash))
     sets = materialize(lines.join(wanted, same).select("no", words.alias("words")).dropDuplicates(["no"]), "line-sets")
     both = pairs.join(sets.toDF("a", "words_a"), "a").join(sets.toDF("b", "words_b"), "b")
     shared = F.size(F.array_intersect("words_a", "words_b"))
     matches = both.select("a", "b", F.size("words_a").alias("n"), F.size("words_b").alias("m"), shared.alias("shared"))
     matches = materialize(matches.where(100 * F.col("shared") >= percent * (F.col("n") + F.col("m") - F.col("shared"))).select("a", "b"), "line-matches")
-    discard(pairs, ends, needed, texts, sets)
+    discard(ends, needed, texts, sets)
     return matches
 
 
@@ -119,7 +118,8 @@ def repeated_lines(docs: DataFrame, *, percent: int = PERCENT, least_words: int
     lines_ = lines.where(F.col("n") >= least_words)
     first = lines_.groupBy("key").agg(F.min(F.struct("doc_id", "text_key", "line_no", "n", "parities", "prefix")).alias("first"), F.count("*").alias("copies"))
     first = first.select("key", "copies", "first.*").orderBy("doc_id", "text_key", "line_no")
-    classes = materialize(first.select(F.monotonically_increasing_id().alias("no"), "*"), "line-classes")
+    numbered = materialize(first.select(F.monotonically_increasing_id().alias("no"), "*"), "line-numbered")
+    classes = materialize(numbered.drop("n", "parities", "prefix"), "line-classes")
     several = materialize(classes.where("copies > 1").select("key", *[F.col(c).alias(f"first_{c}") for c in ("doc_id", "text_key", "line_no")]), "line-several")
     is_first = F.col("doc_id").eqNullSafe(F.col("first_doc_id")) & (F.col("text_key") == F.col("first_text_key")) & (F.col("line_no") == F.col("first_line_no"))
     copies = materialize(lines_.join(small(several, FEW), "key").where(~is_first).select("doc_id", "text_key", "line_no"), "line-copies")
@@ -127,7 +127,7 @@ def repeated_lines(docs: DataFrame, *, percent: int = PERCENT, least_words: int
 
     # Flat rows, as there is one for each word of a prefix. The nearest other set of n words has one word more.
     fields = ("no", "n", "at", "parities")
-    places = classes.where(100 * F.col("n") >= percent * (F.col("n") + 1)).select("no", "n", "parities", F.posexplode("prefix").alias("at", "bucket"))
+    places = numbered.where(100 * F.col("n") >= percent * (F.col("n") + 1)).select("no", "n", "parities", F.posexplode("prefix").alias("at", "bucket"))
     pivots = places.groupBy("bucket").agg(F.min(F.struct(*fields)).alias("p"), F.count("*").alias("members")).where("members > 1")
     pivots = materialize(pivots.select("bucket", *[F.col(f"p.{f}").alias(f"p_{f}") for f in fields]), "line-pivots")
 
@@ -140,8 +140,8 @@ def repeated_lines(docs: DataFrame, *, percent: int = PERCENT, least_words: int
 
     star = F.when((F.col("no") != F.col("p_no")) & may_match("p_", ""), F.col("p_no"))
     shared = materialize(places.join(pivots, "bucket").select("bucket", *fields, star.alias("pivot")), "line-buckets")
-    discard(pivots)
-    stars = shared.where("pivot IS NOT NULL").select(F.col("pivot").alias("a"), F.col("no").alias("b")).distinct()
+    discard(pivots, numbered)
+    stars = materialize(shared.where("pivot IS NOT NULL").select(F.col("pivot").alias("a"), F.col("no").alias("b")).distinct(), "line-stars")
     matched = _verified(stars, classes, docs, percent)
     closed = materialize(matched.select(F.col("b").alias("no")).distinct(), "line-closed")
 
@@ -150,13 +150,14 @@ def repeated_lines(docs: DataFrame, *, percent: int = PERCENT, least_words: int
     # What has been compared as a star is not compared again.
     new = F.col("y_pivot").isNull() | (F.col("x_no") != F.col("y_pivot"))
     rest = y.join(x, "bucket").where((F.col("x_no") < F.col("y_no")) & new & may_match("x_", "y_")).select(F.col("x_no").alias("a"), F.col("y_no").alias("b")).distinct()
-    more = _verified(rest, classes, docs, percent)
+    rest = materialize(rest, "line-rest")
     discard(shared)
+    more = _verified(rest, classes, docs, percent)
 
     gone = materialize(closed.union(more.select("b")).distinct(), "line-gone")
     removed = classes.join(small(gone, 2_000_000), "no", "left_semi").select("doc_id", "text_key", "line_no").union(copies)
     removed = materialize(removed.distinct(), "line-removed")
-    discard(classes, copies, several, matched, closed, more, gone)
+    discard(classes, copies, several, stars, matched, closed, rest, more, gone)
     return removed
 
 
