@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarnwork.functions.status import qualitative_status, range_status
-from tarnwork.functions.text import BOILERPLATE_HEADING, is_boilerplate, once, one_spaced, redact_contacts, tidy_name
+from tarnwork.functions.text import BOILERPLATE_HEADING, is_boilerplate, once, one_spaced, redact_line, tidy_name
 
 
 def explode_lines(docs: DataFrame, *, id: str, text: str) -> DataFrame:  # noqa: A002
@@ -47,8 +47,8 @@ def repeated_lines(lines: DataFrame, *, doc: list[str], page: str, pos: str, lin
     return long.where("pages >= 2").select(*doc, "line").union(placed.where("pages >= 2").select(*doc, "line")).distinct()
 
 
-def prepare_text(lines: DataFrame, *, doc: list[str], page: str, pos: str, line: str, keep: Column | None = None) -> DataFrame:
-    """Lines to show: redacted, without boilerplate and what follows its headings, and repeated ones once.
+def prepare_text(lines: DataFrame, *, doc: list[str], page: str, pos: str, line: str, keep: Column | None = None, known: Column | None = None) -> DataFrame:
+    """Lines to show: redacted (names in the array ``known`` too), without boilerplate and what follows its headings, and repeated ones once.
 
     Lines for which ``keep`` holds are never dropped.
     """
@@ -57,10 +57,12 @@ def prepare_text(lines: DataFrame, *, doc: list[str], page: str, pos: str, line:
     rows = flag_from(rows, partition=[*doc, page], order=[pos], starts=F.col(line).rlike(BOILERPLATE_HEADING), name="_legal")
     repeats = repeated_lines(lines, doc=doc, page=page, pos=pos, line=line).withColumn("_repeated", F.lit(True)).withColumnRenamed("line", line)
     rows = rows.join(repeats, [*doc, line], "left")
-    nth = F.row_number().over(Window.partitionBy(*doc, line).orderBy(page, pos))
+    # Only repeated lines need a place; the others, blank ones too, each are a group of their own.
+    alone = F.when(F.col("_repeated").isNull(), F.struct(page, pos))
+    nth = F.row_number().over(Window.partitionBy(*doc, line, alone).orderBy(page, pos))
     rows = rows.withColumn("_nth", nth)
     drop = (is_boilerplate(line) | F.col("_legal") | (F.coalesce("_repeated", F.lit(False)) & (F.col("_nth") > 1))) & ~F.col("_keep")
-    return rows.where(~drop).withColumn(line, redact_contacts(line)).select(*lines.columns)
+    return rows.where(~drop).withColumn(line, redact_line(line, known)).select(*lines.columns)
 
 
 # --- Rows of results -------------------------------------------------------------------------------------------------
@@ -100,15 +102,21 @@ def parse_rows(lines: DataFrame, *, line: str, section: str | None = None, patte
 
     The first grammar that fits decides. ``patterns`` are further ones, of the same form, of lower precedence.
     """
-    text, empty = F.col("_text"), F.lit("")
+    text, mark = F.col("_text"), "\x01"
 
     def row(grammar) -> Column:
-        kind, pattern, name, value, unit, reference = grammar
-        part = lambda g: F.trim(F.regexp_extract(text, pattern, g)) if g else empty
-        fields = lambda label: F.struct(F.lit(kind).alias("grammar"), label.alias("raw_name"), part(value).alias("value"), part(unit).alias("unit"), part(reference).alias("reference_range"))
-        return F.when(text.rlike(pattern), once(tidy_name(part(name)), lambda label: F.when(plausible_label(label), fields(label))))
+        kind, pattern, *groups = grammar
+        # One run of the pattern: its groups, or nothing, between marks; a line that doesn't fit has no mark.
+        marked = F.regexp_replace(text, pattern, mark + mark.join(f"${g}" if g else "" for g in groups))
 
-    found = lines.withColumn("_text", one_spaced(line)).where(~text.rlike(NOISE)).withColumn("_row", F.coalesce(*[row(g) for g in (*GRAMMARS, *patterns)])).where("_row IS NOT NULL")
+        def fields(p: Column) -> Column:
+            part = lambda k: F.trim(p[k])
+            made = lambda label: F.struct(F.lit(kind).alias("grammar"), label.alias("raw_name"), part(2).alias("value"), part(3).alias("unit"), part(4).alias("reference_range"))
+            return F.when(F.size(p) == 5, once(tidy_name(part(1)), lambda label: F.when(plausible_label(label), made(label))))
+
+        return once(F.split(marked, mark), fields)
+
+    found = lines.withColumn("_text", F.replace(one_spaced(line), F.lit(mark), F.lit(" "))).where(~text.rlike(NOISE)).withColumn("_row", F.coalesce(*[row(g) for g in (*GRAMMARS, *patterns)])).where("_row IS NOT NULL")
     worded = F.col("_row.grammar").isin("qualitative", "descriptive", "categorical")
     status = F.when(worded, qualitative_status("_row.value", "_row.reference_range")).otherwise(range_status("_row.value", "_row.reference_range"))
     confidence = F.when(F.col("_row.grammar").isin("value_range_unit", "tabular", "right_anchored"), 0.9).otherwise(0.85)

@@ -14,8 +14,11 @@ def dominant_unit(results: DataFrame, *, series: list[str], unit: str, order: li
 
     The label is the commonest printed spelling of that unit. Series without any unit have no row.
     """
-    rows = results.select(*series, F.col(unit).alias("_unit"), normalize_unit(unit).alias("unit_key"), F.struct(*order).alias("_order"), (normalize_unit(default) if default is not None else F.lit(None).cast("string")).alias("_default")).where("unit_key <> ''")
-    spelled = rows.groupBy(*series, "unit_key", "_unit").agg(F.count("*").alias("_n"), F.min("_order").alias("_seen"), F.max(F.coalesce(F.col("unit_key") == F.col("_default"), F.lit(False))).alias("_is_default"))
+    printed = results.select(*series, F.trim(unit).alias("_unit"), F.struct(*order).alias("_order"), (default if default is not None else F.lit(None).cast("string")).alias("_default")).where("_unit <> ''")
+    printed = printed.groupBy(*series, "_unit", "_default").agg(F.count("*").alias("_n"), F.min("_order").alias("_seen"))
+    # Units are normalised by spelling, not by row.
+    keyed = printed.withColumn("unit_key", normalize_unit("_unit")).withColumn("_default", normalize_unit("_default")).where("unit_key <> ''")
+    spelled = keyed.groupBy(*series, "unit_key", "_unit").agg(F.sum("_n").alias("_n"), F.min("_seen").alias("_seen"), F.max(F.coalesce(F.col("unit_key") == F.nullif("_default", F.lit("")), F.lit(False))).alias("_is_default"))
     by_seen = Window.partitionBy(*series, "unit_key").orderBy(F.desc("_n"), "_seen")
     labelled = spelled.withColumn("_rank", F.row_number().over(by_seen))
     units = labelled.groupBy(*series, "unit_key").agg(F.sum("_n").alias("_n"), F.min("_seen").alias("_seen"), F.max("_is_default").alias("_is_default"), F.max(F.when(F.col("_rank") == 1, F.col("_unit"))).alias("unit_label"))
@@ -38,7 +41,8 @@ def trend_points(results: DataFrame, factors: DataFrame, *, series: list[str], t
     range stay as printed.
     """
     target = dominant_unit(results, series=series, unit=unit, order=order, default=default).withColumnRenamed("unit_key", "_target")
-    keyed = results.withColumn("_key", normalize_unit(unit)).join(target, series, "left")
+    spellings = results.select(F.col(unit).alias("_spelling")).distinct().withColumn("_key", normalize_unit("_spelling"))
+    keyed = results.join(spellings, F.col(unit).eqNullSafe(F.col("_spelling")), "left").drop("_spelling").join(target, series, "left")
     f = factors.select(F.col(test).alias("_test"), F.col("from_key").alias("_from"), F.col("to_key").alias("_to"), "factor")
     told = keyed.join(f, (F.col(test) == F.col("_test")) & (F.col("_key") == F.col("_from")) & (F.col("_target") == F.col("_to")), "left")
     same = (F.col("_key") == "") | F.col("_target").isNull() | (F.col("_key") == F.col("_target"))
@@ -54,20 +58,22 @@ def trend_points(results: DataFrame, factors: DataFrame, *, series: list[str], t
     )
 
 
-def half_split(points: DataFrame, *, series: list[str], order: list[str], value: str, rising: float = 10.0) -> DataFrame:
+def half_split(points: DataFrame, *, series: list[str], order: list[str], value: str, steady: float = 5.0, higher_is_better: str | None = None) -> DataFrame:
     """Mean of the second half against the first, in percent, and its class; the odd point belongs to the second half.
 
-    Points that aren't numbers don't count. With fewer than two points, ``INSUFFICIENT``; a first mean of 0 is no change.
+    Below ``steady`` percent either way it is ``STABLE``, else ``IMPROVING`` or ``DETERIORATING``: falling is better, unless
+    the series' first row says in ``higher_is_better`` that rising is. Points that aren't numbers don't count. Fewer than
+    two points, or a first mean of 0, are no change.
     """
-    number = F.col(value).cast("double")
-    rows = points.select(*series, number.alias("_v"), *[F.col(o).alias(f"_o{i}") for i, o in enumerate(order)]).where("_v IS NOT NULL AND NOT isnan(_v)")
-    by = Window.partitionBy(*series)
-    at = F.row_number().over(by.orderBy(*[f"_o{i}" for i in range(len(order))]))
-    rows = rows.withColumn("_at", at).withColumn("_n", F.count("*").over(by))
+    better = F.coalesce(F.col(higher_is_better), F.lit(False)) if higher_is_better else F.lit(False)
+    rows = points.select(*series, F.col(value).cast("double").alias("_v"), better.alias("_better"), *[F.col(o).alias(f"_o{i}") for i, o in enumerate(order)])
+    by, placed = Window.partitionBy(*series), [f"_o{i}" for i in range(len(order))]
+    rows = rows.withColumn("_better", F.first("_better").over(by.orderBy(*placed))).where("_v IS NOT NULL AND NOT isnan(_v)")
+    rows = rows.withColumn("_at", F.row_number().over(by.orderBy(*placed))).withColumn("_n", F.count("*").over(by))
     early = F.col("_at") <= F.floor(F.col("_n") / 2)
-    means = rows.groupBy(*series).agg(F.count("*").alias("n"), F.avg(F.when(early, F.col("_v"))).alias("first_mean"), F.avg(F.when(~early, F.col("_v"))).alias("second_mean"))
-    change = F.when((F.col("n") < 2) | (F.col("first_mean") == 0), F.lit(0.0)).otherwise((F.col("second_mean") - F.col("first_mean")) / F.abs("first_mean") * 100)
-    kind = F.when(F.col("n") < 2, "INSUFFICIENT").when(change > rising, "RISING").when(change < -rising, "FALLING").otherwise("STABLE")
+    means = rows.groupBy(*series).agg(F.count("*").alias("n"), F.avg(F.when(early, F.col("_v"))).alias("first_mean"), F.avg(F.when(~early, F.col("_v"))).alias("second_mean"), F.bool_or("_better").alias("_better"))
+    change = F.when((F.col("n") < 2) | (F.col("first_mean") == 0), F.lit(0.0)).otherwise((F.col("second_mean") - F.col("first_mean")) / F.col("first_mean") * 100)
+    kind = F.when(F.abs(change) < steady, "STABLE").when((change > 0) == F.col("_better"), "IMPROVING").otherwise("DETERIORATING")
     return means.select(*series, "n", "first_mean", "second_mean", change.alias("change_pct"), kind.alias("trend"))
 
 

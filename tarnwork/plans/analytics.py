@@ -80,13 +80,15 @@ def trend_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""
     WITH r AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS pos, count(*) OVER (PARTITION BY user_id) AS total FROM events WHERE value IS NOT NULL),
     m AS (SELECT user_id, count(*) AS n, avg(value) FILTER (pos <= total // 2) AS a, avg(value) FILTER (pos > total // 2) AS b FROM r GROUP BY user_id),
-    c AS (SELECT *, CASE WHEN n < 2 OR a = 0 THEN 0.0 ELSE (b - a) / abs(a) * 100 END AS change FROM m)
+    c AS (SELECT *, CASE WHEN n < 2 OR a = 0 THEN 0.0 ELSE (b - a) / a * 100 END AS change FROM m)
     SELECT user_id, n, round(a, 6) AS first_mean, round(b, 6) AS second_mean, round(change, 6) AS change_pct,
-           CASE WHEN n < 2 THEN 'INSUFFICIENT' WHEN change > 10 THEN 'RISING' WHEN change < -10 THEN 'FALLING' ELSE 'STABLE' END AS trend
+           CASE WHEN abs(change) < 5 THEN 'STABLE' WHEN (change > 0) = (user_id % 2 = 1) THEN 'IMPROVING' ELSE 'DETERIORATING' END AS trend
     FROM c
 """)
 def half_split_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = series.half_split(read(spark, sf_dir, "events"), series=["user_id"], order=["ts", "event_id"], value="value")
+    """Users with odd ids are better off with higher values."""
+    points = read(spark, sf_dir, "events").withColumn("higher", F.col("user_id") % 2 == 1)
+    found = series.half_split(points, higher_is_better="higher", series=["user_id"], order=["ts", "event_id"], value="value")
     return found.select("user_id", "n", *[F.round(c, 6).alias(c) for c in ("first_mean", "second_mean", "change_pct")], "trend")
 
 

@@ -29,8 +29,10 @@ def file_problem(path: Column | str, length: Column | str, content: Column | str
 def bulk_files(files: DataFrame, *, most: int = 50) -> tuple[DataFrame, DataFrame]:
     """The first ``most`` files by name, as rows with ``day, lab, sha256``, and those that can't be taken with a reason."""
     name = F.regexp_extract("path", r"([^/]+)$", 1)
-    taken = files.orderBy("path").limit(most).withColumn("name", name).withColumn("_parts", file_name_parts("name"))
-    problem = F.coalesce(file_problem("path", "length", "content"), F.when(~F.col("_parts.ok"), "no date in the name"))
+    taken = files.select("path").orderBy("path").limit(most).withColumn("_taken", F.lit(True))
+    taken = files.join(F.broadcast(taken), "path", "left").withColumn("name", name).withColumn("_parts", file_name_parts("name"))
+    too_many = F.when(F.col("_taken").isNull(), f"beyond {most} files")
+    problem = F.coalesce(too_many, file_problem("path", "length", "content"), F.when(~F.col("_parts.ok"), "no date in the name"))
     told = taken.withColumn("reason", problem)
     good = told.where("reason IS NULL").select("path", "name", "_parts.day", "_parts.lab", F.sha2("content", 256).alias("sha256"))
     return good, told.where("reason IS NOT NULL").select("path", "name", "reason")
