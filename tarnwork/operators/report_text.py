@@ -116,7 +116,9 @@ def parse_rows(lines: DataFrame, *, line: str, section: str | None = None, patte
 
         return once(F.split(marked, mark), fields)
 
-    found = lines.withColumn("_text", F.replace(one_spaced(line), F.lit(mark), F.lit(" "))).where(~text.rlike(NOISE)).withColumn("_row", F.coalesce(*[row(g) for g in (*GRAMMARS, *patterns)])).where("_row IS NOT NULL")
+    found = lines.withColumn("_text", F.replace(one_spaced(line), F.lit(mark), F.lit(" "))).where(~text.rlike(NOISE))
+    # Exploded, so that the grammars run once for all fields of a row and for its being there.
+    found = found.select("*", F.explode(F.filter(F.array(F.coalesce(*[row(g) for g in (*GRAMMARS, *patterns)])), lambda r: r.isNotNull())).alias("_row"))
     worded = F.col("_row.grammar").isin("qualitative", "descriptive", "categorical")
     status = F.when(worded, qualitative_status("_row.value", "_row.reference_range")).otherwise(range_status("_row.value", "_row.reference_range"))
     confidence = F.when(F.col("_row.grammar").isin("value_range_unit", "tabular", "right_anchored"), 0.9).otherwise(0.85)

@@ -46,15 +46,16 @@ def trend_points(results: DataFrame, factors: DataFrame, *, series: list[str], t
     f = factors.select(F.col(test).alias("_test"), F.col("from_key").alias("_from"), F.col("to_key").alias("_to"), "factor")
     told = keyed.join(f, (F.col(test) == F.col("_test")) & (F.col("_key") == F.col("_from")) & (F.col("_target") == F.col("_to")), "left")
     same = (F.col("_key") == "") | F.col("_target").isNull() | (F.col("_key") == F.col("_target"))
-    converted = convert_value(value, F.col("factor"))
-    status = F.when(same, "same").when(converted.isNotNull(), "converted").otherwise("unconverted")
-    is_converted = status == "converted"
+    # A column of its own, so that values are converted once.
+    told = told.withColumn("_converted", F.when(~same & F.col("factor").isNotNull(), convert_value(value, F.col("factor"))))
+    told = told.withColumn("unit_status", F.when(same, "same").when(F.col("_converted").isNotNull(), "converted").otherwise("unconverted"))
+    is_converted = F.col("unit_status") == "converted"
     return told.select(
         *results.columns,
-        F.when(status == "unconverted", F.col(unit)).otherwise(F.coalesce("unit_label", F.lit(""))).alias("trend_unit"),
-        F.when(is_converted, converted).otherwise(F.col(value)).alias("trend_value"),
+        F.when(F.col("unit_status") == "unconverted", F.col(unit)).otherwise(F.coalesce("unit_label", F.lit(""))).alias("trend_unit"),
+        F.coalesce("_converted", value).alias("trend_value"),
         F.when(is_converted, convert_range(printed_range, F.col("factor"))).otherwise(F.col(printed_range)).alias("trend_range"),
-        status.alias("unit_status"),
+        "unit_status",
     )
 
 
