@@ -7,9 +7,9 @@ are numbered in the order of these lines.
 Words are ordered by rarity: their occurrences in all texts are counted in ``SLOTS`` slots by hash, so the table of
 counts has a fixed size, and ties are broken by hash. Two similar lines share a word among the first few of both in
 that order (prefix filter), at places that leave enough words after them (positional filter), and have about as many
-words (length filter). Each line also carries 64 parities of its words' hashes: a word that only one of two lines has
-changes at most one of them, so lines with more differing parities than differing words allowed are ruled out without
-loss. Lines meet in buckets by word; each is first compared with the earliest line of its buckets, and only those for
+words (length filter). Each line also carries 64 parities of its words' hashes, and a long one more, up to 1,024: a
+word that only one of two lines has changes at most one of them, so lines with more differing parities than differing
+words allowed are ruled out without loss. Lines meet in buckets by word; each is first compared with the earliest line of its buckets, and only those for
 which this finds no match are compared with all earlier ones, so groups of similar lines don't multiply. A bucket's
 earliest line comes from an aggregation and goes to the others by a join that Spark can split, so no bucket has to fit
 into one task. Each match is verified on the whole sets of words, as 64-bit hashes.
@@ -76,6 +76,23 @@ def _parities(ranked: Column) -> Column:
     return F.aggregate(ranked, F.lit(0).cast("long"), lambda acc, h: acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))))
 
 
+def _more_parities(ranked: Column) -> Column:
+    """For lines of more than 48 words, about as many parities as twice the words, in 2 to 16 numbers; else null."""
+    n = F.size(ranked)
+    words = F.least(F.lit(16), F.call_function("shiftleft", F.lit(1), F.ceil(F.log2(n / 48.0)).cast("int")))
+    slot = lambda h: F.shiftright(h, 6).bitwiseAND((words - 1).cast("long"))
+    each = F.transform(F.sequence(F.lit(0), words - 1), lambda i: _parities(F.filter(ranked, lambda h: slot(h) == i)))
+    return F.when(n > 48, each)
+
+
+def _differing(x: Column, y: Column) -> Column:
+    """Differing ones of further parities; the longer line has the same number of them or twice as many, and is folded then."""
+    xor = lambda a, b: a.bitwiseXOR(b)
+    folded = lambda p: F.zip_with(F.slice(p, F.lit(1), (F.size(p) / 2).cast("int")), F.slice(p, (F.size(p) / 2).cast("int") + 1, (F.size(p) / 2).cast("int")), xor)
+    like = lambda p, q: F.when(F.size(p) > F.size(q), folded(p)).otherwise(p)
+    return F.aggregate(F.zip_with(like(x, y), like(y, x), xor), F.lit(0), lambda acc, w: acc + F.bit_count(w))
+
+
 def _lines(docs: DataFrame) -> DataFrame:
     """``doc_id, text_key, line_no, line``; a row of ``docs`` is told by its doc_id and its text's hash."""
     return docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
@@ -114,29 +131,31 @@ def repeated_lines(docs: DataFrame, *, percent: int = PERCENT, least_words: int
     n = F.size("ranked")
     prefix = F.slice("ranked", F.lit(1), (n - F.ceil(n * share - 1e-9) + 1).cast("int"))
     key = F.struct(F.xxhash64("ranked").alias("a"), F.xxhash64(F.lit(1), "ranked").alias("b"))
-    lines = materialize(ranked.select("doc_id", "text_key", "line_no", n.alias("n"), key.alias("key"), _parities(F.col("ranked")).alias("parities"), prefix.alias("prefix")), "line-prefixes")
+    lines = materialize(ranked.select("doc_id", "text_key", "line_no", n.alias("n"), key.alias("key"), _parities(F.col("ranked")).alias("parities"), _more_parities(F.col("ranked")).alias("more"), prefix.alias("prefix")), "line-prefixes")
     lines_ = lines.where(F.col("n") >= least_words)
-    first = lines_.groupBy("key").agg(F.min(F.struct("doc_id", "text_key", "line_no", "n", "parities", "prefix")).alias("first"), F.count("*").alias("copies"))
+    first = lines_.groupBy("key").agg(F.min(F.struct("doc_id", "text_key", "line_no", "n", "parities", "more", "prefix")).alias("first"), F.count("*").alias("copies"))
     first = first.select("key", "copies", "first.*").orderBy("doc_id", "text_key", "line_no")
     numbered = materialize(first.select(F.monotonically_increasing_id().alias("no"), "*"), "line-numbered")
-    classes = materialize(numbered.drop("n", "parities", "prefix"), "line-classes")
+    classes = materialize(numbered.drop("n", "parities", "more", "prefix"), "line-classes")
     several = materialize(classes.where("copies > 1").select("key", *[F.col(c).alias(f"first_{c}") for c in ("doc_id", "text_key", "line_no")]), "line-several")
     is_first = F.col("doc_id").eqNullSafe(F.col("first_doc_id")) & (F.col("text_key") == F.col("first_text_key")) & (F.col("line_no") == F.col("first_line_no"))
     copies = materialize(lines_.join(small(several, FEW), "key").where(~is_first).select("doc_id", "text_key", "line_no"), "line-copies")
     discard(lines)
 
     # Flat rows, as there is one for each word of a prefix. The nearest other set of n words has one word more.
-    fields = ("no", "n", "at", "parities")
-    places = numbered.where(100 * F.col("n") >= percent * (F.col("n") + 1)).select("no", "n", "parities", F.posexplode("prefix").alias("at", "bucket"))
+    fields = ("no", "n", "at", "parities", "more")
+    places = numbered.where(100 * F.col("n") >= percent * (F.col("n") + 1)).select("no", "n", "parities", "more", F.posexplode("prefix").alias("at", "bucket"))
     pivots = places.groupBy("bucket").agg(F.min(F.struct(*fields)).alias("p"), F.count("*").alias("members")).where("members > 1")
     pivots = materialize(pivots.select("bucket", *[F.col(f"p.{f}").alias(f"p_{f}") for f in fields]), "line-pivots")
 
     def may_match(x: str, y: str) -> Column:
-        x_n, x_at, x_parities, y_n, y_at, y_parities = (F.col(f"{p}{f}") for p in (x, y) for f in fields[1:])
+        x_n, x_at, x_parities, x_more, y_n, y_at, y_parities, y_more = (F.col(f"{p}{f}") for p in (x, y) for f in fields[1:])
         needed = F.ceil((x_n + y_n) * (share / (1 + share)) - 1e-9)
         rest = F.least(x_n - x_at, y_n - y_at)
         apart = F.bit_count(x_parities.bitwiseXOR(y_parities))
-        return (F.least(x_n, y_n) * 100 >= F.greatest(x_n, y_n) * percent) & (rest >= needed) & (apart <= x_n + y_n - 2 * needed)
+        allowed = x_n + y_n - 2 * needed
+        closer = x_more.isNull() | y_more.isNull() | (_differing(x_more, y_more) <= allowed)
+        return (F.least(x_n, y_n) * 100 >= F.greatest(x_n, y_n) * percent) & (rest >= needed) & (apart <= allowed) & closer
 
     star = F.when((F.col("no") != F.col("p_no")) & may_match("p_", ""), F.col("p_no"))
     shared = materialize(places.join(pivots, "bucket").select("bucket", *fields, star.alias("pivot")), "line-buckets")
