@@ -77,12 +77,12 @@ def _parities(ranked: Column) -> Column:
 
 
 def _more_parities(ranked: Column) -> Column:
-    """For lines of more than 48 words, about as many parities as twice the words, in 2 to 16 numbers; else null."""
+    """For lines of more than 96 words, about as many parities as words, in 2 to 16 numbers; else null."""
     n = F.size(ranked)
-    words = F.least(F.lit(16), F.call_function("shiftleft", F.lit(1), F.ceil(F.log2(n / 48.0)).cast("int")))
+    words = F.least(F.lit(16), F.call_function("shiftleft", F.lit(1), F.ceil(F.log2(n / 96.0)).cast("int")))
     slot = lambda h: F.shiftright(h, 6).bitwiseAND((words - 1).cast("long"))
     each = F.transform(F.sequence(F.lit(0), words - 1), lambda i: _parities(F.filter(ranked, lambda h: slot(h) == i)))
-    return F.when(n > 48, each)
+    return F.when(n > 96, each)
 
 
 def _differing(x: Column, y: Column) -> Column:
