@@ -236,7 +236,7 @@ def convert_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-    SELECT p_partkey, lower(trim(p_name)) AS identifier, regexp_replace(lower(p_type || ' (' || p_brand || ')'), '[^a-z0-9]+', '_', 'g').trim('_') AS key, p_brand AS tidy,
+    SELECT p_partkey, lower(trim(p_name)) AS identifier, regexp_replace(lower(p_type || ' (' || p_brand || ')'), '[^a-z0-9]+', '_', 'g').trim('_') AS key, p_brand || ' -,' AS tidy,
            regexp_replace(lower(p_brand), '([0-9]+)', 'x', 'g') || lpad(regexp_extract(p_brand, '[0-9]+'), 20, '0') AS sort_key
     FROM part
 """)
