@@ -47,29 +47,29 @@ def _trimmed(line: Column) -> Column:
     return F.btrim(line, F.lit(" \t\n\x0b\x0c\r"))
 
 
-def _hash(word: Column) -> Column:
-    return F.xxhash64(F.lower(word))
-
-
 def rarity_table(docs: DataFrame) -> Column:
     """A number for each slot that grows with the logarithm of its count; this is all that the driver holds."""
-    words = docs.select(F.explode(_words(F.col("text"))).alias("w"))
-    counts = words.groupBy(_hash(F.col("w")).bitwiseAND(F.lit(SLOTS - 1)).cast("int").alias("slot")).count()
-    table = [1] * SLOTS
+    words = docs.select(F.explode(_words(F.lower("text"))).alias("w"))
+    counts = words.groupBy(F.xxhash64("w").bitwiseAND(F.lit(SLOTS - 1)).cast("int").alias("slot")).count()
+    table = [1 << 56] * SLOTS
     for slot, n in counts.collect():  # at most SLOTS rows
-        table[slot] = min(127, 1 + int(4 * log2(n)))
-    return F.from_json(F.lit(json.dumps(table)), "array<tinyint>")
+        table[slot] = min(127, 1 + int(4 * log2(n))) << 56
+    return F.from_json(F.lit(json.dumps(table)), "array<bigint>")
+
+
+def _hashes(line: Column) -> Column:
+    """The hashes of the distinct words."""
+    return F.array_distinct(F.transform(_words(F.lower(_trimmed(line))), lambda word: F.xxhash64(word)))
 
 
 def _ranked(line: Column, table: Column) -> Column:
-    """The distinct words' hashes, the rarest first."""
+    """The distinct words' hashes, each below its rarity, the rarest first."""
 
-    def rank(word: Column) -> Column:
-        h = _hash(word)
+    def rank(h: Column) -> Column:
         rarity = F.get(table, h.bitwiseAND(F.lit(SLOTS - 1)).cast("int"))
-        return F.shiftleft(rarity.cast("long"), 56).bitwiseOR(h.bitwiseAND(F.lit((1 << 56) - 1)))
+        return rarity.bitwiseOR(h.bitwiseAND(F.lit((1 << 56) - 1)))
 
-    return F.sort_array(F.array_distinct(F.transform(_words(_trimmed(line)), rank)))
+    return F.sort_array(F.array_distinct(F.transform(_hashes(line), rank)))
 
 
 def _parities(ranked: Column) -> Column:
@@ -79,10 +79,12 @@ def _parities(ranked: Column) -> Column:
 def _more_parities(ranked: Column) -> Column:
     """For lines of more than 96 words, about as many parities as words, in 2 to 16 numbers; else null."""
     n = F.size(ranked)
-    words = F.least(F.lit(16), F.call_function("shiftleft", F.lit(1), F.ceil(F.log2(n / 96.0)).cast("int")))
-    slot = lambda h: F.shiftright(h, 6).bitwiseAND((words - 1).cast("long"))
-    each = F.transform(F.sequence(F.lit(0), words - 1), lambda i: _parities(F.filter(ranked, lambda h: slot(h) == i)))
-    return F.when(n > 96, each)
+
+    def among(numbers: int) -> Column:
+        slot = lambda h: h.bitwiseAND(F.lit((numbers - 1) << 6))
+        return F.array(*[_parities(F.filter(ranked, lambda h: slot(h) == F.lit(i << 6))) for i in range(numbers)])
+
+    return F.when(n > 768, among(16)).when(n > 384, among(8)).when(n > 192, among(4)).when(n > 96, among(2))
 
 
 def _differing(x: Column, y: Column) -> Column:
@@ -107,8 +109,7 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: in
     there = docs.join(found, docs["doc_id"].eqNullSafe(found["doc_id"]) & (F.xxhash64(docs["text"]) == found["text_key"]), "left_semi")
     lines, wanted = _lines(there), small(needed, FEW)
     same = lines["doc_id"].eqNullSafe(wanted["doc_id"]) & (lines["text_key"] == wanted["text_key"]) & (lines["line_no"] == wanted["line_no"])
-    words = F.array_distinct(F.transform(_words(_trimmed(F.col("line"))), _hash))
-    sets = materialize(lines.join(wanted, same).select("no", words.alias("words")).dropDuplicates(["no"]), "line-sets")
+    sets = materialize(lines.join(wanted, same).select("no", _hashes(F.col("line")).alias("words")).dropDuplicates(["no"]), "line-sets")
     both = pairs.join(sets.toDF("a", "words_a"), "a").join(sets.toDF("b", "words_b"), "b")
     shared = F.size(F.array_intersect("words_a", "words_b"))
     matches = both.select("a", "b", F.size("words_a").alias("n"), F.size("words_b").alias("m"), shared.alias("shared"))
