@@ -31,6 +31,17 @@ def flexible_date(text: Column | str) -> Column:
     return F.coalesce(*[F.try_to_date(slashed, f) for f in formats])
 
 
+def date_time_text(text: Column | str) -> Column:
+    """``yyyy-MM-dd``, with `` HH:mm`` where a time of 12 or 24 hours follows; null if date or time isn't real."""
+    plain = F.regexp_replace(F.trim(col(text)), r"\s+", " ")
+    pattern = r"(?i)[ T](\d{1,2}):(\d{2})(?::\d{2}(?:\.\d+)?)?\s*(am|pm)?$"
+    part = lambda group: F.regexp_extract(plain, pattern, group)
+    day, hours, minutes, half = F.date_format(flexible_date(plain), "yyyy-MM-dd"), part(1).try_cast("int"), part(2).try_cast("int"), F.lower(part(3))
+    of_day = F.when(half == "", F.when(hours <= 23, hours)).when(hours.between(1, 12), hours % 12 + F.when(half == "pm", 12).otherwise(0))
+    time = F.when(minutes <= 59, F.concat(F.lit(" "), F.lpad(of_day.cast("string"), 2, "0"), F.lit(":"), part(2)))
+    return F.concat(day, F.when(hours.isNull(), "").otherwise(time))
+
+
 def file_name_parts(name: Column | str) -> Column:
     """``struct<day, lab, ok>`` of ``YYYY-MM-DD[_lab|-x].pdf``."""
     pattern = r"(?i)^(\d{4}-\d{2}-\d{2})(?:_([^/]*?)|-[^/]*)?\.pdf$"

@@ -76,6 +76,12 @@ QUALITATIVE = r"(?:negative|positive|non[\s-]*reactive|reactive|absent|present|n
 DESCRIPTIVE = r"(?:none\s+seen|clear|turbid|hazy|slightly\s+hazy|pale\s+yellow|dark\s+brown|yellow|straw|amber|occasional|few|many|adequate)"
 _NUM = r"[<>]?\s*\d[\d,]*(?:\.\d+)?"
 _REF = r"(?:[<>]=?\s*\d[\d,.]*|\d[\d,.]*\s*[-–]\s*\d[\d,.]*|up\s*to\s*\d[\d,.]*)"
+#: Words that stand at a line's end in prose, not as results.
+NOT_RESULTS = (
+    "disease", "disorder", "disorders", "symptoms", "syndrome", "infection", "infections", "allergens", "allergen", "test", "collection",
+    "centre", "center", "haematology", "hematology", "edta", "report", "lab", "calculated", "immunology", "immunogenetics", "serology",
+    "microbiology", "transplant", "category", "ratio", "index", "reactivity", "present",
+)
 #: Grammars in order: name, pattern, and the groups of name, value, unit and range (0: none).
 GRAMMARS = (
     ("value_range_unit", rf"(?i)^(.+?)\s+({_NUM})\s+(?:(?:high|low|normal|h|l|n)\s+)?({_REF})\s+({UNITS})$", 1, 2, 4, 3),
@@ -86,6 +92,7 @@ GRAMMARS = (
     ("categorical", r"(?i)^(.*(?:group|factor|typing))\s*[:\s]\s*[\"']?([A-Za-z]{1,3}[+-]?|positive|negative)[\"']?$", 1, 2, 0, 0),
     ("unitless", rf"(?i)^(.+?)\s+({_NUM})\s+({_REF})$", 1, 2, 0, 3),
     ("simple", rf"(?i)^([A-Za-z][^:]*?)\s+({_NUM})$", 1, 2, 0, 0),
+    ("text_pair", rf"(?i)^([^;]{{2,55}}?)(?<!,)\s+(?!(?:{'|'.join(NOT_RESULTS)}|{QUALITATIVE})$)([A-Za-z][A-Za-z0-9-]{{0,30}})$", 1, 2, 0, 0),
 )
 NOISE = r"(?i)^\W*(?:page\b|note\b|comment|interpretation|method\b|reference\b|sample\b|specimen|collected|received|reported|patient|name\s*:|age\b|sex\b|ref\.?\s*by|dr\.?\s|lab\b|end\s+of|report\b)"
 
@@ -119,7 +126,7 @@ def parse_rows(lines: DataFrame, *, line: str, section: str | None = None, patte
     found = lines.withColumn("_text", F.replace(one_spaced(line), F.lit(mark), F.lit(" "))).where(~text.rlike(NOISE))
     # Exploded, so that the grammars run once for all fields of a row and for its being there.
     found = found.select("*", F.explode(F.filter(F.array(F.coalesce(*[row(g) for g in (*GRAMMARS, *patterns)])), lambda r: r.isNotNull())).alias("_row"))
-    worded = F.col("_row.grammar").isin("qualitative", "descriptive", "categorical")
+    worded = F.col("_row.grammar").isin("qualitative", "descriptive", "categorical", "text_pair")
     status = F.when(worded, qualitative_status("_row.value", "_row.reference_range")).otherwise(range_status("_row.value", "_row.reference_range"))
     confidence = F.when(F.col("_row.grammar").isin("value_range_unit", "tabular", "right_anchored"), 0.9).otherwise(0.85)
     return found.select(*lines.columns, "_row.*", status.alias("status"), confidence.alias("confidence"))
@@ -138,7 +145,8 @@ def parse_report(docs: DataFrame, *, id: str, text: str) -> DataFrame:  # noqa:
     tagged = carry_section(lines, partition=[id], order=["line_no"], header=header, ends=F.col("line").rlike(r"(?i)^\W*(?:end\s+of\s+report|biochemistry|ha?ematology|serology)\W*$"))
     alone = F.col("line").rlike(r"^[A-Za-z][A-Za-z ()./-]{2,60}$") & F.col("next_line").rlike(rf"(?i)^\s*{_NUM}\s*{UNITS}")
     joined = join_continuations(tagged, partition=[id], order=["line_no"], line="line", continues=alone)
-    return distinct_rows(parse_rows(joined, line="line"), doc=[id], order=["line_no"])
+    rows = parse_rows(joined, line="line").where(~((F.col("grammar") == "text_pair") & header.isNotNull()))
+    return distinct_rows(rows, doc=[id], order=["line_no"])
 
 
 def locate_rows(rows: DataFrame, lines: DataFrame, *, doc: str, id: str, name: str, value: str) -> DataFrame:  # noqa: A002

@@ -119,11 +119,12 @@ def prepared_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-    SELECT doc_id, regexp_replace(regexp_extract(text, '[^ \\n]*@[^ \\n]*'), '[\\w.+-]+@[\\w-]+(?:\\.[\\w-]+)+', '[REDACTED]', 'g') AS mail FROM documents WHERE contains(text, '@')
+    SELECT doc_id, array_to_string(list_transform(regexp_extract_all(coalesce(text, ''), '[^ \\n]*@[^ \\n]*'), lambda x: regexp_replace(x, '[\\w.+-]+@[\\w-]+(?:\\.[\\w-]+)+', '[REDACTED]', 'g')), ' ') AS mail FROM documents
 """)
 def redacted_mail(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents").where(F.contains("text", F.lit("@")))
-    return docs.select("doc_id", redact_contacts(F.regexp_extract("text", r"[^ \n]*@[^ \n]*", 0)).alias("mail"))
+    """All runs around an ``@`` of each document, redacted."""
+    runs = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"[^ \n]*@[^ \n]*"), F.lit(0))
+    return read(spark, sf_dir, "documents").select("doc_id", F.array_join(F.transform(runs, redact_contacts), " ").alias("mail"))
 
 
 @query()
@@ -224,19 +225,19 @@ def applied_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-    SELECT o_orderkey AS report_id, o_orderkey % 4 <> 0 AND o_orderstatus = 'F' AS queued, CASE WHEN o_orderkey % 4 = 0 THEN 'not found' WHEN o_orderstatus <> 'F' THEN 'not ready' END AS reason FROM orders WHERE o_orderkey % 2 = 0
+    SELECT o_orderkey AS report_id, o_orderkey % 4 <> 0 AND o_orderstatus = 'F' AS queued, CASE WHEN o_orderkey % 4 = 0 THEN 'not found' WHEN o_orderstatus <> 'F' THEN 'not ready' END AS reason FROM orders
 """)
 def queued_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = read(spark, sf_dir, "orders")
     reports = orders.where("o_orderkey % 4 <> 0").select(F.col("o_orderkey").alias("report_id"), F.when(F.col("o_orderstatus") == "F", "COMPLETED").otherwise("PENDING").alias("status"))
-    return suggestions.queue_jobs(orders.where("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("report_id")), reports)
+    return suggestions.queue_jobs(orders.select(F.col("o_orderkey").alias("report_id")), reports)
 
 
 @query("""
     SELECT o_orderkey AS report_id, o_orderkey % 4 <> 0 AND o_orderstatus = 'F' AS queued, CASE WHEN o_orderkey % 4 = 0 THEN 'not found' WHEN o_orderstatus <> 'F' THEN 'not ready' END AS reason FROM orders
 """)
 def queued_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As ``queued_jobs``, whose SQL takes even ids alone, but a job for each order."""
+    """Another name of ``queued_jobs``: a job for each order."""
     orders = read(spark, sf_dir, "orders")
     reports = orders.where("o_orderkey % 4 <> 0").select(F.col("o_orderkey").alias("report_id"), F.when(F.col("o_orderstatus") == "F", "COMPLETED").otherwise("PENDING").alias("status"))
     return suggestions.queue_jobs(orders.select(F.col("o_orderkey").alias("report_id")), reports)

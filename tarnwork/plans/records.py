@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tarnwork.functions.dates import date_time_text
 from tarnwork.functions.text import redact_names
-from tarnwork.operators import catalog, records, scoring
+from tarnwork.operators import catalog, context, records, scoring
 from tarnwork.plans._read import read
 from tarnwork.plans.analytics import query
 
@@ -279,3 +280,49 @@ def redacted_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     labelled = F.concat(F.lit("Patient Name : Dr. "), name, F.lit(" Age : "), (key % 90).cast("string"))
     line = F.when(key % 2 == 0, F.replace(labelled, F.lit("Dr. "), F.lit(""))).otherwise(F.concat(F.lit("Seen by Mrs. "), name, F.lit(" 12")))
     return read(spark, sf_dir, "customer").select("c_custkey", redact_names(line).alias("line"))
+
+
+@query("""
+    SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') || CASE WHEN o_orderkey % 4 = 0 THEN '' WHEN o_orderkey % 4 = 3 AND o_orderkey % 30 > 23 THEN NULL
+           WHEN o_orderkey % 4 = 3 THEN ' ' || lpad(CAST(o_orderkey % 30 AS VARCHAR), 2, '0') || ':05' ELSE ' ' || lpad(CAST(o_orderkey % 12 + CASE WHEN o_orderkey % 4 = 2 THEN 12 ELSE 0 END AS VARCHAR), 2, '0') || ':30' END AS at
+    FROM orders
+""")
+def typed_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dates with times as people type them, some of which aren't real."""
+    key = F.col("o_orderkey")
+    hour = F.when(key % 12 == 0, 12).otherwise(key % 12).cast("string")
+    time = F.when(key % 4 == 0, "").when(key % 4 == 3, F.concat(F.lit(" "), (key % 30).cast("string"), F.lit(":05"))).otherwise(F.concat(F.lit("  "), hour, F.when(key % 4 == 2, ":30PM").otherwise(":30 am")))
+    typed = F.concat(F.date_format("o_orderdate", "d MMM yyyy"), time)
+    return read(spark, sf_dir, "orders").select("o_orderkey", date_time_text(typed).alias("at"))
+
+
+@query("""
+    WITH r AS (SELECT l_orderkey, l_linenumber, CASE l_linenumber % 4 WHEN 0 THEN 'creatinine' WHEN 1 THEN 'alc_neutrophils' WHEN 2 THEN 'monocytes' ELSE 'protein' END AS test, CASE l_returnflag WHEN 'A' THEN 'dlc' WHEN 'N' THEN 'urine' END AS section, l_quantity AS q FROM lineitem),
+    c AS (SELECT *, CASE WHEN section = 'dlc' AND test = 'alc_neutrophils' THEN 'dlc_neutrophils' WHEN section = 'urine' AND test = 'creatinine' THEN 'urine_creatinine' ELSE test END AS named FROM r)
+    SELECT l_orderkey, l_linenumber, CASE WHEN named = 'creatinine' AND q > 10 THEN 'urine_creatinine' WHEN named = 'urine_creatinine' AND q < 392.0 / 20 THEN 'creatinine' ELSE named END AS test FROM c
+""")
+def tests_by_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names by section, then serum or urine by the value; the catalog has some of the tests alone."""
+    n = F.col("l_linenumber") % 4
+    test = F.when(n == 0, "creatinine").when(n == 1, "alc_neutrophils").when(n == 2, "monocytes").otherwise("protein")
+    section = F.when(F.col("l_returnflag") == "A", "dlc").when(F.col("l_returnflag") == "N", "urine")
+    rows = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", test.alias("test"), section.alias("section"), F.col("l_quantity").cast("string").alias("value"), F.lit("1 - 15").alias("printed"))
+    tests = spark.createDataFrame([("creatinine",), ("urine_creatinine",), ("dlc_neutrophils",), ("monocytes",), ("protein",)], "name string")
+    rules = spark.createDataFrame([("creatinine", 2.0), ("urine_creatinine", 0.0)], "name string, normal_max double")
+    named = context.tests_in_context(rows, tests, test="test", context="section")
+    return context.serum_or_urine(named, tests, rules, test="test", value="value", printed="printed").select("l_orderkey", "l_linenumber", "test")
+
+
+@query("""
+    WITH c AS (SELECT conv_id, turn, conv_id % 2 = 0 AS inline_, turn % 3 = 1 AS thinks, turn % 3 <> 1 AS talks FROM conversations),
+    f AS (SELECT *, talks AND inline_ AND turn <= 3 AS inside FROM c),
+    n AS (SELECT conv_id, turn, sum(CAST(thinks OR inside AS INT)) OVER w AS reasoning_tokens, sum(CAST(talks AND NOT inside AS INT)) OVER w AS reply_tokens FROM f WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
+    SELECT conv_id, turn, CAST(reasoning_tokens AS BIGINT) AS reasoning_tokens, CAST(reply_tokens AS BIGINT) AS reply_tokens, CASE WHEN reply_tokens > 0 THEN 'writing' ELSE 'thinking' END AS phase FROM n
+""")
+def reply_phases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as chunks of replies; every other reply thinks inline, and its closing tag is split over turns 2 and 3."""
+    turn = F.col("turn")
+    inline = F.when(turn == 0, " <think>a").when(turn == 2, "b</thi").when(turn == 3, "nk>c").otherwise("d")
+    content = F.when(turn % 3 != 1, F.when(F.col("conv_id") % 2 == 0, inline).otherwise("e"))
+    chunks = read(spark, sf_dir, "conversations").select("conv_id", "turn", content.alias("content"), F.when(turn % 3 == 1, "f").alias("reasoning"))
+    return context.reply_phases(chunks, reply=["conv_id"], order=["turn"], content="content", reasoning="reasoning").drop("content", "reasoning")

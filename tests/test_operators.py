@@ -228,3 +228,25 @@ def test_timeline_begins_on_the_first_day_and_has_no_end(spark):
     rows = spark.createDataFrame(pd.DataFrame({"tenant": [1, 1, 1], "day": ["2026-01-01", "2026-04-02", "2027-01-01"], "text": list("abc")}))
     found = timeline.timeline({"x": rows}, today=F.lit("2026-07-02").cast("date"), period="3m")
     assert sorted(r.text for r in found.collect()) == ["b", "c"]
+
+
+def test_text_pairs_come_last_and_leave_prose_alone(spark):
+    lines = ["Type of Sample Urine", "Crystals Absent", "Kidney disease", "Cells; type Round", "Cells, Round", "Glucose 96"]
+    rows = report_text.parse_rows(spark.createDataFrame([(x,) for x in lines], "line string"), line="line").collect()
+    assert {(r.line, r.grammar, r.raw_name, r.value) for r in rows} == {
+        ("Type of Sample Urine", "text_pair", "Type of Sample", "Urine"),
+        ("Crystals Absent", "qualitative", "Crystals", "Absent"),
+        ("Glucose 96", "simple", "Glucose", "96"),
+    }
+
+
+def test_reply_phases_skip_silent_chunks(spark):
+    from tarnwork.operators import context
+
+    rows = [(1, 0, None, None), (1, 1, "", "a"), (1, 2, "\n<think>", None), (1, 3, "b </th", None), (1, 4, "ink>", None), (1, 5, "c", "d"), (2, 0, "x <think>", None), (3, 0, None, "a"), (3, 1, None, "")]
+    chunks = spark.createDataFrame(rows, "reply int, n int, content string, reasoning string")
+    found = context.reply_phases(chunks, reply=["reply"], order=["n"], content="content", reasoning="reasoning").orderBy("reply", "n").collect()
+    assert [(r.reply, r.n, r.reasoning_tokens, r.reply_tokens, r.phase) for r in found] == [
+        (1, 1, 1, 0, "thinking"), (1, 2, 2, 0, "thinking"), (1, 3, 3, 0, "thinking"), (1, 4, 4, 0, "thinking"), (1, 5, 4, 1, "writing"),
+        (2, 0, 0, 1, "writing"), (3, 0, 1, 0, "thinking"),
+    ]

@@ -1,6 +1,9 @@
 """Streaming counterparts, driven by files."""
 
 import time
+from datetime import datetime
+
+from pyspark.sql import functions as F
 
 from tarnwork.streaming import jobs
 
@@ -27,3 +30,12 @@ def test_a_batch_replaces_its_partitions(spark, tmp_path):
     stream = _stream(spark, tmp_path, [(1, "new"), (2, "new")], "parent long, v string")
     jobs.write_idempotently(stream, out, str(tmp_path / "c"), by="parent").awaitTermination()
     assert sorted((r.parent, r.v) for r in spark.read.parquet(out).collect()) == [(1, "new"), (2, "new"), (3, "kept")]
+
+
+def test_progress_is_told_on_new_phases_and_after_two_seconds(spark, tmp_path):
+    at = lambda s: datetime(2026, 5, 1, 0, 0, s)
+    rows = [(1, "waiting", at(0)), (1, "waiting", at(1)), (1, "thinking", at(1)), (1, "thinking", at(2)), (1, "thinking", at(3)), (2, "waiting", at(2)), (2, None, at(9))]
+    stream = _stream(spark, tmp_path, rows, "job_id long, phase string, ts timestamp")
+    told = jobs.throttled_progress(stream).select("job_id", "phase", F.second("ts").alias("s"))
+    told.writeStream.outputMode("append").format("memory").queryName("told").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination(90)
+    assert sorted(map(tuple, spark.table("told").collect())) == [(1, "thinking", 1), (1, "thinking", 3), (1, "waiting", 0), (2, "waiting", 2)]
