@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarnwork.functions.numbers import comparable_number
+from tarnwork.functions.status import range_status
+from tarnwork.operators.catalog import rules_by_printed_unit
+from tarnwork.operators.resolve import resolve_names
 
 #: The tests that names stand for in a section.
 IN_CONTEXT = {
@@ -58,6 +61,38 @@ def serum_or_urine(rows: DataFrame, catalog: DataFrame, rules: DataFrame, *, tes
     return _known(joined, catalog, wanted, test=test).select(*rows.columns)
 
 
+def section_of_name(name: Column) -> Column:
+    """The section that a printed name tells by itself, or null."""
+    n = F.lower(name)
+    has = lambda part: F.contains(n, F.lit(part))
+    return F.when(has("dlc)") | n.endswith(" %"), "dlc").when(has("alc)") | has("absolute"), "alc").when(n.startswith("urine ") | has(" urine"), "urine")
+
+
+def normalized_rows(rows: DataFrame, catalog: DataFrame, rules: DataFrame, defaults: DataFrame, limits: DataFrame) -> DataFrame:
+    """``rows(row_id, name, value, unit, printed, status, section)`` under the catalog's names, where it has them.
+
+    Rows without a name, or with a person's title in it, go. ``section`` follows from the name where it isn't given. A
+    number with a printed range gets its status from that, else from ``rules`` by ``defaults(test, unit)``; other rows keep
+    theirs. ``limits(name, normal_max)`` are those of ``serum_or_urine``. ``raw_name`` is the name as printed, ``display_name``
+    the catalog's or that; a null value or unit stays.
+    """
+    raw = F.trim(F.coalesce("name", F.lit("")))
+    kept = rows.withColumn("raw_name", raw).where((raw != "") & ~raw.rlike(r"(?i)\b(?:mr|mrs|ms|miss)\.\s*[a-z]"))
+    kept = kept.withColumn("_within", F.coalesce(F.nullif("section", F.lit("")), section_of_name(F.col("raw_name"))))
+    bare = F.regexp_replace("raw_name", r"(?i)\s*\((?:dlc|alc)\)\s*$", "")
+    asked = kept.withColumn("_lookup", F.trim(F.regexp_replace(bare, r"(?i)^urine\s+", "")))
+    found = resolve_names(asked, catalog, key=["row_id"], printed="_lookup", context="_within", unit="unit", value="value").drop("_lookup")
+    found = serum_or_urine(tests_in_context(found, catalog, test="test", context="_within"), catalog, limits, test="test", value="value", printed="printed")
+    ruled = rules_by_printed_unit(found.withColumnRenamed("status", "_before"), rules, defaults).withColumnRenamed("status", "_by_rule")
+    number = comparable_number("value").isNotNull() & (F.coalesce("printed", F.lit("")) != "")
+    by_range = F.nullif(range_status("value", "printed"), F.lit("UNKNOWN"))
+    status = F.when(number, F.coalesce(by_range, F.when(F.col("test").isNotNull(), F.col("_by_rule")), F.col("_before"))).otherwise(F.col("_before"))
+    shown = catalog.select(F.col("name").alias("_name"), F.col("display_name").alias("_shown"))
+    told = ruled.withColumn("status", status).join(shown, F.col("test") == F.col("_name"), "left")
+    named = {"name": F.coalesce("test", "raw_name").alias("name"), "section": F.coalesce("_within", "section").alias("section")}
+    return told.select(*[named.get(c, F.col(c)) for c in rows.columns], "raw_name", F.coalesce("_shown", "raw_name").alias("display_name"))
+
+
 def reply_phases(chunks: DataFrame, *, reply: list[str], order: list[str], content: str, reasoning: str) -> DataFrame:
     """``chunks`` that say something, with ``reasoning_tokens, reply_tokens`` so far and ``phase`` (thinking or writing).
 

@@ -250,3 +250,30 @@ def test_reply_phases_skip_silent_chunks(spark):
         (1, 1, 1, 0, "thinking"), (1, 2, 2, 0, "thinking"), (1, 3, 3, 0, "thinking"), (1, 4, 4, 0, "thinking"), (1, 5, 4, 1, "writing"),
         (2, 0, 0, 1, "writing"), (3, 0, 1, 0, "thinking"),
     ]
+
+
+def test_rows_are_normalised_by_catalog_section_and_range(spark):
+    from tarnwork.operators import context
+
+    rows = [
+        (1, "Urine Creatinine", "90", "mg/dL", "20 - 100", "HIGH", None),
+        (2, "Creatinine", "1.1", "mg/dL", "0.7 - 1.3", "UNKNOWN", None),
+        (3, "Creatinine", "60", "mg/dL", "see note", "UNKNOWN", ""),
+        (4, "Mrs. Jane Roe", "42", None, None, "UNKNOWN", None),
+        (5, "Neutrophils (DLC)", "80", "%", "40 - 70", "UNKNOWN", None),
+        (6, "Mystery Marker", "3", None, None, "LOW", None),
+        (7, None, "3", None, None, "LOW", None),
+    ]
+    schema = "row_id int, name string, value string, unit string, printed string, status string, section string"
+    tests = [("creatinine", "Creatinine", None), ("urine_creatinine", "Creatinine, Urine", None), ("dlc_neutrophils", "Neutrophils (DLC)", ["Neutrophils"])]
+    catalog = spark.createDataFrame(tests, "name string, display_name string, aliases array<string>")
+    bounds = ("min_value", "max_value", "normal_min", "normal_max", "critical_low_min", "critical_high_max")
+    rules = spark.createDataFrame([("urine_creatinine", "mg/dL", *[None] * 2, 20, 50, *[None] * 2, True)], "test string, unit string, " + ", ".join(f"{b} int" for b in bounds) + ", is_active boolean")
+    rules = rules.withColumns({b: F.col(b).cast("decimal(18,4)") for b in bounds})
+    defaults = spark.createDataFrame([("urine_creatinine", "mg/dL")], "test string, unit string")
+    limits = spark.createDataFrame([("creatinine", 1.3)], "name string, normal_max double")
+    found = context.normalized_rows(spark.createDataFrame(rows, schema), catalog, rules, defaults, limits).orderBy("row_id").collect()
+    assert [(r.row_id, r.name, r.display_name, r.status, r.section) for r in found] == [
+        (1, "urine_creatinine", "Creatinine, Urine", "NORMAL", "urine"), (2, "creatinine", "Creatinine", "NORMAL", None),
+        (3, "urine_creatinine", "Creatinine, Urine", "HIGH", ""), (5, "dlc_neutrophils", "Neutrophils (DLC)", "HIGH", "dlc"), (6, "Mystery Marker", "Mystery Marker", "LOW", None),
+    ]
