@@ -19,6 +19,7 @@ import hashlib
 import zlib
 from array import array
 from collections.abc import Callable, Iterator
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -33,9 +34,14 @@ RUNS = "doc_id long, n_runs long, start long, length long, period long, exponent
 LONG = 1 << 17
 
 
-def ranks(words: list[bytes]) -> list[int]:
-    """The rank of each word among the distinct ones, in byte order, from 0."""
-    return (pc.rank(pa.array(words, pa.binary()), tiebreaker="dense").to_numpy().astype(np.int64) - 1).tolist() if words else []
+def ranked_words(texts: pa.StringArray) -> Iterator[np.ndarray]:
+    """For each text the ranks of its words among the distinct words of all ``texts``, in byte order."""
+    split = pc.ascii_split_whitespace(texts)
+    words, offsets = split.flatten(), split.offsets.to_numpy()
+    real = pc.binary_length(words).to_numpy(zero_copy_only=False) > 0
+    ends = np.concatenate([[0], np.cumsum(real)])[offsets - offsets[0]]
+    ranks = pc.rank(words, tiebreaker="dense").to_numpy().astype(np.int64)[real]
+    return (ranks[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True))
 
 
 def lyndon(s: list[int]) -> tuple[list[int], list[int]]:
@@ -142,25 +148,26 @@ def kept(n: int, found: list[tuple[int, int, int]]) -> np.ndarray:
     return np.cumsum(steps[:n]) == 0
 
 
-def find_runs(docs: DataFrame, *, least_length: int = LEAST_LENGTH, least_exponent: int = LEAST_EXPONENT, change: Callable[[int | None, list[bytes]], list[bytes]] | None = None) -> DataFrame:
+def find_runs(docs: DataFrame, *, least_length: int = LEAST_LENGTH, least_exponent: int = LEAST_EXPONENT, change: Callable[[int | None, int], np.ndarray | None] | None = None) -> DataFrame:
     """One row for each row of ``docs(doc_id, text)``: the columns of ``RUNS`` and ``runs``, all runs as structs.
 
     ``start`` to ``exponent_milli`` tell the longest run (then the first, then that of the smallest period), null if
     there is none. ``collapsed_sha256`` is of the words that ``kept`` leaves, joined by spaces. No row is shuffled.
 
     Args:
-        change: gives the words to look at, from a row's doc_id and words.
+        change: gives the numbers of the words to look at instead (None: all), from a row's doc_id and number of words.
     """
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             rows = []
-            for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"], strict=True):
+            for doc_id, text, ranks in zip(batch["doc_id"].to_pylist(), batch["text"], ranked_words(batch["text"]), strict=True):
                 words = text.as_buffer().to_pybytes().split()
-                words = change(doc_id, words) if change else words
-                found = runs(ranks(words), least_length, least_exponent)
+                if change and (at := change(doc_id, len(words))) is not None:
+                    words, ranks = [words[i] for i in at.tolist()], ranks[at]
+                found = runs(ranks.tolist(), least_length, least_exponent)
                 listed = "".join(f"{a},{n},{q}\n" for a, n, q in found)
-                left = [w for w, stays in zip(words, kept(len(words), found).tolist(), strict=True) if stays] if found else words
+                left = list(compress(words, kept(len(words), found))) if found else words
                 start, length, period = max(found, key=lambda r: (r[1], -r[0], -r[2]), default=(None,) * 3)
                 digests = (hashlib.sha256(x).hexdigest() for x in (listed.encode(), b" ".join(left)))
                 rows.append((doc_id, len(found), start, length, period, 1000 * length // period if found else None, *digests, found))
@@ -168,7 +175,7 @@ def find_runs(docs: DataFrame, *, least_length: int = LEAST_LENGTH, least_expone
 
     names = [c.split()[0] for c in RUNS.split(", ")] + ["runs"]
     kinds = [pa.int64()] * 6 + [pa.string()] * 2 + [pa.list_(pa.struct([(c, pa.int64()) for c in ("start", "length", "period")]))]
-    # bytes.split() cuts at space, tab and the controls 0x0A to 0x0D.
+    # Python's bytes and Arrow's ASCII white space are both space, tab and the controls 0x0A to 0x0D.
     return docs.select("doc_id", "text").mapInArrow(find, RUNS + ", runs array<struct<start: long, length: long, period: long>>")
 
 
@@ -178,25 +185,24 @@ def collapse_runs(docs: DataFrame, *, least_length: int = LEAST_LENGTH, least_ex
     def collapse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             out = []
-            for text in batch["text"].to_pylist():
-                words = text.encode().split()
-                found = runs(ranks(words), least_length, least_exponent)
-                out.append(b" ".join(w for w, stays in zip(words, kept(len(words), found).tolist(), strict=True) if stays).decode() if found else text)
+            for text, ranks in zip(batch["text"].to_pylist(), ranked_words(batch["text"]), strict=True):
+                found = runs(ranks.tolist(), least_length, least_exponent)
+                out.append(b" ".join(compress(text.encode().split(), kept(len(ranks), found))).decode() if found else text)
             yield pa.record_batch([batch["doc_id"], pa.array(out, pa.string())], ["doc_id", "text"])
 
     return docs.select("doc_id", "text").mapInArrow(collapse, "doc_id long, text string")
 
 
-def _with_tail(doc_id: int | None, words: list[bytes]) -> list[bytes]:
+def _with_tail(doc_id: int | None, n: int) -> np.ndarray | None:
     """The contract's change: in a tenth of the documents the words from some place on become periodic. Rows without a doc_id stay as they are."""
-    n = len(words)
     h = zlib.crc32(str(doc_id).encode())
     if doc_id is None or h % 10 or not n:
-        return words
+        return None
     g = h // 10
     a = g % n
     period = 1 + (n - a) // (3 + g % 8)
-    return words[:a] + (words[a : a + period] * (-(-(n - a) // period)))[: n - a]
+    at = np.arange(n)
+    return np.where(at < a, at, a + (at - a) % period)
 
 
 def op13_lyndon_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
