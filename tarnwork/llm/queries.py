@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tarnwork.llm import bpe, exact, lines, minhash, packing, secrets, sharding, sketches, toxicity, urls
+from tarnwork.llm import bpe, exact, lexical, lines, minhash, packing, runs, secrets, sharding, sketches, toxicity, urls
 
 QUERIES = {
     "op1_bottom_k_sketches": sketches.op1_bottom_k_sketches,
@@ -15,6 +15,8 @@ QUERIES = {
     "op8_byte_bpe": bpe.op8_byte_bpe,
     "op9_secret_scans": secrets.op9_secret_scans,
     "op10_cost_balanced_packing": packing.op10_cost_balanced_packing,
+    "op11_wand_search": lexical.op11_wand_search,
+    "op13_lyndon_runs": runs.op13_lyndon_runs,
 }
 
 SQL = {
@@ -22,4 +24,5 @@ SQL = {
     "op5_polynomial_exact_dedup": exact.OP5_SQL,
     "op7_line_dedup": lines.OP7_SQL,
     "op9_secret_scans": secrets.OP9_SQL,
+    "op11_wand_search": lexical.OP11_SQL,
 }

@@ -17,6 +17,8 @@ COLUMNS = {
     "op8_byte_bpe": "doc_id n_tokens ids_sha256 decoded_sha256",
     "op9_secret_scans": "doc_id n_assign n_access n_hex base_sha256 spans",
     "op10_cost_balanced_packing": "doc_id start length ids_crc32 doc_tokens sequence_id offset",
+    "op11_wand_search": "item_id rank doc_id score",
+    "op13_lyndon_runs": "doc_id n_runs start length period exponent_milli runs_sha256 collapsed_sha256",
 }
 
 
@@ -26,15 +28,16 @@ def test_query(spark, name):
     found = QUERIES[name](spark, SF_DIR)
     assert set(wanted) <= set(found.columns)
     rows = found.select(*wanted).collect()
-    table = "pages" if name.startswith("op2_") else "documents"
+    table = {"op2_": "pages", "op11": "benchmark"}.get(name[:4], "documents")
     ids = [r[0] for r in spark.read.parquet(f"{SF_DIR}/{table}.parquet").select(wanted[0]).collect()]
-    assert sorted({r[0] for r in rows}) == sorted(ids) and (len(rows) == len(ids) or name.startswith("op10_"))
+    assert sorted({r[0] for r in rows}) == sorted(ids) and (len(rows) == len(ids) or name.startswith(("op10_", "op11_")))
     if name.startswith("op4_"):
         assert {r.law for r in rows} == {"bytes"} and {r.grown_shard for r in rows} == {None}
     if name.startswith("op6_"):
         assert all(r.predicted == (r.score >= 0.7) and 0 <= r.score <= 1 for r in rows)
     if name in SQL:
         duck = duckdb.connect()
-        duck.sql(f"CREATE VIEW documents AS FROM '{SF_DIR}/documents.parquet'")
+        for view in ("documents", "benchmark"):
+            duck.sql(f"CREATE VIEW {view} AS FROM '{SF_DIR}/{view}.parquet'")
         expected = duck.sql(f"SELECT {', '.join(wanted)} FROM ({SQL[name]})").fetchall()
         assert sorted(map(tuple, rows), key=str) == sorted(expected, key=str)
