@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tarnwork.llm import bpe, exact, lexical, lines, minhash, packing, runs, secrets, sharding, sketches, toxicity, urls
+from tarnwork.llm import bitpack, bpe, exact, lexical, lines, minhash, packing, runs, secrets, sharding, sketches, toxicity, urls
 
 QUERIES = {
     "op1_bottom_k_sketches": sketches.op1_bottom_k_sketches,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_secret_scans": secrets.op9_secret_scans,
     "op10_cost_balanced_packing": packing.op10_cost_balanced_packing,
     "op11_wand_search": lexical.op11_wand_search,
+    "op12_bit_packed_ids": bitpack.op12_bit_packed_ids,
     "op13_lyndon_runs": runs.op13_lyndon_runs,
 }
 

@@ -18,6 +18,7 @@ COLUMNS = {
     "op9_secret_scans": "doc_id n_assign n_access n_hex base_sha256 spans",
     "op10_cost_balanced_packing": "doc_id start length ids_crc32 doc_tokens sequence_id offset",
     "op11_wand_search": "item_id rank doc_id score",
+    "op12_bit_packed_ids": "doc_id start n_tokens ids_crc32",
     "op13_lyndon_runs": "doc_id n_runs start length period exponent_milli runs_sha256 collapsed_sha256",
 }
 
