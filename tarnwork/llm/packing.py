@@ -16,6 +16,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,24 +24,35 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from tarnwork.llm._common import Lately, documents, ids_of_lists, slices
+from tarnwork.llm._common import documents, slices
 
 CAPACITY = 2048
 CLOSING_ID = 1
+#: Letters up to U+00FF, which have one lower case each.
+LETTERS = "^[A-Za-zªµºÀ-ÖØ-öø-ÿ]+$"
+#: Bytes of words that the table doesn't keep.
+LONG_WORD = 256
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
 class WordTokens:
-    """Ids of whole texts: white space separates what the tokenizer sees, so the ids of a word are looked up once."""
+    """Ids of whole texts: white space separates what the tokenizer sees, so the ids of a word are looked up once.
 
-    def __init__(self, path: str, kept: int = 100_000):
+    Words of letters lose their case, and the pattern parts them from commas and full stops that follow; so these are
+    looked up by themselves. The table of words is made of arrays, and has ``kept`` words at most: beyond that the half
+    that was used last stays.
+    """
+
+    def __init__(self, path: str, kept: int = 600_000):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), Lately(kept)
+        self.tokenizer, self.kept, self.turn = Tokenizer.from_file(path), kept, 0
         self.merge = self.tokenizer.model.tokenize
         # Bytes as the byte-level vocabularies write them: printable ones as themselves, the others from U+0100 on.
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         self.shown = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in printable)}
+        # The first word is the empty one, without ids; pool[ends[i]:ends[i + 1]] are those of word i.
+        self.words, self.pool, self.ends, self.used = pa.array([""]), np.empty(0, np.int32), np.zeros(2, np.int64), np.zeros(1, np.int64)
 
     def _alone(self, word: str) -> tuple[int, ...]:
         """Of letters that the normalizer and the pattern leave as they are: merged at once; else by the whole tokenizer."""
@@ -48,30 +60,56 @@ class WordTokens:
             return tuple([x.id for x in self.merge(word.encode().decode("latin-1").translate(self.shown))])
         return tuple(self.tokenizer.encode(word, add_special_tokens=False).ids)
 
-    def _known(self, word: str) -> tuple[int, ...]:
-        try:
-            return self.known[word]
-        except KeyError:
-            ids = self._alone(word)
-            if len(word) <= 64:
-                self.known.put(word, ids)
-            return ids
-
-    def of_words(self, words: list[str]) -> list[tuple[int, ...]]:
-        """The ids of each word. The pattern parts letters from what follows them, and the case of letters is lost."""
-        known, out = self._known, []
-        for word in words:
-            core = word.rstrip(",.")
-            if core.isalpha() and (core.isascii() or max(core) <= "\xff"):
-                out.append(known(core.lower()) + known(word[len(core) :]) if len(core) < len(word) else known(core.lower()))
-            else:
-                out.append(known(word))
-        return out
+    def _keep(self, at: np.ndarray) -> None:
+        """Only the words ``at`` these places stay, and the first."""
+        at = np.union1d(0, at)
+        n = np.diff(self.ends)[at]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        self.pool = self.pool[np.repeat(self.ends[at] - ends[:-1], n) + np.arange(ends[-1])]
+        self.words, self.ends, self.used = self.words.take(pa.array(at)), ends, self.used[at]
+
+    def places(self, words: pa.StringArray) -> np.ndarray:
+        """Where distinct words are in the table, to which new ones are added."""
+        self.turn += 1
+        if len(self.words) > self.kept:
+            self._keep(np.argsort(self.used, kind="stable")[-self.kept // 2 :])
+        at = pc.fill_null(pc.index_in(words, self.words), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            at[new] = len(self.words) + np.arange(len(new))
+            added = words.take(pa.array(new))
+            ids = [self._alone(w) for w in added.to_pylist()]
+            n = np.fromiter(map(len, ids), np.int64, len(ids))
+            self.words = pa.concat_arrays([self.words, added])
+            self.pool = np.concatenate([self.pool, np.fromiter(chain.from_iterable(ids), np.int32, int(n.sum()))])
+            self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(n)])
+            self.used = np.concatenate([self.used, np.zeros(len(new), np.int64)])
+        self.used[at] = self.turn
+        return at
 
     def ids(self, texts: pa.StringArray) -> list[np.ndarray]:
         """The ids of each text, with the closing one."""
-        ids, at = ids_of_lists(pc.ascii_split_whitespace(texts), self.of_words)
-        return [np.append(ids[at[i] : at[i + 1]], CLOSING_ID).astype("<u4") for i in range(len(texts))]
+        split = pc.ascii_split_whitespace(texts)
+        words, offsets = split.flatten(), split.offsets.to_numpy()
+        core = pc.utf8_rtrim(words, ",.")
+        letters = pc.match_substring_regex(core, LETTERS)
+        ended = np.flatnonzero(pc.and_(letters, pc.less(pc.binary_length(core), pc.binary_length(words))).to_numpy(zero_copy_only=False))
+        tails = pc.replace_substring_regex(words.take(pa.array(ended)), r"^.*?([,.]+)$", r"\1").dictionary_encode()
+        cores = pc.if_else(letters, pc.utf8_lower(core), words).dictionary_encode()
+        known = pc.unique(pa.concat_arrays([cores.dictionary, tails.dictionary]))
+        at = self.places(known)
+        of = lambda coded: at[pc.index_in(coded.dictionary, known).to_numpy(zero_copy_only=False)][coded.indices.to_numpy(zero_copy_only=False)]
+        # Each word's letters and then its tail, or the empty word.
+        parts = np.zeros(2 * len(words), np.int64)
+        parts[::2] = of(cores)
+        parts[2 * ended + 1] = of(tails)
+        n = np.diff(self.ends)[parts]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        ids = self.pool[np.repeat(self.ends[parts] - ends[:-1], n) + np.arange(ends[-1])]
+        if len(long := np.flatnonzero(pc.binary_length(known).to_numpy(zero_copy_only=False) > LONG_WORD)):
+            self._keep(np.setdiff1d(np.arange(len(self.words)), at[long]))
+        cuts = ends[2 * (offsets - offsets[0])]
+        return [np.append(ids[a:b], CLOSING_ID).astype("<u4") for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
 @lru_cache(maxsize=2)
