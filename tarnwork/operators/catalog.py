@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarnwork.functions.numbers import scale
+from tarnwork.functions.numbers import exact_product
 from tarnwork.functions.status import rule_status, stored_status
 from tarnwork.functions.text import normalize_identifier
+from tarnwork.functions.units import normalize_unit
 
 BOUNDS = ("min_value", "max_value", "normal_min", "normal_max", "critical_low_min", "critical_high_max")
 
@@ -34,17 +35,20 @@ def rules_for(rows: DataFrame, rules: DataFrame, type_units: DataFrame, *, test:
     return told.select(*rows.columns, F.coalesce("_rule", "_rule2").alias("rule"), source.alias("rule_source"))
 
 
-def rules_by_printed_unit(rows: DataFrame, rules: DataFrame, defaults: DataFrame, *, test: str = "test", unit: str = "unit", value: str = "value") -> DataFrame:
+def rules_by_printed_unit(rows: DataFrame, rules: DataFrame, defaults: DataFrame, *, units: DataFrame | None = None, test: str = "test", unit: str = "unit", value: str = "value") -> DataFrame:
     """``rows`` with ``status`` by the test's rule for the printed unit, else for its default one; values that are no numbers are ``UNKNOWN``.
 
-    ``defaults`` has ``test, unit``, a row for each test.
+    A unit is printed as its rule's name or, by ``units(name, symbol)``, as its symbol, in any spelling; a blank one is
+    none. A number with commas isn't one here. ``defaults`` has ``test, unit``, a row for each test.
     """
     own = defaults.select(F.col("test").alias("_of"), F.col("unit").alias("_default"))
-    told = rows.join(own, F.col(test) == F.col("_of"), "left")
-    told = rules_for(told, rules, rules.where("false")).withColumnsRenamed({"rule": "_printed_rule"}).drop("rule_source")
-    told = rules_for(told, rules, rules.where("false"), unit="_default")
+    told = rows.join(own, F.col(test) == F.col("_of"), "left").withColumn("_printed_unit", F.nullif(normalize_unit(unit), F.lit("")))
+    spelled = rules.join(units.groupBy(F.col("name").alias("unit")).agg(F.min("symbol").alias("_symbol")), "unit", "left") if units is not None else rules.withColumn("_symbol", F.lit(None).cast("string"))
+    spelled = spelled.withColumn("unit", F.explode(F.array_distinct(F.transform(F.array_compact(F.array("unit", "_symbol")), normalize_unit))))
+    told = rules_for(told, spelled, spelled.where("false"), test=test, unit="_printed_unit").withColumnsRenamed({"rule": "_printed_rule"}).drop("rule_source")
+    told = rules_for(told, rules, rules.where("false"), test=test, unit="_default")
     bounds = F.coalesce("_printed_rule", "rule")
-    number = F.regexp_replace(F.trim(value), ",", "").try_cast("decimal(18,4)")
+    number = F.trim(value).try_cast("decimal(18,4)")
     status = F.when(bounds.isNull(), "UNKNOWN").otherwise(rule_status(number, {b: bounds[b] for b in BOUNDS}))
     return told.select(*rows.columns, status.alias("status"))
 
@@ -52,22 +56,25 @@ def rules_by_printed_unit(rows: DataFrame, rules: DataFrame, defaults: DataFrame
 def validate_results(rows: DataFrame, rules: DataFrame, type_units: DataFrame, *, test: str = "test", unit: str = "unit", value: str = "value") -> DataFrame:
     """``rows`` with ``rule_source``, ``status`` and what is ``stored`` of it; all null where no rule is found."""
     told = rules_for(rows, rules, type_units, test=test, unit=unit)
-    status = F.when(F.col("rule_source").isNotNull(), rule_status(F.col(value).cast("decimal(18,4)"), {b: F.col(f"rule.{b}") for b in BOUNDS}))
+    status = F.when(F.col("rule_source").isNotNull(), rule_status(F.col(value).cast("string").try_cast("decimal(18,4)"), {b: F.col(f"rule.{b}") for b in BOUNDS}))
     return told.select(*rows.columns, "rule_source", status.alias("status"), stored_status(status).alias("stored"))
 
 
 def convert_results(rows: DataFrame, units: DataFrame, conversions: DataFrame, *, test: str = "test", unit: str = "unit", to: str = "to_unit", value: str = "value") -> DataFrame:
-    """``rows`` with ``new_value, new_unit, problem``: the value in the unit ``to``, which both are named or abbreviated.
+    """``rows`` with ``new_value, new_unit, problem``: the exact product, in the unit as it was asked for by ``to``.
 
-    A value that can't be converted stays, with its unit and the reason: no such unit, no active conversion, no number.
-    ``conversions`` has ``test, from_unit, to_unit, conversion_factor, is_active`` by names of units.
+    Both units are named or abbreviated. A value that can't be converted stays, with its unit and the reason: no unit to
+    convert from (blank or ``N/A``), no such unit, no test, no active conversion, no plain number. ``conversions`` has ``test, from_unit, to_unit, conversion_factor, is_active`` by names of units.
     """
     told = unit_names(unit_names(rows, units, unit=unit, to="_from"), units, unit=to, to="_to")
     factors = conversions.where("is_active").groupBy(F.col("test").alias("_test"), F.col("from_unit").alias("_a"), F.col("to_unit").alias("_b")).agg(F.min("conversion_factor").alias("_factor"))
     told = told.join(factors, (F.col(test) == F.col("_test")) & (F.col("_from") == F.col("_a")) & (F.col("_to") == F.col("_b")), "left")
-    told = told.withColumn("_new", scale(value, F.col("_factor")))
-    problem = F.when(F.col("_from").isNull() | F.col("_to").isNull(), "unknown unit").when(F.col("_factor").isNull(), "no conversion").when(F.col("_new").isNull(), "no number")
-    return told.select(*rows.columns, F.when(problem.isNull(), F.col("_new")).otherwise(F.col(value)).alias("new_value"), F.when(problem.isNull(), F.col("_to")).otherwise(F.col(unit)).alias("new_unit"), problem.alias("problem"))
+    told = told.withColumn("_new", exact_product(value, F.col("_factor")))
+    problem = (
+        F.when(F.coalesce(unit, F.lit("")).isin("", "N/A"), "no unit").when(F.col("_from").isNull() | F.col("_to").isNull(), "unknown unit")
+        .when(F.col(test).isNull(), "no test").when(F.col("_factor").isNull(), "no conversion").when(F.col("_new").isNull(), "no number")
+    )
+    return told.select(*rows.columns, F.when(problem.isNull(), F.col("_new")).otherwise(F.col(value)).alias("new_value"), F.when(problem.isNull(), F.col(to)).otherwise(F.col(unit)).alias("new_unit"), problem.alias("problem"))
 
 
 def supported_units(type_units: DataFrame, units: DataFrame) -> DataFrame:
@@ -84,15 +91,21 @@ def conversions_among(conversions: DataFrame, type_units: DataFrame) -> DataFram
     return kept
 
 
-def derived_ranges(type_units: DataFrame, conversions: DataFrame, defaults: DataFrame) -> DataFrame:
-    """``test, unit, normal_min, normal_max`` for further units: the default unit's range times the factor from it, or the reverse factor into it."""
+def derived_ranges(conversions: DataFrame, defaults: DataFrame) -> DataFrame:
+    """``test, unit, normal_min, normal_max, conversion_factor``: one row for each unit that a conversion leads to from the test's default one.
+
+    ``defaults(test, unit, normal_min, normal_max)`` has a row for each test. The range is the default one times the
+    factor from its unit, or, where only a conversion into it is known, times the reverse factor. Units that the test
+    doesn't list yet are included: ``merging.upsert`` puts the rows among those it has.
+    """
     base = defaults.select("test", F.col("unit").alias("_default"), "normal_min", "normal_max")
     rows = conversions.where("is_active").join(base, "test")
-    rows = rows.withColumn("unit", F.when(F.col("from_unit") == F.col("_default"), F.col("to_unit")).when(F.col("to_unit") == F.col("_default"), F.col("from_unit")))
-    rows = rows.withColumn("_f", F.when(F.col("from_unit") == F.col("_default"), F.col("conversion_factor")).otherwise(F.col("reverse_factor")))
-    known = type_units.select("test", "unit").distinct()
-    scaled = [F.round(F.col(c) * F.col("_f"), 4).cast("decimal(18,4)").alias(c) for c in ("normal_min", "normal_max")]
-    return rows.where("unit IS NOT NULL").join(known, ["test", "unit"], "left_semi").select("test", "unit", *scaled)
+    leads_away = F.col("from_unit") == F.col("_default")
+    rows = rows.where(leads_away | (F.col("to_unit") == F.col("_default")))
+    rows = rows.withColumns({"unit": F.when(leads_away, F.col("to_unit")).otherwise(F.col("from_unit")), "_factor": F.when(leads_away, F.col("conversion_factor")).otherwise(F.col("reverse_factor")), "_back": ~leads_away})
+    best = rows.groupBy("test", "unit").agg(F.min(F.struct("_back", "_factor", "normal_min", "normal_max")).alias("_r"))
+    scaled = [F.bround(F.col(f"_r.{c}") * F.col("_r._factor"), 4).cast("decimal(18,4)").alias(c) for c in ("normal_min", "normal_max")]
+    return best.select("test", "unit", *scaled, F.col("_r._factor").alias("conversion_factor"))
 
 
 def deactivate_rules(rules: DataFrame, type_units: DataFrame) -> DataFrame:

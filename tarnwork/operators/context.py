@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarnwork.functions.numbers import comparable_number
-from tarnwork.functions.status import range_status
+from tarnwork.functions.status import PRINTED_RANGE, range_status
 from tarnwork.operators.catalog import rules_by_printed_unit
 from tarnwork.operators.resolve import resolve_names
 
@@ -53,7 +53,7 @@ def serum_or_urine(rows: DataFrame, catalog: DataFrame, rules: DataFrame, *, tes
     """
     limits = rules.select(F.col("name").alias("_name"), F.nullif(F.col("normal_max").cast("double"), F.lit(0.0)).alias("_max"))
     v = comparable_number(value)
-    upper = F.nullif(F.regexp_extract(F.coalesce(printed, F.lit("")), r"(\d+\.?\d*)\s*[-–]\s*(\d+\.?\d*)", 2), F.lit("")).try_cast("double")
+    upper = F.nullif(F.regexp_extract(F.coalesce(printed, F.lit("")), PRINTED_RANGE, 2), F.lit("")).try_cast("double")
     serum, urine = F.coalesce("_max", F.lit(SERUM_CEILING)), F.coalesce("_max", F.lit(URINE_CEILING))
     is_urine = (v > serum * ABOVE_SERUM) | (v.isNotNull() & (upper > serum * RANGE_ABOVE_SERUM))
     wanted = F.when((F.col(test) == "creatinine") & is_urine, "urine_creatinine").when((F.col(test) == "urine_creatinine") & (v < urine / BELOW_URINE), "creatinine")

@@ -45,8 +45,13 @@ def replace_or_supplement(base: DataFrame, extra: DataFrame, *, keys: list[str],
     return first_occurrence(main.unionByName(added), keys=keys, order=["_rank", F.desc_nulls_last("priority")]).drop("_rank")
 
 
-def upsert(current: DataFrame, new: DataFrame, *, keys: list[str], protected: str | None = None) -> DataFrame:
-    """``current`` with the rows of ``new`` in place of those of equal keys; rows whose ``protected`` holds stay."""
+def upsert(current: DataFrame, new: DataFrame, *, keys: list[str], protected: str | None = None, order: list[str] | None = None) -> DataFrame:
+    """``current`` with the rows of ``new`` in place of those of equal keys; rows whose ``protected`` holds stay.
+
+    Of new rows of one key the last by ``order`` counts (without it, the one of greatest columns).
+    """
+    last = [F.col(c).desc_nulls_last() for c in (order or [c for c, kind in new.dtypes if not kind.startswith("map")])]
+    new = first_occurrence(new, keys=list(keys), order=last)
     if protected:
         new = new.join(current.where(F.coalesce(protected, F.lit(False))).select(*keys), keys, "left_anti")
     return current.join(new.select(*keys), keys, "left_anti").unionByName(new, allowMissingColumns=True)

@@ -61,12 +61,39 @@ def plottable(points: DataFrame, *, number: Column, day: str, status: str) -> Da
 
 
 def covered(adds: DataFrame, rows: DataFrame, *, group: str, test: str, name: str, order: str) -> DataFrame:
-    """``adds`` with ``covered``: their test, or without one their name, is in ``rows`` or in an earlier one of ``adds``."""
-    key = F.coalesce(F.concat(F.lit("t:"), test), F.concat(F.lit("n:"), F.lower(one_spaced(name))))
-    there = rows.select(group, key.alias("_key")).distinct().withColumn("_there", F.lit(True))
-    told = adds.withColumn("_key", key).join(there, [group, "_key"], "left")
-    again = F.row_number().over(Window.partitionBy(group, "_key").orderBy(order)) > 1
-    return told.withColumn("covered", F.coalesce("_there", F.lit(False)) | again).select(*adds.columns, "covered")
+    """``adds`` with ``covered``: whether ``rows``, or an earlier add that isn't covered itself, has the result already.
+
+    A result is known by its test. It is also known by its name, whatever its case and spaces, unless both the add and
+    all rows of that name are linked to tests, which then differ. Both tables have ``group, test, name``. Adds that rows
+    cover are found by joins; of those left, equal ones count once, and the different ones of a group are decided in order.
+    """
+    key = F.nullif(F.lower(one_spaced(F.coalesce(F.col(name), F.lit("")))), F.lit(""))
+    tests = rows.where(F.col(test).isNotNull()).select(F.col(group).alias("_g1"), F.col(test).alias("_t1")).distinct()
+    names = rows.select(F.col(group).alias("_g2"), key.alias("_n2"), F.col(test).alias("_t2")).where("_n2 IS NOT NULL").groupBy("_g2", "_n2").agg(F.bool_or(F.col("_t2").isNull()).alias("_unlinked"))
+    told = adds.withColumns({"_test": F.col(test), "_name": key})
+    told = told.join(tests, (F.col(group) == F.col("_g1")) & (F.col("_test") == F.col("_t1")), "left").join(names, (F.col(group) == F.col("_g2")) & (F.col("_name") == F.col("_n2")), "left")
+    told = told.withColumn("_known", F.col("_t1").isNotNull() | (F.col("_unlinked").isNotNull() & (F.col("_test").isNull() | F.col("_unlinked"))))
+    # A null test and a null name are no key: such adds are never covered.
+    keyed = F.col("_test").isNotNull() | F.col("_name").isNotNull()
+    first = F.row_number().over(Window.partitionBy(group, "_test", "_name").orderBy(order))
+    told = told.withColumn("_repeat", ~F.col("_known") & keyed & (first > 1))
+    open_ = told.where(~F.col("_known") & keyed & ~F.col("_repeat")).groupBy(group).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col("_test").alias("t"), F.col("_name").alias("n")))).alias("_adds"))
+    kinds = {c: adds.schema[c].dataType.simpleString() for c in (test,)}
+    start = F.struct(F.array().cast(f"array<{kinds[test]}>").alias("tests"), F.array().cast("array<string>").alias("names"), F.array().cast("array<string>").alias("bare"), F.array().cast(f"array<struct<t: {kinds[test]}, n: string>>").alias("gone"))
+
+    def step(s: Column, x: Column) -> Column:
+        by_test = x["t"].isNotNull() & F.array_contains(s["tests"], x["t"])
+        by_name = x["n"].isNotNull() & F.when(x["t"].isNull(), F.array_contains(s["names"], x["n"])).otherwise(F.array_contains(s["bare"], x["n"]))
+        gone = F.coalesce(by_test, F.lit(False)) | F.coalesce(by_name, F.lit(False))
+        put = lambda to, value, when: F.when(~gone & when, F.array_append(to, value)).otherwise(to)
+        return F.struct(
+            put(s["tests"], x["t"], x["t"].isNotNull()).alias("tests"), put(s["names"], x["n"], x["n"].isNotNull()).alias("names"),
+            put(s["bare"], x["n"], x["n"].isNotNull() & x["t"].isNull()).alias("bare"), F.when(gone, F.array_append(s["gone"], F.struct(x["t"].alias("t"), x["n"].alias("n")))).otherwise(s["gone"]).alias("gone"),
+        )
+
+    gone = open_.select(F.col(group).alias("_g3"), F.explode(F.aggregate("_adds", start, step, lambda s: s["gone"])).alias("_gone"))
+    same = (F.col(group) == F.col("_g3")) & F.col("_test").eqNullSafe(F.col("_gone.t")) & F.col("_name").eqNullSafe(F.col("_gone.n"))
+    return told.join(gone, same, "left").select(*adds.columns, (F.col("_known") | F.col("_repeat") | F.col("_gone").isNotNull()).alias("covered"))
 
 
 def confidence_summary(rows: DataFrame, *, by: list[str], confidence: str, sure: float = 0.7) -> DataFrame:

@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarnwork.functions.status import qualitative_status, range_status
-from tarnwork.functions.text import BOILERPLATE_HEADING, is_boilerplate, once, one_spaced, redact_line, tidy_name
+from tarnwork.functions.text import BOILERPLATE_HEADING, is_boilerplate, redact_line, trimmed
+from tarnwork.operators.catalog import rules_by_printed_unit
+from tarnwork.operators.context import serum_or_urine
+from tarnwork.operators.resolve import resolve_names
+from tarnwork.operators.row_grammars import NUMERIC_GRAMMARS, TABULAR_GRAMMARS, continued, parse_rows, section_end, section_header
 
 
 def explode_lines(docs: DataFrame, *, id: str, text: str) -> DataFrame:  # noqa: A002
@@ -65,88 +68,43 @@ def prepare_text(lines: DataFrame, *, doc: list[str], page: str, pos: str, line:
     return rows.where(~drop).withColumn(line, redact_line(line, known)).select(*lines.columns)
 
 
-# --- Rows of results -------------------------------------------------------------------------------------------------
-
-#: Spellings of units that rows print after a number, and words that are results by themselves.
-UNITS = (
-    r"(?:mg/dl|g/dl|gm/dl|gm%|mg%|ug/dl|µg/dl|mcg/dl|ng/ml|ng/dl|pg/ml|pg|fl|iu/l|u/l|miu/l|miu/ml|uiu/ml|µiu/ml|meq/l|mmol/l|umol/l|µmol/l|g/l|mg/l|ml/min(?:/1\.73\s*m2)?|mm/hr|"
-    r"cells/cu\.?mm|cells/cumm|/cumm|/cu\.?mm|/hpf|/lpf|thou/mm3|thousand/ul|mill/mm3|million/cumm|lakhs?/cumm|x?10\^?[36]/[uµ]l|/[uµ]l|seconds?|sec|ratio|index|%)"
-)
-QUALITATIVE = r"(?:negative|positive|non[\s-]*reactive|reactive|absent|present|nil|trace|not\s+detected|detected)"
-DESCRIPTIVE = r"(?:none\s+seen|clear|turbid|hazy|slightly\s+hazy|pale\s+yellow|dark\s+brown|yellow|straw|amber|occasional|few|many|adequate)"
-_NUM = r"[<>]?\s*\d[\d,]*(?:\.\d+)?"
-_REF = r"(?:[<>]=?\s*\d[\d,.]*|\d[\d,.]*\s*[-–]\s*\d[\d,.]*|up\s*to\s*\d[\d,.]*)"
-#: Words that stand at a line's end in prose, not as results.
-NOT_RESULTS = (
-    "disease", "disorder", "disorders", "symptoms", "syndrome", "infection", "infections", "allergens", "allergen", "test", "collection",
-    "centre", "center", "haematology", "hematology", "edta", "report", "lab", "calculated", "immunology", "immunogenetics", "serology",
-    "microbiology", "transplant", "category", "ratio", "index", "reactivity", "present",
-)
-#: Grammars in order: name, pattern, and the groups of name, value, unit and range (0: none).
-GRAMMARS = (
-    ("value_range_unit", rf"(?i)^(.+?)\s+({_NUM})\s+(?:(?:high|low|normal|h|l|n)\s+)?({_REF})\s+({UNITS})$", 1, 2, 4, 3),
-    ("tabular", rf"(?i)^(.+?)\s+({_NUM})\s+({UNITS})\s+({_REF})$", 1, 2, 3, 4),
-    ("right_anchored", rf"(?i)^(.+)\s+({_NUM})\s*({UNITS})$", 1, 2, 3, 0),
-    ("qualitative", rf"(?i)^(.+?)\s*[:\s]\s*({QUALITATIVE})(?:\s+({QUALITATIVE}))?$", 1, 2, 0, 3),
-    ("descriptive", rf"(?i)^(.+?)\s*[:\s]\s*({DESCRIPTIVE})$", 1, 2, 0, 0),
-    ("categorical", r"(?i)^(.*(?:group|factor|typing))\s*[:\s]\s*[\"']?([A-Za-z]{1,3}[+-]?|positive|negative)[\"']?$", 1, 2, 0, 0),
-    ("unitless", rf"(?i)^(.+?)\s+({_NUM})\s+({_REF})$", 1, 2, 0, 3),
-    ("simple", rf"(?i)^([A-Za-z][^:]*?)\s+({_NUM})$", 1, 2, 0, 0),
-    ("text_pair", rf"(?i)^([^;]{{2,55}}?)(?<!,)\s+(?!(?:{'|'.join(NOT_RESULTS)}|{QUALITATIVE})$)([A-Za-z][A-Za-z0-9-]{{0,30}})$", 1, 2, 0, 0),
-)
-NOISE = r"(?i)^\W*(?:page\b|note\b|comment|interpretation|method\b|reference\b|sample\b|specimen|collected|received|reported|patient|name\s*:|age\b|sex\b|ref\.?\s*by|dr\.?\s|lab\b|end\s+of|report\b)"
-
-
-def plausible_label(name: Column) -> Column:
-    """Short enough to be a test's name: at most 70 characters and 10 words, no colon, at least one letter."""
-    words = F.size(F.split(F.trim(name), r"\s+"))
-    prose = name.rlike(r"(?i)\b(?:should|please|kindly|may|which|because|patients?|recommended|considered)\b")
-    return (F.length(name) <= 70) & (words <= 10) & ~F.contains(name, F.lit(":")) & name.rlike("[A-Za-z]") & ~prose
-
-
-def parse_rows(lines: DataFrame, *, line: str, section: str | None = None, patterns: tuple = ()) -> DataFrame:
-    """``lines`` that hold a result, with ``grammar, raw_name, value, unit, reference_range, status, confidence``.
-
-    The first grammar that fits decides. ``patterns`` are further ones, of the same form, of lower precedence.
-    """
-    text, mark = F.col("_text"), "\x01"
-
-    def row(grammar) -> Column:
-        kind, pattern, *groups = grammar
-        # One run of the pattern: its groups, or nothing, between marks; a line that doesn't fit has no mark.
-        marked = F.regexp_replace(text, pattern, mark + mark.join(f"${g}" if g else "" for g in groups))
-
-        def fields(p: Column) -> Column:
-            part = lambda k: F.trim(p[k])
-            made = lambda label: F.struct(F.lit(kind).alias("grammar"), label.alias("raw_name"), part(2).alias("value"), part(3).alias("unit"), part(4).alias("reference_range"))
-            return F.when(F.size(p) == 5, once(tidy_name(part(1)), lambda label: F.when(plausible_label(label), made(label))))
-
-        return once(F.split(marked, mark), fields)
-
-    found = lines.withColumn("_text", F.replace(one_spaced(line), F.lit(mark), F.lit(" "))).where(~text.rlike(NOISE))
-    # Exploded, so that the grammars run once for all fields of a row and for its being there.
-    found = found.select("*", F.explode(F.filter(F.array(F.coalesce(*[row(g) for g in (*GRAMMARS, *patterns)])), lambda r: r.isNotNull())).alias("_row"))
-    worded = F.col("_row.grammar").isin("qualitative", "descriptive", "categorical", "text_pair")
-    status = F.when(worded, qualitative_status("_row.value", "_row.reference_range")).otherwise(range_status("_row.value", "_row.reference_range"))
-    confidence = F.when(F.col("_row.grammar").isin("value_range_unit", "tabular", "right_anchored"), 0.9).otherwise(0.85)
-    return found.select(*lines.columns, "_row.*", status.alias("status"), confidence.alias("confidence"))
-
-
 def distinct_rows(rows: DataFrame, *, doc: list[str], order: list[str], section: str = "section") -> DataFrame:
     """Of rows of one document with equal name, section and value, the first."""
     at = F.row_number().over(Window.partitionBy(*doc, F.lower("raw_name"), F.coalesce(section, F.lit("")), "value").orderBy(*order))
     return rows.withColumn("_at", at).where("_at = 1").drop("_at")
 
 
-def parse_report(docs: DataFrame, *, id: str, text: str) -> DataFrame:  # noqa: A002
-    """Typed rows from whole reports: lines, sections, continuations, grammars, first occurrences."""
-    lines = explode_lines(docs, id=id, text=text).where(one_spaced("line") != "")
-    header = F.when(F.col("line").rlike(r"(?i)^\W*(?:complete\s+)?urine\s+(?:examination|routine|analysis)"), "urine").when(F.col("line").rlike(r"(?i)^\W*differential\s+(?:leu[ck]ocyte\s+)?count\W*$"), "dlc").when(F.col("line").rlike(r"(?i)^\W*absolute\s+(?:leu[ck]ocyte\s+)?counts?\W*$"), "alc")
-    tagged = carry_section(lines, partition=[id], order=["line_no"], header=header, ends=F.col("line").rlike(r"(?i)^\W*(?:end\s+of\s+report|biochemistry|ha?ematology|serology)\W*$"))
-    alone = F.col("line").rlike(r"^[A-Za-z][A-Za-z ()./-]{2,60}$") & F.col("next_line").rlike(rf"(?i)^\s*{_NUM}\s*{UNITS}")
-    joined = join_continuations(tagged, partition=[id], order=["line_no"], line="line", continues=alone)
-    rows = parse_rows(joined, line="line").where(~((F.col("grammar") == "text_pair") & header.isNotNull()))
-    return distinct_rows(rows, doc=[id], order=["line_no"])
+def parse_report(docs: DataFrame, *, id: str, text: str, catalog: DataFrame | None = None, rules: DataFrame | None = None, defaults: DataFrame | None = None, limits: DataFrame | None = None, units: DataFrame | None = None, patterns: DataFrame | None = None) -> DataFrame:  # noqa: A002
+    """Typed rows from whole reports: lines, sections, continuations, grammars, first occurrences, and what the catalog says.
+
+    Args:
+        catalog: ``name, display_name, aliases`` of tests, to which names are resolved within their section; then an
+            analyte is told from another by its value, by ``limits(name, normal_max)``.
+        rules, defaults, units: as of ``rules_by_printed_unit``, for values whose printed range tells nothing.
+        patterns: as of ``parse_rows``, for lines that no grammar fits.
+
+    A line that no grammar fits takes in the next one where both together do; the next one is read by itself as well.
+    """
+    lines = explode_lines(docs.select(id, text), id=id, text=text).withColumn("line", trimmed("line"))
+    by = Window.partitionBy(id).orderBy("line_no")
+    lines = lines.withColumn("_next", F.lead("line").over(by)).where(F.length("line") >= 3)
+    lines = lines.withColumn("line", continued("line", "_next")).drop("_next")
+    header = section_header("line")
+    tagged = carry_section(lines, partition=[id], order=["line_no"], header=header, ends=section_end("line")).where(header.isNull())
+    rows = distinct_rows(parse_rows(tagged, line="line", patterns=patterns), doc=[id], order=["line_no"])
+    if catalog is None:
+        return rows
+    rows = resolve_names(rows, catalog, key=[id, "line_no"], printed="raw_name", context="section", unit="unit", value="value").withColumn("test", F.coalesce("pattern_test", "test"))
+    shown = catalog.groupBy(F.col("name").alias("_name")).agg(F.min("display_name").alias("_shown"))
+    if limits is not None:
+        rows = serum_or_urine(rows.withColumn("_range", F.col("reference_range")), catalog, limits, test="test", value="value", printed="_range").drop("_range")
+    if rules is not None and defaults is not None:
+        numeric = F.col("grammar").isin(*NUMERIC_GRAMMARS, "pattern")
+        told = rules_by_printed_unit(rows.withColumnRenamed("status", "_printed"), rules, defaults, units=units)
+        rows = told.withColumn("status", F.when((F.col("_printed") == "UNKNOWN") & numeric & F.col("test").isNotNull(), F.col("status")).otherwise(F.col("_printed"))).drop("_printed")
+    sure = F.when(F.col("grammar") == "pattern", F.col("confidence")).when(F.col("test").isNull(), F.col("confidence")).when(F.col("grammar").isin(*TABULAR_GRAMMARS), F.lit(0.9)).otherwise(F.lit(0.85))
+    told = rows.join(shown, F.col("test") == F.col("_name"), "left")
+    return told.select(*[c for c in rows.columns if c not in ("confidence", "test", "pattern_test")], "test", F.coalesce("_shown", "raw_name").alias("display_name"), sure.alias("confidence"))
 
 
 def locate_rows(rows: DataFrame, lines: DataFrame, *, doc: str, id: str, name: str, value: str) -> DataFrame:  # noqa: A002

@@ -67,7 +67,7 @@ def half_split(points: DataFrame, *, series: list[str], order: list[str], value:
     two points, or a first mean of 0, are no change.
     """
     better = F.coalesce(F.col(higher_is_better), F.lit(False)) if higher_is_better else F.lit(False)
-    rows = points.select(*series, F.col(value).cast("double").alias("_v"), better.alias("_better"), *[F.col(o).alias(f"_o{i}") for i, o in enumerate(order)])
+    rows = points.select(*series, F.col(value).cast("string").try_cast("double").alias("_v"), better.alias("_better"), *[F.col(o).alias(f"_o{i}") for i, o in enumerate(order)])
     by, placed = Window.partitionBy(*series), [f"_o{i}" for i in range(len(order))]
     rows = rows.withColumn("_better", F.first("_better").over(by.orderBy(*placed))).where("_v IS NOT NULL AND NOT isnan(_v)")
     rows = rows.withColumn("_at", F.row_number().over(by.orderBy(*placed))).withColumn("_n", F.count("*").over(by))

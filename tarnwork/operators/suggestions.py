@@ -48,10 +48,13 @@ def change_log(suggestions: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def apply_changes(rows: DataFrame, log: DataFrame) -> DataFrame:
-    """``rows(row_id, value)`` after the log: the last change of each row counts; one without an after removes it."""
+    """``rows(row_id, value)`` after the log: the last change of each row counts; one without an after removes it.
+
+    Rows without a value that no change touches stay.
+    """
     last = log.groupBy("row_id").agg(F.max_by(F.struct("after"), "change_id").alias("_last"))
-    folded = rows.join(last, "row_id", "full").select("row_id", F.when(F.col("_last").isNull(), F.col("value")).otherwise(F.col("_last.after")).alias("value"))
-    return folded.where("value IS NOT NULL")
+    folded = rows.join(last, "row_id", "full").where(F.col("_last").isNull() | F.col("_last.after").isNotNull())
+    return folded.select("row_id", F.when(F.col("_last").isNull(), F.col("value")).otherwise(F.col("_last.after")).alias("value"))
 
 
 def undo_changes(rows: DataFrame, log: DataFrame) -> tuple[DataFrame, DataFrame]:

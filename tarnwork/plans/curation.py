@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnwork.functions.text import redact_contacts
-from tarnwork.operators import merging, report_text, resolve, scoring, suggestions, tables
+from tarnwork.operators import merging, report_text, resolve, row_grammars, scoring, suggestions, tables
 from tarnwork.plans._read import read
 from tarnwork.plans.analytics import query
 
@@ -136,16 +136,98 @@ def redacted_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.sha2(F.encode("text", "UTF-8"), 256).alias("text_sha256"), (marks(F.col("text")) - F.col("before")).alias("n_redacted"))
 
 
-@query("""
-    SELECT l_orderkey, l_linenumber, 'tabular' AS grammar, 'Part ' || chr(CAST(65 + l_partkey % 26 AS INT)) || ' level' AS raw_name, CAST(CAST(l_quantity AS INT) AS VARCHAR) || '.5' AS value, 'mg/dL' AS unit, '10 - 40' AS reference_range,
-           CASE WHEN l_quantity + 0.5 < 10 THEN 'LOW' WHEN l_quantity + 0.5 > 40 THEN 'HIGH' ELSE 'NORMAL' END AS status, 0.9 AS confidence
-    FROM lineitem
+_LINES = {
+    # Line, grammar, label, value, unit, printed range; {q} is a quantity.
+    0: ("Part A level {q}.5 mg/dL 10 - 40", "tabular", "Part A level", "{q}.5", "mg/dL", "10 - 40"),
+    1: ("Base Excess -{q}.5 mmol/L", "tabular", "Base Excess", "-{q}.5", "mmol/L", ""),
+    2: ("Marker B <={q} mg/dL <20", "tabular", "Marker B", "<={q}", "mg/dL", "<20"),
+    3: ("Hemoglobin (Hb) {q}.00 Normal 13.00 - 17.00 g/dL", "value_range_unit", "Hemoglobin (Hb)", "{q}.00", "g/dL", "13.00 - 17.00"),
+    4: ("HBsAg Weak Positive Negative", "qualitative", "HBsAg", "Weak Positive", "", "Negative"),
+    5: ("Colour Dark Brown Brown", "descriptive", "Colour", "Dark Brown", "", "Brown"),
+    6: ("ABO Group AB", "categorical", "ABO Group", "AB", "", ""),
+    7: ("Synthesis Factor {q} 0.30 - 0.70 *", "unitless", "Synthesis Factor", "{q}", "", "0.30 - 0.70 *"),
+    8: ("pH {q}.0", "simple", "pH", "{q}.0", "", ""),
+    9: ("Type of Sample Urine", "text_pair", "Type of Sample", "Urine", "", ""),
+    10: ("Vitamin D 30 nmol/L {q} - 50 sufficient", "tabular", "Vitamin D", "30", "nmol/L", "{q} - 50 sufficient"),
+    11: ("HbA1c {q}.1 % Non-diabetic: < 5.7", "tabular", "HbA1c", "{q}.1", "%", "Non-diabetic: < 5.7"),
+    12: ("HIV Negative", "qualitative", "HIV", "Negative", "", ""),
+    13: ("Page 1 of 2",),
+    14: ("Levels of the disease {q}.0",),
+    15: ("Visit ID {q}",),
+}
+
+
+def _case(field: int) -> str:
+    """SQL that gives a field of ``_LINES`` by ``k``."""
+    quoted = lambda t: "'" + t.replace("{q}", "' || q || '") + "'"
+    return "CASE k " + " ".join(f"WHEN {k} THEN {quoted(x[field])}" for k, x in _LINES.items() if len(x) > field) + " END"
+
+
+@query(f"""
+    WITH l AS (SELECT l_orderkey, l_linenumber, (l_partkey + l_linenumber) % {len(_LINES)} AS k, CAST(CAST(l_quantity AS INT) AS VARCHAR) AS q FROM lineitem),
+    r AS (SELECT l_orderkey, l_linenumber, k, CAST(q AS INT) AS n, {_case(1)} AS grammar, {_case(2)} AS raw_name, {_case(3)} AS value, {_case(4)} AS unit, {_case(5)} AS reference_range FROM l)
+    SELECT l_orderkey, l_linenumber, grammar, raw_name, value, unit, reference_range,
+           CASE k WHEN 0 THEN CASE WHEN n + 0.5 < 10 THEN 'LOW' WHEN n + 0.5 > 40 THEN 'HIGH' ELSE 'NORMAL' END WHEN 2 THEN CASE WHEN n >= 20 THEN 'HIGH' ELSE 'NORMAL' END
+                  WHEN 3 THEN CASE WHEN n < 13 THEN 'LOW' WHEN n > 17 THEN 'HIGH' ELSE 'NORMAL' END WHEN 7 THEN CASE WHEN n < 0.3 THEN 'LOW' WHEN n > 0.7 THEN 'HIGH' ELSE 'NORMAL' END
+                  WHEN 10 THEN CASE WHEN 30 < n THEN 'LOW' WHEN 30 > 50 THEN 'HIGH' ELSE 'NORMAL' END WHEN 11 THEN CASE WHEN n + 0.1 >= 5.7 THEN 'HIGH' ELSE 'NORMAL' END WHEN 12 THEN 'NORMAL' ELSE 'UNKNOWN' END AS status,
+           CASE WHEN grammar IN ('tabular', 'value_range_unit') THEN 0.7 ELSE 0.75 END AS confidence
+    FROM r WHERE grammar IS NOT NULL
 """)
 def parsed_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Result lines made from line items, and read back by the grammars."""
-    name = F.concat(F.lit("Part "), F.chr((65 + F.col("l_partkey") % 26)), F.lit(" level "))
-    lines = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.concat(name, F.col("l_quantity").cast("int").cast("string"), F.lit(".5 mg/dL 10 - 40")).alias("line"))
-    return report_text.parse_rows(lines, line="line").drop("line")
+    """Lines of all kinds made from line items, noise among them, and read back by the grammars."""
+    quantity = F.col("l_quantity").cast("int").cast("string")
+    made = F.create_map(*[F.lit(x) for k, line in _LINES.items() for x in (k, line[0])])[((F.col("l_partkey") + F.col("l_linenumber")) % len(_LINES)).cast("int")]
+    lines = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.replace(made, F.lit("{q}"), quantity).alias("line"))
+    return row_grammars.parse_rows(lines, line="line").drop("line", "pattern_test")
+
+
+@query("""
+    WITH l AS (SELECT l_orderkey, l_linenumber, p_name, CAST(CAST(l_quantity AS INT) AS VARCHAR) || '.5' AS value, l_quantity + 0.5 AS v FROM lineitem JOIN part ON l_partkey = p_partkey),
+    d AS (SELECT * FROM l QUALIFY row_number() OVER (PARTITION BY l_orderkey, p_name, value ORDER BY l_linenumber, v) = 1)
+    SELECT l_orderkey, p_name AS raw_name, value, CASE WHEN l_orderkey % 2 = 0 THEN 'urine' END AS section, CASE WHEN l_orderkey % 2 = 1 THEN replace(p_name, ' ', '_') END AS test,
+           CASE WHEN l_orderkey % 2 = 1 THEN 'The ' || p_name ELSE p_name END AS display_name,
+           CASE WHEN l_orderkey % 2 = 0 THEN 'UNKNOWN' WHEN v < 10 THEN 'LOW' WHEN v > 40 THEN 'HIGH' ELSE 'NORMAL' END AS status, CASE WHEN l_orderkey % 2 = 1 THEN 0.9 ELSE 0.7 END AS confidence
+    FROM d
+""")
+def read_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each order as a report: its lines read, resolved within their section, and judged by rules where no range is printed."""
+    part = read(spark, sf_dir, "part")
+    rows = read(spark, sf_dir, "lineitem").join(part, F.col("l_partkey") == F.col("p_partkey"))
+    line = F.concat("p_name", F.lit(" "), F.col("l_quantity").cast("int").cast("string"), F.lit(".5 mg/dL"))
+    heading = F.when(F.col("l_orderkey") % 2 == 0, "URINE EXAMINATION").otherwise("LIPID PROFILE :")
+    text = F.concat_ws("\n", F.lit("Patient Name : Jane Roe"), heading, F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "line"))), lambda x: x["line"]), "\n"), F.lit("*** End Of Report ***"))
+    docs = rows.withColumn("line", line).groupBy("l_orderkey").agg(text.alias("text"))
+    names = part.select("p_name").distinct()
+    tests = names.select(F.translate("p_name", " ", "_").alias("name"), F.concat(F.lit("The "), "p_name").alias("display_name"), F.array().cast("array<string>").alias("aliases"))
+    rules = tests.select(F.col("name").alias("test"), F.lit("mg/dl").alias("unit"), F.lit(10).alias("normal_min"), F.lit(40).alias("normal_max"), F.lit(True).alias("is_active"))
+    found = report_text.parse_report(docs, id="l_orderkey", text="text", catalog=tests, rules=rules, defaults=rules.select("test", "unit"))
+    return found.select("l_orderkey", "raw_name", "value", "section", "test", "display_name", "status", "confidence")
+
+
+@query("""
+    WITH e AS (SELECT event_id, event_type, user_id, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events)
+    SELECT event_id, event_type || ' code' AS raw_name, 'test_' || event_type AS test, CAST(k AS VARCHAR) AS value, CASE WHEN event_type = 'error' THEN 'pts' ELSE 'N/A' END AS unit,
+           CASE WHEN event_type = 'error' THEN '3 - ' || CAST(user_id AS VARCHAR) ELSE '>' || CAST(user_id AS VARCHAR) END AS reference_range,
+           CASE WHEN event_type = 'error' THEN CASE WHEN k < 3 THEN 'LOW' WHEN k > user_id THEN 'HIGH' ELSE 'NORMAL' END ELSE CASE WHEN k <= user_id THEN 'LOW' ELSE 'NORMAL' END END AS status,
+           CASE WHEN event_type = 'error' THEN 0.8 ELSE 0.4 END AS confidence
+    FROM e WHERE event_type <> 'view'
+""")
+def pattern_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines that no grammar fits, read by a table of patterns: one row for each kind of event but inactive ones."""
+    events = read(spark, sf_dir, "events")
+    rows = events.select("event_id", "event_type", "user_id", F.get_json_object("props", "$.k").alias("k"))
+    limit = F.when(F.col("event_type") == "error", F.concat(F.lit("[3 - "), F.col("user_id").cast("string"), F.lit("]"))).otherwise(F.concat(F.lit("[> "), F.col("user_id").cast("string"), F.lit("]")))
+    lines = rows.select("event_id", F.concat(F.lit("Code: "), "event_type", F.lit(" code = "), "k", F.lit(" pts; "), limit, F.lit(" ::")).alias("line"))
+    kinds = events.select("event_type").distinct()
+    groups = F.when(F.col("event_type") == "error", F.concat(F.lit(r"(?P<the_name>"), "event_type", F.lit(r" code) = (?P<v>\d+) (PTS);"))).otherwise(F.concat(F.lit("("), "event_type", F.lit(r" code) = (\d+)")))
+    is_error = F.col("event_type") == "error"
+    patterns = kinds.select(
+        F.concat(F.lit("test_"), "event_type").alias("test"), F.col("event_type").alias("pattern_name"), groups.alias("regex_pattern"), F.when(is_error, 5).otherwise(2).alias("priority"),
+        F.lit(2).alias("value_group"), F.when(is_error, 3).alias("unit_group"), F.lit(None).cast("int").alias("range_group"), (F.col("event_type") != "view").alias("is_active"),
+    )
+    broken = patterns.limit(1).select(F.lit("a").alias("test"), F.lit("broken").alias("pattern_name"), F.lit("(").alias("regex_pattern"), F.lit(9).alias("priority"), "value_group", "unit_group", "range_group", F.lit(True).alias("is_active"))
+    found = row_grammars.parse_rows(lines, line="line", patterns=patterns.union(broken)).where("grammar = 'pattern'")
+    return found.select("event_id", "raw_name", F.col("pattern_test").alias("test"), "value", "unit", "reference_range", "status", F.round("confidence", 6).alias("confidence"))
 
 
 @query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events")

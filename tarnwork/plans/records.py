@@ -57,25 +57,27 @@ def validated_results(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-    WITH r AS (SELECT l_orderkey, l_linenumber, l_returnflag AS test, CASE WHEN l_linenumber % 2 = 0 THEN 'dozen' ELSE 'other' END AS unit, CAST(l_quantity AS INT) AS v FROM lineitem)
-    SELECT l_orderkey, l_linenumber, CASE WHEN test = 'A' THEN 'UNKNOWN' WHEN unit = 'dozen' OR test = 'R' THEN CASE WHEN test = 'R' AND unit = 'other' THEN 'UNKNOWN' WHEN v > 5 THEN 'INVALID_MAX' WHEN v < 1 THEN 'LOW' WHEN v > 4 THEN 'HIGH' ELSE 'NORMAL' END
+    WITH r AS (SELECT l_orderkey, l_linenumber, l_returnflag AS test, CASE WHEN l_linenumber % 2 = 0 THEN 'dozen' ELSE 'other' END AS unit, l_linenumber % 5 = 0 AS worded, CAST(l_quantity AS INT) AS v FROM lineitem)
+    SELECT l_orderkey, l_linenumber, CASE WHEN test = 'A' OR worded THEN 'UNKNOWN' WHEN unit = 'dozen' OR test = 'R' THEN CASE WHEN test = 'R' AND unit = 'other' THEN 'UNKNOWN' WHEN v > 5 THEN 'INVALID_MAX' WHEN v < 1 THEN 'LOW' WHEN v > 4 THEN 'HIGH' ELSE 'NORMAL' END
         WHEN v > 50 THEN 'INVALID_MAX' WHEN v < 3 THEN 'CRITICAL_LOW' WHEN v > 48 THEN 'CRITICAL_HIGH' WHEN v < 10 THEN 'LOW' WHEN v > 40 THEN 'HIGH' ELSE 'NORMAL' END AS status FROM r
 """)
 def printed_unit_statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Statuses by the rule for the printed unit, else for the test's default unit."""
-    rows = _results(spark, sf_dir).withColumn("unit", F.when(F.col("l_linenumber") % 2 == 0, "dozen").otherwise("other"))
+    """Statuses by the rule for the printed unit, by name or symbol in any spelling, else for the test's default unit; some numbers have commas."""
+    k = F.col("l_linenumber")
+    unit = F.when(k % 4 == 0, " DZ").when(k % 2 == 0, "Do zen").when(k == 1, "").otherwise("other")
+    rows = _results(spark, sf_dir).withColumns({"unit": unit, "value": F.when(k % 5 == 0, F.concat(F.lit("1,00"), "value")).otherwise(F.col("value"))})
+    units, _, _, rules = _tables(spark)
     defaults = spark.createDataFrame([("N", "each"), ("R", "each")], "test string, unit string")
-    return catalog.rules_by_printed_unit(rows, _tables(spark)[3], defaults).select("l_orderkey", "l_linenumber", "status")
+    return catalog.rules_by_printed_unit(rows, rules, defaults, units=units).select("l_orderkey", "l_linenumber", "status")
 
 
 @query("""
-    WITH r AS (SELECT l_orderkey, l_linenumber, l_returnflag AS test, l_linenumber % 3 AS k, CAST(l_quantity AS INT) AS v FROM lineitem),
-    c AS (SELECT *, CASE WHEN test = 'N' AND k = 1 THEN v * 0.08333333 END AS x FROM r)
-    SELECT l_orderkey, l_linenumber, CASE WHEN x IS NULL THEN CAST(v AS VARCHAR) ELSE CASE WHEN x < 1 THEN rtrim(rtrim(CAST(CAST(x AS DECIMAL(20, 3)) AS VARCHAR), '0'), '.') ELSE rtrim(rtrim(CAST(CAST(x AS DECIMAL(20, 2)) AS VARCHAR), '0'), '.') END END AS new_value,
-           CASE WHEN x IS NULL THEN CASE k WHEN 0 THEN 'ea' WHEN 1 THEN 'each' ELSE 'dz' END ELSE 'dozen' END AS new_unit, CASE WHEN x IS NULL THEN 'no conversion' END AS problem FROM c
+    WITH r AS (SELECT l_orderkey, l_linenumber, l_returnflag AS test, l_linenumber % 3 AS k, CAST(l_quantity AS INT) AS v FROM lineitem)
+    SELECT l_orderkey, l_linenumber, CASE WHEN test = 'N' AND k = 1 THEN CAST(CAST(v AS DECIMAL(10, 0)) * CAST('0.08333333' AS DECIMAL(15, 8)) AS VARCHAR) ELSE CAST(v AS VARCHAR) END AS new_value,
+           CASE WHEN test = 'N' AND k = 1 THEN 'dz' ELSE CASE k WHEN 0 THEN 'ea' WHEN 1 THEN 'each' ELSE 'dz' END END AS new_unit, CASE WHEN test = 'N' AND k = 1 THEN NULL ELSE 'no conversion' END AS problem FROM r
 """)
 def converted_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Quantities in dozens where an active conversion leads there."""
+    """Quantities in dozens where an active conversion leads there: the exact product, in the unit as asked for."""
     units, conversions, _, _ = _tables(spark)
     return catalog.convert_results(_results(spark, sf_dir).withColumn("to_unit", F.lit("dz")), units, conversions).select("l_orderkey", "l_linenumber", "new_value", "new_unit", "problem")
 
@@ -91,24 +93,47 @@ def available_conversions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.conversions_among(conversions, type_units).select("test", "from_unit", "to_unit")
 
 
-@query("SELECT * FROM (VALUES ('N', 'dozen', 'dz'), ('N', 'each', 'ea'), ('R', 'each', 'ea')) t(test, name, symbol)")
+def _nation_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Units of nations, as of tests: by supplier; active where one of the suppliers has a positive balance."""
+    return read(spark, sf_dir, "supplier").groupBy(F.col("s_nationkey").alias("test"), (F.col("s_suppkey") % 7).cast("string").alias("unit")).agg(F.bool_or(F.col("s_acctbal") > 0).alias("is_active"))
+
+
+@query("""
+    WITH u AS (SELECT s_nationkey AS test, CAST(s_suppkey % 7 AS VARCHAR) AS name FROM supplier GROUP BY ALL HAVING bool_or(s_acctbal > 0))
+    SELECT test, name, 'u' || name AS symbol FROM u WHERE name IN (SELECT CAST(p_size % 6 AS VARCHAR) FROM part)
+""")
 def supported_units(spark: SparkSession, sf_dir: str) -> DataFrame:
-    units, _, type_units, _ = _tables(spark)
-    return catalog.supported_units(type_units, units)
+    """The active units of each nation, with their symbols."""
+    units = read(spark, sf_dir, "part").select((F.col("p_size") % 6).cast("string").alias("name")).distinct().withColumn("symbol", F.concat(F.lit("u"), "name"))
+    return catalog.supported_units(_nation_units(spark, sf_dir), units)
 
 
-@query("SELECT 'N' AS test, 'dozen' AS unit, CAST(0.8333 AS DOUBLE) AS normal_min, CAST(3.3333 AS DOUBLE) AS normal_max UNION ALL SELECT 'N', 'dozen', 0.8333, 3.3333")
+@query("""
+    WITH c AS (SELECT c_nationkey AS test, c_custkey % 7 AS a, c_custkey % 5 AS b, max(1 + c_custkey % 3) AS f, max(2 + c_custkey % 4) AS r FROM customer WHERE c_custkey % 7 <> c_custkey % 5 GROUP BY ALL),
+    d AS (SELECT n_nationkey AS test, n_nationkey + 1 AS low, 10 * (n_nationkey + 1) AS high FROM nation),
+    x AS (SELECT test, b AS unit, f AS factor, 0 AS back FROM c WHERE a = 0 UNION ALL SELECT test, a, r, 1 FROM c WHERE b = 0),
+    y AS (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY test, unit ORDER BY back) = 1)
+    SELECT test, CAST(unit AS VARCHAR) AS unit, CAST(low * factor AS DOUBLE) AS normal_min, CAST(high * factor AS DOUBLE) AS normal_max FROM y JOIN d USING (test)
+""")
 def derived_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The range in dozens from that in pieces, by the factor and by the reverse factor."""
-    _, conversions, type_units, _ = _tables(spark)
-    found = catalog.derived_ranges(type_units, conversions, type_units.where("unit = 'each'"))
+    """Ranges of nations' further units from that of unit 0: one row for each, however many conversions there are."""
+    key = F.col("c_custkey")
+    conversions = read(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("test"), (key % 7).cast("string").alias("from_unit"), (key % 5).cast("string").alias("to_unit")).agg(F.max(1 + key % 3).cast("decimal(15,8)").alias("conversion_factor"), F.max(2 + key % 4).cast("decimal(15,8)").alias("reverse_factor"))
+    conversions = conversions.where("from_unit <> to_unit").withColumn("is_active", F.lit(True))
+    low = F.col("n_nationkey") + 1
+    defaults = read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("test"), F.lit("0").alias("unit"), low.cast("decimal(10,4)").alias("normal_min"), (10 * low).cast("decimal(10,4)").alias("normal_max"))
+    found = catalog.derived_ranges(conversions, defaults).drop("conversion_factor")
     return found.withColumns({c: F.col(c).cast("double") for c in ("normal_min", "normal_max")})
 
 
-@query("SELECT * FROM (VALUES ('N', 'each', true), ('N', 'dozen', true), ('R', 'dozen', false)) t(test, unit, is_active)")
+@query("""
+    WITH u AS (SELECT s_nationkey AS test, CAST(s_suppkey % 7 AS VARCHAR) AS unit FROM supplier GROUP BY ALL HAVING bool_or(s_acctbal > 0))
+    SELECT DISTINCT c_nationkey AS test, CAST(c_custkey % 7 AS VARCHAR) AS unit, EXISTS (SELECT 1 FROM u WHERE u.test = c_nationkey AND u.unit = CAST(c_custkey % 7 AS VARCHAR)) AS is_active FROM customer
+""")
 def deactivated_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, _, type_units, rules = _tables(spark)
-    return catalog.deactivate_rules(rules, type_units).select("test", "unit", "is_active")
+    """A rule for each unit of a nation's customers; those of units that no supplier of the nation has any more are switched off."""
+    rules = read(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("test"), (F.col("c_custkey") % 7).cast("string").alias("unit"), F.lit(True).alias("is_active")).distinct()
+    return catalog.deactivate_rules(rules, _nation_units(spark, sf_dir))
 
 
 @query("""
@@ -176,12 +201,17 @@ def confident_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-    SELECT l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_orderkey, l_returnflag ORDER BY l_linenumber) > 1 OR (l_returnflag = 'R' AND EXISTS (SELECT 1 FROM orders WHERE o_orderkey = l_orderkey AND o_orderstatus = 'F')) AS covered FROM lineitem
+    SELECT l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_orderkey, l_returnflag ORDER BY l_linenumber) > 1 OR (o_orderstatus = 'F' AND l_returnflag IN ('R', 'N')) OR (o_orderstatus = 'P' AND l_returnflag IN ('N', 'A')) AS covered
+    FROM lineitem LEFT JOIN orders ON o_orderkey = l_orderkey
 """)
 def covered_adds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Added tests that a finished order has, or an earlier line adds."""
+    """Added tests that an order has by link or by name, or that an earlier line adds.
+
+    Finished orders have R under another name and an unlinked N, pending ones a linked row of name A.
+    """
     adds = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.when(F.col("l_returnflag") != "A", F.col("l_returnflag")).alias("test"), F.col("l_returnflag").alias("name"))
-    rows = read(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("l_orderkey"), F.lit("R").alias("test"), F.lit("x").alias("name"))
+    known = spark.createDataFrame([("F", "R", "x"), ("F", None, " n"), ("P", "N", "a")], "o_orderstatus string, test string, name string")
+    rows = read(spark, sf_dir, "orders").join(F.broadcast(known), "o_orderstatus").select(F.col("o_orderkey").alias("l_orderkey"), "test", "name")
     return records.covered(adds, rows, group="l_orderkey", test="test", name="name", order="l_linenumber").select("l_orderkey", "l_linenumber", "covered")
 
 

@@ -80,7 +80,7 @@ def test_sections_equal_a_fold(spark):
 
 
 def test_lines_of_a_report_become_rows(spark):
-    report = "\n".join(["Patient : X", "Hemoglobin 15.00 g/dL 13.00 - 17.00", "Basophils 1.00 % <2.00", "CRP <10 mg/L <10", "TOTAL LEUCOCYTE COUNT (TLC) 11,050 cells/cu.mm 4000-10000", "Hemoglobin (Hb) 13.00 Normal 13.00 - 17.00 g/dL", "Note: sample hemolyzed", "HBsAg : Negative", "URINE EXAMINATION", "Pus cells 2 /hpf", "Hemoglobin 15.00 g/dL 13.00 - 17.00"])
+    report = "\n".join(["Patient : X", "Hemoglobin 15.00 g/dL 13.00 - 17.00", "Basophils 1.00 % <2.00", "CRP <10 mg/L <10", "TOTAL LEUCOCYTE COUNT (TLC) 11,050 cells/cu.mm 4000-10000", "Hemoglobin (Hb) 13.00 Normal 13.00 - 17.00 g/dL", "Note: sample hemolyzed", "HBsAg Negative", "HIV : Negative", "URINE EXAMINATION", "Pus cells 2 /hpf", "Hemoglobin 15.00 g/dL 13.00 - 17.00"])
     docs = spark.createDataFrame([(1, report)], "id int, text string")
     rows = report_text.parse_report(docs, id="id", text="text").orderBy("line_no").collect()
     assert [(r.raw_name, r.value, r.unit, r.status, r.section) for r in rows] == [
