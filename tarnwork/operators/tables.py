@@ -16,11 +16,11 @@ def _plain(cell: Column) -> Column:
 
 
 def html_rows(html: Column | str) -> Column:
-    """``array<array<string>>``: the cells of the first table's rows."""
-    first = F.regexp_extract(F.coalesce(col(html), F.lit("")), r"(?is)<table\b[^>]*>(.*?)</table>", 1)
-    rows = F.regexp_extract_all(first, F.lit(r"(?is)<tr\b[^>]*>(.*?)</tr>"), F.lit(1))
-    cells = F.transform(rows, lambda r: F.transform(F.regexp_extract_all(r, F.lit(r"(?is)<t[dh]\b[^>]*>(.*?)</t[dh]>"), F.lit(1)), _plain))
-    return F.filter(cells, lambda r: F.size(r) > 0)
+    """``array<array<string>>``: the rows with a filled cell of the first table that has any; one that isn't closed counts."""
+    tables = F.regexp_extract_all(F.coalesce(col(html), F.lit("")), F.lit(r"(?is)<table\b[^>]*>(.*?)(?:</table>|\z)"), F.lit(1))
+    cells = lambda row: F.transform(F.regexp_extract_all(row, F.lit(r"(?is)<t[dh]\b[^>]*>(.*?)</t[dh]>"), F.lit(1)), _plain)
+    rows = lambda t: F.filter(F.transform(F.regexp_extract_all(t, F.lit(r"(?is)<tr\b[^>]*>(.*?)</tr>"), F.lit(1)), cells), lambda r: F.exists(r, lambda c: c != ""))
+    return F.coalesce(F.get(F.filter(F.transform(tables, rows), lambda t: F.size(t) > 0), F.lit(0)), F.array().cast("array<array<string>>"))
 
 
 def html_items(html: Column | str, tag: str) -> Column:

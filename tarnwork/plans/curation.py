@@ -242,12 +242,6 @@ def pages_with_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "pages").select("page_id", F.col("html").rlike("(?i)<table").alias("has_table"))
 
 
-@query()
-def html_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cells of each page's first table; nested quantifiers over markup differ between SQL engines."""
-    return tables.explode_table(read(spark, sf_dir, "pages"), id="page_id", html="html")
-
-
 @query()
 def resolved_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Part names resolved against the catalog of part types and names."""
