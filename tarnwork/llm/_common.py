@@ -76,6 +76,11 @@ def small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def quoted(column: str) -> str:
+    """A column's name as Spark parses it, whatever it is made of."""
+    return "`" + column.replace("`", "``") + "`"
+
+
 def sha256_hex(text: Column) -> Column:
     return F.sha2(F.encode(text, "UTF-8"), 256)
 

@@ -31,7 +31,7 @@ from math import log2
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnwork.llm._common import SPACE_CLASS, discard, documents, materialize, small
+from tarnwork.llm._common import discard, documents, materialize, quoted, small, SPACE_CLASS
 
 SLOTS = 1 << 16
 PERCENT = 80
@@ -194,7 +194,7 @@ def remove_lines(docs: DataFrame, removed: DataFrame) -> DataFrame:
     """``docs`` without the lines ``removed(doc_id, text_key, line_no)``; other columns stay, but ``n_chars`` follows the text."""
     joined, text, _ = _thinned(docs, removed)
     new = {"text": text.alias("text"), "n_chars": F.length(text).cast("long").alias("n_chars")}
-    return joined.select(*[new[c] if c in new else docs[f"`{c}`"] for c in docs.columns])
+    return joined.select(*[new[c] if c in new else docs[quoted(c)] for c in docs.columns])
 
 
 def dedup_lines(docs: DataFrame, **options) -> DataFrame:

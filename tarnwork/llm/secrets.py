@@ -19,7 +19,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tarnwork.llm._common import documents, materialize, sha256_hex, small
+from tarnwork.llm._common import documents, materialize, quoted, sha256_hex, small
 
 
 class Rule(NamedTuple):
@@ -127,7 +127,7 @@ def redact_secrets(docs: DataFrame, mark: str = "[secret]", rules: tuple[Rule, .
     joined = docs.join(marked, sha256_hex(F.coalesce(text, F.lit(""))) == marked["blob"], "left")
     new_text = F.when(places.isNull(), text).otherwise(clean)
     new = {"text": new_text.alias("text"), "n_chars": F.length(new_text).cast("long").alias("n_chars")}
-    return joined.select(*[new[c] if c in new else docs[f"`{c}`"] for c in docs.columns])
+    return joined.select(*[new[c] if c in new else docs[quoted(c)] for c in docs.columns])
 
 
 def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
