@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarnwork.functions.numbers import exact_product
 from tarnwork.functions.status import rule_status, stored_status
-from tarnwork.functions.text import normalize_identifier
+from tarnwork.functions.text import normalize_identifier, suggest_key
 from tarnwork.functions.units import normalize_unit
 
 BOUNDS = ("min_value", "max_value", "normal_min", "normal_max", "critical_low_min", "critical_high_max")
@@ -128,6 +128,26 @@ def both_directions(conversions: DataFrame) -> DataFrame:
     return conversions.select(*keys, F.col("conversion_factor").cast("decimal(15,8)").alias("conversion_factor")).unionByName(reverse.join(conversions.select(*keys), keys, "left_anti"))
 
 
+def free_keys(new: DataFrame, existing: DataFrame, *, name: str, order: list[str], key: str = "key") -> DataFrame:
+    """``new`` with a key of its own for each row: its name's slug if that is free, else with the smallest free number from 2 on.
+
+    Rows of one slug are served by ``order``. Taken are the keys of ``existing`` and, as numbers, slugs of other new rows.
+    A name without letters and digits gets no key.
+    """
+    slug = suggest_key(name)
+    rows = new.withColumn("_slug", slug).withColumn("_nth", F.row_number().over(Window.partitionBy("_slug").orderBy(*order)))
+    keys = existing.select(F.col(key).alias("_key")).unionByName(rows.where(F.col("_slug").rlike(r"_\d+$")).select(F.col("_slug").alias("_key"))).distinct()
+    bare = existing.select(F.col(key).alias("_base"), F.lit(1).alias("_number"))
+    numbered = keys.where(F.col("_key").rlike(r"_[1-9]\d{0,8}$")).select(F.regexp_replace("_key", r"_\d+$", "").alias("_base"), F.regexp_extract("_key", r"_(\d+)$", 1).cast("int").alias("_number")).where("_number >= 2")
+    taken = bare.unionByName(numbered).distinct().withColumn("_at", F.row_number().over(Window.partitionBy("_base").orderBy("_number")))
+    # So many free numbers lie below each taken one; the nth free one comes after all with less than n of them.
+    gaps = taken.groupBy("_base").agg(F.array_sort(F.collect_list(F.col("_number") - F.col("_at"))).alias("_free_below"))
+    told = rows.join(gaps, F.col("_slug") == F.col("_base"), "left")
+    number = F.col("_nth") + F.coalesce(F.size(F.filter("_free_below", lambda below: below < F.col("_nth"))), F.lit(0))
+    made = F.when(number == 1, F.col("_slug")).otherwise(F.concat_ws("_", "_slug", number.cast("string")))
+    return told.select(*new.columns, F.when(F.col("_slug") != "", made).alias(key))
+
+
 def aliases_contain(aliases: Column | str, query: str) -> Column:
     """One of the aliases contains the query, whatever the case."""
     return F.exists(aliases, lambda a: F.contains(F.lower(a), F.lit(query.lower())))

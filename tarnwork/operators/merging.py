@@ -30,19 +30,28 @@ def larger_source(sources: list[DataFrame], *, keys: list[str]) -> DataFrame:
     return both.join(best, [*keys, "source"], "left_semi")
 
 
-def replace_or_supplement(base: DataFrame, extra: DataFrame, *, keys: list[str], group: list[str]) -> DataFrame:
+def replace_or_supplement(base: DataFrame, extra: DataFrame, *, keys: list[str], group: list[str], reader: str = "reader", order: list[str] | None = None) -> DataFrame:
     """Plug-in rows ``extra(…, mode, priority)`` over ``base``.
 
+    Of replacing readers of one priority the first by name counts, where ``extra`` has a column ``reader``. Rows of one
+    supplement follow each other by ``order``; base and replacing rows all stay.
+
     Of the replacing ones only those of the highest priority count, and they take the place of the group's base rows;
     supplementing ones are added unless their keys are there already, higher priorities first.
     """
     highest = Window.partitionBy(*group, "mode")
-    ranked = extra.withColumn("_top", F.max("priority").over(highest))
-    replacing = ranked.where("mode = 'replace' AND priority = _top").drop("_top", "mode")
+    name = F.col(reader) if reader in extra.columns else F.lit(0)
+    ranked = extra.withColumn("_top", F.min(F.struct(-F.col("priority"), name)).over(highest))
+    replacing = ranked.where((F.col("mode") == "replace") & (F.struct(-F.col("priority"), name) == F.col("_top"))).drop("_top", "mode")
     kept = base.join(replacing.select(*group).distinct(), group, "left_anti").withColumn("priority", F.lit(None).cast("int"))
-    main = kept.unionByName(replacing.select(*kept.columns)).withColumn("_rank", F.lit(0))
-    added = ranked.where("mode = 'supplement'").select(*kept.columns).withColumn("_rank", F.lit(1))
-    return first_occurrence(main.unionByName(added), keys=keys, order=["_rank", F.desc_nulls_last("priority")]).drop("_rank")
+    main = kept.unionByName(replacing.select(*kept.columns))
+    same = None
+    for k in keys:
+        equal = F.col(k).eqNullSafe(F.col(f"_there_{k}"))
+        same = equal if same is None else same & equal
+    there = main.select(*[F.col(k).alias(f"_there_{k}") for k in keys]).distinct()
+    added = ranked.where("mode = 'supplement'").select(*kept.columns).join(there, same, "left_anti")
+    return main.unionByName(first_occurrence(added, keys=keys, order=[F.desc_nulls_last("priority"), *([reader] if reader in kept.columns else []), *(order or [])]))
 
 
 def upsert(current: DataFrame, new: DataFrame, *, keys: list[str], protected: str | None = None, order: list[str] | None = None) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from types import SimpleNamespace
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -281,14 +279,6 @@ def planned_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.plan_parts(lines, doc="doc_id", order="line_no", size="size", budget=2000)
 
 
-@query()
-def plugin_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A user-defined reader over conversations."""
-    reader = SimpleNamespace(name="first_words", priority=1, mode="supplement", matches=lambda text: bool(text), parse=lambda text: [("first", text.split()[0])])
-    turns = read(spark, sf_dir, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("id"), "text")
-    return scoring.plugin_rows(turns, [reader], id="id", text="text")
-
-
 @query("""
     SELECT o_orderkey AS row_id, CASE WHEN o_orderkey % 7 = 0 THEN o_orderpriority || ' new' ELSE o_orderpriority END AS value FROM orders WHERE o_orderkey % 11 <> 0
 """)
