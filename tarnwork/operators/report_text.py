@@ -107,9 +107,27 @@ def parse_report(docs: DataFrame, *, id: str, text: str, catalog: DataFrame | No
     return told.select(*[c for c in rows.columns if c not in ("confidence", "test", "pattern_test")], "test", F.coalesce("_shown", "raw_name").alias("display_name"), sure.alias("confidence"))
 
 
-def locate_rows(rows: DataFrame, lines: DataFrame, *, doc: str, id: str, name: str, value: str) -> DataFrame:  # noqa: A002
-    """The first line that holds a row's value beside the first word of its name; null if there is none."""
-    word = F.lower(F.regexp_extract(name, r"(\w+)", 1))
-    at = lines.select(F.col(doc).alias("_doc"), F.col("line_no").alias("_no"), F.lower("line").alias("_line"))
-    hits = rows.join(at, (F.col(doc) == F.col("_doc")) & F.contains("_line", F.lower(value)) & F.contains("_line", word))
-    return rows.join(hits.groupBy(id).agg(F.min("_no").alias("line_no")), id, "left")
+def locate_rows(rows: DataFrame, lines: DataFrame, *, doc: str, id: str, name: str, value: str, recorded: DataFrame | None = None) -> DataFrame:  # noqa: A002
+    """``rows`` with ``line_no``: where each was printed among ``lines({doc}, line_no, line)``; null where it isn't found.
+
+    That is the line ``recorded({id}, line_no)`` for it, if the document has it; else the first line that holds the value
+    by itself and the first word of the name, of three letters or more. Lines are looked up by a word or sign of the value
+    among their own, so rows meet only lines of their document that have it.
+    """
+    signs = lambda text, pattern: F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    tokens = lambda text: F.array_distinct(F.concat(signs(text, r"(?U)\w+"), signs(text, r"(?U)[^\w\s]")))
+    low = F.lower(F.col("line"))
+    postings = lines.select(F.col(doc).alias("_doc"), F.col("line_no").alias("_no"), low.alias("_line"), F.explode(tokens(low)).alias("_token"))
+    own, word = trimmed(F.lower(F.coalesce(value, F.lit("")))), F.regexp_extract(F.lower(F.coalesce(name, F.lit(""))), "[a-z]{3,}", 0)
+    first = F.coalesce(*[F.nullif(F.regexp_extract(own, p, 0), F.lit("")) for p in (r"(?U)\w+", r"(?U)[^\w\s]")])
+    asked = rows.select(F.col(id).alias("_id"), F.col(doc).alias("_of"), own.alias("_own"), word.alias("_word"), first.alias("_first")).where("_own <> '' AND _word <> ''")
+    alone = F.concat(F.lit(r"(?U)(?<![\w.])\Q"), F.replace(F.col("_own"), F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit(r"\E(?!\w)"))
+    hits = asked.join(postings, (F.col("_of") == F.col("_doc")) & (F.col("_first") == F.col("_token"))).where(F.contains("_line", F.col("_word")) & F.rlike("_line", alone))
+    found = hits.groupBy("_id").agg(F.min("_no").alias("_found"))
+    told = rows.join(found, F.col(id) == F.col("_id"), "left")
+    if recorded is None:
+        return told.select(*rows.columns, F.col("_found").alias("line_no"))
+    ends = lines.groupBy(F.col(doc).alias("_doc")).agg(F.max("line_no").alias("_last"))
+    noted = recorded.groupBy(F.col(id).alias("_noted_id")).agg(F.min("line_no").alias("_noted"))
+    told = told.join(noted, F.col(id) == F.col("_noted_id"), "left").join(ends, F.col(doc) == F.col("_doc"), "left")
+    return told.select(*rows.columns, F.coalesce(F.when(F.col("_noted").between(0, F.col("_last")), F.col("_noted")), "_found").alias("line_no"))

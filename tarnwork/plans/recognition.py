@@ -68,3 +68,17 @@ def two_readers(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = report_text.distinct_rows(read_lines.withColumnRenamed("name", "raw_name"), doc=["l_orderkey"], order=["line_no"]).withColumnRenamed("raw_name", "name").select("l_orderkey", *columns)
     second = lambda some: recognised.read_recognised(some, id="l_orderkey", text="text").select("l_orderkey", *columns)
     return recognised.hybrid_rows(docs, first, second, id="l_orderkey", text="text", keys=[F.lower("name"), F.col("value")])[1]
+
+
+@query("""
+    WITH l AS (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_quantity) - 1 AS n, p_name, CAST(l_quantity AS INT) AS q FROM lineitem JOIN part ON l_partkey = p_partkey)
+    SELECT l_orderkey * 100 + n AS row_id, CAST(CASE WHEN l_orderkey % 4 = 0 THEN n ELSE (SELECT min(x.n) FROM l x WHERE x.l_orderkey = l.l_orderkey AND x.q = l.q AND contains(x.p_name, regexp_extract(l.p_name, '[a-z]{3,}'))) END AS INT) AS line_no FROM l
+""")
+def located_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each order's results are printed in its text; for every fourth order a reader has recorded it."""
+    rows = _lines(spark, sf_dir).groupBy("l_orderkey").agg(F.array_sort(F.collect_list("x")).alias("xs"))
+    docs = rows.select("l_orderkey", F.posexplode("xs").alias("line_no", "x"))
+    lines = docs.select("l_orderkey", "line_no", F.concat_ws(" ", F.upper("x.name"), "x.value", F.lit("mg/dL 1"), F.concat(F.lit("0"), "x.value")).alias("line"))
+    asked = docs.select("l_orderkey", (F.col("l_orderkey") * 100 + F.col("line_no")).alias("row_id"), "x.name", "x.value", "line_no")
+    recorded = asked.where("l_orderkey % 4 = 0").select("row_id", "line_no")
+    return report_text.locate_rows(asked.drop("line_no"), lines, doc="l_orderkey", id="row_id", name="name", value="value", recorded=recorded).select("row_id", "line_no")

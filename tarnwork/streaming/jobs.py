@@ -17,10 +17,11 @@ PHASES = ("waiting", "thinking", "writing")
 ORDER = {"queued": "PENDING", "started": "PROCESSING", "finished": "COMPLETED", "failed": "FAILED"}
 
 
-def job_states(events: DataFrame, *, timeout_ms: int = 3_600_000) -> DataFrame:
+def job_states(events: DataFrame, *, timeout_ms: int = 3_600_000, queued_ms: int = 86_400_000) -> DataFrame:
     """``job_id, run_id, status`` of each job after each batch of ``events(job_id long, run_id long, event, ts)``.
 
-    Events of an older run than the newest are ignored; a job without events for ``timeout_ms`` fails.
+    Events of an older run than the newest are ignored. A running job without events for ``timeout_ms`` fails, and so does
+    one that has waited in the queue for ``queued_ms``; its state goes.
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -37,7 +38,7 @@ def job_states(events: DataFrame, *, timeout_ms: int = 3_600_000) -> DataFrame:
             state.remove() if state.exists else None
         else:
             state.update((run, status))
-            state.setTimeoutDuration(timeout_ms)
+            state.setTimeoutDuration(timeout_ms if status == "PROCESSING" else queued_ms)
         yield pd.DataFrame([(key[0], run, status)], columns=["job_id", "run_id", "status"])
 
     return events.groupBy("job_id").applyInPandasWithState(step, "job_id long, run_id long, status string", "run_id long, status string", "update", GroupStateTimeout.ProcessingTimeTimeout)

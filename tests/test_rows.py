@@ -112,3 +112,24 @@ def test_rows_without_values_and_repeated_keys_stay_right(spark):
     new = spark.createDataFrame([(1, "x", 1), (1, "y", 2), (9, "z", 1)], "row_id int, value string, at int")
     found = merging.upsert(rows.withColumn("at", F.lit(0)), new, keys=["row_id"], order=["at"])
     assert sorted((r.row_id, r.value) for r in found.collect()) == [(1, "y"), (2, None), (3, "c"), (9, "z")]
+
+
+def test_rows_are_located(spark):
+    import re
+
+    texts = {1: ["Glucose 12.5 mg", "glucose 2.5 x", "Ketones +", "Note 2.5", "Glucose: <10 (a.b)", "Sodium 140"], 2: ["Sodium 1140 140.5", "SODIUM (140)", "A\\Eb Sodium \\Q"], 3: []}
+    lines = spark.createDataFrame([(d, i, x) for d, t in texts.items() for i, x in enumerate(t)], "doc int, line_no int, line string")
+    asked = [(1, "Glucose", "2.5"), (1, "Glucose, F", "12.5"), (1, "Ketones", "+"), (1, "Glucose", "<10"), (1, "Na", "140"), (1, "Sodium", ""), (2, "Sodium", "140"), (2, "Sodium x", "\\Q"), (2, "Sodium", "A\\Eb"), (3, "Sodium", "1"), (1, None, "1"), (1, "Sodium", None)]
+    rows = spark.createDataFrame([(i, *a) for i, a in enumerate(asked)], "id int, doc int, name string, value string")
+
+    def plain(doc, name, value):
+        words, value = re.findall("[a-z]{3,}", (name or "").lower()), (value or "").strip()
+        if not words or not value:
+            return None
+        return next((i for i, x in enumerate(texts[doc]) if words[0] in x.lower() and re.search(rf"(?<![\w.]){re.escape(value)}(?!\w)", x, re.I)), None)
+
+    found = {r.id: r.line_no for r in report_text.locate_rows(rows, lines, doc="doc", id="id", name="name", value="value").collect()}
+    assert found == {i: plain(*a) for i, a in enumerate(asked)} and sum(x is not None for x in found.values()) == 7
+    recorded = spark.createDataFrame([(0, 5), (1, 99), (4, 2)], "id int, line_no int")
+    told = {r.id: r.line_no for r in report_text.locate_rows(rows, lines, doc="doc", id="id", name="name", value="value", recorded=recorded).collect()}
+    assert told == found | {0: 5, 4: 2}

@@ -39,3 +39,20 @@ def test_progress_is_told_on_new_phases_and_after_two_seconds(spark, tmp_path):
     told = jobs.throttled_progress(stream).select("job_id", "phase", F.second("ts").alias("s"))
     told.writeStream.outputMode("append").format("memory").queryName("told").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination(90)
     assert sorted(map(tuple, spark.table("told").collect())) == [(1, "thinking", 1), (1, "thinking", 3), (1, "waiting", 0), (2, "waiting", 2)]
+
+
+def test_queued_and_running_jobs_have_their_own_time(spark, tmp_path):
+    folder, name = tmp_path / "in", "timed_jobs"
+    put = lambda rows, n: spark.createDataFrame(rows, "job_id long, run_id long, event string, ts long").coalesce(1).write.parquet(str(folder / f"n={n}"))
+    put([(1, 1, "queued", 1), (2, 1, "started", 1), (3, 1, "queued", 1), (3, 1, "started", 2)], 1)
+    stream = spark.readStream.schema("job_id long, run_id long, event string, ts long").parquet(str(folder) + "/n=*")
+    for limits, lost in (({"timeout_ms": 500, "queued_ms": 10**8}, {2, 3}), ({"timeout_ms": 10**8, "queued_ms": 500}, {1})):
+        name += "x"
+        query = jobs.job_states(stream, **limits).writeStream.outputMode("update").format("memory").queryName(name).option("checkpointLocation", str(tmp_path / name)).start()
+        failed = lambda: {r.job_id for r in spark.table(name).where("status = 'FAILED'").collect()}  # noqa: E731,B023
+        ends = time.time() + 60  # processing-time timeouts keep the query going
+        while failed() != lost and time.time() < ends:
+            time.sleep(0.2)
+        time.sleep(1)
+        query.stop()
+        assert failed() == lost
