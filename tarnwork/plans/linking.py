@@ -80,12 +80,12 @@ def relink_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-    WITH t AS (SELECT p_name, min(p_type) AS alias FROM part GROUP BY p_name), n AS (SELECT alias, count(*) AS n FROM t GROUP BY alias)
+    WITH t AS (SELECT p_name, arg_min(p_type || ' ' || p_brand, p_partkey) AS alias FROM part GROUP BY p_name), n AS (SELECT alias, count(*) AS n FROM t GROUP BY alias)
     SELECT replace(a.p_name, ' ', '_') AS name, a.alias AS text, replace(b.p_name, ' ', '_') AS other FROM t a JOIN n USING (alias) JOIN t b ON a.alias = b.alias AND a.p_name <> b.p_name WHERE n = 2
 """)
 def name_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tests named by parts, with their first type as an alias, that would be read as another test; an alias of three tests is read as none."""
-    rows = read(spark, sf_dir, "part").groupBy("p_name").agg(F.min("p_type").alias("alias"))
+    """Tests named by parts, with the type and brand of their first part as an alias, that would be read as another test; an alias of three tests is read as none."""
+    rows = read(spark, sf_dir, "part").groupBy("p_name").agg(F.min_by(F.concat_ws(" ", "p_type", "p_brand"), "p_partkey").alias("alias"))
     return relinking.conflicting_names(_tests(rows, "p_name", "alias"))
 
 
