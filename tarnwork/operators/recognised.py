@@ -15,7 +15,7 @@ from tarnwork.functions.status import flag_status
 from tarnwork.functions.text import col, once, one_spaced, trimmed
 from tarnwork.operators.merging import first_occurrence
 from tarnwork.operators.report_text import explode_lines
-from tarnwork.operators.row_grammars import CATEGORICAL, DESCRIPTIVE, NUMBER, QUALITATIVE, QUALITATIVE_VALUES, TABULAR, UNITS, WORD_RESULT
+from tarnwork.operators.row_grammars import NUMBER, QUALITATIVE_VALUES, UNITS, WORD_RESULT, fits
 from tarnwork.operators.tables import html_rows
 
 # What a cell or line holds, lines that are no names, and the words that tell a table's columns.
@@ -174,7 +174,7 @@ def reading_quality(docs: DataFrame, rows: DataFrame, *, id: str, text: str, lea
     Three rows are enough, unless eight lines or more look like results and the rows are less than half of them. A long
     text may have fewer: one row, or of five such lines or more two and half of them.
     """
-    looks = lambda x: (F.length(x) >= 5) & (x.rlike(TABULAR) | x.rlike(QUALITATIVE) | x.rlike(DESCRIPTIVE) | x.rlike(CATEGORICAL))
+    looks = lambda x: (F.length(x) >= 5) & (fits(x, "tabular", "qualitative", "descriptive", "categorical"))
     # Exploded, so that the patterns run compiled.
     lines = explode_lines(docs.select(id, text), id=id, text=text).groupBy(id).agg(F.count_if(looks(trimmed("line"))).alias("n_lines"))
     counts = rows.groupBy(id).agg(F.count("*").alias("n_rows"))

@@ -68,17 +68,19 @@ TABULAR_GRAMMARS = ("value_range_unit", "tabular", "right_anchored")
 NUMERIC_GRAMMARS = (*TABULAR_GRAMMARS, "unitless", "simple")
 #: Name, pattern, the groups of label, value, unit and range (0: none), and what a line needs for a try.
 GRAMMARS = (
-    ("value_range_unit", VALUE_RANGE_UNIT, (1, 2, 4, 3), r"\d"),
-    ("tabular", TABULAR, (1, 2, 3, 4), r"\d"),
-    ("right_anchored", RIGHT_ANCHORED, (1, 2, 3, 4), r"\d"),
+    ("value_range_unit", VALUE_RANGE_UNIT, (1, 2, 4, 3), rf"{ANY_CASE}\d\s+{UNIT}\s*$"),
+    ("tabular", TABULAR, (1, 2, 3, 4), rf"{ANY_CASE}\d\s+{UNIT}"),
+    ("right_anchored", RIGHT_ANCHORED, (1, 2, 3, 4), rf"{ANY_CASE}\d\s+{UNIT}"),
     ("qualitative", QUALITATIVE, (1, 2, 3, 4), rf"(?i)\s{WORD_RESULT}"),
     ("descriptive", DESCRIPTIVE, (1, 2, 3, 4), rf"(?i)\s{DESCRIPTION}\s"),
     ("categorical", CATEGORICAL, (1, 2, 0, 0), r"(?i)group|factor|typing|blood type"),
-    ("unitless", UNITLESS, (1, 2, 0, 3), r"\d"),
-    ("simple", SIMPLE, (1, 2, 0, 0), r"\d$"),
+    ("unitless", UNITLESS, (1, 2, 0, 3), rf"\s{NUMBER}\s+\d"),
+    ("simple", SIMPLE, (1, 2, 0, 0), rf"\s{NUMBER}$"),
     ("text_pair", TEXT_PAIR, (1, 2, 0, 0), r"(?i)[a-z0-9-]$"),
 )
 
+_BY_KIND = {kind: (pattern, needs) for kind, pattern, _, needs in GRAMMARS}
+
 # Lines that are no rows, whatever their letters' case, and in the case as it is.
 NOISE = (
     r"^\s*Page\s+\d+\s+(?:of|/)\s+\d+", r"^\s*Name\s*:", r"^\s*Patient\s+Name\b", r"^\s*Age\s*(?:/|:|\s+Gender)\b", r"^\s*Gender\s*:",
@@ -115,16 +117,25 @@ SPECIMEN_LABEL = r"\b(?:type of sample|sample type|specimen type|specimen)\b"
 NOT_PAIRED = ("iv", "im", "po", "sc", "collection", "centre", "center", "test")
 
 
+def fits(line: Column, *kinds: str) -> Column:
+    """One of the grammars' patterns fits the line; what a pattern needs is looked for first."""
+    found = F.lit(False)
+    for kind in kinds:
+        pattern, needs = _BY_KIND[kind]
+        found = found | (line.rlike(needs) & line.rlike(pattern))
+    return found
+
+
 def is_noise(line: Column | str) -> Column:
     """Not a row: fields of the report's head and foot, notes, people; count headings that hold a result are none."""
     line = col(line)
     noise = line.rlike("(?i)" + "|".join(NOISE)) | line.rlike("|".join(NOISE_AS_IT_IS))
-    return noise & ~(line.rlike(COUNT_HEADING) & (line.rlike(TABULAR) | has_right_anchored(line)))
+    return noise & ~(line.rlike(COUNT_HEADING) & (fits(line, "tabular") | has_right_anchored(line)))
 
 
 def has_right_anchored(line: Column) -> Column:
     """A number and a unit, with something before them."""
-    return F.length(trimmed(F.regexp_extract(line, RIGHT_ANCHORED, 1))) > 0
+    return line.rlike(_BY_KIND["right_anchored"][1]) & (F.length(trimmed(F.regexp_extract(line, RIGHT_ANCHORED, 1))) > 0)
 
 
 def plausible_label(name: Column | str, value: Column | str | None = None) -> Column:
@@ -135,7 +146,7 @@ def plausible_label(name: Column | str, value: Column | str | None = None) -> Co
     name = col(name)
     low = F.lower(name)
     fits = (F.length(name) >= 2) & (F.length(name) <= 70) & (F.size(F.split(trimmed(name), r"(?U)\s+")) <= 10)
-    other = name.rlike(r"^\d+$|:|\.$|,\S") | low.rlike(PROSE) | low.rlike(OTHER_LABELS) | low.rlike("^(?:" + "|".join(OTHER_FIELDS) + ")")
+    other = name.rlike(r"^\d+$|:|\.$|,\S") | low.rlike(rf"^(?:{'|'.join(OTHER_FIELDS)})|{OTHER_LABELS}|{PROSE}")
     if value is None:
         return fits & ~other
     word = F.lower(col(value))
@@ -166,10 +177,10 @@ def section_end(line: Column | str) -> Column:
 def continued(line: Column | str, following: Column | str) -> Column:
     """``line`` with the following one, where it is no row by itself, the next isn't either, and both together are one."""
     line, following = col(line), col(following)
-    row = lambda c: c.rlike(TABULAR) | has_right_anchored(c) | c.rlike(QUALITATIVE) | c.rlike(DESCRIPTIVE) | c.rlike(CATEGORICAL) | c.rlike(UNITLESS)
-    own = following.rlike("^[A-Za-z]") & (row(following) | following.rlike(SIMPLE) | following.rlike(TEXT_PAIR))
+    row = lambda c: fits(c, "tabular", "qualitative", "descriptive", "categorical", "unitless") | has_right_anchored(c)
+    own = following.rlike("^[A-Za-z]") & (row(following) | fits(following, "simple", "text_pair"))
     both = F.concat_ws(" ", line, following)
-    joins = (F.length(F.coalesce(following, F.lit(""))) > 0) & ~row(line) & ~own & (both.rlike(TABULAR) | both.rlike(QUALITATIVE))
+    joins = (F.length(F.coalesce(following, F.lit(""))) > 0) & ~row(line) & ~own & fits(both, "tabular", "qualitative")
     return F.when(joins, both).otherwise(line)
 
 
@@ -183,14 +194,18 @@ def _row(text: Column, grammar: tuple) -> Column:
     marked = F.regexp_replace(text, pattern, _MARK + _MARK.join(f"${g}" if g else "" for g in groups))
 
     def fields(p: Column) -> Column:
-        name, value = trimmed(p[1]), trimmed(p[2])
+        # Trimmed once, however often the label is looked at.
+        return F.when(F.size(p) == 5, once(F.transform(p, trimmed), told))
+
+    def told(p: Column) -> Column:
+        name, value = p[1], p[2]
         good = plausible_label(name, value) if kind == "text_pair" else plausible_label(name)
         if kind == "simple":
             good = good & ~holds_unit(name)
         if kind == "text_pair":
             good = good & ~name.rlike(r",$|;") & ~F.lower(value).isin(*QUALITATIVE_VALUES)
-        made = F.struct(F.lit(kind).alias("grammar"), F.when(good, name).alias("raw_name"), value.alias("value"), trimmed(p[3]).alias("unit"), trimmed(p[4]).alias("reference_range"))
-        return F.when((F.size(p) == 5) & (name != ""), made)
+        made = F.struct(F.lit(kind).alias("grammar"), F.when(good, name).alias("raw_name"), value.alias("value"), p[3].alias("unit"), p[4].alias("reference_range"))
+        return F.when(name != "", made)
 
     return F.when(text.rlike(needs), once(F.split(marked, _MARK), fields))
 
