@@ -68,12 +68,16 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
 
-def small(df: DataFrame, rows: int) -> DataFrame:
+def small(df: DataFrame, rows: int, size: int | None = None) -> DataFrame:
     """``df`` with a broadcast hint where a count shows that it has at most ``rows`` rows; else as it is.
 
-    Give a materialised ``df``: the count reads it.
+    With ``size``, these may also take no more bytes, as JSON. Give a materialised ``df``: the count reads it.
     """
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    if size is None:
+        return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    taken = F.sum(F.octet_length(F.to_json(F.struct("*"))))
+    n, taken = df.limit(rows + 1).agg(F.count("*"), taken).first()
+    return F.broadcast(df) if n <= rows and (taken or 0) <= size else df
 
 
 def quoted(column: str) -> str:

@@ -9,7 +9,7 @@ to an even share; a host is blocked if its distrust reaches ``threshold`` and ex
 Edges come from the absolute links in the pages, one for each pair of hosts with the number of links as its weight,
 and from each host to the parent it is a subdomain of, and back, up to the registered domain; their weight is one by
 the number of the parent's children. A parent needs no pages of its own: scores reach siblings through it. All tables
-are host-level and stay in Spark; each round writes its scores.
+are host-level and stay in Spark; scores are written after every few rounds.
 
 Defined results: a url that is null or has no ``://`` has an empty host and path, fits no rule and is allowed; null
 html has no links; repeated rows count as further pages; an empty table gives no rows; further columns are not carried.
@@ -17,12 +17,13 @@ html has no links; repeated rows count as further pages; an empty table gives no
 
 from __future__ import annotations
 
+import math
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnwork.llm._common import ascii_lower, materialize, small, table
+from tarnwork.llm._common import ascii_lower, discard, materialize, small, table
 
 
 class UrlRule(NamedTuple):
@@ -44,6 +45,10 @@ RULES = (
 )
 #: Hosts whose registered domain has three labels, as that of a.b.co.uk; a fixed stand-in for the list of public suffixes.
 SECOND_LEVEL = r"\.(?:co|com|net|org|gov|edu|ac)\.[a-z]{2}$"
+#: Scores along links and against them.
+KINDS = ("trust", "distrust")
+#: Edges of one host that a task meets at once, rounds between two writings, and bytes that may be broadcast.
+HUB, STRIDE, BROADCAST = 50_000, 8, 32_000_000
 LINK = r"""(?i)href\s*=\s*["']?(?:https?:)?//([^/?#"'\s<>]+)"""
 
 
@@ -83,54 +88,101 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return links.union(both).groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
 
 
-def personalised_pagerank(edges: DataFrame, seeds: DataFrame, *, damping: float = 0.85, rounds: int = 20, tolerance: float = 1e-6) -> DataFrame:
-    """``host, score`` after spreading the weights of ``seeds(host, weight)``, which sum up to 1, along ``edges``.
+def _in_pieces(rows: DataFrame, host: str, hubs: DataFrame | None) -> DataFrame:
+    """``rows`` once for each piece of their host's edges."""
+    if hubs is None:
+        return rows.withColumn("piece", F.lit(0))
+    return rows.join(hubs.withColumnRenamed("hub", host), host, "left").withColumn("piece", F.explode(F.sequence(F.lit(0), F.coalesce("pieces", F.lit(1)) - 1))).drop("pieces")
 
-    What a host without links out would pass on goes back to the seeds. Hosts that nothing reaches have no row.
+
+def _spread_once(scores: DataFrame, moves: DataFrame, seeds: DataFrame, hubs: DataFrame | None) -> DataFrame:
+    """What the seeds give and what ``scores`` pass on, by host."""
+    sent = _in_pieces(scores.withColumnRenamed("host", "src"), "src", hubs)
+    got = sent.join(moves, ["src"] if hubs is None else ["src", "piece"]).select(F.col("dst").alias("host"), *[(F.col(c) * F.col(f"{c}_share")).alias(c) for c in KINDS])
+    return got.union(seeds).groupBy("host").agg(*[F.sum(c).alias(c) for c in KINDS])
+
+
+def spread_scores(edges: DataFrame, seeds: DataFrame, *, damping: float = 0.85, tolerance: float = 1e-6, rounds: int | None = None) -> DataFrame:
+    """``host, trust, distrust``: personalised PageRank along ``edges(src, dst, weight)``, and against them.
+
+    ``seeds(host, trust, distrust)`` are weights that sum up to 1, or to 0. A score is what arrives over walks of any
+    length, scaled to a sum of 1; so what a host without links out would pass on goes back to the seeds. Rounds end when
+    the scores of all hosts together are off by at most ``tolerance``: that is so once ``2 * damping / (1 - damping)``
+    times the last growth of the sum is no more, and after ``log(tolerance * (1 - damping) / 2) / log(damping)`` rounds
+    in any case. ``rounds`` ends them earlier. Hosts that nothing reaches have no row.
+
+    Both directions are columns of one table, which is written after every ``STRIDE`` rounds. The edges of a host are met
+    in pieces of some ``HUB``, so that no task has all those of a hub.
     """
-    out = edges.groupBy("src").agg(F.sum("weight").alias("total"))
-    shares = materialize(edges.join(out, "src").select("src", "dst", (F.col("weight") / F.col("total")).alias("share")), "rank-shares")
-    seeds = materialize(seeds.select("host", (F.col("weight") / 1.0).alias("seed")), "rank-seeds")
-    scores = seeds.select("host", F.col("seed").alias("score"))
-    for _ in range(rounds):
-        passed = scores.join(shares, scores["host"] == shares["src"]).groupBy(F.col("dst").alias("host")).agg(F.sum(F.col("score") * F.col("share")).alias("got"))
-        moved = passed.join(seeds, "host", "full").select("host", F.coalesce("got", F.lit(0.0)).alias("got"), F.coalesce("seed", F.lit(0.0)).alias("seed"))
-        lost = 1.0 - damping * (moved.agg(F.sum("got")).first()[0] or 0.0)
-        new = materialize(moved.select("host", (damping * F.col("got") + lost * F.col("seed")).alias("score")), "rank-scores")
-        change = new.join(scores.withColumnRenamed("score", "old"), "host", "left").agg(F.sum(F.abs(F.col("score") - F.coalesce("old", F.lit(0.0))))).first()[0]
-        scores = new
-        if (change or 0.0) < tolerance:
+    both = edges.select("src", "dst", F.col("weight").alias("trust_weight"), F.lit(0.0).alias("distrust_weight"))
+    both = both.union(edges.select("dst", "src", F.lit(0.0), "weight")).groupBy("src", "dst").agg(F.sum("trust_weight").alias("trust_weight"), F.sum("distrust_weight").alias("distrust_weight"))
+    pairs = materialize(both, "rank-pairs")
+    pieces = F.ceil(F.count("*") / F.lit(HUB)).cast("int").alias("pieces")
+    nodes = materialize(pairs.groupBy("src").agg(*[F.sum(f"{c}_weight").alias(f"{c}_total") for c in KINDS], pieces), "rank-nodes")
+    hubs = nodes.where("pieces > 1").select(F.col("src").alias("hub"), "pieces")
+    hubs = None if hubs.isEmpty() else small(hubs, 100_000, BROADCAST)
+    totals = _in_pieces(nodes.drop("pieces"), "src", hubs)
+    if hubs is None:
+        placed = pairs.withColumn("piece", F.lit(0))
+    else:
+        piece = F.coalesce(F.pmod(F.xxhash64("dst"), F.col("pieces")), F.lit(0)).cast("int")
+        placed = pairs.join(hubs.withColumnRenamed("hub", "src"), "src", "left").withColumn("piece", piece).drop("pieces")
+    share = lambda c: F.coalesce(damping * F.try_divide(f"{c}_weight", f"{c}_total"), F.lit(0.0)).alias(f"{c}_share")
+    moves = materialize(placed.join(totals, ["src", "piece"]).select("src", *([] if hubs is None else ["piece"]), "dst", *map(share, KINDS)), "rank-moves")
+    seeds = materialize(seeds.select("host", *[F.col(c).cast("double").alias(c) for c in KINDS]), "rank-seeds")
+    near = small(moves, 200_000, BROADCAST)
+    rest = damping / (1 - damping)
+    most = max(1, math.ceil(math.log(tolerance / (2 * rest)) / math.log(damping)))
+    most = most if rounds is None else min(most, rounds)
+    scores, before, done, written = seeds, 0.0, 0, [pairs, nodes, moves, seeds]
+    while done < most:
+        step, new = min(STRIDE, most - done), scores
+        for _ in range(step):
+            new = _spread_once(new, near, seeds, hubs)
+        new = materialize(new, "rank-scores")
+        written.append(new)
+        sums = new.agg(*[F.sum(c).alias(c) for c in KINDS]).first()
+        # All terms are positive, so the sum's growth over these rounds is at least that of the last.
+        scores, done, grown, before = new, done + step, (sums["trust"] or 0.0) + (sums["distrust"] or 0.0) - before, (sums["trust"] or 0.0) + (sums["distrust"] or 0.0)
+        if 2 * rest * grown <= tolerance:
             break
-    return scores
+    sums = scores.agg(*[F.sum(c).alias(c) for c in KINDS]).first()
+    scaled = materialize(scores.select("host", *[(F.col(c) / F.lit(sums[c] or 1.0)).alias(c) for c in KINDS]), "rank-scaled")
+    discard(*written)
+    return scaled
+
+
+def personalised_pagerank(edges: DataFrame, seeds: DataFrame, *, damping: float = 0.85, rounds: int | None = None, tolerance: float = 1e-6) -> DataFrame:
+    """``host, score`` after spreading the weights of ``seeds(host, weight)``, which sum up to 1, along ``edges``; see ``spread_scores``."""
+    told = seeds.select("host", F.col("weight").alias("trust"), F.lit(0.0).alias("distrust"))
+    return spread_scores(edges, told, damping=damping, rounds=rounds, tolerance=tolerance).where("trust > 0").select("host", F.col("trust").alias("score"))
 
 
-def judge_urls(pages: DataFrame, rules: tuple[UrlRule, ...] = RULES, *, threshold: float = 1.0, damping: float = 0.85, rounds: int = 20) -> DataFrame:
+def judge_urls(pages: DataFrame, rules: tuple[UrlRule, ...] = RULES, *, threshold: float = 1.0, damping: float = 0.85, rounds: int | None = None, tolerance: float = 1e-3) -> DataFrame:
     """A row for each row of ``pages(page_id, url, html)``: ``page_id, host, path, rule, verdict, trust, distrust``.
 
-    ``trust`` and ``distrust`` are the host's scores times the number of hosts.
+    ``trust`` and ``distrust`` are the host's scores times the number of hosts, off by at most ``tolerance`` and rounded to
+    nine places, so that the order of sums decides nothing. Nulls and ties are those of the module.
     """
     told = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), "html")
     told = told.withColumn("found", rule_of(F.col("host"), F.col("path"), rules))
     count = lambda verdict: F.count_if(F.coalesce(F.col("found.verdict"), F.lit("")) == verdict)
     hosts = materialize(told.where("host <> ''").groupBy("host").agg(count("allow").alias("allowed"), count("block").alias("blocked")), "url-hosts")
     edges = materialize(host_edges(told), "url-edges")
-    n = hosts.count()
-
-    def spread(pages_of: str, others: str, graph: DataFrame) -> DataFrame:
-        seeds = hosts.where(F.col(pages_of) > F.col(others))
-        total = seeds.agg(F.sum(pages_of)).first()[0]
-        seeds = seeds.select("host", (F.col(pages_of) / F.lit(total or 1)).alias("weight"))
-        return personalised_pagerank(graph, seeds, damping=damping, rounds=rounds).select("host", (F.col("score") * n).alias("score"))
-
-    trust = spread("allowed", "blocked", edges).withColumnRenamed("score", "trust")
-    distrust = spread("blocked", "allowed", edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")).withColumnRenamed("score", "distrust")
-    scored = hosts.select("host").join(trust, "host", "left").join(distrust, "host", "left")
-    scored = materialize(scored.select("host", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("trust", "distrust")]), "url-scores")
-    judged = told.drop("html").join(small(scored, 1_000_000), "host", "left")
+    seeds = hosts.select("host", F.when(F.col("allowed") > F.col("blocked"), F.col("allowed")).otherwise(0).alias("trust"), F.when(F.col("blocked") > F.col("allowed"), F.col("blocked")).otherwise(0).alias("distrust"))
+    totals = seeds.agg(F.count("*").alias("n"), *[F.sum(c).alias(c) for c in KINDS]).first()
+    n = totals["n"]
+    seeds = seeds.where("trust > 0 OR distrust > 0").select("host", *[(F.col(c) / F.lit(totals[c] or 1)).alias(c) for c in KINDS])
+    spread = spread_scores(edges, seeds, damping=damping, rounds=rounds, tolerance=tolerance / max(n, 1))
+    scored = hosts.select("host").join(spread, "host", "left")
+    scored = materialize(scored.select("host", *[F.round(F.coalesce(F.col(c), F.lit(0.0)) * n, 9).alias(c) for c in KINDS]), "url-scores")
+    discard(hosts, edges, spread)
+    judged = told.drop("html").join(small(scored, 1_000_000, BROADCAST), "host", "left")
     bad = (F.col("distrust") >= threshold) & (F.col("distrust") > F.col("trust"))
     verdict = F.coalesce(F.col("found.verdict"), F.when(bad, "block").otherwise("allow"))
-    return judged.select("page_id", "host", "path", F.col("found.rule").alias("rule"), verdict.alias("verdict"), "trust", "distrust")
+    return judged.select("page_id", "host", "path", F.col("found.rule").alias("rule"), verdict.alias("verdict"), *KINDS)
 
 
 def op2_link_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every url of ``pages`` judged by the rules, else by its host's trust and distrust."""
     return judge_urls(table(spark, sf_dir, "pages"))

@@ -200,6 +200,46 @@ def test_pagerank_equals_power_iteration(spark):
     assert all(abs(found[h] - score[h]) < 5e-3 for h in score)
 
 
+def _power_iteration(edges, seeds, rounds=400):
+    """Scores by the definition: what hosts without links out would pass on goes back to the seeds."""
+    hosts = {h for e in edges for h in e[:2]} | set(seeds)
+    out = {h: sum(w for s, _, w in edges if s == h) for h in hosts}
+    score = {h: seeds.get(h, 0.0) for h in hosts}
+    for _ in range(rounds):
+        got = dict.fromkeys(hosts, 0.0)
+        for s, d, w in edges:
+            got[d] += score[s] * w / out[s]
+        lost = 1 - 0.85 * sum(got.values())
+        score = {h: 0.85 * got[h] + lost * seeds.get(h, 0.0) for h in hosts}
+    return score
+
+
+@pytest.mark.parametrize("hub, broadcast", [(50_000, 32_000_000), (3, 0)])
+def test_verdicts_equal_power_iteration_on_a_graph_with_hubs(spark, monkeypatch, hub, broadcast):
+    """Whole verdicts with two hubs, in one piece and broadcast, and in many pieces and shuffled."""
+    monkeypatch.setattr(urls, "HUB", hub)
+    monkeypatch.setattr(urls, "BROADCAST", broadcast)
+    rng = random.Random(5)
+    hosts = [f"h{i}.{top}" for i, top in enumerate(["net", "org", "xyz"] * 8)]
+    links = sorted({(rng.choice(hosts), rng.choice(hosts)) for _ in range(90)} | {(hosts[2], h) for h in hosts} | {(h, hosts[5]) for h in hosts[::2]})
+    links = [(a, b) for a, b in links if a != b]
+    page = lambda i, h: (i, f"http://{h}" + ("/de/x" if h.endswith("net") else "/es/x" if h.endswith("org") else "/x"), "".join(f'<a href="http://{b}/">' for a, b in links if a == h))
+    rows = [page(i, h) for i, h in enumerate(hosts)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    allowed, blocked = [h for h in hosts if h.endswith("net")], [h for h in hosts if h.endswith("org")]
+    edges = [(a, b, 1.0) for a, b in links]
+    trust = _power_iteration(edges, {h: 1 / len(allowed) for h in allowed})
+    distrust = _power_iteration([(b, a, w) for a, b, w in edges], {h: 1 / len(blocked) for h in blocked})
+    n = len(hosts)
+    found = {r.host: r for r in urls.judge_urls(pages, threshold=0.8).collect()}
+    for h in hosts:
+        t, d = trust.get(h, 0.0) * n, distrust.get(h, 0.0) * n
+        assert abs(found[h].trust - t) < 1e-3 and abs(found[h].distrust - d) < 1e-3
+        by_rule = "allow" if h in allowed else "block" if h in blocked else None
+        assert found[h].verdict == (by_rule or ("block" if d >= 0.8 and d > t else "allow"))
+    assert {found[h].verdict for h in hosts if h.endswith("xyz")} == {"allow", "block"}
+
+
 def test_pipeline_stages_keep_their_columns(spark):
     import corpus_pipeline
 
