@@ -23,6 +23,11 @@ def age(born: Column | str, today: Column) -> Column:
     return F.year(today) - F.year(born) - early.cast("int")
 
 
+def local_day(moment: Column | str, zone: Column | str) -> Column:
+    """The day of an instant where ``zone``, a column of names of time zones, is in use; that of the session doesn't matter."""
+    return F.convert_timezone(None, col(zone), col(moment).cast("timestamp")).cast("date")
+
+
 def flexible_date(text: Column | str) -> Column:
     """ISO, day first, else month first, or with a month's name; a time after it doesn't count."""
     plain = F.regexp_replace(F.trim(col(text)), r"(?i)[T\s]+\d{1,2}:\d{2}.*$", "")

@@ -160,3 +160,28 @@ def actionable_lines(docs: DataFrame, *, id: str, text: str) -> DataFrame:  # no
     """``id`` with the length of the text without white space around it, and its lines that hold a letter and then a number."""
     lines = F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: x.rlike(r"[A-Za-z]{2,}.*\d"))
     return docs.select(id, F.length(F.btrim(F.coalesce(text, F.lit("")), F.lit(" \n\t\r"))).cast("long").alias("n_chars"), F.size(lines).cast("long").alias("n_actionable"))
+
+
+def catalog_lines(catalog: DataFrame, units: DataFrame, most: int = 6) -> DataFrame:
+    """``name`` with ``line``, ``name: display name [unit's symbol] (aliases)``, of which the first ``most`` are given."""
+    symbols = units.groupBy(F.col("name").alias("default_unit")).agg(F.min("symbol").alias("_symbol"))
+    told = catalog.join(symbols, "default_unit", "left")
+    aliases = F.array_join(F.slice(F.coalesce("aliases", F.array().cast("array<string>")), 1, most), ", ")
+    unit = F.coalesce(F.nullif("_symbol", F.lit("")), "default_unit", F.lit(""))
+    return told.select("name", F.concat("name", F.lit(": "), F.coalesce("display_name", F.lit("")), F.lit(" ["), unit, F.lit("]"), F.when(aliases != "", F.concat(F.lit(" ("), aliases, F.lit(")"))).otherwise("")).alias("line"))
+
+
+def chosen_reports(wanted: DataFrame, reports: DataFrame, expected: DataFrame, *, code: str) -> DataFrame:
+    """Each code of ``wanted`` once, whether ``reports`` has it (``known``), and whether nothing is expected of it (``empty``).
+
+    A null code is never known. All three tables are made distinct by ``code`` before they are joined.
+    """
+    flags = reports.select(code).distinct().withColumn("_known", F.lit(True)), expected.select(code).distinct().withColumn("_expected", F.lit(True))
+    told = wanted.select(code).distinct().join(flags[0], code, "left").join(flags[1], code, "left")
+    known = F.coalesce("_known", F.lit(False))
+    return told.select(code, known.alias("known"), (known & ~F.coalesce("_expected", F.lit(False))).alias("empty"))
+
+
+def row_seen(at: Column, first: Column, beyond: Column) -> Column:
+    """Whether a row's printed place lies in the lines that were shown; a row that isn't printed wasn't seen."""
+    return F.coalesce((at >= first) & (at < beyond), F.lit(False))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnwork.functions.dates import date_time_text
+from tarnwork.functions.dates import date_time_text, local_day
 from tarnwork.functions.text import redact_names
 from tarnwork.operators import catalog, context, records, scoring
 from tarnwork.plans._read import read
@@ -356,3 +356,44 @@ def reply_phases(spark: SparkSession, sf_dir: str) -> DataFrame:
     content = F.when(turn % 3 != 1, F.when(F.col("conv_id") % 2 == 0, inline).otherwise("e"))
     chunks = read(spark, sf_dir, "conversations").select("conv_id", "turn", content.alias("content"), F.when(turn % 3 == 1, "f").alias("reasoning"))
     return context.reply_phases(chunks, reply=["conv_id"], order=["turn"], content="content", reasoning="reasoning").drop("content", "reasoning")
+
+
+@query("""
+    WITH a AS (SELECT p_name, min(p_brand) AS unit, list_sort(list(DISTINCT p_type)) AS kinds FROM part GROUP BY p_name)
+    SELECT replace(p_name, ' ', '_') AS name, replace(p_name, ' ', '_') || ': ' || p_name || ' [' || CASE WHEN unit LIKE '%1' THEN lower(unit) ELSE unit END || '] (' || array_to_string(kinds[1:3], ', ') || ')' AS line FROM a
+""")
+def catalog_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A line for each name of parts, with its least brand as the unit and its first three types as aliases; brands that end in 1 have a symbol."""
+    part = read(spark, sf_dir, "part")
+    named = part.groupBy("p_name").agg(F.min("p_brand").alias("default_unit"), F.sort_array(F.collect_set("p_type")).alias("aliases"))
+    tests = named.select(F.translate("p_name", " ", "_").alias("name"), F.col("p_name").alias("display_name"), "default_unit", "aliases")
+    units = part.where(F.col("p_brand").endswith("1")).select(F.col("p_brand").alias("name"), F.lower("p_brand").alias("symbol")).distinct()
+    return records.catalog_lines(tests, units, most=3)
+
+
+@query("""
+    SELECT DISTINCT user_id AS code, c_custkey IS NOT NULL AS known, c_custkey IS NOT NULL AND NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey) AS empty
+    FROM events LEFT JOIN customer ON c_custkey = user_id
+""")
+def chosen_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The customers that events name: those that aren't known, and those without orders."""
+    wanted, known = read(spark, sf_dir, "events").select(F.col("user_id").alias("code")), read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("code"))
+    return records.chosen_reports(wanted, known, read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("code")), code="code")
+
+
+@query("""
+    SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_returnflag <> 'N' AND l_linenumber * 10 BETWEEN l_orderkey % 3 * 10 AND l_orderkey % 3 * 10 + 29 AS seen FROM lineitem
+""")
+def seen_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items printed on every tenth line, but for new ones, and which of them lie in the thirty lines shown of their order."""
+    at, first = F.when(F.col("l_returnflag") != "N", F.col("l_linenumber") * 10), F.col("l_orderkey") % 3 * 10
+    return read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", records.row_seen(at, first, first + 30).alias("seen"))
+
+
+@query("""
+    SELECT user_id, CAST(CAST(ts + CASE user_id % 3 WHEN 0 THEN INTERVAL 330 MINUTE WHEN 1 THEN INTERVAL 540 MINUTE ELSE INTERVAL (-420) MINUTE END AS DATE) AS VARCHAR) AS day, count(*) AS n FROM events GROUP BY ALL
+""")
+def local_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events by their user's day, in zones without summer time."""
+    zone = F.when(F.col("user_id") % 3 == 0, "Asia/Kolkata").when(F.col("user_id") % 3 == 1, "Asia/Tokyo").otherwise("America/Phoenix")
+    return read(spark, sf_dir, "events").groupBy("user_id", local_day("ts", zone).cast("string").alias("day")).agg(F.count("*").alias("n"))
