@@ -66,3 +66,18 @@ def test_too_many_are_refused_by_tenant_and_blanks_do_not_count(ask):
     heads, found = ask((1, "test_type", "hemoglobin"), (1, "test_type", "glucose"), (1, "name", "x"), (2, "test_type", "hemoglobin"), (2, "name", "  "), (2, "name", None), (2, "colour", "red"), most=2)
     assert [(h.user_id, h.problem, h.points) for h in heads] == [(1, "more than 2 trends", 0), (2, None, 1)]
     assert set(found) == {(2, "type:hemoglobin")}
+
+
+def test_chosen_reports_seen_rows_and_catalog_lines_with_nulls(spark):
+    from pyspark.sql import functions as F
+
+    from tarnwork.operators import records
+
+    codes = lambda *c: spark.createDataFrame([(x,) for x in c], "code string")
+    found = records.chosen_reports(codes("a", "a", "b", "x", None), codes("a", "b", "c", "b"), codes("a", "a", "x"), code="code")
+    assert {(r.code, r.known, r.empty) for r in found.collect()} == {("a", True, False), ("b", True, True), ("x", False, False), (None, False, False)} and found.count() == 4
+    places = spark.createDataFrame([(2,), (1,), (4,), (None,)], "at int")
+    assert [r[0] for r in places.select(records.row_seen(F.col("at"), F.lit(2), F.lit(4))).collect()] == [True, False, False, False]
+    tests = spark.createDataFrame([("a", "A", list("pqrstuvw"), "g"), ("b", None, None, None), ("c", "C", [], "blank")], "name string, display_name string, aliases array<string>, default_unit string")
+    units = spark.createDataFrame([("g", "gram"), ("blank", "")], "name string, symbol string")
+    assert {r.line for r in records.catalog_lines(tests, units).collect()} == {"a: A [gram] (p, q, r, s, t, u)", "b:  []", "c: C [blank]"}
