@@ -1,11 +1,13 @@
 """Cost-balanced packing of token sequences.
 
 A piece of n tokens costs ``linear * n + quadratic * n * n``, as attention within it does. Documents are packed in
-windows of bounded size within each partition, so no row is shuffled. In a window each document first gives up its
+windows of bounded size within each partition, so no text is shuffled. In a window each document first gives up its
 full-length pieces, each a sequence by itself; what is left goes, in descending order of length, to the sequence of
-lowest cost that has room for it. The number of these sequences is the smallest that can hold the tokens; what finds no
-room as a whole at last fills the gaps, cut to fit. So a window's sequences lack less than one sequence of tokens
-together.
+lowest cost that has room for it. The number of these sequences is the largest that the tokens fill; what finds no
+room as a whole fills the gaps, cut to fit, and less than one sequence of tokens is left over.
+
+What the windows leave over is packed the same way in a second pass, in groups of windows of about ``window_tokens``
+tokens in all. So all sequences are full but for one in each of these groups, however the input is parted.
 
 Defined results: a null text is packed like an empty one (its closing id alone); repeated rows are packed each; an
 empty table gives no rows; further columns of the input are ignored; long documents are cut, never truncated.
@@ -23,8 +25,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tarnwork.llm._common import documents, slices
+from tarnwork.llm._common import documents, materialize, slices
 
 CAPACITY = 2048
 CLOSING_ID = 1
@@ -118,15 +121,18 @@ def load(path: str) -> WordTokens:
     return WordTokens(path)
 
 
-def balance(lengths: list[int], capacity: int = CAPACITY, linear: float = 1.0, quadratic: float = 1 / 1024) -> list[tuple[int, int, int, int, int]]:
-    """Pieces ``(document, start, length, sequence, offset)`` of one window of documents; see the module's docstring."""
+def balance(lengths: list[int], capacity: int = CAPACITY, linear: float = 1.0, quadratic: float = 1 / 1024) -> tuple[list[tuple[int, int, int, int, int]], list[tuple[int, int, int]]]:
+    """One window of documents: the pieces ``(document, start, length, sequence, offset)`` of full sequences, and those ``(document, start, length)`` left over.
+
+    See the module's docstring. What is left over is shorter than one sequence.
+    """
     pieces = []
     for doc, n in enumerate(lengths):
         for start in range(0, n - n % capacity, capacity):
             pieces.append((doc, start, capacity, len(pieces), 0))
     first, rest = len(pieces), sorted(((n % capacity, doc) for doc, n in enumerate(lengths) if n % capacity), key=lambda x: (-x[0], x[1]))
-    count = -(-sum(n for n, _ in rest) // capacity)
-    cost, filled, cut = np.zeros(count), np.zeros(count, np.int64), []
+    count = sum(n for n, _ in rest) // capacity
+    cost, filled, cut, over = np.zeros(count), np.zeros(count, np.int64), [], []
 
     def place(doc: int, start: int, n: int, at: int) -> None:
         pieces.append((doc, start, n, first + at, int(filled[at])))
@@ -141,13 +147,19 @@ def balance(lengths: list[int], capacity: int = CAPACITY, linear: float = 1.0, q
             cut.append((n, doc))
     for n, doc in cut:
         start = lengths[doc] - n
-        while n:
-            room = np.flatnonzero(filled < capacity)
+        while n and len(room := np.flatnonzero(filled < capacity)):
             at = int(room[filled[room].argmin()])
             part = min(n, capacity - int(filled[at]))
             place(doc, start, part, at)
             start, n = start + part, n - part
-    return pieces
+        if n:
+            over.append((doc, start, n))
+    return pieces, over
+
+
+def _flat(rows: list[tuple], ids: list[bytes | None]) -> pa.RecordBatch:
+    columns = [pa.array(c, pa.int64()) for c in zip(*rows, strict=True)]
+    return pa.record_batch([*columns, pa.array(ids, pa.binary())], [*PIECES.replace(" long", "").split(", "), "ids"])
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, *, capacity: int = CAPACITY, window: int = 1024, window_tokens: int = 2_000_000) -> DataFrame:
@@ -157,22 +169,30 @@ def pack_documents(docs: DataFrame, tokenizer: str, *, capacity: int = CAPACITY,
         tokenizer: path of the tokenizer's file, on each executor.
         window: documents that are packed together at most; ``window_tokens`` bounds their tokens, but for one document.
 
-    ``sequence_id`` holds the partition's number in its upper bits, and counts up within the partition.
+    ``sequence_id`` holds the partition's number in its upper bits, and counts up within the partition; that of the second
+    pass has bit 62 set. Full sequences are written before it, with the ids of what is left over, so texts are read once.
     """
 
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, base, used = load(tokenizer), TaskContext.get().partitionId() << 36, 0
         held, tokens = [], 0
 
         def flush() -> pa.RecordBatch:
+            """The pieces of a window; one that is left over has the window's number as its sequence, and its ids."""
             nonlocal used, tokens
-            rows = []
-            for doc, start, n, sequence, offset in balance([len(ids) for _, ids in held], capacity):
+            pieces, over = balance([len(ids) for _, ids in held], capacity)
+            rows, kept = [], [None] * len(pieces)
+            for doc, start, n, sequence, offset in pieces:
                 doc_id, ids = held[doc]
                 rows.append((doc_id, start, n, zlib.crc32(ids[start : start + n].tobytes()), len(ids), base + used + sequence, offset))
-            used, tokens = max(r[5] for r in rows) - base + 1, 0
+            for doc, start, n in over:
+                doc_id, ids = held[doc]
+                rows.append((doc_id, start, n, 0, len(ids), base + used, len(kept) - len(pieces)))
+                kept.append(ids[start : start + n].tobytes())
+            # A window without a full sequence has a number as well.
+            used, tokens = used + max((p[3] + 1 for p in pieces), default=1), 0
             held.clear()
-            return pa.record_batch([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], PIECES.replace(" long", "").split(", "))
+            return _flat(rows, kept)
 
         for batch in slices(batches):
             for doc_id, ids in zip(batch["doc_id"].to_pylist(), words.ids(batch["text"]), strict=True):
@@ -183,7 +203,44 @@ def pack_documents(docs: DataFrame, tokenizer: str, *, capacity: int = CAPACITY,
         if held:
             yield flush()
 
-    return docs.select("doc_id", "text").mapInArrow(pack, PIECES)
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        base, used, held, tokens = 1 << 62 | TaskContext.get().partitionId() << 36, 0, [], 0
+
+        def flush(last: bool) -> pa.RecordBatch:
+            """The full sequences of what is held; at last the one that isn't full, too."""
+            nonlocal used, tokens, held
+            pieces, over = balance([x["length"] for x in held], capacity)
+            if last:
+                sequence, offset = max((p[3] + 1 for p in pieces), default=0), 0
+                for doc, start, n in over:
+                    pieces.append((doc, start, n, sequence, offset))
+                    offset += n
+            rows, left = [], []
+            for doc, start, n, sequence, offset in pieces:
+                x = held[doc]
+                rows.append((x["doc_id"], x["start"] + start, n, zlib.crc32(x["ids"][4 * start : 4 * (start + n)]), x["doc_tokens"], base + used + sequence, offset))
+            for doc, start, n in [] if last else over:
+                x = held[doc]
+                left.append({**x, "start": x["start"] + start, "length": n, "ids": x["ids"][4 * start : 4 * (start + n)]})
+            used, held, tokens = used + max((p[3] + 1 for p in pieces), default=0), left, sum(x["length"] for x in left)
+            return _flat(rows, [None] * len(rows)).drop_columns(["ids"])
+
+        for batch in batches:
+            for x in batch.to_pylist():
+                held.append(x)
+                tokens += x["length"]
+                if len(held) >= 8 * window or tokens >= window_tokens:
+                    if tokens >= capacity:
+                        yield flush(False)
+        if held:
+            yield flush(True)
+
+    placed = materialize(docs.select("doc_id", "text").mapInArrow(fill, f"{PIECES}, ids binary"), "packed")
+    over = placed.where("ids IS NOT NULL")
+    groups = -(-(over.agg(F.sum("length")).first()[0] or 0) // window_tokens)
+    # A window leaves less than one sequence, so groups of whole windows are of like size.
+    parted = over.repartition(max(1, groups), "sequence_id").sortWithinPartitions("sequence_id", "offset")
+    return placed.where("ids IS NULL").drop("ids").unionByName(parted.mapInArrow(join, PIECES))
 
 
 def op10_cost_balanced_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -68,7 +68,7 @@ def test_word_tokens_equal_the_library(strings):
 
 
 def test_every_id_is_packed_once(docs, texts, none):
-    found, pieces, sequences = packing.pack_documents(docs, WORDS, window=50).collect(), defaultdict(list), defaultdict(list)
+    found, pieces, sequences = packing.pack_documents(docs.repartition(9), WORDS, window=20).collect(), defaultdict(list), defaultdict(list)
     ids = {i: x for (i, _), x in zip(texts, packing.load(WORDS).ids(pa.array([t for _, t in texts])), strict=True)}
     for r in found:
         pieces[r.doc_id].append((r.start, r.length))
@@ -88,8 +88,32 @@ def test_every_id_is_packed_once(docs, texts, none):
 def test_packing_is_full_and_balanced():
     rng = random.Random(2)
     lengths = [rng.choice([1, 300, 700, 2047, 2048, 2049, 9000, rng.randint(1, 3000)]) for _ in range(600)]
-    pieces = packing.balance(lengths)
-    assert max(p[3] for p in pieces) + 1 == -(-sum(lengths) // packing.CAPACITY)
+    pieces, over = packing.balance(lengths)
+    filled = defaultdict(int)
+    for _, _, n, sequence, _ in pieces:
+        filled[sequence] += n
+    assert set(filled.values()) == {packing.CAPACITY} and sum(n for _, _, n in over) == sum(lengths) % packing.CAPACITY
+    parts = defaultdict(list)
+    for doc, start, n, *_ in pieces + over:
+        parts[doc].append((start, n))
+    for doc, length in enumerate(lengths):
+        at = 0
+        for start, n in sorted(parts[doc]):
+            assert start == at
+            at += n
+        assert at == length
+
+
+@pytest.mark.parametrize(("partitions", "window", "window_tokens"), [(1, 1024, 2_000_000), (24, 1024, 2_000_000), (24, 3, 2_000_000), (7, 5, 5_000)])
+def test_sequences_are_full_however_rows_are_parted(docs, partitions, window, window_tokens):
+    found = packing.pack_documents(docs.repartition(partitions), WORDS, window=window, window_tokens=window_tokens)
+    rows = found.groupBy("sequence_id").sum("length").collect()
+    short = [r[0] >> 36 for r in rows if r[1] < packing.CAPACITY]
+    total = sum(r[1] for r in rows)
+    # Only the second pass leaves one short sequence for each of its partitions, and there is one where the tokens are few.
+    assert max(r[1] for r in rows) == packing.CAPACITY
+    assert len(set(short)) == len(short) and all(p >> 26 for p in short)
+    assert window_tokens < total or len(rows) == -(-total // packing.CAPACITY)
 
 
 def test_toxic_sentences_are_learned_from_document_labels(spark):
