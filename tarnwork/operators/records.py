@@ -157,8 +157,11 @@ def one_unit(points: DataFrame, *, by: list[str], unit: Column) -> DataFrame:
 
 
 def actionable_lines(docs: DataFrame, *, id: str, text: str) -> DataFrame:  # noqa: A002
-    """``id`` with the length of the text without white space around it, and its lines that hold a letter and then a number."""
-    lines = F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: x.rlike(r"[A-Za-z]{2,}.*\d"))
+    """``id`` with the length of the text without white space around it, and its lines that hold two letters and then a digit.
+
+    A line is read once: whatever digit follows two letters follows the line's first two, so the pattern never goes back.
+    """
+    lines = F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: x.rlike(r"(?s)^(?>.*?[A-Za-z]{2}).*\d"))
     return docs.select(id, F.length(F.btrim(F.coalesce(text, F.lit("")), F.lit(" \n\t\r"))).cast("long").alias("n_chars"), F.size(lines).cast("long").alias("n_actionable"))
 
 
