@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from itertools import chain
 
 import numpy as np
@@ -12,53 +10,11 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tarnwork.session import discard, materialize, small, work_dir  # noqa: F401
+
 #: The white space of the contracts: space and tab to carriage return.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 
-_own_dir: list[str] = []
-
-
-def work_dir(spark: SparkSession) -> str:
-    """The folder for intermediate tables: ``spark.checkpoint.dir``, which every executor shares.
-
-    Only where that setting is absent (local sessions, tests) a temporary folder of this machine is used.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        return base.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    if not _own_dir:
-        _own_dir.append(tempfile.mkdtemp(prefix="tarnwork-"))
-    return f"file://{_own_dir[0]}"
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back: cuts lineage, and survives lost executors.
-
-    What the write has shuffled is removed when it ends. ``discard`` removes the table itself.
-    """
-    spark = df.sparkSession
-    path = f"{work_dir(spark)}/tarnwork/{name}-{uuid.uuid4().hex}"
-    cleanup = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(cleanup, "false")
-    spark.conf.set(cleanup, "true")
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.set(cleanup, before)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.written_to = path
-    return out
-
-
-def discard(*tables: DataFrame) -> None:
-    """Remove tables that ``materialize`` gave, once nothing reads them any more."""
-    for table in tables:
-        spark = table.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(table.written_to)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -68,18 +24,6 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
 
-def small(df: DataFrame, rows: int, size: int | None = None) -> DataFrame:
-    """``df`` with a broadcast hint where a count shows that it has at most ``rows`` rows; else as it is.
-
-    With ``size``, these may also take no more bytes, as JSON. Give a materialised ``df``: the count reads it.
-    """
-    if size is None:
-        return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-    taken = F.sum(F.octet_length(F.to_json(F.struct("*"))))
-    n, taken = df.limit(rows + 1).agg(F.count("*"), taken).first()
-    return F.broadcast(df) if n <= rows and (taken or 0) <= size else df
-
-
 def quoted(column: str) -> str:
     """A column's name as Spark parses it, whatever it is made of."""
     return "`" + column.replace("`", "``") + "`"

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarnwork.functions.status import flag_status
@@ -17,6 +17,7 @@ from tarnwork.operators.merging import first_occurrence
 from tarnwork.operators.report_text import explode_lines
 from tarnwork.operators.row_grammars import NUMBER, QUALITATIVE_VALUES, UNITS, WORD_RESULT, fits
 from tarnwork.operators.tables import html_rows
+from tarnwork.session import materialize
 
 # What a cell or line holds, lines that are no names, and the words that tell a table's columns.
 VALUE = rf"(?iu)^(?:{NUMBER}%?|{WORD_RESULT})$"
@@ -46,19 +47,21 @@ def clean_line(line: Column | str) -> Column:
     return one_spaced(text)
 
 
-def is_unit(line: Column | str) -> Column:
-    clean = clean_line(line)
+def is_unit(line: Column | str, clean: Column | None = None) -> Column:
+    """``clean`` is the line as of ``clean_line``, where a caller has it already; the same below."""
+    clean = clean_line(line) if clean is None else clean
     return clean.isin(*UNITS) | clean.rlike(FILTRATION_UNIT) | col(line).isin(*UNITS)
 
 
-def is_value(line: Column | str) -> Column:
+def is_value(line: Column | str, clean: Column | None = None) -> Column:
     """A number, with a per cent sign or none, or a result in words; a unit is none."""
-    clean = clean_line(line)
-    return F.lower(clean).isin(*QUALITATIVE_VALUES) | (clean.rlike(VALUE) & ~is_unit(line))
+    clean = clean_line(line) if clean is None else clean
+    return F.lower(clean).isin(*QUALITATIVE_VALUES) | (clean.rlike(VALUE) & ~is_unit(line, clean))
 
 
-def is_reference(line: Column | str) -> Column:
-    return clean_line(line).rlike(REFERENCE) & ~is_unit(line)
+def is_reference(line: Column | str, clean: Column | None = None) -> Column:
+    clean = clean_line(line) if clean is None else clean
+    return clean.rlike(REFERENCE) & ~is_unit(line, clean)
 
 
 def is_no_name(line: Column | str) -> Column:
@@ -112,7 +115,8 @@ def columns_of(header: Column, width: Column) -> Column:
 
 def read_tables(docs: DataFrame, *, id: str, text: str) -> DataFrame:  # noqa: A002
     """``id, row_no, name, value, unit, reference_range, status`` from each document's table, by its columns."""
-    rows = docs.select(id, table_rows(text).alias("_rows")).where(F.size("_rows") > 0).withColumn("_at", columns_of(F.col("_rows")[0], F.size(F.col("_rows")[0])))
+    # Exploded, so that a table is taken apart once for its rows, its header and its being there.
+    rows = docs.select(id, F.explode(F.array(table_rows(text))).alias("_rows")).where(F.size("_rows") > 0).withColumn("_at", columns_of(F.col("_rows")[0], F.size(F.col("_rows")[0])))
     cells = rows.select(id, "_at", F.posexplode("_rows").alias("row_no", "_cells")).where((~F.col("_at.told") | (F.col("row_no") > 0)) & (F.size("_cells") >= 2))
     cell = lambda c: F.coalesce(F.when(F.col(f"_at.{c}") < F.size("_cells"), trimmed(F.col("_cells")[F.col(f"_at.{c}")])), F.lit(""))
     found = cells.select(id, "row_no", cell("name").alias("name"), cell("value").alias("value"), cell("unit").alias("unit"), cell("ref").alias("reference_range"), flag_status(cell("status")).alias("status"))
@@ -129,7 +133,8 @@ def line_groups(text: Column | str) -> Column:
     begin another. ``line_no`` counts lines that aren't blank.
     """
     lines = F.filter(F.transform(F.split(F.coalesce(col(text), F.lit("")), r"\r?\n"), clean_line), lambda x: x != "")
-    told = F.transform(lines, lambda x: F.struct(x.alias("line"), is_no_name(x).alias("skip"), is_value(x).alias("value"), is_unit(x).alias("unit"), is_reference(x).alias("ref")))
+    kinds = lambda x, clean: F.struct(x.alias("line"), is_no_name(x).alias("skip"), is_value(x, clean).alias("value"), is_unit(x, clean).alias("unit"), is_reference(x, clean).alias("ref"))
+    told = F.transform(lines, lambda x: once(clean_line(x), lambda clean: kinds(x, clean)))
     kind = "array<struct<line_no: int, name: string, value: string, unit: string, reference_range: string>>"
 
     def fold(xs: Column) -> Column:
@@ -160,9 +165,11 @@ def read_recognised(docs: DataFrame, *, id: str, text: str) -> DataFrame:  # noq
     """Rows of tables, or of lines where these are more and the table has less than two; ``source`` tells which."""
     tables, groups = read_tables(docs, id=id, text=text).withColumn("source", F.lit("table")), read_line_groups(docs, id=id, text=text).withColumn("source", F.lit("lines"))
     both = tables.unionByName(groups)
-    counts = both.groupBy(id).agg(F.count_if(F.col("source") == "table").alias("_t"), F.count_if(F.col("source") == "lines").alias("_l"))
-    best = counts.select(id, F.when((F.col("_t") >= 2) | (F.col("_t") >= F.col("_l")), "table").otherwise("lines").alias("source"))
-    return both.join(best, [id, "source"], "left_semi")
+    # Counted in a window, so that each document is read once.
+    n = lambda source: F.count_if(F.col("source") == source).over(Window.partitionBy(id))
+    counted = both.withColumns({"_t": n("table"), "_l": n("lines")})
+    best = F.when((F.col("_t") >= 2) | (F.col("_t") >= F.col("_l")), "table").otherwise("lines")
+    return counted.where((F.col("source") == best) & F.col(id).isNotNull()).select(*both.columns)
 
 
 # --- Two readers ------------------------------------------------------------------------------------------------------
@@ -193,8 +200,11 @@ def hybrid_rows(docs: DataFrame, first: DataFrame, second: Callable[[DataFrame],
         second: reads a table of documents; it is given those alone that the first hasn't read well enough. Its rows have
             the columns of ``first``.
         keys: what makes rows of one document the same; a second reader's row that is there already isn't added.
+
+    What the first reader has found, and how well, is written to a table each, as both are read more than once.
     """
-    quality = reading_quality(docs, first, id=id, text=text)
+    first = materialize(first, "first-rows")
+    quality = materialize(reading_quality(docs, first, id=id, text=text), "reading-quality")
     others = second(docs.join(quality.where("NOT sufficient"), id, "left_semi"))
     both = first.withColumn("_reader", F.lit(0)).unionByName(others.withColumn("_reader", F.lit(1)))
     named = both.withColumns({f"_k{i}": F.coalesce(k, F.lit("")) for i, k in enumerate(keys)})

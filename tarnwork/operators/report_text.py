@@ -10,6 +10,7 @@ from tarnwork.operators.catalog import rules_by_printed_unit
 from tarnwork.operators.context import serum_or_urine
 from tarnwork.operators.resolve import resolve_names
 from tarnwork.operators.row_grammars import NUMERIC_GRAMMARS, TABULAR_GRAMMARS, continued, parse_rows, section_end, section_header
+from tarnwork.session import materialize
 
 
 def explode_lines(docs: DataFrame, *, id: str, text: str) -> DataFrame:  # noqa: A002
@@ -94,6 +95,8 @@ def parse_report(docs: DataFrame, *, id: str, text: str, catalog: DataFrame | No
     rows = distinct_rows(parse_rows(tagged, line="line", patterns=patterns), doc=[id], order=["line_no"])
     if catalog is None:
         return rows
+    # Names are asked for once each and then told to all rows, so the rows are read twice, but parsed once.
+    rows = materialize(rows, "parsed-rows")
     rows = resolve_names(rows, catalog, key=[id, "line_no"], printed="raw_name", context="section", unit="unit", value="value").withColumn("test", F.coalesce("pattern_test", "test"))
     shown = catalog.groupBy(F.col("name").alias("_name")).agg(F.min("display_name").alias("_shown"))
     if limits is not None:

@@ -92,6 +92,10 @@ NOISE = (
     r"^\s*(?:Consultant|Technical|Senior|Deputy|Research)\s", r"\bHOD\b", r"Courts/Forum", r"^\s*NRL\s+-",
 )
 NOISE_AS_IT_IS = (r"^\s*\*\w+\*\s*$", r"^\s*\.+\s*$", r"^\s*-{5,}", r"^\s*\|", r"^[A-Z]{10,}$", r"^[HP]{10,}$", r"^\s*Ÿ", r"^\s*·")
+# Those at the start of a line are one pattern, so that they aren't tried at every place of it.
+_BEGINS = r"^\s*"
+NOISE_AT_START = f"(?i){_BEGINS}(?:{'|'.join(n.removeprefix(_BEGINS) for n in NOISE if n.startswith(_BEGINS))})"
+NOISE_ANYWHERE = f"(?i){'|'.join(n for n in NOISE if not n.startswith(_BEGINS))}"
 COUNT_HEADING = r"(?i)^\s*(?:Differential|Absolute)\s+"
 # Headings of sections, what ends a section, and how labels of prose and of other fields are told.
 SECTION_HEADERS = {
@@ -129,7 +133,7 @@ def fits(line: Column, *kinds: str) -> Column:
 def is_noise(line: Column | str) -> Column:
     """Not a row: fields of the report's head and foot, notes, people; count headings that hold a result are none."""
     line = col(line)
-    noise = line.rlike("(?i)" + "|".join(NOISE)) | line.rlike("|".join(NOISE_AS_IT_IS))
+    noise = line.rlike(NOISE_AT_START) | line.rlike(NOISE_ANYWHERE) | line.rlike("|".join(NOISE_AS_IT_IS))
     return noise & ~(line.rlike(COUNT_HEADING) & (fits(line, "tabular") | has_right_anchored(line)))
 
 

@@ -1,6 +1,9 @@
 """Steps whose cost once grew faster than their input, or that were done more than once."""
 
-from tarnwork.operators import records
+from pyspark.sql import functions as F
+
+from tarnwork.functions.text import one_spaced, trimmed
+from tarnwork.operators import recognised, records, report_text, row_grammars
 
 
 def test_actionable_lines_are_read_once(spark):
@@ -8,3 +11,63 @@ def test_actionable_lines_are_read_once(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
     found = {r.id: (r.n_chars, r.n_actionable) for r in records.actionable_lines(docs, id="id", text="text").collect()}
     assert found == {0: (4, 1), 1: (7, 0), 2: (14, 2), 3: (5, 0), 4: (30_000, 0), 5: (0, 0)}
+
+
+def counted(spark):
+    """A function of texts that counts its calls."""
+    calls = spark.sparkContext.accumulator(0)
+
+    def same(text):
+        calls.add(1)
+        return text
+
+    return calls, F.udf(same, "string")
+
+
+def optimized(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_the_first_reader_reads_once(spark):
+    calls, same = counted(spark)
+    docs = spark.createDataFrame([(i, f"Hb {i} mg/dL") for i in range(20)], "id int, text string")
+    first = docs.select("id", same("text").alias("name"), F.lit("5").alias("value"))
+    second = lambda some: some.select("id", F.lit("other").alias("name"), F.lit("5").alias("value"))
+    rows, told = recognised.hybrid_rows(docs, first, second, id="id", text="text", keys=[F.col("name")])
+    assert {(r.n_rows, r.n_lines, r.n_added, r.reader) for r in told.collect()} == {(1, 1, 1, "both")}
+    assert rows.count() == 40 and calls.value == 20
+
+
+def test_recognised_pages_are_read_once(spark):
+    calls, same = counted(spark)
+    docs = spark.createDataFrame([(1, "a\tHb\t5"), (2, "Hb\n5"), (3, "<table><tr><td>Hb</td><td>1</td></tr><tr><td>Na</td><td>2</td></tr></table>"), (4, "")], "id int, text string").select("id", same("text").alias("text"))
+    found = recognised.read_recognised(docs, id="id", text="text")
+    assert sorted((r.id, r.source, r.name) for r in found.collect()) == [(2, "lines", "Hb"), (3, "table", "Hb"), (3, "table", "Na")]
+    assert calls.value <= 8
+
+
+def test_reports_are_parsed_once(spark):
+    calls, same = counted(spark)
+    docs = spark.createDataFrame([(i, "Hb 5 mg/dL\nNa 140 mmol/L") for i in range(10)], "id int, text string").select("id", same("text").alias("text"))
+    catalog = spark.createDataFrame([("hb", "Hb", ["hb"])], "name string, display_name string, aliases array<string>")
+    found = report_text.parse_report(docs, id="id", text="text", catalog=catalog)
+    assert sorted((r.id, r.raw_name, r.test) for r in found.collect()) == sorted((i, n, t) for i in range(10) for n, t in (("Hb", "hb"), ("Na", None)))
+    assert calls.value == 10
+
+
+def test_tables_and_lines_are_taken_apart_once(spark):
+    docs = spark.createDataFrame([(1, "x")], "id int, text string")
+    assert optimized(recognised.read_tables(docs, id="id", text="text")).count("(?is)<table") == 1
+    assert optimized(recognised.read_line_groups(docs, id="id", text="text")).count("m^2") <= 3
+
+
+def test_white_space_and_noise_are_as_their_patterns_say(spark):
+    spaces = "".join(chr(c) for c in range(0x3001))
+    texts = [f"{a}{c}x{c}{c}y{c}{a}" for c in spaces for a in ("", " ")] + ["", " ", "a\n", "a \n", " a  b", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    plain = F.regexp_replace("t", r"(?U)^\s+|\s+$", "")
+    assert df.where(~trimmed("t").eqNullSafe(plain) | ~one_spaced("t").eqNullSafe(F.regexp_replace(plain, r"(?U)\s+", " "))).count() == 0
+    lines = ["Page 1 of 2", " name : x", "x Name : y", "seen by Mr. x", "x HOD", "Reported : x", "(a", "x (a", "reported within 24 hours", "If x", "xIf ", "1. x", "x 1. x"]
+    df = spark.createDataFrame([(t,) for t in lines], "t string")
+    every = F.col("t").rlike("(?i)" + "|".join(row_grammars.NOISE)) | F.col("t").rlike("|".join(row_grammars.NOISE_AS_IT_IS))
+    assert df.where(row_grammars.is_noise("t") != every).count() == 0
