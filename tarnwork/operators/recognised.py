@@ -66,7 +66,7 @@ def is_reference(line: Column | str, clean: Column | None = None) -> Column:
 
 def is_no_name(line: Column | str) -> Column:
     line = col(line)
-    return line.startswith("(") | line.rlike(TITLE) | line.rlike(NO_NAME)
+    return line.startswith("(") | (F.contains(line, F.lit(".")) & line.rlike(TITLE)) | line.rlike(NO_NAME)
 
 
 # --- Tables -----------------------------------------------------------------------------------------------------------
@@ -97,11 +97,8 @@ def columns_of(header: Column, width: Column) -> Column:
     none = F.struct(*[F.lit(None).cast("int").alias(c) for c in COLUMNS])
 
     def step(places: Column, cell: Column) -> Column:
-        free, taken = {}, F.lit(False)
-        for kind, pattern in COLUMNS.items():
-            free[kind] = places[kind].isNull() & cell["c"].rlike(pattern) & ~taken
-            taken = taken | free[kind]
-        return F.struct(*[F.when(free[kind], cell["i"]).otherwise(places[kind]).alias(kind) for kind in COLUMNS])
+        first = F.coalesce(*[F.when(places[kind].isNull() & cell["c"].rlike(pattern), kind) for kind, pattern in COLUMNS.items()])
+        return once(first, lambda told: F.struct(*[F.when(told == kind, cell["i"]).otherwise(places[kind]).alias(kind) for kind in COLUMNS]))
 
     cells = F.transform(header, lambda c, i: F.struct(c.alias("c"), i.alias("i")))
     joined = F.array_join(header, " ")
@@ -120,7 +117,7 @@ def read_tables(docs: DataFrame, *, id: str, text: str) -> DataFrame:  # noqa: A
     cells = rows.select(id, "_at", F.posexplode("_rows").alias("row_no", "_cells")).where((~F.col("_at.told") | (F.col("row_no") > 0)) & (F.size("_cells") >= 2))
     cell = lambda c: F.coalesce(F.when(F.col(f"_at.{c}") < F.size("_cells"), trimmed(F.col("_cells")[F.col(f"_at.{c}")])), F.lit(""))
     found = cells.select(id, "row_no", cell("name").alias("name"), cell("value").alias("value"), cell("unit").alias("unit"), cell("ref").alias("reference_range"), flag_status(cell("status")).alias("status"))
-    return found.where((F.col("name") != "") & ~is_no_name("name") & is_value("value"))
+    return found.where((F.col("name") != "") & ~is_no_name("name") & once(clean_line("value"), lambda clean: is_value("value", clean)))
 
 
 # --- Rows over several lines ------------------------------------------------------------------------------------------
@@ -134,7 +131,9 @@ def line_groups(text: Column | str) -> Column:
     """
     lines = F.filter(F.transform(F.split(F.coalesce(col(text), F.lit("")), r"\r?\n"), clean_line), lambda x: x != "")
     kinds = lambda x, clean: F.struct(x.alias("line"), is_no_name(x).alias("skip"), is_value(x, clean).alias("value"), is_unit(x, clean).alias("unit"), is_reference(x, clean).alias("ref"))
-    told = F.transform(lines, lambda x: once(clean_line(x), lambda clean: kinds(x, clean)))
+    # A clean line stays as it is, unless taking marks away has put others together.
+    marked = lambda x: F.contains(x, F.lit("\\(")) | F.contains(x, F.lit("\\)")) | F.contains(x, F.lit("m^2"))
+    told = F.transform(lines, lambda x: once(F.when(marked(x), clean_line(x)).otherwise(x), lambda clean: kinds(x, clean)))
     kind = "array<struct<line_no: int, name: string, value: string, unit: string, reference_range: string>>"
 
     def fold(xs: Column) -> Column:

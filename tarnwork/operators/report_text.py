@@ -90,8 +90,10 @@ def parse_report(docs: DataFrame, *, id: str, text: str, catalog: DataFrame | No
     by = Window.partitionBy(id).orderBy("line_no")
     lines = lines.withColumn("_next", F.lead("line").over(by)).where(F.length("line") >= 3)
     lines = lines.withColumn("line", continued("line", "_next")).drop("_next")
-    header = section_header("line")
-    tagged = carry_section(lines, partition=[id], order=["line_no"], header=header, ends=section_end("line")).where(header.isNull())
+    # A column of its own, so that a heading's patterns run once.
+    lines = lines.withColumn("_header", section_header("line"))
+    header = F.col("_header")
+    tagged = carry_section(lines, partition=[id], order=["line_no"], header=header, ends=section_end("line")).where(header.isNull()).drop("_header")
     rows = distinct_rows(parse_rows(tagged, line="line", patterns=patterns), doc=[id], order=["line_no"])
     if catalog is None:
         return rows
