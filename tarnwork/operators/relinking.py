@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tarnwork.functions.text import one_spaced, suggest_key, tidy_name
 from tarnwork.operators.resolve import alias_key, catalog_readings, qualifiers_of, readings_of, resolve_names
+from tarnwork.session import materialize
 
 
 def active_tests(catalog: DataFrame) -> DataFrame:
@@ -43,10 +44,11 @@ def printed_names(results: DataFrame, recorded: DataFrame, catalog: DataFrame) -
     known = F.coalesce(F.col("_stored") == _identifier("_row.display_name"), F.lit(False)) | F.coalesce(F.col("_stored") == _identifier("_row.test_name"), F.lit(False)) | F.coalesce(F.col("_stored") == F.col("_linked"), F.lit(False))
     counts = F.col("_row").isNotNull() & known
     first = lambda *names: F.coalesce(*[F.nullif(F.col(n), F.lit("")) for n in names])
-    return told.select(
+    # Written once: matching again reads the names several times.
+    return materialize(told.select(
         *results.columns, F.when(counts, first("_row.raw_test_name", "_row.display_name", "test_name")).otherwise(F.col("test_name")).alias("printed"),
         F.when(counts, F.nullif(F.col("_row.section_context"), F.lit(""))).alias("section"), counts.alias("from_parser"),
-    )
+    ), "printed-names")
 
 
 def relink(printed: DataFrame, catalog: DataFrame, *, links: DataFrame | None = None, tenant: str | None = None) -> DataFrame:
@@ -87,7 +89,13 @@ def _read_as(rows: DataFrame, others: DataFrame, several: bool = False) -> DataF
     """
     texts = rows.select(F.col("name").alias("_test"), F.explode(F.array_distinct(F.concat(F.array("name", "display_name"), F.coalesce("aliases", F.array().cast("array<string>"))))).alias("_text")).where("_text IS NOT NULL")
     asked = texts.withColumn("_with", qualifiers_of("_text")).select("_test", "_text", "_with", F.posexplode(readings_of("_text")).alias("_at", "_r"))
-    fits = asked.join(catalog_readings(others), (F.col("_r.key") == F.col("key")) & (F.col("_test") != F.col("test")))
+    # Of all tests that are read alike only the two smallest and greatest count, so many tests of one key make no pairs.
+    ends = F.array_sort(F.array_distinct(F.array("_low", "_high")))
+    alike = catalog_readings(others).groupBy("key", "required", "allowed").agg(F.min("test").alias("_low"), F.max("test").alias("_high"))
+    rest = catalog_readings(others).join(alike, ["key", "required", "allowed"]).where((F.col("test") != F.col("_low")) & (F.col("test") != F.col("_high")))
+    inner = rest.groupBy("key", "required", "allowed").agg(F.min("test").alias("_low"), F.max("test").alias("_high"))
+    few = alike.unionByName(inner).select("key", "required", "allowed", F.explode(ends).alias("test"))
+    fits = asked.join(few, (F.col("_r.key") == F.col("key")) & (F.col("_test") != F.col("test")))
     fits = fits.where((F.size(F.array_except("required", "_with")) == 0) & (F.size(F.array_except("_with", "allowed")) == 0))
     read = fits.groupBy("_test", "_text", "_at").agg(F.min("test").alias("test"), F.max("test").alias("_last")).where(F.lit(several) | (F.col("test") == F.col("_last")))
     return read.groupBy(F.col("_test").alias("name"), F.col("_text").alias("text")).agg(F.min_by("test", "_at").alias("other"))
@@ -163,7 +171,7 @@ def relink_touched(printed: DataFrame, index: DataFrame, before: DataFrame, afte
         own = links.join(tests, "test", "left_semi").select(F.col(tenant).alias("_tenant"), "match_key").distinct()
         same = (F.col(tenant) == F.col("_tenant")) & (alias_key("printed") == F.col("match_key"))
         ids = ids.unionByName(printed.join(own, same, "left_semi").select("result_id"))
-    ids = ids.distinct()
-    some = relink(printed.join(ids, "result_id", "left_semi"), after, links=links, tenant=tenant)
-    rest = printed.join(ids, "result_id", "left_anti")
+    marked = materialize(printed.join(ids.distinct().withColumn("_touched", F.lit(True)), "result_id", "left"), "touched-names").select(*printed.columns, "_touched")
+    some = relink(marked.where("_touched").drop("_touched"), after, links=links, tenant=tenant)
+    rest = marked.where("_touched IS NULL").drop("_touched")
     return some.unionByName(rest.withColumns({"new_test": F.col("test"), "new_name": F.col("test_name"), "changed": F.lit(False)}))

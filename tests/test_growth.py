@@ -1,9 +1,12 @@
 """Steps whose cost once grew faster than their input, or that were done more than once."""
 
+import random
+import re
+
 from pyspark.sql import functions as F
 
 from tarnwork.functions.text import one_spaced, trimmed
-from tarnwork.operators import recognised, records, report_text, row_grammars
+from tarnwork.operators import catalog, keyword_lines, recognised, records, relinking, report_text, resolve, row_grammars, scoring, series
 
 
 def test_actionable_lines_are_read_once(spark):
@@ -49,8 +52,8 @@ def test_recognised_pages_are_read_once(spark):
 def test_reports_are_parsed_once(spark):
     calls, same = counted(spark)
     docs = spark.createDataFrame([(i, "Hb 5 mg/dL\nNa 140 mmol/L") for i in range(10)], "id int, text string").select("id", same("text").alias("text"))
-    catalog = spark.createDataFrame([("hb", "Hb", ["hb"])], "name string, display_name string, aliases array<string>")
-    found = report_text.parse_report(docs, id="id", text="text", catalog=catalog)
+    tests = spark.createDataFrame([("hb", "Hb", ["hb"])], "name string, display_name string, aliases array<string>")
+    found = report_text.parse_report(docs, id="id", text="text", catalog=tests)
     assert sorted((r.id, r.raw_name, r.test) for r in found.collect()) == sorted((i, n, t) for i in range(10) for n, t in (("Hb", "hb"), ("Na", None)))
     assert calls.value == 10
 
@@ -71,3 +74,80 @@ def test_white_space_and_noise_are_as_their_patterns_say(spark):
     df = spark.createDataFrame([(t,) for t in lines], "t string")
     every = F.col("t").rlike("(?i)" + "|".join(row_grammars.NOISE)) | F.col("t").rlike("|".join(row_grammars.NOISE_AS_IT_IS))
     assert df.where(row_grammars.is_noise("t") != every).count() == 0
+
+
+def edit_of(n):
+    return (None, f"Own x{n}y", ["Shared name"], "each", 1, 2, True)
+
+
+EDITS = "name string, display_name string, aliases array<string>, default_unit string, normal_min int, normal_max int, is_active boolean"
+
+
+def test_many_edits_that_claim_one_name_make_no_pairs(spark):
+    n = 3_000
+    edits = spark.createDataFrame([edit_of(i) for i in range(n)], EDITS)
+    known = spark.createDataFrame([("a", "Alone", [], "each", 1, 2, True)], EDITS)
+    found = {r.display_name: r.problem for r in relinking.checked_edits(known, edits, spark.createDataFrame([("each",)], "name string")).collect()}
+    assert found == {f"Own x{i}y": "names own_x1000y" if i == 0 else "names own_x0y" for i in range(n)}
+    pairs = relinking._read_as(edits.withColumn("name", F.translate(F.lower("display_name"), " ", "_")), edits.withColumn("name", F.translate(F.lower("display_name"), " ", "_")), several=True)
+    assert pairs.count() == n
+
+
+def test_names_read_as_other_tests_as_by_pairs(spark):
+    rng = random.Random(5)
+    words = ["iron", "zinc", "free iron", "iron urine", "zinc, iron", "lead (iron)"]
+    tests = [(f"t{i}", f"own{i}", rng.sample(words, rng.randrange(3))) for i in range(14)]
+    known = spark.createDataFrame(tests, "name string, display_name string, aliases array<string>")
+    asked = known.select(F.col("name").alias("_test"), F.explode(F.array_distinct(F.concat(F.array("name", "display_name"), "aliases"))).alias("_text"))
+    asked = asked.withColumn("_with", resolve.qualifiers_of("_text")).select("*", F.posexplode(resolve.readings_of("_text")).alias("_at", "_r"))
+    pairs = asked.join(resolve.catalog_readings(known), (F.col("_r.key") == F.col("key")) & (F.col("_test") != F.col("test"))).where("size(array_except(required, _with)) = 0 AND size(array_except(_with, allowed)) = 0").collect()
+    for several in (False, True):
+        expected = {}
+        for test, text in {(r._test, r._text) for r in pairs}:
+            for at in sorted({r._at for r in pairs if (r._test, r._text) == (test, text)}):
+                others = {r.test for r in pairs if (r._test, r._text, r._at) == (test, text, at)}
+                if several or len(others) == 1:
+                    expected.setdefault((test, text), min(others))
+        assert {(r.name, r.text): r.other for r in relinking._read_as(known, known, several).collect()} == expected
+
+
+def test_rows_of_few_units_are_not_dealt_out_by_them(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = spark.range(50).select("id", F.lit("x").alias("test"), F.lit("each").alias("unit"), F.col("id").cast("string").alias("value"), F.lit("dz").alias("to_unit"), F.lit("1 - 2").alias("printed"))
+        units = spark.createDataFrame([("each", "ea"), ("dozen", "dz")], "name string, symbol string")
+        conversions = spark.createDataFrame([("x", "each", "dozen", True)], "test string, from_unit string, to_unit string, is_active boolean").withColumn("conversion_factor", F.lit("2").cast("decimal(15,8)"))
+        rules = spark.createDataFrame([("x", "each", 1, 2, True)], "test string, unit string, normal_min int, normal_max int, is_active boolean")
+        factors = spark.createDataFrame([("x", "dz", "each", "2")], "test string, from_key string, to_key string, factor string").withColumn("factor", F.col("factor").cast("decimal(15,8)"))
+        points = series.trend_points(rows, factors, series=["id"], test="test", unit="unit", value="value", printed_range="printed", order=["id"])
+        told = (catalog.convert_results(rows, units, conversions), catalog.rules_by_printed_unit(rows, rules, rules.select("test", "unit")), points)
+        keys = [line for df in told for line in df._jdf.queryExecution().executedPlan().toString().split("\n") if re.search(r"SortMergeJoin|ShuffledHashJoin", line) and not re.search(r"\[id#", line)]
+        assert keys == [] and [df.count() for df in told] == [50, 50, 50]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_keywords_are_found_as_by_their_patterns(spark):
+    rng = random.Random(3)
+    words = [w for ws in keyword_lines.KEYWORDS.values() for w in ws.split("|")]
+    lines = ["", "İron", "ſodium", "K 5", "é iron", *(rng.choice(["", "x", "é "]) + rng.choice([str.upper, str.title, str.lower])(w) + rng.choice("x ") for w in words for _ in range(3))]
+    df = spark.createDataFrame([(x,) for x in lines], "x string")
+    by_pattern = F.coalesce(*[F.when(F.col("x").rlike(f"(?iu){ws}"), name) for name, ws in keyword_lines.KEYWORDS.items()])
+    assert df.where(~keyword_lines.keyword_of("x").eqNullSafe(by_pattern)).count() == 0
+    assert "contains" in optimized(df.select(keyword_lines.keyword_of("x"))).lower()
+
+
+def test_parts_are_planned_as_lines_come(spark):
+    rng = random.Random(2)
+    lines = [(doc, no, rng.randrange(900)) for doc in (None, *range(30)) for no in range(rng.randrange(1, 40))]
+    found = scoring.plan_parts(spark.createDataFrame(lines, "doc int, no int, size int"), doc="doc", order="no", size="size", budget=2000)
+    assert "MapInArrow" in found._jdf.queryExecution().executedPlan().toString()
+    expected, used, part, last = {}, 0, 0, ()
+    for doc, no, size in lines:
+        if last != (doc,):
+            last, used, part = (doc,), 0, 0
+        if used and used + size > 2000:
+            used, part = 0, part + 1
+        used += size
+        expected[doc, no] = part
+    assert {(r.doc, r.no): r.part for r in found.collect()} == expected
