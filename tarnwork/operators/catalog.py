@@ -9,14 +9,17 @@ from tarnwork.functions.numbers import exact_product
 from tarnwork.functions.status import rule_status, stored_status
 from tarnwork.functions.text import normalize_identifier, suggest_key
 from tarnwork.functions.units import normalize_unit
+from tarnwork.session import small
 
+#: So many rows of a catalog at most are sent to each task, with so many bytes as JSON. Rows of few tests and units are then not dealt out by these.
+SMALL, SMALL_BYTES = 100_000, 8_000_000
 BOUNDS = ("min_value", "max_value", "normal_min", "normal_max", "critical_low_min", "critical_high_max")
 
 
 def unit_names(rows: DataFrame, units: DataFrame, *, unit: str, to: str = "unit_name") -> DataFrame:
     """``rows`` with the name of the unit in ``units(name, symbol)`` that is called so, else of the first with that symbol; else null."""
-    by_name = units.select(F.col("name").alias("_name")).distinct()
-    by_symbol = units.groupBy(F.col("symbol").alias("_symbol")).agg(F.min("name").alias("_of_symbol"))
+    by_name = small(units.select(F.col("name").alias("_name")).distinct(), SMALL, SMALL_BYTES)
+    by_symbol = small(units.groupBy(F.col("symbol").alias("_symbol")).agg(F.min("name").alias("_of_symbol")), SMALL, SMALL_BYTES)
     told = rows.join(by_name, F.col(unit) == F.col("_name"), "left").join(by_symbol, F.col(unit) == F.col("_symbol"), "left")
     return told.select(*rows.columns, F.coalesce("_name", "_of_symbol").alias(to))
 
@@ -28,7 +31,7 @@ def rules_for(rows: DataFrame, rules: DataFrame, type_units: DataFrame, *, test:
     """
     bounds = lambda frame: F.struct(*[(F.col(b) if b in frame.columns else F.lit(None)).cast("decimal(18,4)").alias(b) for b in BOUNDS])
     one = lambda frame: frame.where("is_active").groupBy(F.col("test").alias("_test"), F.col("unit").alias("_unit")).agg(F.min(bounds(frame)).alias("_rule"))
-    own, other = one(rules), one(type_units).toDF("_test2", "_unit2", "_rule2")
+    own, other = small(one(rules), SMALL, SMALL_BYTES), small(one(type_units).toDF("_test2", "_unit2", "_rule2"), SMALL, SMALL_BYTES)
     told = rows.join(own, (F.col(test) == F.col("_test")) & (F.col(unit) == F.col("_unit")), "left")
     told = told.join(other, (F.col(test) == F.col("_test2")) & (F.col(unit) == F.col("_unit2")), "left")
     source = F.when(F.col("_rule").isNotNull(), "rule").when(F.col("_rule2").isNotNull(), "unit")
@@ -41,7 +44,7 @@ def rules_by_printed_unit(rows: DataFrame, rules: DataFrame, defaults: DataFrame
     A unit is printed as its rule's name or, by ``units(name, symbol)``, as its symbol, in any spelling; a blank one is
     none. A number with commas isn't one here. ``defaults`` has ``test, unit``, a row for each test.
     """
-    own = defaults.select(F.col("test").alias("_of"), F.col("unit").alias("_default"))
+    own = small(defaults.select(F.col("test").alias("_of"), F.col("unit").alias("_default")), SMALL, SMALL_BYTES)
     told = rows.join(own, F.col(test) == F.col("_of"), "left").withColumn("_printed_unit", F.nullif(normalize_unit(unit), F.lit("")))
     spelled = rules.join(units.groupBy(F.col("name").alias("unit")).agg(F.min("symbol").alias("_symbol")), "unit", "left") if units is not None else rules.withColumn("_symbol", F.lit(None).cast("string"))
     spelled = spelled.withColumn("unit", F.explode(F.array_distinct(F.transform(F.array_compact(F.array("unit", "_symbol")), normalize_unit))))
@@ -68,6 +71,7 @@ def convert_results(rows: DataFrame, units: DataFrame, conversions: DataFrame, *
     """
     told = unit_names(unit_names(rows, units, unit=unit, to="_from"), units, unit=to, to="_to")
     factors = conversions.where("is_active").groupBy(F.col("test").alias("_test"), F.col("from_unit").alias("_a"), F.col("to_unit").alias("_b")).agg(F.min("conversion_factor").alias("_factor"))
+    factors = small(factors, SMALL, SMALL_BYTES)
     told = told.join(factors, (F.col(test) == F.col("_test")) & (F.col("_from") == F.col("_a")) & (F.col("_to") == F.col("_b")), "left")
     told = told.withColumn("_new", exact_product(value, F.col("_factor")))
     problem = (

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tarnwork.functions.numbers import comparable_number, convert_range, convert_value
 from tarnwork.functions.units import normalize_unit
+from tarnwork.session import small
 
 
 def dominant_unit(results: DataFrame, *, series: list[str], unit: str, order: list[str], default: Column | None = None) -> DataFrame:
@@ -41,9 +42,9 @@ def trend_points(results: DataFrame, factors: DataFrame, *, series: list[str], t
     range stay as printed.
     """
     target = dominant_unit(results, series=series, unit=unit, order=order, default=default).withColumnRenamed("unit_key", "_target")
-    spellings = results.select(F.col(unit).alias("_spelling")).distinct().withColumn("_key", normalize_unit("_spelling"))
-    keyed = results.join(spellings, F.col(unit).eqNullSafe(F.col("_spelling")), "left").drop("_spelling").join(target, series, "left")
-    f = factors.select(F.col(test).alias("_test"), F.col("from_key").alias("_from"), F.col("to_key").alias("_to"), "factor")
+    # Rows are dealt out by their series alone: there are few units, so that a join by these would send most rows to one task.
+    keyed = results.withColumn("_key", normalize_unit(unit)).join(target, series, "left")
+    f = small(factors.select(F.col(test).alias("_test"), F.col("from_key").alias("_from"), F.col("to_key").alias("_to"), "factor"), 100_000, 8_000_000)
     told = keyed.join(f, (F.col(test) == F.col("_test")) & (F.col("_key") == F.col("_from")) & (F.col("_target") == F.col("_to")), "left")
     same = (F.col("_key") == "") | F.col("_target").isNull() | (F.col("_key") == F.col("_target"))
     # A column of its own, so that values are converted once.
