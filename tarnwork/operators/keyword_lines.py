@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarnwork.functions.status import range_status
-from tarnwork.functions.text import col, trimmed
+from tarnwork.functions.text import col, once, trimmed
 
 #: Tests and what names them anywhere in a line, in any case; the first test that is named counts.
 KEYWORDS = {
@@ -41,11 +45,17 @@ RANGE_WORDS = ("ref", "reference", "normal", "range")
 
 
 def keyword_of(line: Column | str, keywords: dict[str, str] = KEYWORDS) -> Column:
-    """The first test that the line names; null if there is none."""
-    found = F.lit(None).cast("string")
-    for name in reversed(keywords):
-        found = F.when(col(line).rlike(f"(?iu){keywords[name]}"), name).otherwise(found)
-    return found
+    """The first test that the line names; null if there is none.
+
+    Plain words are looked for as they are in lines of ASCII, where that finds what the patterns do.
+    """
+    line = col(line)
+    by_pattern = F.coalesce(*[F.when(line.rlike(f"(?iu){words}"), name) for name, words in keywords.items()])
+    if not all(re.fullmatch("[a-z0-9 |-]+", words) for words in keywords.values()):
+        return by_pattern
+    has = lambda low, words: reduce(or_, [F.contains(low, F.lit(w)) for w in words.split("|")])
+    by_word = once(F.lower(line), lambda low: F.coalesce(*[F.when(has(low, words), name) for name, words in keywords.items()]))
+    return F.when(F.octet_length(line) == F.length(line), by_word).otherwise(by_pattern)
 
 
 def announced_range(line: Column | str) -> Column:
