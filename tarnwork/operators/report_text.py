@@ -13,6 +13,10 @@ from tarnwork.operators.row_grammars import NUMERIC_GRAMMARS, TABULAR_GRAMMARS,
 from tarnwork.session import materialize
 
 
+#: Slots that hashes of words fall into: a bound for the table that tells which are asked for.
+TOKEN_SLOTS = 1 << 16
+
+
 def explode_lines(docs: DataFrame, *, id: str, text: str) -> DataFrame:  # noqa: A002
     """``id, line_no, line`` from 0."""
     return docs.select(id, F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
@@ -121,11 +125,14 @@ def locate_rows(rows: DataFrame, lines: DataFrame, *, doc: str, id: str, name: s
     """
     signs = lambda text, pattern: F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     tokens = lambda text: F.array_distinct(F.concat(signs(text, r"(?U)\w+"), signs(text, r"(?U)[^\w\s]")))
-    low = F.lower(F.col("line"))
-    postings = lines.select(F.col(doc).alias("_doc"), F.col("line_no").alias("_no"), low.alias("_line"), F.explode(tokens(low)).alias("_token"))
+    slot = lambda token: F.pmod(F.xxhash64(token), F.lit(TOKEN_SLOTS))
     own, word = trimmed(F.lower(F.coalesce(value, F.lit("")))), F.regexp_extract(F.lower(F.coalesce(name, F.lit(""))), "[a-z]{3,}", 0)
     first = F.coalesce(*[F.nullif(F.regexp_extract(own, p, 0), F.lit("")) for p in (r"(?U)\w+", r"(?U)[^\w\s]")])
     asked = rows.select(F.col(id).alias("_id"), F.col(doc).alias("_of"), own.alias("_own"), word.alias("_word"), first.alias("_first")).where("_own <> '' AND _word <> ''")
+    low = F.lower(F.col("line"))
+    postings = lines.select(F.col(doc).alias("_doc"), F.col("line_no").alias("_no"), low.alias("_line"), F.explode(tokens(low)).alias("_token"))
+    # What no row asks for isn't dealt out; the slots are few, however many words there are.
+    postings = postings.join(F.broadcast(asked.select(slot(F.col("_first")).alias("_slot")).distinct()), slot(F.col("_token")) == F.col("_slot"), "left_semi")
     alone = F.concat(F.lit(r"(?U)(?<![\w.])\Q"), F.replace(F.col("_own"), F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit(r"\E(?!\w)"))
     hits = asked.join(postings, (F.col("_of") == F.col("_doc")) & (F.col("_first") == F.col("_token"))).where(F.contains("_line", F.col("_word")) & F.rlike("_line", alone))
     found = hits.groupBy("_id").agg(F.min("_no").alias("_found"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tarnwork.operators import recognised, report_text, row_grammars
 from tarnwork.plans._read import read
 from tarnwork.plans.analytics import query
+from tarnwork.session import materialize
 
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,7 +78,8 @@ def two_readers(spark: SparkSession, sf_dir: str) -> DataFrame:
 def located_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where each order's results are printed in its text; for every fourth order a reader has recorded it."""
     rows = _lines(spark, sf_dir).groupBy("l_orderkey").agg(F.array_sort(F.collect_list("x")).alias("xs"))
-    docs = rows.select("l_orderkey", F.posexplode("xs").alias("line_no", "x"))
+    # Written once, as rows, lines and records are all made of it.
+    docs = materialize(rows.select("l_orderkey", F.posexplode("xs").alias("line_no", "x")).select("l_orderkey", "line_no", F.struct("x.name", "x.value").alias("x")), "located-lines")
     lines = docs.select("l_orderkey", "line_no", F.concat_ws(" ", F.upper("x.name"), "x.value", F.lit("mg/dL 1"), F.concat(F.lit("0"), "x.value")).alias("line"))
     asked = docs.select("l_orderkey", (F.col("l_orderkey") * 100 + F.col("line_no")).alias("row_id"), "x.name", "x.value", "line_no")
     recorded = asked.where("l_orderkey % 4 = 0").select("row_id", "line_no")

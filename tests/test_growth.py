@@ -151,3 +151,11 @@ def test_parts_are_planned_as_lines_come(spark):
         used += size
         expected[doc, no] = part
     assert {(r.doc, r.no): r.part for r in found.collect()} == expected
+
+
+def test_words_that_no_row_asks_for_are_not_dealt_out(spark):
+    lines = spark.createDataFrame([(d, n, f"xyz x{d}y{n} {n}.5 <{n} mg/dL +++ %") for d in range(3) for n in range(9)], "doc int, line_no int, line string")
+    rows = spark.createDataFrame([(1, 0, "Xyz", "4.5"), (2, 1, "xyz", "+++"), (3, 2, "xyz", "%"), (4, 2, "xyz", "9.5"), (5, 1, "1 xyz", "7"), (6, 0, "xyz", "")], "id int, doc int, name string, value string")
+    found = report_text.locate_rows(rows, lines, doc="doc", id="id", name="name", value="value")
+    assert {r.id: r.line_no for r in found.collect()} == {1: 4, 2: 0, 3: 0, 4: None, 5: 7, 6: None}
+    assert re.search(r"Join LeftSemi[^\n]*_slot", optimized(found))
