@@ -47,12 +47,22 @@ def join_continuations(lines: DataFrame, *, partition: list[str], order: list[st
 
 def repeated_lines(lines: DataFrame, *, doc: list[str], page: str, pos: str, line: str, least: int = 20, top: int = 12, bottom: int = 6) -> DataFrame:
     """``doc, line`` of what stands on two or more pages: long lines anywhere, others at one place of a margin."""
+    seen = _line_places(lines, doc=doc, page=page, pos=pos, line=line, least=least, top=top, bottom=bottom)
+    return seen.where("repeated").select(*doc, "line")
+
+
+def _line_places(lines: DataFrame, *, doc: list[str], page: str, pos: str, line: str, least: int, top: int, bottom: int) -> DataFrame:
+    """``doc, line, repeated`` and ``first``, the smallest page (none, if one has no number), of each distinct line."""
     by_page = Window.partitionBy(*doc, page)
-    rows = lines.select(*doc, F.col(page).alias("_page"), F.col(line).alias("line"), F.row_number().over(by_page.orderBy(pos)).alias("_top"), F.row_number().over(by_page.orderBy(F.desc(pos))).alias("_bottom"))
-    long = rows.where(F.length("line") >= least).groupBy(*doc, "line").agg(F.countDistinct("_page").alias("pages"))
-    zones = F.array(F.when(F.col("_top") <= top, F.struct(F.lit("top").alias("zone"), F.col("_top").alias("at"))), F.when(F.col("_bottom") <= bottom, F.struct(F.lit("bottom").alias("zone"), F.col("_bottom").alias("at"))))
-    placed = rows.select(*doc, "line", "_page", F.explode(F.filter(zones, lambda z: z.isNotNull())).alias("z")).groupBy(*doc, "line", "z").agg(F.countDistinct("_page").alias("pages"))
-    return long.where("pages >= 2").select(*doc, "line").union(placed.where("pages >= 2").select(*doc, "line")).distinct()
+    at, n = F.row_number().over(by_page.orderBy(pos)), F.count("*").over(by_page)
+    rows = lines.select(*doc, F.col(page).alias("_page"), F.col(line).alias("line"), at.alias("_top"), n.alias("_n")).withColumn("_bottom", (F.col("_n") - F.col("_top") + 1).cast("int"))
+    zone = lambda name, place: F.struct(F.lit(name).alias("zone"), place.alias("at"))
+    zones = F.filter(F.array(F.when(F.length("line") >= least, zone("", F.lit(0))), F.when(F.col("_top") <= top, zone("top", F.col("_top"))), F.when(F.col("_bottom") <= bottom, zone("bottom", F.col("_bottom")))), lambda z: z.isNotNull())
+    # On two pages or more: the smallest isn't the greatest, which partial sums tell, by hashing and without a list of all.
+    placed = rows.select(*doc, "line", "_page", F.explode_outer(zones).alias("_zone")).groupBy(*doc, "line", "_zone")
+    placed = placed.agg(F.min("_page").alias("_first"), F.max("_page").alias("_last"), F.bool_or(F.col("_page").isNull()).alias("_bare"))
+    several = F.bool_or(F.coalesce(F.col("_zone").isNotNull() & (F.col("_first") < F.col("_last")), F.lit(False)))
+    return placed.groupBy(*doc, "line").agg(several.alias("repeated"), F.when(~F.bool_or("_bare"), F.min("_first")).alias("first"))
 
 
 def prepare_text(lines: DataFrame, *, doc: list[str], page: str, pos: str, line: str, keep: Column | None = None, known: Column | None = None) -> DataFrame:
@@ -61,16 +71,16 @@ def prepare_text(lines: DataFrame, *, doc: list[str], page: str, pos: str, line:
     Lines for which ``keep`` holds are never dropped.
     """
     kept = F.coalesce(keep, F.lit(False)) if keep is not None else F.lit(False)
-    rows = lines.withColumn("_keep", kept)
+    # A page's own repeats are counted there; which page is the first is told by line, so that no common line is a group of rows.
+    nth = F.row_number().over(Window.partitionBy(*doc, page, line).orderBy(pos))
+    rows = lines.withColumn("_keep", kept).withColumn("_nth", nth)
     rows = flag_from(rows, partition=[*doc, page], order=[pos], starts=F.col(line).rlike(BOILERPLATE_HEADING), name="_legal")
-    repeats = repeated_lines(lines, doc=doc, page=page, pos=pos, line=line).withColumn("_repeated", F.lit(True)).withColumnRenamed("line", line)
-    rows = rows.join(repeats, [*doc, line], "left")
-    # Only repeated lines need a place; the others, blank ones too, each are a group of their own.
-    alone = F.when(F.col("_repeated").isNull(), F.struct(page, pos))
-    nth = F.row_number().over(Window.partitionBy(*doc, line, alone).orderBy(page, pos))
-    rows = rows.withColumn("_nth", nth)
-    drop = (is_boilerplate(line) | F.col("_legal") | (F.coalesce("_repeated", F.lit(False)) & (F.col("_nth") > 1))) & ~F.col("_keep")
-    return rows.where(~drop).withColumn(line, redact_line(line, known)).select(*lines.columns)
+    # What goes in any case doesn't meet the repeated lines.
+    rows = rows.where(~(is_boilerplate(line) | F.col("_legal")) | F.col("_keep"))
+    places = _line_places(lines, doc=doc, page=page, pos=pos, line=line, least=20, top=12, bottom=6)
+    rows = rows.join(places.where("repeated").withColumnRenamed("line", line), [*doc, line], "left")
+    again = F.coalesce("repeated", F.lit(False)) & (~F.col("first").eqNullSafe(F.col(page)) | (F.col("_nth") > 1))
+    return rows.where(~again | F.col("_keep")).withColumn(line, redact_line(line, known)).select(*lines.columns)
 
 
 def distinct_rows(rows: DataFrame, *, doc: list[str], order: list[str], section: str = "section") -> DataFrame:
