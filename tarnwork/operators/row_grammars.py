@@ -8,13 +8,15 @@ a table, tried by priority after the grammars.
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarnwork.functions.numbers import pattern_confidence
 from tarnwork.functions.status import PRINTED_RANGE, qualitative_status, range_status
-from tarnwork.functions.text import col, once, trimmed
+from tarnwork.functions.text import col, has_any, once, trimmed
+from tarnwork.session import materialize
 
 # Units as reports print them, results in words of rows without numbers, and descriptive results.
 UNITS = (
@@ -95,7 +97,9 @@ NOISE_AS_IT_IS = (r"^\s*\*\w+\*\s*$", r"^\s*\.+\s*$", r"^\s*-{5,}", r"^\s*\|", r
 # Those at the start of a line are one pattern, so that they aren't tried at every place of it.
 _BEGINS = r"^\s*"
 NOISE_AT_START = f"(?i){_BEGINS}(?:{'|'.join(n.removeprefix(_BEGINS) for n in NOISE if n.startswith(_BEGINS))})"
-NOISE_ANYWHERE = f"(?i){'|'.join(n for n in NOISE if not n.startswith(_BEGINS))}"
+#: The others, each with what a line, in lower case, can't lack.
+NOISE_ANYWHERE = {r"\b(?:mr|mrs|ms|miss)\.\s*[a-z]": ".", r"within\s+\d+\s+(?:hours|days)": "within", r"\bHOD\b": "hod", r"Courts/Forum": "courts/forum"}
+ODD_LINES = f"^(?:{'|'.join(n.removeprefix('^') for n in NOISE_AS_IT_IS)})"
 COUNT_HEADING = r"(?i)^\s*(?:Differential|Absolute)\s+"
 # Headings of sections, what ends a section, and how labels of prose and of other fields are told.
 SECTION_HEADERS = {
@@ -107,11 +111,11 @@ SECTION_END = (
     r"(?i)\b(?:serum|plasma|edta|whole\s+blood|ha?emogram|complete\s+blood\s+count|cbc|lipid\s+profile|liver\s+function|kidney\s+function"
     r"|renal\s+function|thyroid\s+(?:profile|function)|ha?ematology|biochemistry|panel|profile)\b"
 )
-PROSE = (
-    r"\b(?:that|which|are|were|with|have|has|had|patient|cases|similar|clinical|affected|define|development|factors|organs|commentary|bacteria"
-    r"|levels|may|organism|volume of)\b|\b(?:in the|on the|of the|to the|from the|for the)\b"
+# Words of prose and of other fields are one pattern, so that a word's beginning is looked for once.
+OTHER_WORDS = (
+    r"\b(?:collection cent(?:re|er)|reference lab(?:oratory)?|ph\.?d|m\.?d|that|which|are|were|with|have|has|had|patient|cases|similar|clinical|affected"
+    r"|define|development|factors|organs|commentary|bacteria|levels|may|organism|volume of|(?:in|on|of|to|from|for) the)\b"
 )
-OTHER_LABELS = r"\b(?:collection cent(?:re|er)|reference lab(?:oratory)?)\b|^head |\b(?:ph\.?d|m\.?d)\b"
 OTHER_FIELDS = (
     "page", "note", "collected", "reported", "lab no", "name", "ref by", "ref doctor", "a/c", "national", "block", "important", "interpretation",
     "advised", "disclaimer", "department of", "visit id", "client name", "patient location", "patient name", "uhid",
@@ -133,7 +137,8 @@ def fits(line: Column, *kinds: str) -> Column:
 def is_noise(line: Column | str) -> Column:
     """Not a row: fields of the report's head and foot, notes, people; count headings that hold a result are none."""
     line = col(line)
-    noise = line.rlike(NOISE_AT_START) | line.rlike(NOISE_ANYWHERE) | line.rlike("|".join(NOISE_AS_IT_IS))
+    anywhere = (F.contains(F.lower(line), F.lit(needs)) & line.rlike(f"(?i){pattern}") for pattern, needs in NOISE_ANYWHERE.items())
+    noise = reduce(lambda a, b: a | b, anywhere, line.rlike(NOISE_AT_START) | line.rlike(ODD_LINES))
     return noise & ~(line.rlike(COUNT_HEADING) & (fits(line, "tabular") | has_right_anchored(line)))
 
 
@@ -149,8 +154,9 @@ def plausible_label(name: Column | str, value: Column | str | None = None) -> Co
     """
     name = col(name)
     low = F.lower(name)
-    fits = (F.length(name) >= 2) & (F.length(name) <= 70) & (F.size(F.split(trimmed(name), r"(?U)\s+")) <= 10)
-    other = name.rlike(r"^\d+$|:|\.$|,\S") | low.rlike(rf"^(?:{'|'.join(OTHER_FIELDS)})|{OTHER_LABELS}|{PROSE}")
+    # Eleven words take 21 characters.
+    fits = (F.length(name) >= 2) & (F.length(name) <= 70) & ((F.length(name) < 21) | (F.size(F.split(trimmed(name), r"(?U)\s+")) <= 10))
+    other = name.rlike(r"^\d+$|:|\.$|,\S") | low.rlike(rf"^(?:{'|'.join(OTHER_FIELDS)}|head )") | low.rlike(OTHER_WORDS)
     if value is None:
         return fits & ~other
     word = F.lower(col(value))
@@ -161,7 +167,10 @@ def plausible_label(name: Column | str, value: Column | str | None = None) -> Co
 
 def holds_unit(name: Column) -> Column:
     """A known unit occurs anywhere in the text, in whatever case."""
-    return F.lower(name).rlike("|".join(re.sub(r"([^\w\s])", r"\\\1", u.lower()) for u in dict.fromkeys(UNITS)))
+    # A unit that holds another is there only if that is.
+    known = dict.fromkeys(u.lower() for u in UNITS)
+    least = [u for u in known if not any(v != u and v in u for v in known)]
+    return has_any(F.lower(name), tuple(least))
 
 
 def section_header(line: Column | str) -> Column:
@@ -211,7 +220,8 @@ def _row(text: Column, grammar: tuple) -> Column:
         made = F.struct(F.lit(kind).alias("grammar"), F.when(good, name).alias("raw_name"), value.alias("value"), p[3].alias("unit"), p[4].alias("reference_range"))
         return F.when(name != "", made)
 
-    return F.when(text.rlike(needs), once(F.split(marked, _MARK), fields))
+    made = once(F.split(marked, _MARK), fields)
+    return made if needs == _BY_KIND["tabular"][1] else F.when(text.rlike(needs), made)
 
 
 def _labelled(row: Column) -> Column:
@@ -281,7 +291,8 @@ def parse_rows(lines: DataFrame, *, line: str, patterns: DataFrame | None = None
     found = lines.withColumn("_text", F.replace(trimmed(line), F.lit(_MARK), F.lit(" "))).where((F.length(text) >= 3) & ~is_noise(text))
     tables, others = GRAMMARS[:3], GRAMMARS[3:]
     # Of the three forms of tables the first that fits decides, and so does its label.
-    row = F.coalesce(once(F.coalesce(*[_row(text, g) for g in tables]), _labelled), *[once(_row(text, g), _labelled) for g in others])
+    table = F.when(text.rlike(tables[-1][3]), F.coalesce(*[_row(text, g) for g in tables]))
+    row = F.coalesce(once(table, _labelled), *[once(_row(text, g), _labelled) for g in others])
     kinds = "struct<grammar: string, raw_name: string, value: string, unit: string, reference_range: string, pattern_test: string, pattern_confidence: double>"
     full = lambda r: F.when(r.isNotNull(), F.struct(*[r[c].alias(c) for c in ("grammar", "raw_name", "value", "unit", "reference_range")], F.lit(None).cast("string").alias("pattern_test"), F.lit(None).cast("double").alias("pattern_confidence")))
     known = pattern_rows(patterns) if patterns is not None else []
@@ -293,3 +304,18 @@ def parse_rows(lines: DataFrame, *, line: str, patterns: DataFrame | None = None
     confidence = F.coalesce("_row.pattern_confidence", F.when(F.col("_row.grammar").isin(*TABULAR_GRAMMARS), 0.7).otherwise(0.75))
     fields = [F.col(f"_row.{c}").alias(c) for c in ("grammar", "raw_name", "value", "unit", "reference_range", "pattern_test")]
     return found.select(*lines.columns, *fields, status.alias("status"), confidence.alias("confidence"))
+
+
+def parse_repeated_rows(lines: DataFrame, *, line: str, patterns: DataFrame | None = None, most: int = 100_000, size: int = 32_000_000) -> DataFrame:
+    """``parse_rows``, for lines of which many are alike: each text is read once, and what it holds is told to all its lines.
+
+    A first pass writes the distinct texts. If they are more than ``most``, or take more than ``size`` bytes, the lines
+    are read one by one. Give lines that are cheap to make, since both passes make them.
+    """
+    said = materialize(lines.select(F.col(line).alias("_said")).where("_said IS NOT NULL").distinct(), "lines-said")
+    n, taken = said.limit(most + 1).agg(F.count("*"), F.sum(F.octet_length("_said"))).first()
+    if n > most or (taken or 0) > size:
+        return parse_rows(lines, line=line, patterns=patterns)
+    read = parse_rows(said, line="_said", patterns=patterns)
+    told = lines.join(F.broadcast(materialize(read, "lines-read")), F.col(line) == F.col("_said"))
+    return told.select(*lines.columns, *[c for c in read.columns if c != "_said"])

@@ -176,7 +176,7 @@ def parsed_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     quantity = F.col("l_quantity").cast("int").cast("string")
     made = F.create_map(*[F.lit(x) for k, line in _LINES.items() for x in (k, line[0])])[((F.col("l_partkey") + F.col("l_linenumber")) % len(_LINES)).cast("int")]
     lines = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.replace(made, F.lit("{q}"), quantity).alias("line"))
-    return row_grammars.parse_rows(lines, line="line").drop("line", "pattern_test")
+    return row_grammars.parse_repeated_rows(lines, line="line").drop("line", "pattern_test")
 
 
 @query("""

@@ -5,6 +5,7 @@ import re
 
 from pyspark.sql import functions as F
 
+from tarnwork.functions import numbers, text
 from tarnwork.functions.text import one_spaced, trimmed
 from tarnwork.operators import catalog, keyword_lines, recognised, records, relinking, report_text, resolve, row_grammars, scoring, series
 
@@ -159,3 +160,54 @@ def test_words_that_no_row_asks_for_are_not_dealt_out(spark):
     found = report_text.locate_rows(rows, lines, doc="doc", id="id", name="name", value="value")
     assert {r.id: r.line_no for r in found.collect()} == {1: 4, 2: 0, 3: 0, 4: None, 5: 7, 6: None}
     assert re.search(r"Join LeftSemi[^\n]*_slot", optimized(found))
+
+
+def test_lines_that_are_alike_are_read_once(spark, monkeypatch):
+    texts = ["Hb 5.5 mg/dL 1 - 4", " Hb 5.5 mg/dL 1 - 4", "HIV Negative", "Page 1 of 2", "", None, "ABO Group AB"]
+    lines = spark.createDataFrame([(i, texts[i % len(texts)]) for i in range(700)], "id int, line string")
+    each = row_grammars.parse_rows(lines, line="line")
+    given, whole = [], row_grammars.parse_rows
+    monkeypatch.setattr(row_grammars, "parse_rows", lambda rows, **options: (given.append(rows.count()), whole(rows, **options))[1])
+    for most, read in ((10, 6), (2, 700)):
+        found = row_grammars.parse_repeated_rows(lines, line="line", most=most)
+        assert found.columns == each.columns and sorted(found.collect()) == sorted(each.collect()) and found.count() == 400
+        assert given.pop() == read
+
+
+def prepared(spark, pages):
+    lines = spark.createDataFrame([("s", page, pos, line) for page, text in pages for pos, line in enumerate(text)], "source string, page int, pos int, line string")
+    return report_text.prepare_text(lines, doc=["source"], page="page", pos="pos", line="line")
+
+
+def test_a_repeated_line_is_no_group_of_its_own(spark):
+    pages = [(p, [*([""] * 3), "An address that is long enough", f"Hb {p} g/dL", ""]) for p in range(40)] + [(0, ["twice"]), (0, ["twice"])]
+    found = prepared(spark, pages)
+    assert sorted((r.page, r.pos, r.line) for r in found.collect()) == sorted([(0, 3, "An address that is long enough"), (0, 0, "twice"), (0, 0, "twice"), *((p, 4, f"Hb {p} g/dL") for p in range(40))])
+    windows = [w for w in optimized(found).split("\n") if "Window [" in w]
+    assert windows and all(re.search(r"\], \[source#\d+, (page|_page)#", w) for w in windows)
+
+
+def test_guards_of_patterns_leave_nothing_out(spark):
+    rng = random.Random(7)
+    bits = ["Mr. Roe", "MRS Roe", "b/o Roe", "baby\tRoe", "Patient Name : Jane Roe", "test name: x", "name:Kim", "Kumari Roe", "a.b@c.de", "@", "call 12345 678", "Toll Free no: 1800-123-4567", "+91 98765 43210", "12345678901", "1,234.5", "clinically correlate",
+            "Clinical correlation", "Medico - legal", "www.x", "HTTPS://x", "End  of the report", "computer generated", "terms & conditions", "inter laboratory", "İmr x", "systems", "3 - 5", "< 4", ">=7", "5.", "1e5", "<abc", "<=1,200.5x", "within 2 days", "ms. x", "hod", "Courts/Forum"]
+    texts = [rng.choice(["", " ", "x", "é"]) .join(rng.sample(bits, rng.randrange(1, 4))) for _ in range(3_000)] + bits + ["", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    names = rf"(?i)(?<![A-Za-z])(?<!test\s{{0,9}})((?:{text.NAME_LABELS})\s*:\s*(?:(?:{text.TITLES}|dr)\b[.'\-]*\s+)*){text._NAME}", rf"(?i)(?<![A-Za-z])((?:{text.TITLES})\b\.?\s+){text._NAME}"
+    plain = F.col("t")
+    for pattern in names:
+        plain = F.regexp_replace(plain, pattern, "$1[REDACTED]")
+    assert df.where(~text.redact_names("t").eqNullSafe(plain)).count() == 0 and df.where(plain.contains("REDACTED")).count() > 500
+    plain = F.regexp_replace("t", r"[\w.+-]+@[\w-]+(?:\.[\w-]+)+", "[REDACTED]")
+    cue = r"(?i)(\b(?:tel|telephone|phone|mob|mobile|cell|contact|call|helpline|whatsapp|toll\s*free|fax)\b\.?(?:\s*(?:no|number)\b\.?)?\s*[:\-]?\s*)(?=(?:\D*\d){8})\+?\d[\d\s()./-]{6,}\d"
+    for pattern, mark in ((cue, "$1[REDACTED]"), (r"(?<![\w+])\+\d{1,3}[\s-]?\d[\d\s-]{6,}\d", "[REDACTED]"), (r"(?<![\d.,/])\d{10,}(?![\d.,/])", "[REDACTED]")):
+        plain = F.regexp_replace(plain, pattern, mark)
+    assert df.where(~text.redact_contacts("t").eqNullSafe(plain)).count() == 0 and df.where(plain.contains("REDACTED")).count() > 500
+    every = F.col("t").rlike(text.BOILERPLATE)
+    assert df.where(every & ~text.is_boilerplate("t")).count() == 0 and df.where(every).count() > 500
+    assert "contains" in optimized(df.select(text.redact_line("t"))).lower()
+    value = F.replace(F.trim("t"), F.lit(","), F.lit(""))
+    bound = F.regexp_extract(value, r"^[<>]=?\s*(-?\d+(?:\.\d+)?)", 1)
+    whole = F.when(value.rlike(r"^[-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?$"), value)
+    assert df.where(~numbers.comparable_number("t").eqNullSafe(F.when(bound != "", bound).otherwise(whole).try_cast("double"))).count() == 0
+    assert df.where(row_grammars.holds_unit(F.col("t")) != F.lower("t").rlike("|".join(re.escape(u.lower()) for u in row_grammars.UNITS))).count() == 0
