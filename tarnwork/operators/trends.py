@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tarnwork.functions.text import normalize_identifier
 from tarnwork.operators.resolve import alias_key, resolve_names
 from tarnwork.operators.series import trend_points
+from tarnwork.session import materialize
 
 #: What a trend is asked for by, in the order in which trends are given.
 KINDS = ("test_type", "name", "parameter")
@@ -51,9 +52,12 @@ def several_trends(results: DataFrame, asked: DataFrame, factors: DataFrame, *,
     the series' test, as ``conversion_factors`` gives them.
     """
     wanted = asked.where("problem IS NULL").select(F.col(tenant).alias("_tenant"), "trend_key", "trend_name", "trend_test", "trend_default", F.explode("matches").alias("_wanted"))
-    unlinked = F.array(F.concat(F.lit("text:"), F.upper(name)), F.concat(F.lit("name:"), unlinked_key(name)))
-    tokens = F.when(F.col(test).isNotNull(), F.array(F.concat(F.lit("type:"), F.col(test)))).otherwise(unlinked)
+    bare = lambda token: F.when(F.col(test).isNull(), token)
+    # Three places in any case: Spark then adds no condition of its own that makes the keys once more.
+    tokens = F.array(F.concat(F.lit("type:"), F.col(test)), bare(F.concat(F.lit("text:"), F.upper(name))), bare(F.concat(F.lit("name:"), unlinked_key(name))))
     found = results.withColumn("_match", F.explode(tokens)).join(wanted, (F.col(tenant) == F.col("_tenant")) & (F.col("_match") == F.col("_wanted"))).drop("_match", "_tenant", "_wanted")
+    # Written once: both the series' units and their points are made of what is asked for.
+    found = materialize(found, "trend-results")
     return trend_points(found, factors.withColumnRenamed("test_type", "trend_test"), series=[tenant, "trend_key"], test="trend_test", unit=unit, value=value, printed_range=printed_range, order=order, default=F.col("trend_default"))
 
 

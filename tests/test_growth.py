@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tarnwork.functions import numbers, text
 from tarnwork.functions.text import one_spaced, trimmed
-from tarnwork.operators import catalog, keyword_lines, recognised, records, relinking, report_text, resolve, row_grammars, scoring, series
+from tarnwork.operators import catalog, keyword_lines, recognised, records, relinking, report_text, resolve, row_grammars, scoring, series, trends
 
 
 def test_actionable_lines_are_read_once(spark):
@@ -211,3 +211,16 @@ def test_guards_of_patterns_leave_nothing_out(spark):
     whole = F.when(value.rlike(r"^[-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?$"), value)
     assert df.where(~numbers.comparable_number("t").eqNullSafe(F.when(bound != "", bound).otherwise(whole).try_cast("double"))).count() == 0
     assert df.where(row_grammars.holds_unit(F.col("t")) != F.lower("t").rlike("|".join(re.escape(u.lower()) for u in row_grammars.UNITS))).count() == 0
+
+
+def test_results_of_trends_are_made_once(spark):
+    calls, same = counted(spark)
+    results = spark.createDataFrame([(i, "hb" if i % 2 else None, "Hb", "g", str(i), "1 - 2") for i in range(20)], "id int, test string, printed string, unit string, value string, range string").select("*", same("value").alias("told"))
+    asked = spark.createDataFrame([(1, 1, "test_type", "hb"), (1, 2, "name", "HB")], "user_id int, at int, kind string, value string")
+    tests = spark.createDataFrame([("hb", "Hb", ["hb"], "g")], "name string, display_name string, aliases array<string>, default_unit string")
+    factors = spark.createDataFrame([("hb", "g", "kg", "1000")], "test_type string, from_key string, to_key string, factor string").withColumn("factor", F.col("factor").cast("decimal(15,8)"))
+    wanted = trends.asked_series(asked, tests, tenant="user_id")
+    points = trends.several_trends(results.withColumn("user_id", F.lit(1)), wanted, factors, tenant="user_id", test="test", name="printed", unit="unit", value="told", printed_range="range", order=["id"])
+    heads = trends.trend_heads(points, wanted, tenant="user_id")
+    assert sorted((r.trend_key, r.unit, r.points) for r in heads.collect()) == [("name:hb|", "g", 10), ("type:hb", "g", 10)]
+    assert points.count() == 20 and calls.value <= 20
