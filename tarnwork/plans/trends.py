@@ -9,6 +9,7 @@ from tarnwork.operators import trends
 from tarnwork.plans._read import read
 from tarnwork.plans.analytics import _CONVERSIONS, query
 from tarnwork.plans.linking import _tests
+from tarnwork.session import materialize
 
 _FIELDS = ("l_partkey", "l_suppkey", "l_quantity", "l_returnflag", "l_shipdate")
 
@@ -82,5 +83,7 @@ def several_trends(spark: SparkSession, sf_dir: str) -> DataFrame:
 def trend_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The trends that suppliers ask for, with their units and numbers of points; one asked for twice comes once."""
     results, asked, factors = _asked(spark, sf_dir)
+    # Few rows, which the points and their heads are both made of.
+    asked = materialize(asked, "asked-series")
     heads = trends.trend_heads(_points(results, asked, factors), asked, tenant="l_suppkey")
     return heads.select("l_suppkey", "at", "trend_name", "trend_test", "unit", "points", "unconverted", "problem")
