@@ -85,9 +85,12 @@ class Circulant:
         # An odd factor permutes the 64-bit hashes; the upper bits of the product are the place.
         self.factor = rng.integers(1, 1 << 62, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         self.shift = np.uint64(65 - CIRCLE.bit_length())
-        values = rng.permutation(CIRCLE).astype(np.int32)
+        # Permuted where it lies, as 32-bit numbers: a worker never holds a second copy.
+        values = np.arange(CIRCLE + size, dtype=np.int32)
+        rng.shuffle(values[:CIRCLE])
+        values[CIRCLE:] = values[:size]
         # Row i: the values of the places i, i + 1, ...: what the shifts of the second permutation make of place i.
-        self.shifted = np.lib.stride_tricks.sliding_window_view(np.concatenate([values, values[:size]]), size)
+        self.shifted = np.lib.stride_tricks.sliding_window_view(values, size)
         self.factors = rng.integers(1, 1 << 62, rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         self.salts = rng.integers(1, 1 << 62, bands, dtype=np.uint64)
 

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 _own_dir: list[str] = []
 
+BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
+
 
 def build_session(name: str = "tarnwork", master: str | None = None, **settings: str) -> SparkSession:
     """UTC, ANSI mode and adaptive execution; ``settings`` come last, with ``_`` for ``.`` in their names."""
@@ -40,17 +42,21 @@ def work_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: cuts lineage, and survives lost executors.
 
-    What the write has shuffled is removed when it ends. ``discard`` removes the table itself.
+    What the write has shuffled is removed when it ends. ``discard`` removes the table itself. Meanwhile batches for
+    Python have ``BATCH_BYTES`` at most (and a row at least): else they are whole partitions, which the JVM and Python
+    hold several times over in each task.
     """
     spark = df.sparkSession
     path = f"{work_dir(spark)}/tarnwork/{name}-{uuid.uuid4().hex}"
     cleanup = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(cleanup, "false")
+    before = {key: spark.conf.get(key, None) for key in (cleanup, BATCH)}
     spark.conf.set(cleanup, "true")
+    spark.conf.set(BATCH, str(BATCH_BYTES))
     try:
         df.write.parquet(path)
     finally:
-        spark.conf.set(cleanup, before)
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_to = path
     return out
