@@ -70,14 +70,17 @@ def covered(adds: DataFrame, rows: DataFrame, *, group: str, test: str, name: st
     key = F.nullif(F.lower(one_spaced(F.coalesce(F.col(name), F.lit("")))), F.lit(""))
     tests = rows.where(F.col(test).isNotNull()).select(F.col(group).alias("_g1"), F.col(test).alias("_t1")).distinct()
     names = rows.select(F.col(group).alias("_g2"), key.alias("_n2"), F.col(test).alias("_t2")).where("_n2 IS NOT NULL").groupBy("_g2", "_n2").agg(F.bool_or(F.col("_t2").isNull()).alias("_unlinked"))
-    told = adds.withColumns({"_test": F.col(test), "_name": key})
-    told = told.join(tests, (F.col(group) == F.col("_g1")) & (F.col("_test") == F.col("_t1")), "left").join(names, (F.col(group) == F.col("_g2")) & (F.col("_name") == F.col("_n2")), "left")
-    told = told.withColumn("_known", F.col("_t1").isNotNull() | (F.col("_unlinked").isNotNull() & (F.col("_test").isNull() | F.col("_unlinked"))))
-    # A null test and a null name are no key: such adds are never covered.
-    keyed = F.col("_test").isNotNull() | F.col("_name").isNotNull()
-    first = F.row_number().over(Window.partitionBy(group, "_test", "_name").orderBy(order))
-    told = told.withColumn("_repeat", ~F.col("_known") & keyed & (first > 1))
-    open_ = told.where(~F.col("_known") & keyed & ~F.col("_repeat")).groupBy(group).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col("_test").alias("t"), F.col("_name").alias("n")))).alias("_adds"))
+    # A null test and a null name are no key: such adds are never covered. Keys hold no null, so that joins and the
+    # window deal rows out alike and sort them once; joins with ``rows`` see distinct keys alone.
+    by = ["_g", "_bare", "_test", "_name"]
+    told = adds.withColumns({"_g": F.col(group), "_bare": F.col(test).isNull(), "_test": F.coalesce(F.col(test).cast("string"), F.lit("")), "_name": F.coalesce(key, F.lit(""))})
+    told = told.withColumn("_again", F.row_number().over(Window.partitionBy(*by).orderBy(order)) > 1)
+    keyed = ~F.col("_bare") | (F.col("_name") != "")
+    keys = adds.select(F.col(group).alias("_g"), F.col(test).isNull().alias("_bare"), F.col(test).alias("_t"), F.coalesce(key, F.lit("")).alias("_name"), F.col(order).alias("_o"))
+    keys = keys.where(keyed).groupBy("_g", "_bare", "_t", "_name").agg(F.when(~F.bool_or(F.col("_o").isNull()), F.min("_o")).alias("_o"))
+    keys = keys.join(tests, (F.col("_g") == F.col("_g1")) & (F.col("_t") == F.col("_t1")), "left").join(names, (F.col("_g") == F.col("_g2")) & (F.col("_name") == F.col("_n2")), "left")
+    keys = keys.select("_g", "_bare", "_t", "_name", "_o", (F.col("_t1").isNotNull() | (F.col("_unlinked").isNotNull() & (F.col("_bare") | F.col("_unlinked")))).alias("_known"))
+    open_ = keys.where("NOT _known").groupBy("_g").agg(F.array_sort(F.collect_list(F.struct(F.col("_o").alias("o"), F.col("_t").alias("t"), F.nullif("_name", F.lit("")).alias("n")))).alias("_adds"))
     kinds = {c: adds.schema[c].dataType.simpleString() for c in (test,)}
     start = F.struct(F.array().cast(f"array<{kinds[test]}>").alias("tests"), F.array().cast("array<string>").alias("names"), F.array().cast("array<string>").alias("bare"), F.array().cast(f"array<struct<t: {kinds[test]}, n: string>>").alias("gone"))
 
@@ -91,9 +94,10 @@ def covered(adds: DataFrame, rows: DataFrame, *, group: str, test: str, name: st
             put(s["bare"], x["n"], x["n"].isNotNull() & x["t"].isNull()).alias("bare"), F.when(gone, F.array_append(s["gone"], F.struct(x["t"].alias("t"), x["n"].alias("n")))).otherwise(s["gone"]).alias("gone"),
         )
 
-    gone = open_.select(F.col(group).alias("_g3"), F.explode(F.aggregate("_adds", start, step, lambda s: s["gone"])).alias("_gone"))
-    same = (F.col(group) == F.col("_g3")) & F.col("_test").eqNullSafe(F.col("_gone.t")) & F.col("_name").eqNullSafe(F.col("_gone.n"))
-    return told.join(gone, same, "left").select(*adds.columns, (F.col("_known") | F.col("_repeat") | F.col("_gone").isNotNull()).alias("covered"))
+    gone = open_.select("_g", F.explode(F.aggregate("_adds", start, step, lambda s: s["gone"])).alias("x")).select("_g", F.col("x.t").alias("_t"), F.coalesce("x.n", F.lit("")).alias("_name"))
+    gone = gone.union(keys.where("_known").select("_g", "_t", "_name"))
+    gone = gone.select("_g", F.col("_t").isNull().alias("_bare"), F.coalesce(F.col("_t").cast("string"), F.lit("")).alias("_test"), "_name", F.lit(True).alias("_gone"))
+    return told.join(gone, by, "left").select(*adds.columns, (F.col("_gone").isNotNull() | (F.col("_again") & keyed)).alias("covered"))
 
 
 def confidence_summary(rows: DataFrame, *, by: list[str], confidence: str, sure: float = 0.7) -> DataFrame:

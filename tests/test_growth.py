@@ -224,3 +224,23 @@ def test_results_of_trends_are_made_once(spark):
     heads = trends.trend_heads(points, wanted, tenant="user_id")
     assert sorted((r.trend_key, r.unit, r.points) for r in heads.collect()) == [("name:hb|", "g", 10), ("type:hb", "g", 10)]
     assert points.count() == 20 and calls.value <= 20
+
+
+def test_adds_are_dealt_out_by_one_key(spark):
+    rng = random.Random(4)
+    names = [None, "", " ", "a", " A", "b", "c"]
+    adds = [(g, i, rng.choice([None, "x", "y", "z"]), rng.choice(names)) for g in range(60) for i in range(rng.randrange(1, 9))]
+    rows = [(g, rng.choice([None, "x", "y"]), rng.choice(names)) for g in range(60) for _ in range(rng.randrange(3))]
+    found = records.covered(spark.createDataFrame(adds, "g int, at int, test string, name string"), spark.createDataFrame(rows, "g int, test string, name string"), group="g", test="test", name="name", order="at")
+    key = lambda n: " ".join((n or "").lower().split()) or None
+    has = {g: [(t, key(n)) for h, t, n in rows if h == g] for g in range(60)}
+    expected = {}
+    for g, at, test, name in adds:
+        n = key(name)
+        by_name = [t for t, m in has[g] if n is not None and m == n]
+        covered = (test is not None and any(t == test for t, _ in has[g])) or (bool(by_name) and (test is None or None in by_name))
+        expected[g, at] = covered
+        if not covered:
+            has[g].append((test, n))
+    assert {(r.g, r.at): r.covered for r in found.collect()} == expected
+    assert "<=>" not in optimized(found)
