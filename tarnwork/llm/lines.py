@@ -5,14 +5,17 @@ Jaccard similarity of at least ``percent``. Lines of equal sets form a class, wh
 are numbered in the order of these lines.
 
 Words are ordered by rarity: their occurrences in all texts are counted in ``SLOTS`` slots by hash, so the table of
-counts has a fixed size, and ties are broken by hash. Two similar lines share a word among the first few of both in
-that order (prefix filter), at places that leave enough words after them (positional filter), and have about as many
-words (length filter). Each line also carries 64 parities of its words' hashes, and a long one more, up to 1,024: a
-word that only one of two lines has changes at most one of them, so lines with more differing parities than differing
-words allowed are ruled out without loss. Lines meet in buckets by word; each is first compared with the earliest line of its buckets, and only those for
-which this finds no match are compared with all earlier ones, so groups of similar lines don't multiply. A bucket's
-earliest line comes from an aggregation and goes to the others by a join that Spark can split, so no bucket has to fit
-into one task. Each match is verified on the whole sets of words, as 64-bit hashes.
+counts has a fixed size, and ties are broken by hash. A line's keys are the pairs of neighbours in that order. A word
+that only one of two lines has takes at most two keys from its own line and one from the other, so of n words' keys
+all but 2 * (100 - percent) / 100 * n are those of a similar line too; hence similar lines share two of the first keys
+of both, which are those of their rarest words (prefix filter, on pairs of words). Lengths must also be about the same
+(length filter), and each line carries 64 parities of its words' hashes: a word that only one of two lines has changes
+at most one of them, so lines with more differing parities than differing words allowed are ruled out without loss.
+Below a certain ``percent`` too few pairs of words are sure to be shared, and single words are the keys. Lines meet in
+buckets by key. Where many do, each is first compared with the earliest line of its bucket, and only those for which
+this finds no match are compared with all earlier ones, so groups of similar lines don't multiply. A bucket's earliest
+line comes from an aggregation and goes to the others by a join that Spark can split, so no bucket has to fit into one
+task. Each match is verified on the whole sets of words, as 64-bit hashes.
 
 Sets too small to be similar to any other set (at 80 percent, those of up to three words; four words match five) go
 through the class step alone.
@@ -31,25 +34,27 @@ from math import log2
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnwork.llm._common import discard, documents, materialize, quoted, small, SPACE_CLASS
+from tarnwork.llm._common import discard, documents, materialize, quoted, small
 
 SLOTS = 1 << 16
 PERCENT = 80
 #: Broadcast at most so many rows of a few numbers.
 FEW = 300_000
+#: Buckets of more lines are first searched from their earliest line.
+MANY = 8
 
 
-def _words(text: Column) -> Column:
-    return F.split(text, f"{SPACE_CLASS}+")
-
-
-def _trimmed(line: Column) -> Column:
-    return F.btrim(line, F.lit(" \t\n\x0b\x0c\r"))
+def _lowered(text: Column) -> Column:
+    """In lower case, and with white space but for line feeds as spaces: words are told by one character then, without patterns."""
+    text = F.lower(text)
+    for space in "\t\x0b\x0c\r":
+        text = F.replace(text, F.lit(space), F.lit(" "))
+    return text
 
 
 def rarity_table(docs: DataFrame) -> Column:
     """A number for each slot that grows with the logarithm of its count; this is all that the driver holds."""
-    words = docs.select(F.explode(_words(F.lower("text"))).alias("w"))
+    words = docs.select(F.explode(F.split(F.replace(_lowered(F.col("text")), F.lit("\n"), F.lit(" ")), " ")).alias("w"))
     counts = words.groupBy(F.xxhash64("w").bitwiseAND(F.lit(SLOTS - 1)).cast("int").alias("slot")).count()
     table = [1 << 56] * SLOTS
     for slot, n in counts.collect():  # at most SLOTS rows
@@ -58,46 +63,34 @@ def rarity_table(docs: DataFrame) -> Column:
 
 
 def _hashes(line: Column) -> Column:
-    """The hashes of the distinct words."""
-    return F.array_distinct(F.transform(_words(F.lower(_trimmed(line))), lambda word: F.xxhash64(word)))
+    """The hashes of the distinct words of a lowered line."""
+    return F.array_remove(F.array_distinct(F.transform(F.split(line, " "), lambda word: F.xxhash64(word))), F.xxhash64(F.lit("")))
 
 
 def _ranked(line: Column, table: Column) -> Column:
     """The distinct words' hashes, each below its rarity, the rarest first."""
 
     def rank(h: Column) -> Column:
-        rarity = F.get(table, h.bitwiseAND(F.lit(SLOTS - 1)).cast("int"))
+        rarity = F.coalesce(F.get(table, h.bitwiseAND(F.lit(SLOTS - 1)).cast("int")), F.lit(0).cast("long"))  # no element is null, so longs are sorted
         return rarity.bitwiseOR(h.bitwiseAND(F.lit((1 << 56) - 1)))
 
-    return F.sort_array(F.array_distinct(F.transform(_hashes(line), rank)))
+    return F.sort_array(F.transform(_hashes(line), rank))
 
 
 def _parities(ranked: Column) -> Column:
     return F.aggregate(ranked, F.lit(0).cast("long"), lambda acc, h: acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))))
 
 
-def _more_parities(ranked: Column) -> Column:
-    """For lines of more than 96 words, about as many parities as words, in 2 to 16 numbers; else null."""
-    n = F.size(ranked)
-
-    def among(numbers: int) -> Column:
-        slot = lambda h: h.bitwiseAND(F.lit((numbers - 1) << 6))
-        return F.array(*[_parities(F.filter(ranked, lambda h: slot(h) == F.lit(i << 6))) for i in range(numbers)])
-
-    return F.when(n > 768, among(16)).when(n > 384, among(8)).when(n > 192, among(4)).when(n > 96, among(2))
-
-
-def _differing(x: Column, y: Column) -> Column:
-    """Differing ones of further parities; the longer line has the same number of them or twice as many, and is folded then."""
-    xor = lambda a, b: a.bitwiseXOR(b)
-    folded = lambda p: F.zip_with(F.slice(p, F.lit(1), (F.size(p) / 2).cast("int")), F.slice(p, (F.size(p) / 2).cast("int") + 1, (F.size(p) / 2).cast("int")), xor)
-    like = lambda p, q: F.when(F.size(p) > F.size(q), folded(p)).otherwise(p)
-    return F.aggregate(F.zip_with(like(x, y), like(y, x), xor), F.lit(0), lambda acc, w: acc + F.bit_count(w))
+def _keys(percent: int) -> tuple[int, int]:
+    """Of how many neighbouring words keys are made, and how many of their first keys similar lines share at least."""
+    least = -(-percent // max(1, 100 - percent))  # words of the smallest set that is similar to another one
+    pairs = percent >= 60 and all(n - 1 - 2 * n * (100 - percent) // 100 >= 2 for n in range(least, least + 300))
+    return (2, 2) if pairs else (1, 1)
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """``doc_id, text_key, line_no, line``; a row of ``docs`` is told by its doc_id and its text's hash."""
-    return docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    """``doc_id, text_key, line_no, line`` with lowered lines; a row of ``docs`` is told by its doc_id and its text's hash."""
+    return docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.posexplode(F.split(_lowered(F.col("text")), "\n")).alias("line_no", "line"))
 
 
 def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
@@ -126,52 +119,61 @@ def repeated_lines(docs: DataFrame, *, percent: int = PERCENT, least_words: int
         least_words: lines with fewer distinct words are left alone; 1 takes every line that has a word.
     """
     docs = docs.select("doc_id", "text")
-    share = percent / 100
-    worded = _lines(docs).where(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
+    together, least_shared = _keys(percent)
+    worded = _lines(docs).where(F.col("line").rlike("[^ ]"))
     ranked = worded.select("doc_id", "text_key", "line_no", _ranked(F.col("line"), rarity_table(docs)).alias("ranked"))
     n = F.size("ranked")
-    prefix = F.slice("ranked", F.lit(1), (n - F.ceil(n * share - 1e-9) + 1).cast("int"))
+    # All keys but the last of those that a similar line may lack, and one word more for a pair.
+    prefix = F.slice("ranked", F.lit(1), F.floor(n * (together * (100 - percent)) / 100 + 1e-9).cast("int") + (least_shared + together - 1))
     key = F.struct(F.xxhash64("ranked").alias("a"), F.xxhash64(F.lit(1), "ranked").alias("b"))
-    lines = materialize(ranked.select("doc_id", "text_key", "line_no", n.alias("n"), key.alias("key"), _parities(F.col("ranked")).alias("parities"), _more_parities(F.col("ranked")).alias("more"), prefix.alias("prefix")), "line-prefixes")
+    lines = materialize(ranked.select("doc_id", "text_key", "line_no", n.alias("n"), key.alias("key"), _parities(F.col("ranked")).alias("parities"), prefix.alias("prefix")), "line-prefixes")
     lines_ = lines.where(F.col("n") >= least_words)
-    first = lines_.groupBy("key").agg(F.min(F.struct("doc_id", "text_key", "line_no", "n", "parities", "more", "prefix")).alias("first"), F.count("*").alias("copies"))
-    first = first.select("key", "copies", "first.*").orderBy("doc_id", "text_key", "line_no")
-    numbered = materialize(first.select(F.monotonically_increasing_id().alias("no"), "*"), "line-numbered")
-    classes = materialize(numbered.drop("n", "parities", "more", "prefix"), "line-classes")
+    first = lines_.groupBy("key").agg(F.min(F.struct("doc_id", "text_key", "line_no", "n", "parities", "prefix")).alias("first"), F.count("*").alias("copies"))
+    firsts = materialize(first.select(F.monotonically_increasing_id().alias("id"), "key", "copies", "first.*"), "line-firsts")
+    # Prefixes aren't sorted along.
+    sorted_ = firsts.drop("prefix").orderBy("doc_id", "text_key", "line_no")
+    classes = materialize(sorted_.select(F.monotonically_increasing_id().alias("no"), "*"), "line-classes")
     several = materialize(classes.where("copies > 1").select("key", *[F.col(c).alias(f"first_{c}") for c in ("doc_id", "text_key", "line_no")]), "line-several")
     is_first = F.col("doc_id").eqNullSafe(F.col("first_doc_id")) & (F.col("text_key") == F.col("first_text_key")) & (F.col("line_no") == F.col("first_line_no"))
     copies = materialize(lines_.join(small(several, FEW), "key").where(~is_first).select("doc_id", "text_key", "line_no"), "line-copies")
     discard(lines)
 
-    # Flat rows, as there is one for each word of a prefix. The nearest other set of n words has one word more.
-    fields = ("no", "n", "at", "parities", "more")
-    places = numbered.where(100 * F.col("n") >= percent * (F.col("n") + 1)).select("no", "n", "parities", "more", F.posexplode("prefix").alias("at", "bucket"))
-    pivots = places.groupBy("bucket").agg(F.min(F.struct(*fields)).alias("p"), F.count("*").alias("members")).where("members > 1")
-    pivots = materialize(pivots.select("bucket", *[F.col(f"p.{f}").alias(f"p_{f}") for f in fields]), "line-pivots")
+    # Flat rows of two numbers, as there is one for each key. The nearest other set of n words has one word more.
+    able = firsts.where(100 * F.col("n") >= percent * (F.col("n") + 1))
+    words = able.select("id", "prefix", F.posexplode("prefix").alias("at", "word"))
+    if together == 2:
+        words = words.select("id", "word", F.get("prefix", F.col("at") + 1).alias("next")).where("next IS NOT NULL")
+        places = words.select("id", F.xxhash64("word", "next").alias("bucket"))
+    else:
+        places = words.select("id", F.col("word").alias("bucket"))
+    repeated = materialize(places.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1"), "line-repeated")
+    met = materialize(places.join(small(repeated, FEW), "bucket"), "line-met")
+    shared = materialize(met.join(classes.select("id", "no", "n", "parities"), "id").drop("id"), "line-buckets")
+    discard(firsts, repeated, met)
 
     def may_match(x: str, y: str) -> Column:
-        x_n, x_at, x_parities, x_more, y_n, y_at, y_parities, y_more = (F.col(f"{p}{f}") for p in (x, y) for f in fields[1:])
-        needed = F.ceil((x_n + y_n) * (share / (1 + share)) - 1e-9)
-        rest = F.least(x_n - x_at, y_n - y_at)
-        apart = F.bit_count(x_parities.bitwiseXOR(y_parities))
-        allowed = x_n + y_n - 2 * needed
-        closer = x_more.isNull() | y_more.isNull() | (_differing(x_more, y_more) <= allowed)
-        return (F.least(x_n, y_n) * 100 >= F.greatest(x_n, y_n) * percent) & (rest >= needed) & (apart <= allowed) & closer
-
-    star = F.when((F.col("no") != F.col("p_no")) & may_match("p_", ""), F.col("p_no"))
-    shared = materialize(places.join(pivots, "bucket").select("bucket", *fields, star.alias("pivot")), "line-buckets")
-    discard(pivots, numbered)
-    stars = materialize(shared.where("pivot IS NOT NULL").select(F.col("pivot").alias("a"), F.col("no").alias("b")).distinct(), "line-stars")
+        x_n, x_parities, y_n, y_parities = (F.col(f"{p}{f}") for p in (x, y) for f in ("n", "parities"))
+        total = x_n + y_n
+        allowed = total - 2 * F.ceil(total * (percent / (100 + percent)) - 1e-9)
+        return (F.least(x_n, y_n) * 100 >= F.greatest(x_n, y_n) * percent) & (F.bit_count(x_parities.bitwiseXOR(y_parities)) <= allowed)
+
+    many = shared.where(F.col("members") > MANY)
+    heads = many.groupBy("bucket").agg(F.min(F.struct("no", "n", "parities")).alias("p"))
+    heads = materialize(heads.select("bucket", F.col("p.no").alias("pivot"), F.col("p.n").alias("p_n"), F.col("p.parities").alias("p_parities")), "line-heads")
+    stars = many.join(small(heads, FEW), "bucket").where((F.col("no") != F.col("pivot")) & may_match("p_", "")).select(F.col("pivot").alias("a"), F.col("no").alias("b"))
+    stars = materialize(stars.distinct(), "line-stars")
     matched = _verified(stars, classes, docs, percent)
     closed = materialize(matched.select(F.col("b").alias("no")).distinct(), "line-closed")
 
-    y = shared.join(small(closed, 2_000_000), "no", "left_anti").select("bucket", *[F.col(f).alias(f"y_{f}") for f in fields], F.col("pivot").alias("y_pivot"))
-    x = shared.select("bucket", *[F.col(f).alias(f"x_{f}") for f in fields])
-    # What has been compared as a star is not compared again.
+    y = shared.join(small(closed, 2_000_000), "no", "left_anti").join(small(heads.select("bucket", "pivot"), FEW), "bucket", "left")
+    y = y.select("bucket", *[F.col(f).alias(f"y_{f}") for f in ("no", "n", "parities", "pivot")])
+    x = shared.select("bucket", *[F.col(f).alias(f"x_{f}") for f in ("no", "n", "parities")])
+    # What has been compared as a star is not compared again; all keys of another pair are counted.
     new = F.col("y_pivot").isNull() | (F.col("x_no") != F.col("y_pivot"))
-    rest = y.join(x, "bucket").where((F.col("x_no") < F.col("y_no")) & new & may_match("x_", "y_")).select(F.col("x_no").alias("a"), F.col("y_no").alias("b")).distinct()
+    rest = y.join(x, "bucket").where((F.col("x_no") < F.col("y_no")) & new & may_match("x_", "y_"))
+    rest = rest.groupBy(F.col("x_no").alias("a"), F.col("y_no").alias("b")).agg(F.count("*").alias("keys")).where(F.col("keys") >= least_shared).select("a", "b")
     rest = materialize(rest, "line-rest")
-    discard(shared)
+    discard(shared, heads)
     more = _verified(rest, classes, docs, percent)
 
     gone = materialize(closed.union(more.select("b")).distinct(), "line-gone")

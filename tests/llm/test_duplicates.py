@@ -124,6 +124,33 @@ def test_lines_of_rows_without_or_with_one_doc_id(spark):
     assert (told[1][1], told[2][1]) in {("", "m n o p q r s\na b c d e f"), ("a b c d e f", "m n o p q r s")}
 
 
+def test_random_lines_hardly_meet_and_matches_are_found_at_any_bound(spark, monkeypatch):
+    """Lines that share single words only don't reach the join; near copies of them are found by pairs of words or, at low bounds, by words."""
+    rng, met, written = random.Random(5), [], lines.materialize
+    rows = [(i, " ".join(f"w{rng.randrange(5000)}" for _ in range(30))) for i in range(600)]
+
+    def counted(df, name):
+        table = written(df, name)
+        if name == "line-buckets":
+            met.append(table.count())
+        return table
+
+    monkeypatch.setattr(lines, "materialize", counted)
+    assert lines.repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).count() == 0
+    assert met[0] < 300
+    near = []
+    for i in range(120):
+        words = rows[rng.randrange(12)][1].split()[: rng.randrange(4, 30)]
+        for _ in range(rng.randrange(0, 4)):
+            words[rng.randrange(len(words))] = f"w{rng.randrange(5000)}"
+        near.append((1000 + i, "\t ".join(words)))
+    for percent in (60, 80):
+        sets = [(i, frozenset(t.split())) for i, t in rows[:12] + near]
+        expected = {i for k, (i, x) in enumerate(sets) if any(100 * len(x & y) >= percent * len(x | y) for _, y in sets[:k])}
+        found = lines.repeated_lines(spark.createDataFrame(rows[:12] + near, "doc_id long, text string"), percent=percent)
+        assert {r.doc_id for r in found.collect()} == expected and expected
+
+
 def test_large_groups_of_near_copies_in_full(spark):
     """A third of the rows are near copies of one text, with similarities around the bound; also rows without ids."""
     rng = random.Random(3)
