@@ -4,18 +4,18 @@ A line is the set of its words, in lower case. A line is removed if an earlier o
 Jaccard similarity of at least ``percent``. Lines of equal sets form a class, whose first line stands for it; classes
 are numbered in the order of these lines.
 
-Words are ordered by rarity: their occurrences in all texts are counted in ``SLOTS`` slots by hash, so the table of
-counts has a fixed size, and ties are broken by hash. A line's keys are the pairs of neighbours in that order. A word
+Words are ordered by their bytes, the longest first, as these are mostly the rarest, and those of one length by hash.
+A line's keys are the pairs of neighbours in that order. A word
 that only one of two lines has takes at most two keys from its own line and one from the other, so of n words' keys
 all but 2 * (100 - percent) / 100 * n are those of a similar line too; hence similar lines share two of the first keys
-of both, which are those of their rarest words (prefix filter, on pairs of words). Lengths must also be about the same
+of both, which are those of their longest words (prefix filter, on pairs of words). Lengths must also be about the same
 (length filter), and each line carries 64 parities of its words' hashes: a word that only one of two lines has changes
 at most one of them, so lines with more differing parities than differing words allowed are ruled out without loss.
 Below a certain ``percent`` too few pairs of words are sure to be shared, and single words are the keys. Lines meet in
-buckets by key. Where many do, each is first compared with the earliest line of its bucket, and only those for which
-this finds no match are compared with all earlier ones, so groups of similar lines don't multiply. A bucket's earliest
-line comes from an aggregation and goes to the others by a join that Spark can split, so no bucket has to fit into one
-task. Each match is verified on the whole sets of words, as 64-bit hashes.
+buckets by key. Where many do, each is first compared with the few lines before it, in parts of the bucket of bounded
+size, and only those for which this finds no match are compared with all earlier ones. A pair that shares many large
+buckets is made in one of them. These joins are such that Spark can split them, so no bucket has to fit into one
+task. Each match is verified on the whole sets of words, as hashes of 57 bits next to the word's length.
 
 Sets too small to be similar to any other set (at 80 percent, those of up to three words; four words match five) go
 through the class step alone.
@@ -28,53 +28,34 @@ rows; further columns, of any name, are carried.
 
 from __future__ import annotations
 
-import json
-from math import log2
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tarnwork.llm._common import discard, documents, materialize, quoted, small
 
-SLOTS = 1 << 16
 PERCENT = 80
 #: Broadcast at most so many rows of a few numbers.
 FEW = 300_000
-#: Buckets of more lines are first searched from their earliest line.
-MANY = 8
+#: In buckets of more lines, each is first compared with so many before it, within parts of about so many lines.
+MANY, BEFORE, PART = 8, 8, 1000
 
 
 def _lowered(text: Column) -> Column:
     """In lower case, and with white space but for line feeds as spaces: words are told by one character then, without patterns."""
-    text = F.lower(text)
+    text = spaced = F.lower(text)
     for space in "\t\x0b\x0c\r":
-        text = F.replace(text, F.lit(space), F.lit(" "))
-    return text
-
-
-def rarity_table(docs: DataFrame) -> Column:
-    """A number for each slot that grows with the logarithm of its count; this is all that the driver holds."""
-    words = docs.select(F.explode(F.split(F.replace(_lowered(F.col("text")), F.lit("\n"), F.lit(" ")), " ")).alias("w"))
-    counts = words.groupBy(F.xxhash64("w").bitwiseAND(F.lit(SLOTS - 1)).cast("int").alias("slot")).count()
-    table = [1 << 56] * SLOTS
-    for slot, n in counts.collect():  # at most SLOTS rows
-        table[slot] = min(127, 1 + int(4 * log2(n))) << 56
-    return F.from_json(F.lit(json.dumps(table)), "array<bigint>")
+        spaced = F.replace(spaced, F.lit(space), F.lit(" "))
+    return F.when(text.rlike(r"[\t\x0b\f\r]"), spaced).otherwise(text)
 
 
-def _hashes(line: Column) -> Column:
-    """The hashes of the distinct words of a lowered line."""
-    return F.array_remove(F.array_distinct(F.transform(F.split(line, " "), lambda word: F.xxhash64(word))), F.xxhash64(F.lit("")))
+def _rank(word: Column) -> Column:
+    """A hash of the word, below its negative number of bytes."""
+    return F.xxhash64(word).bitwiseAND(F.lit((1 << 57) - 1)).bitwiseOR(F.call_function("shiftleft", (-F.octet_length(word)).cast("long"), F.lit(57)))
 
 
-def _ranked(line: Column, table: Column) -> Column:
-    """The distinct words' hashes, each below its rarity, the rarest first."""
-
-    def rank(h: Column) -> Column:
-        rarity = F.coalesce(F.get(table, h.bitwiseAND(F.lit(SLOTS - 1)).cast("int")), F.lit(0).cast("long"))  # no element is null, so longs are sorted
-        return rarity.bitwiseOR(h.bitwiseAND(F.lit((1 << 56) - 1)))
-
-    return F.sort_array(F.transform(_hashes(line), rank))
+def _ranked(line: Column) -> Column:
+    """The ranks of the distinct words of a lowered line, the longest word's first."""
+    return F.array_remove(F.array_distinct(F.sort_array(F.transform(F.split(line, " "), _rank))), _rank(F.lit("")))
 
 
 def _parities(ranked: Column) -> Column:
@@ -102,7 +83,7 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: in
     there = docs.join(found, docs["doc_id"].eqNullSafe(found["doc_id"]) & (F.xxhash64(docs["text"]) == found["text_key"]), "left_semi")
     lines, wanted = _lines(there), small(needed, FEW)
     same = lines["doc_id"].eqNullSafe(wanted["doc_id"]) & (lines["text_key"] == wanted["text_key"]) & (lines["line_no"] == wanted["line_no"])
-    sets = materialize(lines.join(wanted, same).select("no", _hashes(F.col("line")).alias("words")).dropDuplicates(["no"]), "line-sets")
+    sets = materialize(lines.join(wanted, same).select("no", _ranked(F.col("line")).alias("words")).dropDuplicates(["no"]), "line-sets")
     both = pairs.join(sets.toDF("a", "words_a"), "a").join(sets.toDF("b", "words_b"), "b")
     shared = F.size(F.array_intersect("words_a", "words_b"))
     matches = both.select("a", "b", F.size("words_a").alias("n"), F.size("words_b").alias("m"), shared.alias("shared"))
@@ -111,6 +92,19 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: in
     return matches
 
 
+def _pairs(later: DataFrame, shared: DataFrame, may_match) -> DataFrame:
+    """``a, b, keys`` for lines ``b`` of ``later`` and those before them that share ``keys`` buckets.
+
+    A pair comes once for each small bucket, and once for all large ones: that of the smallest number makes it.
+    """
+    fields = ["no", "n", "parities", "large"]
+    y, x = (side.select("bucket", *[F.col(f).alias(f"{p}_{f}") for f in fields]) for p, side in (("y", later), ("x", shared)))
+    both = F.array_intersect("x_large", "y_large")
+    once = F.col("x_large").isNull() | (F.array_min(both) == F.col("bucket"))
+    made = y.join(x, "bucket").where((F.col("x_no") < F.col("y_no")) & may_match("x_", "y_") & once)
+    return made.select(F.col("x_no").alias("a"), F.col("y_no").alias("b"), F.when(F.col("x_large").isNull(), F.lit(1)).otherwise(F.size(both)).alias("keys"))
+
+
 def repeated_lines(docs: DataFrame, *, percent: int = PERCENT, least_words: int = 1) -> DataFrame:
     """``doc_id, text_key, line_no`` of each line of ``docs(doc_id, text)`` that an earlier one matches.
 
@@ -120,35 +114,40 @@ def repeated_lines(docs: DataFrame, *, percent: int = PERCENT, least_words: int
     """
     docs = docs.select("doc_id", "text")
     together, least_shared = _keys(percent)
-    worded = _lines(docs).where(F.col("line").rlike("[^ ]"))
-    ranked = worded.select("doc_id", "text_key", "line_no", _ranked(F.col("line"), rarity_table(docs)).alias("ranked"))
+    worded = _lines(docs).where(F.length(F.trim("line")) > 0)
+    ranked = worded.select("doc_id", "text_key", "line_no", _ranked(F.col("line")).alias("ranked"))
     n = F.size("ranked")
     # All keys but the last of those that a similar line may lack, and one word more for a pair.
     prefix = F.slice("ranked", F.lit(1), F.floor(n * (together * (100 - percent)) / 100 + 1e-9).cast("int") + (least_shared + together - 1))
-    key = F.struct(F.xxhash64("ranked").alias("a"), F.xxhash64(F.lit(1), "ranked").alias("b"))
-    lines = materialize(ranked.select("doc_id", "text_key", "line_no", n.alias("n"), key.alias("key"), _parities(F.col("ranked")).alias("parities"), prefix.alias("prefix")), "line-prefixes")
-    lines_ = lines.where(F.col("n") >= least_words)
-    first = lines_.groupBy("key").agg(F.min(F.struct("doc_id", "text_key", "line_no", "n", "parities", "prefix")).alias("first"), F.count("*").alias("copies"))
-    firsts = materialize(first.select(F.monotonically_increasing_id().alias("id"), "key", "copies", "first.*"), "line-firsts")
-    # Prefixes aren't sorted along.
-    sorted_ = firsts.drop("prefix").orderBy("doc_id", "text_key", "line_no")
-    classes = materialize(sorted_.select(F.monotonically_increasing_id().alias("no"), "*"), "line-classes")
-    several = materialize(classes.where("copies > 1").select("key", *[F.col(c).alias(f"first_{c}") for c in ("doc_id", "text_key", "line_no")]), "line-several")
+    able = 100 * n >= percent * (n + 1)  # the nearest other set of n words has one word more
+    prefix = F.when(able, prefix)
+    lines = ranked.select("doc_id", "text_key", "line_no", n.alias("n"), F.xxhash64("ranked").alias("id"), _parities(F.col("ranked")).alias("parities"), prefix.alias("prefix"))
+    lines = materialize(lines.where(F.col("n") >= least_words), "line-prefixes")
+    # A class is told by id, n and parities; its first line comes without prefixes, which needn't be sorted along.
+    class_ = ["id", "n", "parities"]
+    first = lines.groupBy(*class_).agg(F.min(F.struct("doc_id", "text_key", "line_no")).alias("first"), F.count("*").alias("copies"))
+    firsts = materialize(first.select(*class_, "copies", "first.*"), "line-firsts")
+    several = materialize(firsts.where("copies > 1").select(*class_, *[F.col(c).alias(f"first_{c}") for c in ("doc_id", "text_key", "line_no")]), "line-several")
     is_first = F.col("doc_id").eqNullSafe(F.col("first_doc_id")) & (F.col("text_key") == F.col("first_text_key")) & (F.col("line_no") == F.col("first_line_no"))
-    copies = materialize(lines_.join(small(several, FEW), "key").where(~is_first).select("doc_id", "text_key", "line_no"), "line-copies")
-    discard(lines)
+    copies = materialize(lines.drop("prefix").join(small(several, FEW), class_).where(~is_first).select("doc_id", "text_key", "line_no"), "line-copies")
 
-    # Flat rows of two numbers, as there is one for each key. The nearest other set of n words has one word more.
-    able = firsts.where(100 * F.col("n") >= percent * (F.col("n") + 1))
-    words = able.select("id", "prefix", F.posexplode("prefix").alias("at", "word"))
+    # Flat rows of two numbers, as there is one for each key; copies make the same ones.
     if together == 2:
+        words = lines.select("id", "prefix", F.posexplode("prefix").alias("at", "word"))
         words = words.select("id", "word", F.get("prefix", F.col("at") + 1).alias("next")).where("next IS NOT NULL")
         places = words.select("id", F.xxhash64("word", "next").alias("bucket"))
     else:
-        places = words.select("id", F.col("word").alias("bucket"))
-    repeated = materialize(places.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1"), "line-repeated")
-    met = materialize(places.join(small(repeated, FEW), "bucket"), "line-met")
-    shared = materialize(met.join(classes.select("id", "no", "n", "parities"), "id").drop("id"), "line-buckets")
+        places = lines.select("id", F.explode("prefix").alias("bucket"))
+    repeated = places.groupBy("bucket").agg(F.min("id").alias("least"), F.max("id").alias("greatest"), F.count("*").alias("members"))
+    repeated = materialize(repeated.where("least <> greatest").select("bucket", "members"), "line-repeated")
+    met = materialize(places.join(small(repeated, FEW), "bucket").distinct(), "line-met")
+    discard(lines)
+    # Only classes that meet others are numbered; each gets its large buckets.
+    large = met.where(F.col("members") > MANY).groupBy("id").agg(F.collect_list("bucket").alias("large"))
+    meeting = firsts.join(met.groupBy("id").count(), "id").join(large, "id", "left").orderBy("doc_id", "text_key", "line_no")
+    classes = materialize(meeting.select(F.monotonically_increasing_id().alias("no"), *class_, "large", "doc_id", "text_key", "line_no"), "line-classes")
+    shared = met.join(classes.select("id", "no", "n", "parities", "large"), "id").drop("id").withColumn("large", F.when(F.col("members") > MANY, F.col("large")))
+    shared = materialize(shared, "line-buckets")
     discard(firsts, repeated, met)
 
     def may_match(x: str, y: str) -> Column:
@@ -157,29 +156,25 @@ def repeated_lines(docs: DataFrame, *, percent: int = PERCENT, least_words: int
         allowed = total - 2 * F.ceil(total * (percent / (100 + percent)) - 1e-9)
         return (F.least(x_n, y_n) * 100 >= F.greatest(x_n, y_n) * percent) & (F.bit_count(x_parities.bitwiseXOR(y_parities)) <= allowed)
 
-    many = shared.where(F.col("members") > MANY)
-    heads = many.groupBy("bucket").agg(F.min(F.struct("no", "n", "parities")).alias("p"))
-    heads = materialize(heads.select("bucket", F.col("p.no").alias("pivot"), F.col("p.n").alias("p_n"), F.col("p.parities").alias("p_parities")), "line-heads")
-    stars = many.join(small(heads, FEW), "bucket").where((F.col("no") != F.col("pivot")) & may_match("p_", "")).select(F.col("pivot").alias("a"), F.col("no").alias("b"))
-    stars = materialize(stars.distinct(), "line-stars")
-    matched = _verified(stars, classes, docs, percent)
+    # Large buckets are dealt into parts; in each, a line is first compared with the few lines before it.
+    many = shared.where(F.col("members") > MANY).withColumn("part", F.pmod(F.xxhash64("no"), F.ceil(F.col("members") / PART)))
+    order = Window.partitionBy("bucket", "part").orderBy("no").rowsBetween(-BEFORE, -1)
+    near = many.withColumn("before", F.collect_list(F.struct("no", "n", "parities")).over(order)).select("no", "n", "parities", F.explode("before").alias("x"))
+    near = near.select("no", "n", "parities", *[F.col(f"x.{f}").alias(f"x_{f}") for f in ("no", "n", "parities")])
+    near = materialize(near.where(may_match("x_", "")).select(F.col("x_no").alias("a"), F.col("no").alias("b")).distinct(), "line-near")
+    matched = _verified(near, classes, docs, percent)
     closed = materialize(matched.select(F.col("b").alias("no")).distinct(), "line-closed")
 
-    y = shared.join(small(closed, 2_000_000), "no", "left_anti").join(small(heads.select("bucket", "pivot"), FEW), "bucket", "left")
-    y = y.select("bucket", *[F.col(f).alias(f"y_{f}") for f in ("no", "n", "parities", "pivot")])
-    x = shared.select("bucket", *[F.col(f).alias(f"x_{f}") for f in ("no", "n", "parities")])
-    # What has been compared as a star is not compared again; all keys of another pair are counted.
-    new = F.col("y_pivot").isNull() | (F.col("x_no") != F.col("y_pivot"))
-    rest = y.join(x, "bucket").where((F.col("x_no") < F.col("y_no")) & new & may_match("x_", "y_"))
-    rest = rest.groupBy(F.col("x_no").alias("a"), F.col("y_no").alias("b")).agg(F.count("*").alias("keys")).where(F.col("keys") >= least_shared).select("a", "b")
+    rest = _pairs(shared.join(small(closed, 2_000_000), "no", "left_anti"), shared, may_match)
+    rest = rest.groupBy("a", "b").agg(F.sum("keys").alias("keys")).where(F.col("keys") >= least_shared).select("a", "b")
     rest = materialize(rest, "line-rest")
-    discard(shared, heads)
+    discard(shared)
     more = _verified(rest, classes, docs, percent)
 
     gone = materialize(closed.union(more.select("b")).distinct(), "line-gone")
     removed = classes.join(small(gone, 2_000_000), "no", "left_semi").select("doc_id", "text_key", "line_no").union(copies)
     removed = materialize(removed.distinct(), "line-removed")
-    discard(classes, copies, several, stars, matched, closed, rest, more, gone)
+    discard(classes, copies, several, near, matched, closed, rest, more, gone)
     return removed
 
 

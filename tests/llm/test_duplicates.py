@@ -151,6 +151,28 @@ def test_random_lines_hardly_meet_and_matches_are_found_at_any_bound(spark, monk
         assert {r.doc_id for r in found.collect()} == expected and expected
 
 
+def test_lines_that_share_many_buckets_make_a_pair_once(spark, monkeypatch):
+    """A group of lines that differ a little too much or just little enough."""
+    rng, made, pairs = random.Random(8), [], lines._pairs
+    base = [f"word{i}" for i in range(45)]
+    rows = []
+    for i in range(80):
+        words = list(base)
+        for at in rng.sample(range(45), rng.randrange(2, 8)):
+            words[at] = f"other{rng.randrange(10**6)}"
+        rows.append((i, " ".join(words)))
+
+    def counted(*args):
+        found = pairs(*args)
+        made.append((found.count(), found.select("a", "b").distinct().count()))
+        return found
+
+    monkeypatch.setattr(lines, "_pairs", counted)
+    found = lines.repeated_lines(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {(r.doc_id, r.line_no) for r in found.collect()} == _matched_lines(rows)
+    assert 0 < made[0][0] < 2 * made[0][1]
+
+
 def test_large_groups_of_near_copies_in_full(spark):
     """A third of the rows are near copies of one text, with similarities around the bound; also rows without ids."""
     rng = random.Random(3)
