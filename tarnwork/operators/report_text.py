@@ -132,6 +132,9 @@ def locate_rows(rows: DataFrame, lines: DataFrame, *, doc: str, id: str, name: s
     That is the line ``recorded({id}, line_no)`` for it, if the document has it; else the first line that holds the value
     by itself and the first word of the name, of three letters or more. Lines are looked up by a word or sign of the value
     among their own, so rows meet only lines of their document that have it.
+
+    Rows and lines are joined by sorting: tables written in between are small as files however many rows they hold, so
+    Spark's estimates would have them broadcast, and the driver would hold them whole.
     """
     signs = lambda text, pattern: F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     tokens = lambda text: F.array_distinct(F.concat(signs(text, r"(?U)\w+"), signs(text, r"(?U)[^\w\s]")))
@@ -144,12 +147,12 @@ def locate_rows(rows: DataFrame, lines: DataFrame, *, doc: str, id: str, name: s
     # What no row asks for isn't dealt out; the slots are few, however many words there are.
     postings = postings.join(F.broadcast(asked.select(slot(F.col("_first")).alias("_slot")).distinct()), slot(F.col("_token")) == F.col("_slot"), "left_semi")
     alone = F.concat(F.lit(r"(?U)(?<![\w.])\Q"), F.replace(F.col("_own"), F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit(r"\E(?!\w)"))
-    hits = asked.join(postings, (F.col("_of") == F.col("_doc")) & (F.col("_first") == F.col("_token"))).where(F.contains("_line", F.col("_word")) & F.rlike("_line", alone))
+    hits = asked.hint("merge").join(postings, (F.col("_of") == F.col("_doc")) & (F.col("_first") == F.col("_token"))).where(F.contains("_line", F.col("_word")) & F.rlike("_line", alone))
     found = hits.groupBy("_id").agg(F.min("_no").alias("_found"))
-    told = rows.join(found, F.col(id) == F.col("_id"), "left")
+    told = rows.join(found.hint("merge"), F.col(id) == F.col("_id"), "left")
     if recorded is None:
         return told.select(*rows.columns, F.col("_found").alias("line_no"))
     ends = lines.groupBy(F.col(doc).alias("_doc")).agg(F.max("line_no").alias("_last"))
     noted = recorded.groupBy(F.col(id).alias("_noted_id")).agg(F.min("line_no").alias("_noted"))
-    told = told.join(noted, F.col(id) == F.col("_noted_id"), "left").join(ends, F.col(doc) == F.col("_doc"), "left")
+    told = told.join(noted.hint("merge"), F.col(id) == F.col("_noted_id"), "left").join(ends.hint("merge"), F.col(doc) == F.col("_doc"), "left")
     return told.select(*rows.columns, F.coalesce(F.when(F.col("_noted").between(0, F.col("_last")), F.col("_noted")), "_found").alias("line_no"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tarnwork.functions import numbers, text
 from tarnwork.functions.text import one_spaced, trimmed
 from tarnwork.operators import catalog, keyword_lines, recognised, records, relinking, report_text, resolve, row_grammars, scoring, series, trends
+from tarnwork.session import discard, materialize
 
 
 def test_actionable_lines_are_read_once(spark):
@@ -162,6 +163,19 @@ def test_words_that_no_row_asks_for_are_not_dealt_out(spark):
     assert re.search(r"Join LeftSemi[^\n]*_slot", optimized(found))
 
 
+def test_rows_to_locate_are_not_broadcast(spark):
+    # Ten thousand rows in a file of a few kilobytes, as equal columns take nearly no room there.
+    lines = materialize(spark.range(10_000).select(F.col("id").alias("doc"), F.lit(0).alias("line_no"), F.lit("Xyz 4.5").alias("line")), "test-lines")
+    words = F.split("line", " ")
+    rows = lines.select("doc", F.col("doc").alias("id"), words[0].alias("name"), words[1].alias("value"))
+    found = report_text.locate_rows(rows, lines, doc="doc", id="id", name="name", value="value", recorded=rows.select("id", F.lit(0).alias("line_no")))
+    assert found.where("line_no = 0").count() == 10_000
+    joins = re.findall(r"HashJoin [^\n]*", found._jdf.queryExecution().executedPlan().toString())
+    # The slots of words are broadcast alone, of which there are few however many rows there are.
+    assert len(joins) == 1 and "_slot" in joins[0]
+    discard(lines)
+
+
 def test_lines_that_are_alike_are_read_once(spark, monkeypatch):
     texts = ["Hb 5.5 mg/dL 1 - 4", " Hb 5.5 mg/dL 1 - 4", "HIV Negative", "Page 1 of 2", "", None, "ABO Group AB"]
     lines = spark.createDataFrame([(i, texts[i % len(texts)]) for i in range(700)], "id int, line string")
