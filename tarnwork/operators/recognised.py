@@ -15,7 +15,7 @@ from tarnwork.functions.status import flag_status
 from tarnwork.functions.text import col, once, one_spaced, trimmed
 from tarnwork.operators.merging import first_occurrence
 from tarnwork.operators.report_text import explode_lines
-from tarnwork.operators.row_grammars import NUMBER, QUALITATIVE_VALUES, UNITS, WORD_RESULT, fits
+from tarnwork.operators.row_grammars import NUMBER, QUALITATIVE_VALUES, UNITS, WORD_RESULT, fits, read_alike
 from tarnwork.operators.tables import html_rows
 from tarnwork.session import materialize
 
@@ -37,6 +37,8 @@ COLUMNS = {
 }
 HEADER_COLUMNS = ("name", "value", "ref")
 RULE_CELL = r"^:?-+:?$"
+#: Lines of more characters are read one by one; of shorter ones many are alike.
+LONG_LINE = 120
 
 
 def clean_line(line: Column | str) -> Column:
@@ -47,6 +49,12 @@ def clean_line(line: Column | str) -> Column:
     return one_spaced(text)
 
 
+def cleaned(line: Column) -> Column:
+    """``clean_line`` of a line with single spaces already: without marks only squares become plain."""
+    marked = F.contains(line, F.lit("\\(")) | F.contains(line, F.lit("\\)")) | F.contains(line, F.lit("m^2"))
+    return F.when(marked, clean_line(line)).otherwise(F.replace(line, F.lit("²"), F.lit("2")))
+
+
 def is_unit(line: Column | str, clean: Column | None = None) -> Column:
     """``clean`` is the line as of ``clean_line``, where a caller has it already; the same below."""
     clean = clean_line(line) if clean is None else clean
@@ -80,12 +88,16 @@ def table_rows(text: Column | str) -> Column:
     rule = lambda row: F.forall(F.filter(row, lambda c: c != ""), lambda c: F.replace(c, F.lit(" "), F.lit("")).rlike(RULE_CELL))
     barred = F.transform(F.filter(lines, lambda x: x.startswith("|")), lambda x: cells(F.regexp_replace(x, r"^\|+|\|+$", ""), r"\|"))
     markdown = F.filter(barred, lambda row: ~rule(row))
-    spaced = F.transform(F.filter(lines, lambda x: (x != "") & ~x.startswith("#")), lambda x: F.when(F.contains(x, F.lit("\t")), cells(x, r"\t")).when(F.contains(x, F.lit("|")), cells(x, r"\|")).otherwise(cells(x, r"\s{2,}")))
+    # A line without any of what parts cells is one cell, and goes before it is cleaned.
+    parted = lambda x: F.contains(x, F.lit("\t")) | F.contains(x, F.lit("|")) | x.rlike(r"\s{2}")
+    spaced = F.transform(F.filter(lines, lambda x: parted(x) & ~x.startswith("#")), lambda x: F.when(F.contains(x, F.lit("\t")), cells(x, r"\t")).when(F.contains(x, F.lit("|")), cells(x, r"\|")).otherwise(cells(x, r"\s{2,}")))
     filled = F.filter(F.transform(spaced, lambda row: F.filter(row, lambda c: c != "")), lambda row: F.size(row) >= 3)
-    html = F.when(F.contains(F.lower(text), F.lit("<table")), F.transform(html_rows(text), lambda row: F.transform(row, clean_line)))
+    html = F.when(F.contains(F.lower(text), F.lit("<table")), F.transform(html_rows(text), lambda row: F.transform(row, cleaned)))
     some = lambda rows: F.when(F.size(rows) > 0, rows)
     bars = F.length(text) - F.length(F.replace(text, F.lit("|"), F.lit("")))
-    return F.coalesce(once(html, some), F.when(bars >= 4, once(markdown, some)), filled)
+    # No line of a text without these is parted.
+    parting = F.contains(text, F.lit("\t")) | F.contains(text, F.lit("|")) | text.rlike(r"[^\S\n]{2}")
+    return F.coalesce(once(html, some), F.when(bars >= 4, once(markdown, some)), F.when(parting, filled), F.array().cast("array<array<string>>"))
 
 
 def columns_of(header: Column, width: Column) -> Column:
@@ -117,7 +129,7 @@ def read_tables(docs: DataFrame, *, id: str, text: str) -> DataFrame:  # noqa: A
     cells = rows.select(id, "_at", F.posexplode("_rows").alias("row_no", "_cells")).where((~F.col("_at.told") | (F.col("row_no") > 0)) & (F.size("_cells") >= 2))
     cell = lambda c: F.coalesce(F.when(F.col(f"_at.{c}") < F.size("_cells"), trimmed(F.col("_cells")[F.col(f"_at.{c}")])), F.lit(""))
     found = cells.select(id, "row_no", cell("name").alias("name"), cell("value").alias("value"), cell("unit").alias("unit"), cell("ref").alias("reference_range"), flag_status(cell("status")).alias("status"))
-    return found.where((F.col("name") != "") & ~is_no_name("name") & once(clean_line("value"), lambda clean: is_value("value", clean)))
+    return found.where((F.col("name") != "") & ~is_no_name("name") & once(cleaned(F.col("value")), lambda clean: is_value("value", clean)))
 
 
 # --- Rows over several lines ------------------------------------------------------------------------------------------
@@ -130,29 +142,33 @@ def line_groups(text: Column | str) -> Column:
     begin another. ``line_no`` counts lines that aren't blank.
     """
     lines = F.filter(F.transform(F.split(F.coalesce(col(text), F.lit("")), r"\r?\n"), clean_line), lambda x: x != "")
-    kinds = lambda x, clean: F.struct(x.alias("line"), is_no_name(x).alias("skip"), is_value(x, clean).alias("value"), is_unit(x, clean).alias("unit"), is_reference(x, clean).alias("ref"))
-    # A clean line stays as it is, unless taking marks away has put others together.
-    marked = lambda x: F.contains(x, F.lit("\\(")) | F.contains(x, F.lit("\\)")) | F.contains(x, F.lit("m^2"))
-    told = F.transform(lines, lambda x: once(F.when(marked(x), clean_line(x)).otherwise(x), lambda clean: kinds(x, clean)))
+    # Whether a line is a value is asked of each; what else it is, only where a row may go on with it. A clean line stays
+    # as it is, unless taking marks away has put others together.
+    told = lambda xs: F.transform(xs, lambda x: once(cleaned(x), lambda clean: F.struct(x.alias("line"), clean.alias("clean"), is_value(x, clean).alias("value"))))
     kind = "array<struct<line_no: int, name: string, value: string, unit: string, reference_range: string>>"
+    none = F.array().cast(kind)
 
     def fold(xs: Column) -> Column:
         at = lambda i: F.get(xs, i)
-        has = lambda i, c: F.coalesce(at(i)[c], F.lit(False))
+        has = lambda i, of: F.coalesce(of(at(i)["line"], at(i)["clean"]), F.lit(False))
 
         def step(s: Column, i: Column) -> Column:
-            begins = (i >= s["next"]) & ~has(i, "skip") & has(i + 1, "value")
-            unit = has(i + 2, "unit")
-            place = F.when(unit, i + 3).otherwise(i + 2)
-            ref = has(place, "ref")
-            row = F.struct(i.alias("line_no"), at(i)["line"].alias("name"), at(i + 1)["line"].alias("value"), F.when(unit, at(i + 2)["line"]).otherwise("").alias("unit"), F.when(ref, at(place)["line"]).otherwise("").alias("reference_range"))
-            taken = F.struct(F.when(ref, place + 1).otherwise(place).cast("int").alias("next"), F.concat(s["rows"], F.array(row).cast(kind)).alias("rows"))
-            return F.when(begins, taken).otherwise(s)
+            def taken(unit: Column) -> Column:
+                place = F.when(unit, i + 3).otherwise(i + 2)
+
+                def row(ref: Column) -> Column:
+                    fields = F.struct(i.alias("line_no"), at(i)["line"].alias("name"), at(i + 1)["line"].alias("value"), F.when(unit, at(i + 2)["line"]).otherwise("").alias("unit"), F.when(ref, at(place)["line"]).otherwise("").alias("reference_range"))
+                    return F.struct(F.when(ref, place + 1).otherwise(place).cast("int").alias("next"), F.concat(s["rows"], F.array(fields).cast(kind)).alias("rows"))
+
+                return once(has(place, is_reference), row)
+
+            begins = (i >= s["next"]) & F.coalesce(at(i + 1)["value"], F.lit(False)) & ~has(i, lambda x, clean: is_no_name(x))
+            return F.when(begins, once(has(i + 2, is_unit), taken)).otherwise(s)
 
-        start = F.struct(F.lit(0).alias("next"), F.array().cast(kind).alias("rows"))
-        return F.when(F.size(xs) < 2, F.array().cast(kind)).otherwise(F.aggregate(F.sequence(F.lit(0), F.size(xs) - 2), start, step, lambda s: s["rows"]))
+        start = F.struct(F.lit(0).alias("next"), none.alias("rows"))
+        return F.aggregate(F.sequence(F.lit(0), F.size(xs) - 2), start, step, lambda s: s["rows"])
 
-    return once(told, fold)
+    return once(lines, lambda xs: F.when(F.size(xs) < 2, none).otherwise(once(told(xs), fold)))
 
 
 def read_line_groups(docs: DataFrame, *, id: str, text: str) -> DataFrame:  # noqa: A002
@@ -181,8 +197,9 @@ def reading_quality(docs: DataFrame, rows: DataFrame, *, id: str, text: str, lea
     text may have fewer: one row, or of five such lines or more two and half of them.
     """
     looks = lambda x: (F.length(x) >= 5) & (fits(x, "tabular", "qualitative", "descriptive", "categorical"))
-    # Exploded, so that the patterns run compiled.
-    lines = explode_lines(docs.select(id, text), id=id, text=text).groupBy(id).agg(F.count_if(looks(trimmed("line"))).alias("n_lines"))
+    # Exploded, so that the patterns run compiled, and once for lines that are alike.
+    lines = read_alike(explode_lines(docs.select(id, text), id=id, text=text), lambda rows, line: rows.where(looks(trimmed(line))), line="line", longest=LONG_LINE)
+    lines = lines.groupBy(id).agg(F.count("*").alias("n_lines"))
     counts = rows.groupBy(id).agg(F.count("*").alias("n_rows"))
     told = docs.select(id, F.length(F.coalesce(text, F.lit(""))).alias("_letters")).join(lines, id, "left").join(counts, id, "left").na.fill(0, ["n_rows", "n_lines"])
     n, lines_ = F.col("n_rows"), F.col("n_lines")

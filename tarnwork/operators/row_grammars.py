@@ -8,6 +8,7 @@ a table, tried by priority after the grammars.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -306,16 +307,29 @@ def parse_rows(lines: DataFrame, *, line: str, patterns: DataFrame | None = None
     return found.select(*lines.columns, *fields, status.alias("status"), confidence.alias("confidence"))
 
 
-def parse_repeated_rows(lines: DataFrame, *, line: str, patterns: DataFrame | None = None, most: int = 100_000, size: int = 32_000_000) -> DataFrame:
-    """``parse_rows``, for lines of which many are alike: each text is read once, and what it holds is told to all its lines.
+def read_alike(lines: DataFrame, read: Callable[[DataFrame, str], DataFrame], *, line: str, most: int = 100_000, size: int = 32_000_000, longest: int | None = None) -> DataFrame:
+    """``read(lines, line)``, for lines of which many are alike: each text is read once, and what it holds is told to all its lines.
+
+    Args:
+        read: a table of lines and the name of their column to some of its rows, with further columns that follow from the
+            line alone; null lines hold nothing.
+        longest: lines of more characters are read one by one, as they are seldom alike.
 
     A first pass writes the distinct texts. If they are more than ``most``, or take more than ``size`` bytes, the lines
-    are read one by one. Give lines that are cheap to make, since both passes make them.
+    are read one by one. Give lines that are cheap to make, since the passes make them.
     """
-    said = materialize(lines.select(F.col(line).alias("_said")).where("_said IS NOT NULL").distinct(), "lines-said")
+    short = lines if longest is None else lines.where(F.length(line) <= longest)
+    said = materialize(short.select(F.col(line).alias("_said")).where("_said IS NOT NULL").distinct(), "lines-said")
     n, taken = said.limit(most + 1).agg(F.count("*"), F.sum(F.octet_length("_said"))).first()
     if n > most or (taken or 0) > size:
-        return parse_rows(lines, line=line, patterns=patterns)
-    read = parse_rows(said, line="_said", patterns=patterns)
-    told = lines.join(F.broadcast(materialize(read, "lines-read")), F.col(line) == F.col("_said"))
-    return told.select(*lines.columns, *[c for c in read.columns if c != "_said"])
+        return read(lines, line)
+    long = None if longest is None else read(lines.where(F.length(line) > longest), line)
+    known = read(said, "_said")
+    told = short.join(F.broadcast(materialize(known, "lines-read")), F.col(line) == F.col("_said"))
+    told = told.select(*lines.columns, *[c for c in known.columns if c != "_said"])
+    return told if long is None else told.unionByName(long)
+
+
+def parse_repeated_rows(lines: DataFrame, *, line: str, patterns: DataFrame | None = None, most: int = 100_000, size: int = 32_000_000, longest: int | None = None) -> DataFrame:
+    """``parse_rows``, for lines of which many are alike: see ``read_alike``."""
+    return read_alike(lines, lambda rows, text: parse_rows(rows, line=text, patterns=patterns), line=line, most=most, size=size, longest=longest)

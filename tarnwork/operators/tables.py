@@ -5,14 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarnwork.functions.text import col, one_spaced
+from tarnwork.functions.text import col, once, one_spaced
 
 
 def _plain(cell: Column) -> Column:
-    text = F.regexp_replace(cell, r"(?is)<[^>]*>", " ")
-    for entity, character in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
-        text = F.replace(text, F.lit(entity), F.lit(character))
-    return one_spaced(text)
+    # What marks and entities begin with is looked for first: most cells have neither.
+    text = F.when(F.contains(cell, F.lit("<")), F.regexp_replace(cell, r"(?is)<[^>]*>", " ")).otherwise(cell)
+
+    def decoded(text: Column) -> Column:
+        plain = text
+        for entity, character in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
+            plain = F.replace(plain, F.lit(entity), F.lit(character))
+        return F.when(F.contains(text, F.lit("&")), plain).otherwise(text)
+
+    return one_spaced(once(text, decoded))
 
 
 def html_rows(html: Column | str) -> Column:

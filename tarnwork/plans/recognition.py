@@ -63,10 +63,12 @@ def two_readers(spark: SparkSession, sf_dir: str) -> DataFrame:
     plain = _text(rows, lambda x: F.concat_ws(" ", x["name"], x["value"], F.lit("mg/dL"), x["ref"]))
     groups = _text(rows, lambda x: F.concat_ws("\n", x["name"], x["value"], F.lit("mg/dL"), x["ref"]))
     table = F.concat(F.lit("<table>"), _text(rows, lambda x: F.concat(F.lit("<tr><td>"), x["name"], F.lit("</td><td>"), x["value"], F.lit("</td></tr>")), ""), F.lit("</table>"))
-    docs = _lines(spark, sf_dir).groupBy("l_orderkey").agg(F.when(k == 0, plain).when(k == 1, groups).otherwise(table).alias("text"))
+    # Written once, as both readers and the first one's quality are all made of it.
+    docs = materialize(_lines(spark, sf_dir).groupBy("l_orderkey").agg(F.when(k == 0, plain).when(k == 1, groups).otherwise(table).alias("text")), "two-readers")
     columns = ("name", "value", "unit", "reference_range", "status")
-    read_lines = row_grammars.parse_rows(report_text.explode_lines(docs, id="l_orderkey", text="text"), line="line").withColumnRenamed("raw_name", "name").withColumn("section", F.lit(None).cast("string"))
-    first = report_text.distinct_rows(read_lines.withColumnRenamed("name", "raw_name"), doc=["l_orderkey"], order=["line_no"]).withColumnRenamed("raw_name", "name").select("l_orderkey", *columns)
+    lines = report_text.explode_lines(docs, id="l_orderkey", text="text")
+    read_lines = row_grammars.parse_repeated_rows(lines, line="line", longest=recognised.LONG_LINE).withColumn("section", F.lit(None).cast("string"))
+    first = report_text.distinct_rows(read_lines, doc=["l_orderkey"], order=["line_no"]).withColumnRenamed("raw_name", "name").select("l_orderkey", *columns)
     second = lambda some: recognised.read_recognised(some, id="l_orderkey", text="text").select("l_orderkey", *columns)
     return recognised.hybrid_rows(docs, first, second, id="l_orderkey", text="text", keys=[F.lower("name"), F.col("value")])[1]
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tarnwork.functions import numbers, text
 from tarnwork.functions.text import one_spaced, trimmed
 from tarnwork.operators import catalog, keyword_lines, recognised, records, relinking, report_text, resolve, row_grammars, scoring, series, trends
+from tarnwork.plans import recognition
 from tarnwork.session import discard, materialize
 
 
@@ -43,6 +44,31 @@ def test_the_first_reader_reads_once(spark):
     assert rows.count() == 40 and calls.value == 20
 
 
+def test_pages_for_two_readers_are_made_once(spark):
+    told = recognition.two_readers(spark, "/root/testdata/sf0.001")
+    assert "collect_list" not in optimized(told) and told.count() > 0
+
+
+def test_lines_that_are_alike_are_judged_once(spark, monkeypatch):
+    calls, same = counted(spark)
+    fits = recognised.fits
+    monkeypatch.setattr(recognised, "fits", lambda line, *kinds: fits(same(line), *kinds[:1]))
+    long = "Hb 5 mg/dL " + "x" * recognised.LONG_LINE
+    docs = spark.createDataFrame([(i, f"Hb 5 mg/dL\n\nNa {i % 2} mmol/L\nsome words\n{long}") for i in range(40)] + [(40, None), (41, "")], "id int, text string")
+    found = recognised.reading_quality(docs, spark.createDataFrame([(0, "a")], "id int, name string"), id="id", text="text")
+    assert {(r.id, r.n_lines) for r in found.collect()} == {(i, 3) for i in range(40)} | {(40, 0), (41, 0)}
+    # Long lines one by one; each runs the function for what a pattern needs and for the pattern.
+    assert calls.value <= 2 * (40 + 4)
+
+
+def test_clean_lines_stay_as_cleaning_leaves_them(spark):
+    rng = random.Random(8)
+    bits = ["\\(", "\\)", "m^2", "m^", "m", "²", "2", "(", ")", "\\", " ", "\u2003", "x", "µ"]
+    texts = ["", "m^²", "m^\\(²", " \\( x \\) "] + ["".join(rng.choice(bits) for _ in range(rng.randrange(1, 9))) for _ in range(3_000)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").withColumn("t", one_spaced("t"))
+    assert df.where(~recognised.cleaned(F.col("t")).eqNullSafe(recognised.clean_line("t"))).count() == 0
+
+
 def test_recognised_pages_are_read_once(spark):
     calls, same = counted(spark)
     docs = spark.createDataFrame([(1, "a\tHb\t5"), (2, "Hb\n5"), (3, "<table><tr><td>Hb</td><td>1</td></tr><tr><td>Na</td><td>2</td></tr></table>"), (4, "")], "id int, text string").select("id", same("text").alias("text"))
