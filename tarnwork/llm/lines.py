@@ -1,8 +1,7 @@
 """Line dedup by an exact set-similarity join.
 
 A line is the set of its words, in lower case. A line is removed if an earlier one, by doc_id and line number, has a
-Jaccard similarity of at least ``percent``. Lines of equal sets form a class, whose first line stands for it; classes
-are numbered in the order of these lines.
+Jaccard similarity of at least ``percent``. Lines of equal sets form a class, whose first line stands for it.
 
 Words are ordered by their bytes, the longest first, as these are mostly the rarest, and those of one length by hash.
 A line's keys are the pairs of neighbours in that order. A word
@@ -11,11 +10,12 @@ all but 2 * (100 - percent) / 100 * n are those of a similar line too; hence sim
 of both, which are those of their longest words (prefix filter, on pairs of words). Lengths must also be about the same
 (length filter), and each line carries 64 parities of its words' hashes: a word that only one of two lines has changes
 at most one of them, so lines with more differing parities than differing words allowed are ruled out without loss.
-Below a certain ``percent`` too few pairs of words are sure to be shared, and single words are the keys. Lines meet in
-buckets by key. Where many do, each is first compared with the few lines before it, in parts of the bucket of bounded
-size, and only those for which this finds no match are compared with all earlier ones. A pair that shares many large
-buckets is made in one of them. These joins are such that Spark can split them, so no bucket has to fit into one
-task. Each match is verified on the whole sets of words, as hashes of 57 bits next to the word's length.
+Below a certain ``percent`` too few pairs of words are sure to be shared, and single words are the keys. The keys of a
+class's first line are dealt out once, with its length and parities, to buckets by key. In each bucket a line is
+compared with the few before it, which in small buckets are all. In large ones only those for which this finds no match
+are then joined with all others; a pair that shares many of these is made in one of them. Spark can split this join,
+and buckets that a sample shows to be huge are dealt out in parts, so no bucket has to fit into one task. Each match is
+verified on the whole sets of words, as hashes of 57 bits next to the word's length.
 
 Sets too small to be similar to any other set (at 80 percent, those of up to three words; four words match five) go
 through the class step alone.
@@ -36,8 +36,10 @@ from tarnwork.llm._common import discard, documents, materialize, quoted, small
 PERCENT = 80
 #: Broadcast at most so many rows of a few numbers.
 FEW = 300_000
-#: In buckets of more lines, each is first compared with so many before it, within parts of about so many lines.
-MANY, BEFORE, PART = 8, 8, 1000
+#: In a bucket, or part of one, each line is first compared with so many before it.
+BEFORE = 8
+#: Of one in so many lines, more than so many in a bucket have it dealt into parts of about so many lines.
+SAMPLE, HUGE, PART = 64, 200, 1000
 
 
 def _lowered(text: Column) -> Column:
@@ -74,35 +76,39 @@ def _lines(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.posexplode(F.split(_lowered(F.col("text")), "\n")).alias("line_no", "line"))
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """Those of the written ``pairs`` of classes ``(a, b)`` whose sets of words have 100 * intersection >= percent * union."""
-    ends = materialize(pairs.select(F.col("a").alias("no")).union(pairs.select("b")).distinct(), "line-ends")
-    needed = materialize(classes.select("no", "doc_id", "text_key", "line_no").join(small(ends, FEW), "no", "left_semi"), "line-needed")
+def _verified(pairs: DataFrame, firsts: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """``earlier, later`` of the written ``pairs`` of classes ``(a, b)`` whose sets of words have 100 * intersection >= percent * union."""
+    ends = materialize(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "line-ends")
+    needed = materialize(firsts.select("id", "doc_id", "text_key", "line_no").join(small(ends, FEW), "id", "left_semi"), "line-needed")
     texts = materialize(needed.select("doc_id", "text_key").distinct(), "line-docs")
     found = small(texts, FEW)
     there = docs.join(found, docs["doc_id"].eqNullSafe(found["doc_id"]) & (F.xxhash64(docs["text"]) == found["text_key"]), "left_semi")
     lines, wanted = _lines(there), small(needed, FEW)
     same = lines["doc_id"].eqNullSafe(wanted["doc_id"]) & (lines["text_key"] == wanted["text_key"]) & (lines["line_no"] == wanted["line_no"])
-    sets = materialize(lines.join(wanted, same).select("no", _ranked(F.col("line")).alias("words")).dropDuplicates(["no"]), "line-sets")
-    both = pairs.join(sets.toDF("a", "words_a"), "a").join(sets.toDF("b", "words_b"), "b")
-    shared = F.size(F.array_intersect("words_a", "words_b"))
-    matches = both.select("a", "b", F.size("words_a").alias("n"), F.size("words_b").alias("m"), shared.alias("shared"))
-    matches = materialize(matches.where(100 * F.col("shared") >= percent * (F.col("n") + F.col("m") - F.col("shared"))).select("a", "b"), "line-matches")
+    place = F.struct(lines["doc_id"], lines["text_key"], lines["line_no"])
+    sets = materialize(lines.join(wanted, same).select("id", place.alias("place"), _ranked(F.col("line")).alias("words")).dropDuplicates(["id"]), "line-sets")
+    both = pairs.join(sets.toDF("a", "place_a", "words_a"), "a").join(sets.toDF("b", "place_b", "words_b"), "b")
+    shared, n, m = F.size(F.array_intersect("words_a", "words_b")), F.size("words_a"), F.size("words_b")
+    turned = F.col("place_a") > F.col("place_b")
+    matches = both.where(100 * shared >= percent * (n + m - shared)).select(F.when(turned, F.col("b")).otherwise(F.col("a")).alias("earlier"), F.when(turned, F.col("a")).otherwise(F.col("b")).alias("later"))
+    matches = materialize(matches, "line-matches")
     discard(ends, needed, texts, sets)
     return matches
 
 
-def _pairs(later: DataFrame, shared: DataFrame, may_match) -> DataFrame:
-    """``a, b, keys`` for lines ``b`` of ``later`` and those before them that share ``keys`` buckets.
+def _pairs(later: DataFrame, shared: DataFrame, may_match, least: int) -> DataFrame:
+    """``a, b`` for each line of ``later`` and another one, closed or of a smaller id, that it shares ``least`` large buckets with.
 
-    A pair comes once for each small bucket, and once for all large ones: that of the smallest number makes it.
+    A pair that shares many buckets is made once: that of the smallest number makes it.
     """
-    fields = ["no", "n", "parities", "large"]
-    y, x = (side.select("bucket", *[F.col(f).alias(f"{p}_{f}") for f in fields]) for p, side in (("y", later), ("x", shared)))
+    fields = ["id", "n", "parities", "large"]
+    y = later.select("bucket", *[F.col(f).alias(f"y_{f}") for f in fields])
+    x = shared.select("bucket", "closed", *[F.col(f).alias(f"x_{f}") for f in fields])
     both = F.array_intersect("x_large", "y_large")
-    once = F.col("x_large").isNull() | (F.array_min(both) == F.col("bucket"))
-    made = y.join(x, "bucket").where((F.col("x_no") < F.col("y_no")) & may_match("x_", "y_") & once)
-    return made.select(F.col("x_no").alias("a"), F.col("y_no").alias("b"), F.when(F.col("x_large").isNull(), F.lit(1)).otherwise(F.size(both)).alias("keys"))
+    once = (F.size(both) >= least) & (F.array_min(both) == F.col("bucket"))
+    other = (F.col("x_id") < F.col("y_id")) | F.col("closed")
+    made = y.join(x, "bucket").where(other & may_match(*[F.col(f"{p}_{f}") for p in "xy" for f in fields[1:3]]) & once)
+    return made.select(F.col("x_id").alias("a"), F.col("y_id").alias("b"))
 
 
 def repeated_lines(docs: DataFrame, *, percent: int = PERCENT, least_words: int = 1) -> DataFrame:
@@ -123,58 +129,60 @@ def repeated_lines(docs: DataFrame, *, percent: int = PERCENT, least_words: int
     prefix = F.when(able, prefix)
     lines = ranked.select("doc_id", "text_key", "line_no", n.alias("n"), F.xxhash64("ranked").alias("id"), _parities(F.col("ranked")).alias("parities"), prefix.alias("prefix"))
     lines = materialize(lines.where(F.col("n") >= least_words), "line-prefixes")
-    # A class is told by id, n and parities; its first line comes without prefixes, which needn't be sorted along.
+    # A class is told by id, n and parities.
     class_ = ["id", "n", "parities"]
-    first = lines.groupBy(*class_).agg(F.min(F.struct("doc_id", "text_key", "line_no")).alias("first"), F.count("*").alias("copies"))
-    firsts = materialize(first.select(*class_, "copies", "first.*"), "line-firsts")
+    first = lines.groupBy(*class_).agg(F.min(F.struct("doc_id", "text_key", "line_no")).alias("first"), F.count("*").alias("copies"), F.any_value("prefix").alias("prefix"))
+    firsts = materialize(first.select(*class_, "copies", "prefix", "first.*"), "line-firsts")
     several = materialize(firsts.where("copies > 1").select(*class_, *[F.col(c).alias(f"first_{c}") for c in ("doc_id", "text_key", "line_no")]), "line-several")
     is_first = F.col("doc_id").eqNullSafe(F.col("first_doc_id")) & (F.col("text_key") == F.col("first_text_key")) & (F.col("line_no") == F.col("first_line_no"))
     copies = materialize(lines.drop("prefix").join(small(several, FEW), class_).where(~is_first).select("doc_id", "text_key", "line_no"), "line-copies")
-
-    # Flat rows of two numbers, as there is one for each key; copies make the same ones.
-    if together == 2:
-        words = lines.select("id", "prefix", F.posexplode("prefix").alias("at", "word"))
-        words = words.select("id", "word", F.get("prefix", F.col("at") + 1).alias("next")).where("next IS NOT NULL")
-        places = words.select("id", F.xxhash64("word", "next").alias("bucket"))
-    else:
-        places = lines.select("id", F.explode("prefix").alias("bucket"))
-    repeated = places.groupBy("bucket").agg(F.min("id").alias("least"), F.max("id").alias("greatest"), F.count("*").alias("members"))
-    repeated = materialize(repeated.where("least <> greatest").select("bucket", "members"), "line-repeated")
-    met = materialize(places.join(small(repeated, FEW), "bucket").distinct(), "line-met")
     discard(lines)
-    # Only classes that meet others are numbered; each gets its large buckets.
-    large = met.where(F.col("members") > MANY).groupBy("id").agg(F.collect_list("bucket").alias("large"))
-    meeting = firsts.join(met.groupBy("id").count(), "id").join(large, "id", "left").orderBy("doc_id", "text_key", "line_no")
-    classes = materialize(meeting.select(F.monotonically_increasing_id().alias("no"), *class_, "large", "doc_id", "text_key", "line_no"), "line-classes")
-    shared = met.join(classes.select("id", "no", "n", "parities", "large"), "id").drop("id").withColumn("large", F.when(F.col("members") > MANY, F.col("large")))
-    shared = materialize(shared, "line-buckets")
-    discard(firsts, repeated, met)
-
-    def may_match(x: str, y: str) -> Column:
-        x_n, x_parities, y_n, y_parities = (F.col(f"{p}{f}") for p in (x, y) for f in ("n", "parities"))
+
+    def may_match(x_n: Column, x_parities: Column, y_n: Column, y_parities: Column) -> Column:
         total = x_n + y_n
         allowed = total - 2 * F.ceil(total * (percent / (100 + percent)) - 1e-9)
         return (F.least(x_n, y_n) * 100 >= F.greatest(x_n, y_n) * percent) & (F.bit_count(x_parities.bitwiseXOR(y_parities)) <= allowed)
 
-    # Large buckets are dealt into parts; in each, a line is first compared with the few lines before it.
-    many = shared.where(F.col("members") > MANY).withColumn("part", F.pmod(F.xxhash64("no"), F.ceil(F.col("members") / PART)))
-    order = Window.partitionBy("bucket", "part").orderBy("no").rowsBetween(-BEFORE, -1)
-    near = many.withColumn("before", F.collect_list(F.struct("no", "n", "parities")).over(order)).select("no", "n", "parities", F.explode("before").alias("x"))
-    near = near.select("no", "n", "parities", *[F.col(f"x.{f}").alias(f"x_{f}") for f in ("no", "n", "parities")])
-    near = materialize(near.where(may_match("x_", "")).select(F.col("x_no").alias("a"), F.col("no").alias("b")).distinct(), "line-near")
-    matched = _verified(near, classes, docs, percent)
-    closed = materialize(matched.select(F.col("b").alias("no")).distinct(), "line-closed")
-
-    rest = _pairs(shared.join(small(closed, 2_000_000), "no", "left_anti"), shared, may_match)
-    rest = rest.groupBy("a", "b").agg(F.sum("keys").alias("keys")).where(F.col("keys") >= least_shared).select("a", "b")
-    rest = materialize(rest, "line-rest")
-    discard(shared)
-    more = _verified(rest, classes, docs, percent)
-
-    gone = materialize(closed.union(more.select("b")).distinct(), "line-gone")
-    removed = classes.join(small(gone, 2_000_000), "no", "left_semi").select("doc_id", "text_key", "line_no").union(copies)
+    # Flat rows of four numbers, as there is one for each key of a class.
+    if together == 2:
+        words = firsts.select(*class_, "prefix", F.posexplode("prefix").alias("at", "word"))
+        words = words.select(*class_, "word", F.get("prefix", F.col("at") + 1).alias("next")).where("next IS NOT NULL")
+        places = words.select(*class_, F.xxhash64("word", "next").alias("bucket"))
+    else:
+        places = firsts.select(*class_, F.explode("prefix").alias("bucket"))
+    # A bucket that a sample shows to be of many thousands of lines is dealt into parts, so that none has to fit into one task.
+    huge = places.where(F.pmod("id", F.lit(SAMPLE)) == 0).groupBy("bucket").count().where(F.col("count") > HUGE)
+    huge = materialize(huge.select("bucket", F.ceil(F.col("count") * (SAMPLE / PART)).alias("parts")), "line-huge")
+    places = places.join(F.broadcast(huge), "bucket", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("id"), "parts"), F.lit(0)))
+    # In its bucket, or part of one, each line is compared with the few before it: in small buckets these are all.
+    order = Window.partitionBy("bucket", "part").orderBy("id")
+    met = places.withColumn("members", F.count("*").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    met = met.where("members > 1 OR parts IS NOT NULL").withColumn("before", F.collect_list(F.struct(*class_)).over(order.rowsBetween(-BEFORE, -1)))
+    like = F.filter("before", lambda x: (x["id"] != F.col("id")) & may_match(x["n"], x["parities"], F.col("n"), F.col("parities")))
+    met = met.select("bucket", *class_, ((F.col("members") > BEFORE + 1) | F.col("parts").isNotNull()).alias("many"), F.transform(like, lambda x: x["id"]).alias("like"))
+    met = materialize(met.where("many OR size(like) > 0"), "line-met")
+    near = met.select(F.explode("like").alias("x"), "id").select(F.least("x", "id").alias("a"), F.greatest("x", "id").alias("b"))
+    near = materialize(near.groupBy("a", "b").agg(F.count("*").alias("keys")), "line-pairs")
+    # Keys that a pair shares in small buckets are all counted; any others are in large ones, where both lines are then.
+    there = small(materialize(met.where("many").select("id").distinct(), "line-there"), 2_000_000)
+    one = near.where(F.col("keys") < least_shared).join(there.toDF("a"), "a", "left_semi").join(there.toDF("b"), "b", "left_semi")
+    near = materialize(near.where(F.col("keys") >= least_shared).select("a", "b").union(one.select("a", "b")), "line-near")
+    matched = _verified(near, firsts, docs, percent)
+    closed = materialize(matched.select(F.col("later").alias("id")).distinct(), "line-closed")
+
+    # In large buckets, those for which this found no match are compared with all others.
+    many = met.where("many").select("bucket", *class_)
+    large = many.groupBy("id").agg(F.array_sort(F.collect_set("bucket")).alias("large"))
+    large = large.join(small(closed.withColumn("closed", F.lit(True)), 2_000_000), "id", "left").withColumn("closed", F.coalesce("closed", F.lit(False)))
+    shared = materialize(many.join(large, "id"), "line-buckets")
+    rest = materialize(_pairs(shared.where("NOT closed"), shared, may_match, least_shared).distinct(), "line-rest")
+    discard(shared, met)
+    more = _verified(rest, firsts, docs, percent)
+
+    gone = materialize(closed.union(more.select("later")).distinct(), "line-gone")
+    removed = firsts.join(small(gone, 2_000_000), "id", "left_semi").select("doc_id", "text_key", "line_no").union(copies)
     removed = materialize(removed.distinct(), "line-removed")
-    discard(classes, copies, several, near, matched, closed, rest, more, gone)
+    discard(firsts, copies, several, huge, near, matched, closed, rest, more, gone)
     return removed
 
 

@@ -151,6 +151,26 @@ def test_random_lines_hardly_meet_and_matches_are_found_at_any_bound(spark, monk
         assert {r.doc_id for r in found.collect()} == expected and expected
 
 
+def test_lines_of_small_buckets_are_compared_without_a_join(spark, monkeypatch):
+    """Pairs of near copies are found as their keys are dealt out; only lines of large buckets go on to be joined."""
+    rng, met, written = random.Random(6), [], lines.materialize
+    rows = [(2 * i, " ".join(f"w{rng.randrange(10**6)}" for _ in range(20))) for i in range(60)]
+    rows += [(i + 1, text.rsplit(" ", 1)[0] + f" other{i}") for i, text in rows]
+
+    def counted(df, name):
+        table = written(df, name)
+        if name == "line-buckets":
+            met.append(table.count())
+        return table
+
+    monkeypatch.setattr(lines, "materialize", counted)
+    for huge in (lines.HUGE, -1):
+        monkeypatch.setattr(lines, "HUGE", huge)
+        found = lines.repeated_lines(spark.createDataFrame(rows, "doc_id long, text string"))
+        assert {(r.doc_id, r.line_no) for r in found.collect()} == {(2 * i + 1, 0) for i in range(60)}
+    assert met[0] == 0
+
+
 def test_lines_that_share_many_buckets_make_a_pair_once(spark, monkeypatch):
     """A group of lines that differ a little too much or just little enough."""
     rng, made, pairs = random.Random(8), [], lines._pairs
