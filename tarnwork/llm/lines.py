@@ -13,7 +13,7 @@ at most one of them, so lines with more differing parities than differing words
 Below a certain ``percent`` too few pairs of words are sure to be shared, and single words are the keys. The keys of a
 class's first line are dealt out once, with its length and parities, to buckets by key. In each bucket a line is
 compared with the few before it, which in small buckets are all. In large ones only those for which this finds no match
-are then joined with all others; a pair that shares many of these is made in one of them. Spark can split this join,
+are then joined with all earlier ones; a pair that shares many of these is made in one of them. Spark can split this join,
 and buckets that a sample shows to be huge are dealt out in parts, so no bucket has to fit into one task. Each match is
 verified on the whole sets of words, as hashes of 57 bits next to the word's length.
 
@@ -97,17 +97,15 @@ def _verified(pairs: DataFrame, firsts: DataFrame, docs: DataFrame, percent: int
 
 
 def _pairs(later: DataFrame, shared: DataFrame, may_match, least: int) -> DataFrame:
-    """``a, b`` for each line of ``later`` and another one, closed or of a smaller id, that it shares ``least`` large buckets with.
+    """``a, b`` for each line of ``later`` and one before it that it shares ``least`` large buckets with.
 
     A pair that shares many buckets is made once: that of the smallest number makes it.
     """
-    fields = ["id", "n", "parities", "large"]
-    y = later.select("bucket", *[F.col(f).alias(f"y_{f}") for f in fields])
-    x = shared.select("bucket", "closed", *[F.col(f).alias(f"x_{f}") for f in fields])
+    fields = ["id", "n", "parities", "large", "no"]
+    y, x = (side.select("bucket", *[F.col(f).alias(f"{p}_{f}") for f in fields]) for p, side in (("y", later), ("x", shared)))
     both = F.array_intersect("x_large", "y_large")
     once = (F.size(both) >= least) & (F.array_min(both) == F.col("bucket"))
-    other = (F.col("x_id") < F.col("y_id")) | F.col("closed")
-    made = y.join(x, "bucket").where(other & may_match(*[F.col(f"{p}_{f}") for p in "xy" for f in fields[1:3]]) & once)
+    made = y.join(x, "bucket").where((F.col("x_no") < F.col("y_no")) & may_match(*[F.col(f"{p}_{f}") for p in "xy" for f in fields[1:3]]) & once)
     return made.select(F.col("x_id").alias("a"), F.col("y_id").alias("b"))
 
 
@@ -170,13 +168,15 @@ def repeated_lines(docs: DataFrame, *, percent: int = PERCENT, least_words: int
     matched = _verified(near, firsts, docs, percent)
     closed = materialize(matched.select(F.col("later").alias("id")).distinct(), "line-closed")
 
-    # In large buckets, those for which this found no match are compared with all others.
+    # In large buckets, those for which this found no match are compared with all earlier ones.
     many = met.where("many").select("bucket", *class_)
     large = many.groupBy("id").agg(F.array_sort(F.collect_set("bucket")).alias("large"))
-    large = large.join(small(closed.withColumn("closed", F.lit(True)), 2_000_000), "id", "left").withColumn("closed", F.coalesce("closed", F.lit(False)))
+    large = large.join(firsts.select("id", "doc_id", "text_key", "line_no"), "id").orderBy("doc_id", "text_key", "line_no")
+    large = materialize(large.select("id", "large", F.monotonically_increasing_id().alias("no")), "line-large")
     shared = materialize(many.join(large, "id"), "line-buckets")
-    rest = materialize(_pairs(shared.where("NOT closed"), shared, may_match, least_shared).distinct(), "line-rest")
-    discard(shared, met)
+    later = shared.join(small(closed, 2_000_000), "id", "left_anti")
+    rest = materialize(_pairs(later, shared, may_match, least_shared).distinct(), "line-rest")
+    discard(shared, met, large)
     more = _verified(rest, firsts, docs, percent)
 
     gone = materialize(closed.union(more.select("later")).distinct(), "line-gone")
